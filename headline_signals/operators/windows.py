@@ -1,0 +1,26 @@
+"""Window-spec helpers shared by the time-series operators.
+
+Daily-grain series have one row per day (per entity), so an unpartitioned window over
+them holds at most one row per calendar day. Operators accept ``partition_by`` so that
+panels (one series per source, symbol or region) spread over the cluster.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Window, WindowSpec
+
+
+def ordered(order_col: str, partition_by: Sequence[str] | None = None) -> WindowSpec:
+    w = Window.partitionBy(*partition_by) if partition_by else Window
+    return w.orderBy(order_col)
+
+
+def rows(order_col: str, start: int, end: int,
+         partition_by: Sequence[str] | None = None) -> WindowSpec:
+    return ordered(order_col, partition_by).rowsBetween(start, end)
+
+
+def to_here(order_col: str, partition_by: Sequence[str] | None = None) -> WindowSpec:
+    return ordered(order_col, partition_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
