@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import exact_mean
 from .indexing import global_index
 
 # Chart order of the label counts.
@@ -67,15 +68,19 @@ def extreme_days(daily: DataFrame, value: str = "avg_sentiment", order_col: str
     )
 
 
-def summary(daily: DataFrame, order_col: str = "Date") -> DataFrame:
-    """One-row run summary with quality grades (A10)."""
+def summary(daily: DataFrame, order_col: str = "Date", scale: int | None = 4) -> DataFrame:
+    """One-row run summary with quality grades (A10).
+
+    ``scale``: daily sentiments carry 4 decimals (A2 rounds them), so their mean is
+    taken from an exact decimal sum; ``None`` for a plain double mean.
+    """
     v = F.col("avg_sentiment")
     d = F.col(order_col)
     out = daily.agg(
         F.count(F.lit(1)).alias("total_days"),
         F.min(d).alias("start_date"), F.max(d).alias("end_date"),
         F.avg("headline_count").alias("avg_headlines_per_day"),
-        F.avg(v).alias("avg_sentiment"),
+        (F.avg(v) if scale is None else exact_mean(v, scale)).alias("avg_sentiment"),
         F.stddev_samp(v).alias("sentiment_volatility"),
         F.min(v).alias("min_sentiment"), F.max(v).alias("max_sentiment"),
         F.min_by(d, F.struct(-v, d)).alias("most_positive_day"),

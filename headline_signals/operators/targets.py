@@ -22,10 +22,17 @@ def _flag(cond: Column, null_unknown: bool) -> Column:
 
 
 def forward_mean_3(col: str, order_col: str = "Date",
-                   partition_by: Sequence[str] | None = None) -> Column:
-    """Mean of the next three rows, null unless all three are known."""
+                   partition_by: Sequence[str] | None = None, scale: int | None = None) -> Column:
+    """Mean of the next three rows, null unless all three are known.
+
+    With ``scale`` (values carrying at most that many decimals) the sum is exact.
+    """
     fw = rows(order_col, 1, 3, partition_by)
-    return F.when(F.count(col).over(fw) == 3, F.avg(col).over(fw))
+    if scale is None:
+        mean = F.avg(col).over(fw)
+    else:
+        mean = F.sum(F.col(col).cast(f"decimal(24,{scale})")).over(fw).cast("double") / F.lit(3)
+    return F.when(F.count(col).over(fw) == 3, mean)
 
 
 def fallback_targets(daily: DataFrame, order_col: str = "Date",
@@ -35,7 +42,7 @@ def fallback_targets(daily: DataFrame, order_col: str = "Date",
     nxt = F.lead("avg_sentiment", 1).over(ordered(order_col, partition_by))
     out = daily.withColumns({
         "next_day_sentiment": nxt,
-        "next_3day_sentiment": forward_mean_3("avg_sentiment", order_col, partition_by),
+        "next_3day_sentiment": forward_mean_3("avg_sentiment", order_col, partition_by, scale=4),
     })
     return out.withColumns({
         "next_day_positive": _flag(F.col("next_day_sentiment") > 0, null_unknown),

@@ -139,3 +139,300 @@ ORACLE: dict[str, str] = {
     "label_counts": label_counts(SCORED_EVENTS),
     "confidence_histogram": histogram(SCORED_EVENTS, "Confidence", 10),
 }
+
+
+# --- daily-grain feature flow ---------------------------------------------------------
+
+from ..functions.keywords import KEYWORDS  # noqa: E402
+
+WINDOWS = (3, 7, 14, 30)
+FLAG_COLUMNS = ["extreme_positive_day", "extreme_negative_day", "high_sentiment_volatility",
+                "high_news_flow_day", "mixed_sentiment_day", "high_confidence_day"]
+
+
+def flag(cond: str) -> str:
+    return f"CAST(coalesce(CAST(({cond}) AS INTEGER), 0) AS INTEGER)"
+
+
+def rolling_names() -> list[str]:
+    out = []
+    for w in WINDOWS:
+        out += [f"sentiment_ma_{w}d", f"sentiment_std_{w}d", f"weighted_sentiment_ma_{w}d",
+                f"headline_count_ma_{w}d", f"confidence_ma_{w}d",
+                f"sentiment_momentum_{w}d", f"sentiment_trend_{w}d"]
+    return out
+
+
+def rolling(rel: str) -> str:
+    parts, mom = [], []
+    for w in WINDOWS:
+        fr = f"(ORDER BY Date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+
+        def mean(c, fr=fr):
+            return f"(CAST(sum(CAST({c} AS DECIMAL(24,4))) OVER {fr} AS DOUBLE) / count({c}) OVER {fr})"
+        parts += [
+            f"{mean('avg_sentiment')} AS sentiment_ma_{w}d",
+            f"stddev_samp(avg_sentiment) OVER {fr} AS sentiment_std_{w}d",
+            f"{mean('avg_weighted_sentiment')} AS weighted_sentiment_ma_{w}d",
+            f"{mean('headline_count')} AS headline_count_ma_{w}d",
+            f"{mean('avg_confidence')} AS confidence_ma_{w}d",
+            f"CASE WHEN count(avg_sentiment) OVER {fr} = {w} "
+            f"THEN regr_slope(avg_sentiment, _pos) OVER {fr} END AS sentiment_trend_{w}d",
+        ]
+        mom.append(f"sentiment_ma_{w}d - lag(sentiment_ma_{w}d) OVER (ORDER BY Date) "
+                   f"AS sentiment_momentum_{w}d")
+    inner = (f"(SELECT *, {', '.join(parts)} FROM (SELECT *, CAST(row_number() OVER (ORDER BY Date) "
+             f"AS DOUBLE) AS _pos FROM {rel} _a) _b)")
+    return f"(SELECT * EXCLUDE (_pos), {', '.join(mom)} FROM {inner} _c)"
+
+
+def thresholds(rel: str) -> str:
+    return f"""(SELECT quantile_cont(avg_sentiment, 0.25) AS sentiment_q25,
+        quantile_cont(avg_sentiment, 0.75) AS sentiment_q75,
+        quantile_cont(sentiment_volatility, 0.75) AS volatility_q75,
+        quantile_cont(headline_count, 0.75) AS count_q75 FROM {rel} _t)"""
+
+
+def flags(rel: str) -> str:
+    return f"""(SELECT d.*,
+        {flag('d.avg_sentiment > q.sentiment_q75')} AS extreme_positive_day,
+        {flag('d.avg_sentiment < q.sentiment_q25')} AS extreme_negative_day,
+        {flag('d.sentiment_volatility > q.volatility_q75')} AS high_sentiment_volatility,
+        {flag('d.headline_count > q.count_q75')} AS high_news_flow_day,
+        {flag('d.Neutral_Probability_mean > 0.5')} AS mixed_sentiment_day,
+        {flag('d.avg_confidence > 0.8')} AS high_confidence_day
+      FROM {rel} d CROSS JOIN {thresholds(rel)} q)"""
+
+
+def _hit(lowered: str, word: str, match: str) -> str:
+    if match == "substring":
+        return f"contains({lowered}, '{word}')"
+    return f"regexp_matches({lowered}, '(^|[^a-z0-9]){word}([^a-z0-9]|$)')"
+
+
+def keyword_aggs(match: str = "substring") -> list[str]:
+    low = "lower(Headline)"
+    out = []
+    for cat, words in KEYWORDS.items():
+        cnt = " + ".join(f"coalesce(CAST({_hit(low, w, match)} AS INTEGER), 0)" for w in words)
+        hit = "(" + " OR ".join(f"coalesce({_hit(low, w, match)}, false)" for w in words) + ")"
+        out += [
+            f"CAST(sum({cnt}) AS BIGINT) AS {cat}_mentions",
+            f"coalesce({exact_mean(f'CASE WHEN {hit} THEN w END', 8)}, 0.0) AS {cat}_sentiment",
+            f"CAST(sum(CAST({hit} AS INTEGER)) AS BIGINT) AS {cat}_headlines",
+        ]
+    return out
+
+
+def keyword_names() -> list[str]:
+    return [f"{c}_{k}" for c in KEYWORDS for k in ("mentions", "sentiment", "headlines")]
+
+
+def keyword_features(scored: str, match: str = "substring") -> str:
+    return f"(SELECT Date, {', '.join(keyword_aggs(match))} FROM {stat_rows(scored)} _k GROUP BY Date)"
+
+
+def daily_features(scored: str) -> str:
+    return (f"(SELECT Date, {', '.join(_stat_exprs())}, {', '.join(keyword_aggs())} "
+            f"FROM {stat_rows(scored)} _d GROUP BY Date)")
+
+
+def feature_table(scored: str) -> str:
+    """A2 + K -> rolling -> flags -> whole-frame fill with 0."""
+    cols = STAT_COLUMNS + rolling_names() + FLAG_COLUMNS + keyword_names()
+    filled = ", ".join(f"coalesce({c}, 0) AS {c}" for c in cols)
+    return f"(SELECT Date, {filled} FROM {flags(rolling(daily_features(scored)))} _ft)"
+
+
+def fallback_targets(rel: str) -> str:
+    f3 = "(ORDER BY Date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)"
+    inner = f"""(SELECT *, lead(avg_sentiment) OVER (ORDER BY Date) AS next_day_sentiment,
+        CASE WHEN count(avg_sentiment) OVER {f3} = 3
+             THEN CAST(sum(CAST(avg_sentiment AS DECIMAL(24,4))) OVER {f3} AS DOUBLE) / 3 END
+          AS next_3day_sentiment FROM {rel} _t)"""
+    return f"""(SELECT *, {flag('next_day_sentiment > 0')} AS next_day_positive,
+        {flag('next_3day_sentiment > 0')} AS next_3day_positive FROM {inner} _u)"""
+
+
+MARKET_SERIES = f"""(WITH m AS (
+      SELECT CAST(l_shipdate AS DATE) AS Date, {exact_mean('l_extendedprice', 2)} AS SPY,
+             {exact_mean('l_quantity', 2)} AS VIX, {exact_mean('l_tax', 2)} * 100 AS TNX
+      FROM lineitem WHERE dayofweek(l_shipdate) BETWEEN 1 AND 5 GROUP BY 1)
+    SELECT 'SPY' AS symbol, Date, SPY AS Close FROM m
+    UNION ALL SELECT '^VIX', Date, VIX FROM m
+    UNION ALL SELECT '^TNX', Date, TNX FROM m)"""
+
+MARKET_PANEL = f"""(SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS Date,
+      {exact_mean('l_extendedprice', 2)} AS Close
+    FROM lineitem WHERE dayofweek(l_shipdate) BETWEEN 1 AND 5 GROUP BY 1, 2)"""
+
+INDICATOR_COLUMNS = ["symbol", "Date", "Close", "daily_return", "volatility_5d", "sma_20", "rsi",
+                     "market_trend", "high_fear"]
+
+
+def indicators(market: str) -> str:
+    p = "PARTITION BY symbol ORDER BY Date"
+    w5 = f"({p} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+    w20 = f"({p} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+    w14 = f"({p} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)"
+    a = f"""(SELECT *, last_value(Close IGNORE NULLS) OVER ({p} ROWS BETWEEN UNBOUNDED PRECEDING
+        AND CURRENT ROW) AS _padded, Close - lag(Close) OVER ({p}) AS _delta FROM {market} _m)"""
+    b = f"""(SELECT *, CASE WHEN _prev IS NULL OR _prev = 0 THEN NULL ELSE _padded / _prev END - 1
+          AS daily_return,
+        CASE WHEN _delta > 0 THEN _delta ELSE 0.0 END AS _gain,
+        CASE WHEN _delta < 0 THEN -_delta ELSE 0.0 END AS _loss
+      FROM (SELECT *, lag(_padded) OVER ({p}) AS _prev FROM {a} _a) _b)"""
+    c = f"""(SELECT *,
+        CASE WHEN count(daily_return) OVER {w5} = 5
+             THEN stddev_samp(daily_return) OVER {w5} * sqrt(252) END AS volatility_5d,
+        CASE WHEN count(Close) OVER {w20} = 20 THEN avg(Close) OVER {w20} END AS sma_20,
+        CASE WHEN count(*) OVER {w14} = 14 THEN avg(_gain) OVER {w14} END AS _ag,
+        CASE WHEN count(*) OVER {w14} = 14 THEN avg(_loss) OVER {w14} END AS _al
+      FROM {b} _c)"""
+    return f"""(SELECT symbol, Date, Close, daily_return, volatility_5d, sma_20,
+        CASE WHEN _al > 0 THEN 100 - 100 / (1 + _ag / _al) WHEN _ag > 0 THEN 100.0 END AS rsi,
+        {flag('Close > sma_20')} AS market_trend, {flag('Close > 20')} AS high_fear
+      FROM {c} _d)"""
+
+
+def market_targets(daily: str, market: str) -> str:
+    cut = f"""(SELECT m.* FROM {market} m WHERE m.Date >= (SELECT min(Date) FROM {daily} _x)
+        AND m.Date < (SELECT max(Date) FROM {daily} _y) + 30)"""
+    ind = indicators(cut)
+    f3 = "(ORDER BY Date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)"
+    merged = f"""(SELECT d.*, s.daily_return, s.volatility_5d, s.market_trend FROM {daily} d
+      LEFT JOIN (SELECT Date, daily_return, volatility_5d, market_trend FROM {ind} _i
+                 WHERE symbol = 'SPY') s ON d.Date = s.Date)"""
+    t = f"""(SELECT *, lead(daily_return) OVER (ORDER BY Date) AS next_day_return,
+        CASE WHEN count(daily_return) OVER {f3} = 3 THEN avg(daily_return) OVER {f3} END
+          AS next_3day_return FROM {merged} _t)"""
+    t2 = f"""(SELECT *, {flag('next_day_return > 0')} AS next_day_positive,
+        {flag('abs(next_day_return) > 0.01')} AS next_day_big_move,
+        {flag('next_3day_return > 0')} AS next_3day_positive FROM {t} _u)"""
+    return f"""(SELECT t2.*, v.VIX, v.vix_change, v.high_fear FROM {t2} t2
+      LEFT JOIN (SELECT Date, Close AS VIX, daily_return AS vix_change, high_fear FROM {ind} _v
+                 WHERE symbol = '^VIX') v ON t2.Date = v.Date)"""
+
+
+EXCLUDED = {"Date", "next_day_return", "next_day_positive", "next_day_big_move",
+            "next_3day_return", "next_3day_positive", "next_day_sentiment", "next_3day_sentiment",
+            "daily_return", "Date_y"}
+
+
+def feature_matrix(rel: str, columns: list[str]) -> str:
+    w = "(ORDER BY Date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    items = [c if c in EXCLUDED else f"coalesce(last_value({c} IGNORE NULLS) OVER {w}, 0) AS {c}"
+             for c in columns]
+    return f"(SELECT {', '.join(items)} FROM {rel} _fm)"
+
+
+def time_folds(rel: str) -> str:
+    return f"""WITH d AS (SELECT Date, row_number() OVER (ORDER BY Date) - 1 AS row_idx FROM {rel} _r),
+      k AS (SELECT n, CASE WHEN n < 5 THEN 0 WHEN n < 10 THEN 3 ELSE least(3, n // 5) END AS k
+            FROM (SELECT count(*) AS n FROM {rel} _n) _n2),
+      ks AS (SELECT n, k, n // (k + 1) AS s FROM k),
+      x AS (SELECT d.*, ks.*, unnest(range(0, ks.k)) AS fold FROM d, ks)
+      SELECT CAST(fold AS INTEGER) AS fold, role, CAST(row_idx AS INTEGER) AS row_idx, Date FROM (
+        SELECT *, CASE WHEN row_idx < n - (k - fold) * s THEN 'train'
+                       WHEN row_idx < n - (k - fold) * s + s THEN 'test' END AS role FROM x) _y
+      WHERE role IS NOT NULL"""
+
+
+def ordered_split(rel: str) -> str:
+    return f"""SELECT Date, CAST(row_idx AS INTEGER) AS row_idx,
+        CASE WHEN row_idx < greatest(3, CAST(trunc(n * 0.7) AS BIGINT)) THEN 'train' ELSE 'test' END AS role
+      FROM (SELECT Date, row_number() OVER (ORDER BY Date) - 1 AS row_idx FROM {rel} _r) d,
+           (SELECT count(*) AS n FROM {rel} _n) c"""
+
+
+def summary(rel: str) -> str:
+    return f"""SELECT total_days, start_date, end_date, {r6('avg_headlines_per_day')} AS avg_headlines_per_day,
+        {r6('avg_sentiment')} AS avg_sentiment, {r6('sentiment_volatility')} AS sentiment_volatility,
+        {r6('min_sentiment')} AS min_sentiment, {r6('max_sentiment')} AS max_sentiment,
+        most_positive_day, most_negative_day,
+        CASE WHEN avg_headlines_per_day > 10 THEN 'Good' ELSE 'Low' END AS data_quality,
+        CASE WHEN sentiment_volatility < 0.2 THEN 'High' ELSE 'Variable' END AS sentiment_consistency
+      FROM (SELECT count(*) AS total_days, min(Date) AS start_date, max(Date) AS end_date,
+              avg(headline_count) AS avg_headlines_per_day, {exact_mean('avg_sentiment', 4)} AS avg_sentiment,
+              stddev_samp(avg_sentiment) AS sentiment_volatility, min(avg_sentiment) AS min_sentiment,
+              max(avg_sentiment) AS max_sentiment,
+              (SELECT Date FROM {rel} _p ORDER BY avg_sentiment DESC, Date LIMIT 1) AS most_positive_day,
+              (SELECT Date FROM {rel} _q ORDER BY avg_sentiment, Date LIMIT 1) AS most_negative_day
+            FROM {rel} _s) _t"""
+
+
+def extreme_days(rel: str) -> str:
+    return f"""SELECT (SELECT Date FROM {rel} _p ORDER BY avg_sentiment DESC, Date LIMIT 1) AS most_positive_day,
+        (SELECT {r6('max(avg_sentiment)')} FROM {rel} _a) AS most_positive_value,
+        (SELECT Date FROM {rel} _q ORDER BY avg_sentiment, Date LIMIT 1) AS most_negative_day,
+        (SELECT {r6('min(avg_sentiment)')} FROM {rel} _b) AS most_negative_value"""
+
+
+def correlation(rel: str, a: str, b: str) -> str:
+    return f"""SELECT {r6(f'corr({a}, {b})')} AS correlation, count(*) AS n_pairs
+      FROM {rel} _c WHERE {a} IS NOT NULL AND {b} IS NOT NULL"""
+
+
+SCORED_COLUMNS = ["seq", "Time", "Sentiment", "Confidence", "Negative_Probability",
+                  "Neutral_Probability", "Positive_Probability", "Predicted_Class"]
+
+_ORD_DAILY = daily_stats(SCORED_ORDERS)
+_ORD_HEAD = with_headlines(SCORED_ORDERS)
+_ORD_FEAT = feature_table(_ORD_HEAD)
+_ORD_MKT = market_targets(_ORD_FEAT, MARKET_SERIES)
+_FEAT_COLS = (["Date"] + STAT_COLUMNS + rolling_names() + FLAG_COLUMNS + keyword_names()
+              + ["daily_return", "volatility_5d", "market_trend", "next_day_return",
+                 "next_day_positive", "next_day_big_move", "next_3day_return",
+                 "next_3day_positive", "VIX", "vix_change", "high_fear"])
+_INT_COLS = ({"headline_count", "market_trend", "high_fear", "next_day_positive",
+              "next_day_big_move", "next_3day_positive"} | set(FLAG_COLUMNS)
+             | {c for c in keyword_names() if not c.endswith("_sentiment")})
+
+
+def _dbl(cols):
+    return {c for c in cols if c not in _INT_COLS and c not in ("Date", "symbol", "role")}
+
+
+ORACLE.update({
+    "rolling_features": select_r6(rolling(_ORD_DAILY), ["Date"] + STAT_COLUMNS + rolling_names(),
+                                  _dbl(STAT_COLUMNS + rolling_names())),
+    "regime_thresholds": select_r6(thresholds(_ORD_DAILY),
+                                   ["sentiment_q25", "sentiment_q75", "volatility_q75", "count_q75"],
+                                   {"sentiment_q25", "sentiment_q75", "volatility_q75", "count_q75"}),
+    "regime_flags": select_r6(flags(_ORD_DAILY), ["Date"] + STAT_COLUMNS + FLAG_COLUMNS,
+                              _dbl(STAT_COLUMNS)),
+    "keyword_features": select_r6(keyword_features(_ORD_HEAD), ["Date"] + keyword_names(),
+                                  _dbl(keyword_names())),
+    "keyword_features_word": select_r6(keyword_features(with_headlines(SCORED_EVENTS), "word"),
+                                       ["Date"] + keyword_names(), _dbl(keyword_names())),
+    "daily_feature_table": select_r6(_ORD_FEAT, ["Date"] + STAT_COLUMNS + rolling_names()
+                                     + FLAG_COLUMNS + keyword_names(),
+                                     _dbl(STAT_COLUMNS + rolling_names() + keyword_names())),
+    "fallback_targets": select_r6(fallback_targets(_ORD_FEAT),
+                                  ["Date", "avg_sentiment", "next_day_sentiment", "next_day_positive",
+                                   "next_3day_sentiment", "next_3day_positive"],
+                                  {"avg_sentiment", "next_day_sentiment", "next_3day_sentiment"}),
+    "market_indicators": select_r6(indicators(MARKET_SERIES), INDICATOR_COLUMNS,
+                                   {"Close", "daily_return", "volatility_5d", "sma_20", "rsi"}),
+    "market_panel_indicators": select_r6(indicators(MARKET_PANEL), INDICATOR_COLUMNS,
+                                         {"Close", "daily_return", "volatility_5d", "sma_20", "rsi"}),
+    "market_targets": select_r6(_ORD_MKT, [
+        "Date", "avg_sentiment", "daily_return", "volatility_5d", "market_trend", "next_day_return",
+        "next_day_positive", "next_day_big_move", "next_3day_return", "next_3day_positive", "VIX",
+        "vix_change", "high_fear"], {"avg_sentiment", "daily_return", "volatility_5d",
+                                     "next_day_return", "next_3day_return", "VIX", "vix_change"}),
+    "feature_matrix": select_r6(feature_matrix(_ORD_MKT, _FEAT_COLS), _FEAT_COLS, _dbl(_FEAT_COLS)),
+    "time_folds": time_folds(_ORD_DAILY),
+    "ordered_split": ordered_split(_ORD_DAILY),
+    "run_summary": summary(_ORD_DAILY),
+    "extreme_days": extreme_days(_ORD_DAILY),
+    "sentiment_histogram": histogram(_ORD_DAILY, "avg_sentiment", 30),
+    "sentiment_histogram_small": histogram(daily_stats(SCORED_EVENTS), "avg_sentiment", None),
+    "sentiment_return_correlation": correlation(_ORD_MKT, "avg_sentiment", "next_day_return"),
+    "feed_page": f"""SELECT *, CAST(10 + row_number() OVER (ORDER BY seq) AS BIGINT) AS global_index
+        FROM (SELECT * FROM {SCORED_EVENTS} _s ORDER BY seq LIMIT 5 OFFSET 10) _p""",
+    "feed_pages": f"""SELECT *, CAST((global_index - 1) // 5 + 1 AS BIGINT) AS page,
+        CAST((global_index - 1) % 5 + 1 AS INTEGER) AS position_in_page
+        FROM (SELECT *, row_number() OVER (ORDER BY seq) AS global_index FROM {SCORED_EVENTS} _s) _p""",
+    "page_count": f"SELECT CAST(ceil(count(*) / 5) AS BIGINT) AS pages FROM {SCORED_EVENTS} _s",
+})

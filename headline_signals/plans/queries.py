@@ -67,3 +67,134 @@ def q_label_counts(spark, sf):
 @query("confidence_histogram")
 def q_confidence_histogram(spark, sf):
     return finalize(rp.histogram(ad.scored_events(spark, sf), "Confidence", 10))
+
+
+# --- daily-grain feature flow over the long (orders) series -------------------------
+
+from ..operators import features as ft  # noqa: E402
+from ..operators import market as mk  # noqa: E402
+from ..operators import regimes as rg  # noqa: E402
+from ..operators import rolling as rl  # noqa: E402
+from ..operators import targets as tg  # noqa: E402
+from . import feature_flow as ff  # noqa: E402
+
+
+def _orders_daily(spark, sf):
+    return dl.daily_stats(ad.scored_orders(spark, sf))
+
+
+def _orders_feature_table(spark, sf):
+    return ff.daily_feature_table(ad.scored_headlines(spark, sf, base="orders"))
+
+
+@query("rolling_features")
+def q_rolling(spark, sf):
+    return finalize(rl.rolling_features(_orders_daily(spark, sf)))
+
+
+@query("regime_thresholds")
+def q_thresholds(spark, sf):
+    return finalize(rg.thresholds(_orders_daily(spark, sf)))
+
+
+@query("regime_flags")
+def q_flags(spark, sf):
+    return finalize(rg.regime_flags(_orders_daily(spark, sf)))
+
+
+@query("keyword_features")
+def q_keywords(spark, sf):
+    return finalize(dl.keyword_features(ad.scored_headlines(spark, sf, base="orders")))
+
+
+@query("keyword_features_word")
+def q_keywords_word(spark, sf):
+    return finalize(dl.keyword_features(ad.scored_headlines(spark, sf, base="events"), match="word"))
+
+
+@query("daily_feature_table")
+def q_feature_table(spark, sf):
+    return finalize(_orders_feature_table(spark, sf))
+
+
+@query("fallback_targets")
+def q_fallback_targets(spark, sf):
+    t = ff.with_targets(_orders_feature_table(spark, sf))
+    return finalize(t.select("Date", "avg_sentiment", "next_day_sentiment", "next_day_positive",
+                             "next_3day_sentiment", "next_3day_positive"))
+
+
+@query("market_indicators")
+def q_market_indicators(spark, sf):
+    return finalize(mk.indicators(ad.market_series(spark, sf)))
+
+
+@query("market_panel_indicators")
+def q_market_panel(spark, sf):
+    return finalize(mk.indicators(ad.market_panel(spark, sf)))
+
+
+@query("market_targets")
+def q_market_targets(spark, sf):
+    t = ff.with_targets(_orders_feature_table(spark, sf), ad.market_series(spark, sf))
+    return finalize(t.select("Date", "avg_sentiment", "daily_return", "volatility_5d", "market_trend",
+                             "next_day_return", "next_day_positive", "next_day_big_move",
+                             "next_3day_return", "next_3day_positive", "VIX", "vix_change",
+                             "high_fear"))
+
+
+@query("feature_matrix")
+def q_feature_matrix(spark, sf):
+    return finalize(ff.build_features(ad.scored_headlines(spark, sf, base="orders"),
+                                      ad.market_series(spark, sf)))
+
+
+@query("time_folds")
+def q_time_folds(spark, sf):
+    return ft.time_folds(_orders_daily(spark, sf))
+
+
+@query("ordered_split")
+def q_ordered_split(spark, sf):
+    return ft.ordered_split(_orders_daily(spark, sf)).select("Date", "row_idx", "role")
+
+
+@query("run_summary")
+def q_summary(spark, sf):
+    return finalize(rp.summary(_orders_daily(spark, sf)))
+
+
+@query("extreme_days")
+def q_extreme_days(spark, sf):
+    return finalize(rp.extreme_days(_orders_daily(spark, sf)))
+
+
+@query("sentiment_histogram")
+def q_sentiment_histogram(spark, sf):
+    return finalize(rp.histogram(_orders_daily(spark, sf), "avg_sentiment", 30))
+
+
+@query("sentiment_histogram_small")
+def q_sentiment_histogram_small(spark, sf):
+    return finalize(rp.histogram(dl.daily_stats(ad.scored_events(spark, sf)), "avg_sentiment", None))
+
+
+@query("sentiment_return_correlation")
+def q_correlation(spark, sf):
+    t = ff.with_targets(_orders_feature_table(spark, sf), ad.market_series(spark, sf))
+    return finalize(rp.correlation(t, "avg_sentiment", "next_day_return"))
+
+
+@query("feed_page")
+def q_feed_page(spark, sf):
+    return rp.feed_page(ad.scored_events(spark, sf), page=3)
+
+
+@query("feed_pages")
+def q_feed_pages(spark, sf):
+    return rp.feed_pages(ad.scored_events(spark, sf))
+
+
+@query("page_count")
+def q_page_count(spark, sf):
+    return rp.page_count(ad.scored_events(spark, sf))

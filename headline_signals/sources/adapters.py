@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import argmax3, class_to_label, round4
+from ..functions import argmax3, class_to_label, exact_mean, round4
 from .tables import load
 
 
@@ -97,15 +97,15 @@ def market_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Weekdays only, so that a calendar of news days has gaps against it. Three series
     stand in for an index fund, a fear index and a yield: mean extended price, mean
-    quantity and 100 x mean tax per ship day.
+    quantity and 100 x mean tax per ship day (2-decimal inputs, exact sums).
     """
     li = load(spark, sf_dir, "lineitem")
     day = F.to_date("l_shipdate")
     daily = (li.where(F.dayofweek("l_shipdate").between(2, 6))
              .groupBy(day.alias("Date"))
-             .agg(F.avg("l_extendedprice").alias("SPY"),
-                  F.avg("l_quantity").alias("VIX"),
-                  (F.avg("l_tax") * 100).alias("TNX")))
+             .agg(exact_mean("l_extendedprice", 2).alias("SPY"),
+                  exact_mean("l_quantity", 2).alias("VIX"),
+                  (exact_mean("l_tax", 2) * 100).alias("TNX")))
     return daily.select(
         "Date",
         F.expr("stack(3, 'SPY', SPY, '^VIX', VIX, '^TNX', TNX) AS (symbol, Close)"),
@@ -117,7 +117,7 @@ def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load(spark, sf_dir, "lineitem")
     return (li.where(F.dayofweek("l_shipdate").between(2, 6))
             .groupBy(F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").alias("Date"))
-            .agg(F.avg("l_extendedprice").alias("Close")))
+            .agg(exact_mean("l_extendedprice", 2).alias("Close")))
 
 
 def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
