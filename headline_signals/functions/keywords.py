@@ -1,4 +1,10 @@
-"""Keyword categories and substring matching (K1, K4)."""
+"""Keyword categories and matching (K1, K4).
+
+``match="substring"`` (the reference's rule) tests ``word in text``: "ai" counts in
+"said". ``match="word"`` needs the word bounded by non-alphanumerics; single words are
+looked up in the text's token array (one split per text, then a hash intersection),
+multi-word phrases by a bounded regex.
+"""
 
 from __future__ import annotations
 
@@ -19,30 +25,75 @@ KEYWORDS: dict[str, list[str]] = {
                  "recovery"],
 }
 
+TOKEN_SPLIT = "[^a-z0-9]+"
+
+
+def tokens(lowered: Column) -> Column:
+    """Alphanumeric tokens of lower-cased text."""
+    return F.split(lowered, TOKEN_SPLIT)
 
-def _word_hit(lowered: Column, word: str, match: str) -> Column:
-    if match == "substring":
-        return lowered.contains(word)
-    if match == "word":
-        # whole-word match; words are plain lower-case letters and spaces
-        return lowered.rlike(r"(^|[^a-z0-9])" + word + r"([^a-z0-9]|$)")
-    raise ValueError(f"match must be 'substring' or 'word', not {match!r}")
 
+def _phrase_hit(lowered: Column, phrase: str) -> Column:
+    return lowered.rlike(r"(^|[^a-z0-9])" + phrase + r"([^a-z0-9]|$)")
 
-def mention_count(lowered: Column, words: list[str], match: str = "substring") -> Column:
-    """How many distinct category words occur in the (already lower-cased) text (K1).
 
-    Substring semantics are the default: "ai" counts in "said". Null text counts 0.
+def _check(match: str) -> None:
+    if match not in ("substring", "word"):
+        raise ValueError(f"match must be 'substring' or 'word', not {match!r}")
+
+
+def mention_count(lowered: Column, words: list[str], match: str = "substring",
+                  toks: Column | None = None) -> Column:
+    """How many distinct category words occur in the (lower-cased) text (K1).
+
+    Null text counts 0. ``toks`` may pass a precomputed ``tokens(lowered)``.
     """
-    total = F.lit(0)
-    for w in words:
-        total = total + F.coalesce(_word_hit(lowered, w, match).cast("int"), F.lit(0))
+    _check(match)
+    if match == "substring":
+        total = F.lit(0)
+        for w in words:
+            total = total + F.coalesce(lowered.contains(w).cast("int"), F.lit(0))
+        return total
+    singles = [w for w in words if " " not in w]
+    phrases = [w for w in words if " " in w]
+    toks = tokens(lowered) if toks is None else toks
+    total = F.coalesce(F.size(F.array_intersect(toks, F.array(*[F.lit(w) for w in singles]))),
+                       F.lit(0)) if singles else F.lit(0)
+    for p in phrases:
+        total = total + F.coalesce(_phrase_hit(lowered, p).cast("int"), F.lit(0))
     return total
 
 
-def any_mention(lowered: Column, words: list[str], match: str = "substring") -> Column:
+def any_mention(lowered: Column, words: list[str], match: str = "substring",
+                toks: Column | None = None) -> Column:
     """True when any category word occurs; null text -> false."""
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | F.coalesce(_word_hit(lowered, w, match), F.lit(False))
-    return hit
+    _check(match)
+    if match == "substring":
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.coalesce(lowered.contains(w), F.lit(False))
+        return hit
+    return mention_count(lowered, words, match, toks) > 0
+
+
+def hit_columns(keywords: dict[str, list[str]]) -> list[str]:
+    """Names of the per-text match columns added by ``keyword_hits``."""
+    return [c for cat in keywords for c in (f"_kw_{cat}_n", f"_kw_{cat}_hit")]
+
+
+def keyword_hits(df, text_col: str = "Headline", keywords: dict[str, list[str]] | None = None,
+                 match: str = "substring"):
+    """Add per-text match columns (``_kw_<cat>_n`` int, ``_kw_<cat>_hit`` boolean).
+
+    Run it on a table of distinct texts and join the result, so that each text is
+    matched once however many rows refer to it.
+    """
+    keywords = KEYWORDS if keywords is None else keywords
+    lowered = F.lower(F.col(text_col))
+    toks = tokens(lowered) if match == "word" else None
+    cols = {}
+    for cat, words in keywords.items():
+        n = mention_count(lowered, words, match, toks)
+        cols[f"_kw_{cat}_n"] = n
+        cols[f"_kw_{cat}_hit"] = n > 0
+    return df.withColumns(cols)

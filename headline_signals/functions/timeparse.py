@@ -18,10 +18,8 @@ MONTH_ABBREVIATIONS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
 
 # Extra formats tried after the two fixed tiers of ``parse_time`` (our explicit stand-in
 # for free-form inference). Each is tried with ``try_to_timestamp``; first hit wins.
+# ISO shapes ("yyyy-MM-dd HH:mm[:ss]", "yyyy-MM-ddTHH:mm:ss") are covered by the cast.
 FALLBACK_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy/MM/dd",
     "MM/dd/yyyy",
     "MMM d yyyy",
@@ -43,39 +41,42 @@ def complete_time(c, as_of: _dt.date | str) -> Column:
     """
     as_of = _dt.date.fromisoformat(str(as_of)) if not isinstance(as_of, _dt.date) else as_of
     s = F.trim(_c(c))
-    has_month = F.lit(False)
-    for m in MONTH_ABBREVIATIONS:
-        has_month = has_month | s.contains(m)
+    has_month = s.rlike("|".join(MONTH_ABBREVIATIONS))
     month_day = F.concat(F.regexp_replace(s, "-", " "), F.lit(f" {as_of.year}"))
-    month_date = F.date_format(F.try_to_timestamp(month_day, F.lit("MMM d yyyy")), "yyyy-MM-dd")
-    up = F.upper(s)
-    is_clock = up.contains("AM") | up.contains("PM") | s.contains(":")
+    month_date = F.date_format(try_parse_ntz(month_day, "MMM d yyyy"), "yyyy-MM-dd")
+    is_clock = F.upper(s).rlike("AM|PM") | s.contains(":")
+    # null text falls through every test and comes out null
     return (
-        F.when(s.isNull(), F.lit(None).cast("string"))
-        .when((F.length(s) > 8) & (s.contains("/") | s.contains("-")), s)
+        F.when((F.length(s) > 8) & s.rlike("[/-]"), s)
         .when(has_month, month_date)
         .when(is_clock, F.concat(F.lit(as_of.isoformat() + " "), s))
         .otherwise(s)
     )
 
 
+def try_parse_ntz(s: Column, fmt: str) -> Column:
+    """Parse ``s`` with ``fmt`` to a wall-clock ``timestamp_ntz``; null when it fails.
+
+    The guard uses ``try_to_timestamp`` (same parser) so the strict NTZ parse only runs
+    on text that parses; the result does not depend on the session time zone.
+    """
+    return F.when(F.try_to_timestamp(s, F.lit(fmt)).isNotNull(), F.to_timestamp_ntz(s, F.lit(fmt)))
+
+
 def parse_time(c) -> Column:
-    """Parse a time string to a timestamp in three tiers.
+    """Parse a time string to a ``timestamp_ntz`` in three tiers.
 
     Blank text or text starting with "loading" is null; ``yyyy-MM-dd`` exactly is a
     date at midnight; then ``yyyy-MM-dd h:mma`` (AM/PM in either case); then the
     fallback formats and Spark's own cast. Anything else is null.
     """
     s = F.trim(_c(c))
-    tiers = [F.try_to_timestamp(F.upper(s), F.lit("yyyy-MM-dd h:mma"))]
-    tiers += [F.try_to_timestamp(s, F.lit(fmt)) for fmt in FALLBACK_FORMATS]
-    tiers.append(F.try_to_timestamp(s))
-    return (
-        F.when(s.isNull() | (s == "") | F.lower(s).startswith("loading"),
-               F.lit(None).cast("timestamp"))
-        .when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(s, F.lit("yyyy-MM-dd")))
-        .otherwise(F.coalesce(*tiers))
-    )
+    # each tier is null unless the whole text matches its format, so one coalesce
+    # keeps the order of the tiers; "yyyy-MM-dd" only matches a bare date
+    tiers = [try_parse_ntz(s, "yyyy-MM-dd"), try_parse_ntz(F.upper(s), "yyyy-MM-dd h:mma")]
+    tiers += [try_parse_ntz(s, fmt) for fmt in FALLBACK_FORMATS]
+    tiers.append(s.try_cast("timestamp_ntz"))
+    return F.when(~F.lower(s).startswith("loading"), F.coalesce(*tiers))
 
 
 def to_day(c, dtype=None) -> Column:

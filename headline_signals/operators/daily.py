@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import (KEYWORDS, any_mention, class_to_label, exact_mean, label_to_sign,
-                         mention_count, round4)
+from ..functions import KEYWORDS, class_to_label, exact_mean, label_to_sign, round4
+from ..functions.keywords import hit_columns, keyword_hits
 from ..functions.timeparse import day_of, parse_time
 
 # Names of the 15 daily aggregates, in output order.
@@ -53,13 +53,15 @@ def daily_index(scored: DataFrame, time_col: str = "Time", class_col: str = "Pre
     scorer rounds them), so the mean is taken from an exact decimal sum.
     """
     sign = label_to_sign(class_to_label(F.col(class_col)))
+    # the null-day group is dropped after the aggregate: filtering first would make the
+    # optimizer copy the (possibly large) time-parsing expression into the filter
     return (scored
             .select(day_of(scored, time_col).alias("Time"),
                     (sign * F.col(confidence_col)).alias("_score"))
-            .where(F.col("Time").isNotNull())
             .groupBy("Time")
             .agg((exact_mean("_score", 4) * 100).alias("Daily_Sentiment_Index"),
-                 F.count(F.lit(1)).alias("Headlines_Processed")))
+                 F.count(F.lit(1)).alias("Headlines_Processed"))
+            .where(F.col("Time").isNotNull()))
 
 
 def _stat_aggs() -> list[Column]:
@@ -80,13 +82,20 @@ def _stat_aggs() -> list[Column]:
     return out
 
 
-def _keyword_aggs(keywords: dict[str, list[str]], match: str) -> list[Column]:
-    lowered = F.lower(F.col("Headline"))
+def _with_hits(rows: DataFrame, keywords: dict[str, list[str]], match: str,
+               text_col: str = "Headline") -> DataFrame:
+    """Per-row keyword match columns, unless an upstream step already joined them."""
+    if all(c in rows.columns for c in hit_columns(keywords)):
+        return rows
+    return keyword_hits(rows, text_col, keywords, match)
+
+
+def _keyword_aggs(keywords: dict[str, list[str]]) -> list[Column]:
     out = []
-    for cat, words in keywords.items():
-        hit = any_mention(lowered, words, match)
+    for cat in keywords:
+        hit = F.col(f"_kw_{cat}_hit")
         out += [
-            F.sum(mention_count(lowered, words, match)).alias(f"{cat}_mentions"),
+            F.sum(f"_kw_{cat}_n").cast("bigint").alias(f"{cat}_mentions"),
             F.coalesce(exact_mean(F.when(hit, F.col("weighted_sentiment")), 8), F.lit(0.0))
              .alias(f"{cat}_sentiment"),
             F.sum(hit.cast("int")).cast("bigint").alias(f"{cat}_headlines"),
@@ -116,11 +125,15 @@ def keyword_features(scored: DataFrame, time_col: str = "Time", grain: str = "da
                      match: str = "substring") -> DataFrame:
     """Keyword features per day (K1-K3): for each category, mentions (distinct words
     found per headline, summed), headlines with any match, and the mean weighted
-    sentiment of those headlines (0 when none)."""
+    sentiment of those headlines (0 when none).
+
+    Text matching runs per row unless the input already carries the match columns of
+    ``functions.keywords.keyword_hits`` (computed once per distinct text upstream).
+    """
     keywords = KEYWORDS if keywords is None else keywords
     rows = sentiment_columns(scored).withColumn("Date", _grain(scored, time_col, grain))
-    return (rows.where(F.col("Date").isNotNull())
-            .groupBy("Date").agg(*_keyword_aggs(keywords, match)))
+    rows = _with_hits(rows.where(F.col("Date").isNotNull()), keywords, match)
+    return rows.groupBy("Date").agg(*_keyword_aggs(keywords))
 
 
 def daily_features(scored: DataFrame, time_col: str = "Time", grain: str = "day",
@@ -129,8 +142,8 @@ def daily_features(scored: DataFrame, time_col: str = "Time", grain: str = "day"
     """A2 and K1-K3 in a single ``groupBy``: one scan, one shuffle, no join (fuses J1/J2)."""
     keywords = KEYWORDS if keywords is None else keywords
     rows = sentiment_columns(scored).withColumn("Date", _grain(scored, time_col, grain))
-    return (rows.where(F.col("Date").isNotNull())
-            .groupBy("Date").agg(*_stat_aggs(), *_keyword_aggs(keywords, match)))
+    rows = _with_hits(rows.where(F.col("Date").isNotNull()), keywords, match)
+    return rows.groupBy("Date").agg(*_stat_aggs(), *_keyword_aggs(keywords))
 
 
 def merge_keywords(daily: DataFrame, keyword_daily: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def with_headlines(scored: str) -> str:
         s.Negative_Probability, s.Neutral_Probability, s.Positive_Probability, s.Predicted_Class
       FROM {scored} s
       CROSS JOIN (SELECT count(*) AS n FROM documents) nd
-      LEFT JOIN (SELECT doc_id, split_part(text, chr(10), 1) AS Headline FROM documents) h
+      LEFT JOIN (SELECT doc_id, text AS Headline FROM documents) h
         ON h.doc_id = s.seq % nd.n)"""
 
 
@@ -436,3 +436,113 @@ ORACLE.update({
         FROM (SELECT *, row_number() OVER (ORDER BY seq) AS global_index FROM {SCORED_EVENTS} _s) _p""",
     "page_count": f"SELECT CAST(ceil(count(*) / 5) AS BIGINT) AS pages FROM {SCORED_EVENTS} _s",
 })
+
+
+# --- raw feed, time completion and parsing, lexicon scoring, metrics ----------------
+
+from ..functions.timeparse import MONTH_ABBREVIATIONS  # noqa: E402
+
+AS_OF = "2024-01-31"
+
+RAW_FEED = f"""(SELECT e.seq, e.Time,
+      CASE WHEN e.event_type = 'error' THEN 'Loading…' ELSE h.Headline END AS Headline
+    FROM (SELECT event_id AS seq, event_type,
+            CASE WHEN event_type = 'view' THEN strftime(ts, '%Y-%m-%d %I:%M%p')
+                 WHEN event_type = 'click' THEN strftime(ts, '%I:%M%p')
+                 WHEN event_type = 'signup' THEN strftime(ts, '%b-%d')
+                 ELSE strftime(ts, '%Y-%m-%d') END AS Time FROM events) e
+    CROSS JOIN (SELECT count(*) AS n FROM documents) nd
+    LEFT JOIN (SELECT doc_id, text AS Headline FROM documents) h ON h.doc_id = e.seq % nd.n)"""
+
+
+def complete_time(x: str, as_of: str = AS_OF) -> str:
+    s = f"trim({x})"
+    months = " OR ".join(f"contains({s}, '{m}')" for m in MONTH_ABBREVIATIONS)
+    year = as_of[:4]
+    return f"""(CASE WHEN {s} IS NULL THEN NULL
+      WHEN length({s}) > 8 AND (contains({s}, '/') OR contains({s}, '-')) THEN {s}
+      WHEN {months} THEN strftime(try_strptime(replace({s}, '-', ' ') || ' {year}', '%b %d %Y'), '%Y-%m-%d')
+      WHEN contains(upper({s}), 'AM') OR contains(upper({s}), 'PM') OR contains({s}, ':')
+        THEN '{as_of} ' || {s}
+      ELSE {s} END)"""
+
+
+def parse_time(x: str) -> str:
+    s = f"trim({x})"
+    return f"""(CASE WHEN {s} IS NULL OR {s} = '' OR starts_with(lower({s}), 'loading') THEN NULL
+      WHEN regexp_full_match({s}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_strptime({s}, '%Y-%m-%d')
+      ELSE coalesce(try_strptime(upper({s}), '%Y-%m-%d %I:%M%p'), TRY_CAST({s} AS TIMESTAMP)) END)"""
+
+
+COMPLETED_FEED = f"""(SELECT seq, Time AS raw_time, {complete_time('Time')} AS Time, Headline
+    FROM {RAW_FEED} _r WHERE Headline IS DISTINCT FROM 'Loading…')"""
+
+
+def _word_count(low: str, words: list[str], match: str) -> str:
+    if match == "substring":
+        return " + ".join(f"CAST(contains({low}, '{w}') AS INTEGER)" for w in words)
+    return " + ".join(f"CAST(regexp_matches({low}, '(^|[^a-z0-9]){w}([^a-z0-9]|$)') AS INTEGER)"
+                      for w in words)
+
+
+def lexicon_scored(rel: str, text: str, keep: list[str], match: str = "word") -> str:
+    low = f"lower({text})"
+    n_pos = _word_count(low, KEYWORDS["bullish"], match)
+    n_neg = _word_count(low, KEYWORDS["bearish"], match)
+    logits = f"""(SELECT {', '.join(keep)}, CAST(({n_neg}) AS DOUBLE) * 1.0 AS l0, 0.5 AS l1,
+        CAST(({n_pos}) AS DOUBLE) * 1.0 AS l2 FROM {rel} _l)"""
+    exps = f"""(SELECT *, exp(l0 - m) AS e0, exp(l1 - m) AS e1, exp(l2 - m) AS e2
+      FROM (SELECT *, greatest(l0, l1, l2) AS m FROM {logits} _a) _b)"""
+    probs = f"(SELECT *, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2 FROM {exps} _c)"
+    cls = f"""(SELECT *, CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INTEGER) AS cls
+      FROM {probs} _d)"""
+    return f"""(SELECT {', '.join(keep)},
+        CASE cls WHEN 0 THEN 'Negative' WHEN 1 THEN 'Neutral' WHEN 2 THEN 'Positive' END AS Sentiment,
+        {r4('CASE cls WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END')} AS Confidence,
+        {r4('p0')} AS Negative_Probability, {r4('p1')} AS Neutral_Probability,
+        {r4('p2')} AS Positive_Probability, cls AS Predicted_Class FROM {cls} _e)"""
+
+
+def metrics_per_class(pairs: str) -> str:
+    return f"""(WITH cm AS (SELECT label, prediction, count(*) AS n FROM {pairs} _p GROUP BY 1, 2),
+      per AS (SELECT cls, sum(t) AS support, sum(p) AS predicted, sum(tp) AS tp FROM (
+          SELECT label AS cls, n AS t, 0 AS p, CASE WHEN label = prediction THEN n ELSE 0 END AS tp FROM cm
+          UNION ALL SELECT prediction AS cls, 0 AS t, n AS p, 0 AS tp FROM cm) _u GROUP BY cls),
+      per2 AS (SELECT *, CASE WHEN predicted != 0 THEN tp / predicted ELSE 0.0 END AS precision,
+                         CASE WHEN support != 0 THEN tp / support ELSE 0.0 END AS recall FROM per)
+      SELECT *, CASE WHEN precision + recall != 0 THEN 2 * precision * recall / (precision + recall)
+                     ELSE 0.0 END AS f1 FROM per2)"""
+
+
+def class_report(pairs: str) -> str:
+    return f"""SELECT cls, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1,
+        CAST(support AS BIGINT) AS support FROM {metrics_per_class(pairs)} _m"""
+
+
+def classification_metrics(pairs: str) -> str:
+    tot = "sum(support)"
+
+    def sd(x):
+        return f"CASE WHEN {tot} != 0 THEN {x} / {tot} ELSE 0.0 END"
+    return f"""SELECT {r6(sd('sum(tp)'))} AS accuracy, {r6(sd('sum(precision * support)'))} AS precision,
+        {r6(sd('sum(recall * support)'))} AS recall, {r6(sd('sum(f1 * support)'))} AS f1,
+        {r6('avg(precision)')} AS macro_precision, {r6('avg(recall)')} AS macro_recall,
+        {r6('avg(f1)')} AS macro_f1, CAST({tot} AS BIGINT) AS support
+      FROM {metrics_per_class(pairs)} _m"""
+
+
+_AGREE = (f"(SELECT label, Predicted_Class AS prediction FROM "
+          f"{lexicon_scored(f'(SELECT seq, Headline, Predicted_Class AS label FROM {with_headlines(SCORED_EVENTS)} _h)', 'Headline', ['seq', 'label'])} _s)")
+
+ORACLE.update({
+    "feed_times": f"""SELECT seq, raw_time, Time, {parse_time('Time')} AS parsed_at,
+        CAST({parse_time('Time')} AS DATE) AS day FROM {COMPLETED_FEED} _f""",
+    "feed_lexicon_index": daily_index(
+        f"(SELECT {parse_time('Time')} AS Time, Predicted_Class, Confidence FROM "
+        f"{lexicon_scored(COMPLETED_FEED, 'Headline', ['Time'])} _x)"),
+    "score_documents": "SELECT * FROM " + lexicon_scored("documents", "text", ["doc_id"]),
+    "score_documents_substring": "SELECT * FROM " + lexicon_scored("documents", "text", ["doc_id"],
+                                                                   match="substring"),
+    "scorer_agreement": classification_metrics(_AGREE),
+    "scorer_class_report": class_report(_AGREE),
+})

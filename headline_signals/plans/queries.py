@@ -84,7 +84,7 @@ def _orders_daily(spark, sf):
 
 
 def _orders_feature_table(spark, sf):
-    return ff.daily_feature_table(ad.scored_headlines(spark, sf, base="orders"))
+    return ff.daily_feature_table(ad.scored_headlines(spark, sf, base="orders", match="substring"))
 
 
 @query("rolling_features")
@@ -104,12 +104,14 @@ def q_flags(spark, sf):
 
 @query("keyword_features")
 def q_keywords(spark, sf):
-    return finalize(dl.keyword_features(ad.scored_headlines(spark, sf, base="orders")))
+    return finalize(dl.keyword_features(ad.scored_headlines(spark, sf, base="orders",
+                                                            match="substring")))
 
 
 @query("keyword_features_word")
 def q_keywords_word(spark, sf):
-    return finalize(dl.keyword_features(ad.scored_headlines(spark, sf, base="events"), match="word"))
+    heads = ad.scored_headlines(spark, sf, base="events", match="word")
+    return finalize(dl.keyword_features(heads, match="word"))
 
 
 @query("daily_feature_table")
@@ -145,7 +147,7 @@ def q_market_targets(spark, sf):
 
 @query("feature_matrix")
 def q_feature_matrix(spark, sf):
-    return finalize(ff.build_features(ad.scored_headlines(spark, sf, base="orders"),
+    return finalize(ff.build_features(ad.scored_headlines(spark, sf, base="orders", match="substring"),
                                       ad.market_series(spark, sf)))
 
 
@@ -198,3 +200,57 @@ def q_feed_pages(spark, sf):
 @query("page_count")
 def q_page_count(spark, sf):
     return rp.page_count(ad.scored_events(spark, sf))
+
+
+# --- raw feed: extraction, time completion and parsing, scoring ---------------------
+
+from ..functions import parse_time  # noqa: E402
+from ..operators import extract as ex  # noqa: E402
+from ..operators import metrics as mt  # noqa: E402
+from ..operators import scoring as sc  # noqa: E402
+from ..sources.tables import load  # noqa: E402
+
+AS_OF = "2024-01-31"
+
+
+@query("feed_times")
+def q_feed_times(spark, sf):
+    raw = ad.raw_feed(spark, sf)
+    done = ex.complete_feed(raw.withColumn("raw_time", F.col("Time")), AS_OF)
+    parsed = done.select("seq", "raw_time", "Time", parse_time("Time").alias("parsed_at"))
+    return parsed.withColumn("day", F.to_date("parsed_at"))
+
+
+@query("feed_lexicon_index")
+def q_feed_lexicon_index(spark, sf):
+    """The batch flow end to end: extracted rows -> completed times -> scores -> index."""
+    feed = ex.complete_feed(ad.raw_feed(spark, sf), AS_OF)
+    return finalize(dl.daily_index(sc.score(feed, "Headline")))
+
+
+@query("score_documents")
+def q_score_documents(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    return sc.score(docs, "text").drop("text")
+
+
+@query("score_documents_substring")
+def q_score_documents_substring(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    return sc.score(docs, "text", sc.LexiconScorer(match="substring")).drop("text")
+
+
+def _agreement(spark, sf):
+    rows = ad.scored_headlines(spark, sf, base="events")
+    lex = sc.score(rows.select("seq", "Headline", F.col("Predicted_Class").alias("label")), "Headline")
+    return lex.select("label", F.col("Predicted_Class").alias("prediction"))
+
+
+@query("scorer_agreement")
+def q_scorer_agreement(spark, sf):
+    return finalize(mt.classification_metrics(_agreement(spark, sf)))
+
+
+@query("scorer_class_report")
+def q_scorer_class_report(spark, sf):
+    return finalize(mt.class_report(_agreement(spark, sf)))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import argmax3, class_to_label, exact_mean, round4
+from ..functions.keywords import keyword_hits
 from .tables import load
 
 
@@ -63,33 +64,41 @@ def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, Headline): the first line of each document."""
-    docs = load(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.substring_index("text", "\n", 1).alias("Headline"))
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, Headline): the whole text of each document is one headline."""
+    return load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("Headline"))
 
 
-def with_headlines(spark: SparkSession, sf_dir: str, scored: DataFrame) -> DataFrame:
-    """V2: attach a headline to every scored row (document ``seq mod #documents``).
+def with_headlines(spark: SparkSession, sf_dir: str, scored: DataFrame,
+                   keywords: dict[str, list[str]] | None = None,
+                   match: str | None = None) -> DataFrame:
+    """V2: attach a headline text to every scored row (document ``seq mod #documents``).
 
     The document count is a one-row aggregate joined to every row (a broadcast of one
     row); the headline join itself is a shuffle equi-join, since documents grow with
-    the data and are never broadcast.
+    the data and are never broadcast. With ``match`` set, keyword match columns are
+    computed once per document before the join; a plan that then needs only those
+    columns never ships the text through the shuffle.
     """
-    heads = first_lines(spark, sf_dir)
+    heads = document_texts(spark, sf_dir)
     n_docs = heads.agg(F.count(F.lit(1)).alias("_n_docs"))
+    if match is not None:
+        heads = keyword_hits(heads, "Headline", keywords, match)
     keyed = (scored.crossJoin(F.broadcast(n_docs))
              .withColumn("_doc_key", F.col("seq") % F.col("_n_docs"))
              .drop("_n_docs"))
     joined = keyed.join(heads, keyed["_doc_key"] == heads["doc_id"], "left")
+    extra = [c for c in heads.columns if c.startswith("_kw_")]
     cols = ["seq", "Time", "Headline"] + [c for c in scored.columns if c not in ("seq", "Time")]
-    return joined.select(*cols)
+    return joined.select(*cols, *extra)
 
 
-def scored_headlines(spark: SparkSession, sf_dir: str, base: str = "events") -> DataFrame:
+def scored_headlines(spark: SparkSession, sf_dir: str, base: str = "events",
+                     keywords: dict[str, list[str]] | None = None,
+                     match: str | None = None) -> DataFrame:
     """Scored rows with headline text; ``base`` is ``events`` (30 days) or ``orders``."""
     scored = scored_events(spark, sf_dir) if base == "events" else scored_orders(spark, sf_dir)
-    return with_headlines(spark, sf_dir, scored)
+    return with_headlines(spark, sf_dir, scored, keywords, match)
 
 
 def market_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,3 +134,31 @@ def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     labels = load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return docs.join(labels, "doc_id")
+
+
+# The headline placeholder a page shows before it has loaded.
+PLACEHOLDER = "Loading…"
+
+
+def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted feed rows as text, the shape a scraped page yields: ``(seq, Time, Headline)``.
+
+    ``Time`` is text in the feed's shapes, chosen by event type: full date and clock
+    time (view), clock time only (click), month-day (signup) or date (others);
+    ``Headline`` is a whole document text, or the loading placeholder for error events.
+    """
+    ev = load(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), "ts", "event_type")
+    ts, et = F.col("ts"), F.col("event_type")
+    fmt = (F.when(et == "view", F.lit("yyyy-MM-dd hh:mma"))
+           .when(et == "click", F.lit("hh:mma"))
+           .when(et == "signup", F.lit("MMM-dd"))
+           .otherwise(F.lit("yyyy-MM-dd")))
+    time_text = F.call_function("date_format", ts, fmt)
+    rows = ev.select("seq", time_text.alias("Time"), "event_type")
+    heads = document_texts(spark, sf_dir)
+    n_docs = heads.agg(F.count(F.lit(1)).alias("_n_docs"))
+    keyed = rows.crossJoin(F.broadcast(n_docs)).withColumn("_doc_key", F.col("seq") % F.col("_n_docs"))
+    joined = keyed.join(heads, keyed["_doc_key"] == heads["doc_id"], "left")
+    headline = F.when(F.col("event_type") == "error", F.lit(PLACEHOLDER)).otherwise(F.col("Headline"))
+    return joined.select("seq", "Time", headline.alias("Headline"))
