@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import KEYWORDS, argmax3, class_to_label, round4, softmax3
 from ..functions.keywords import mention_count, tokens
+from .partitioning import spread
 
 SCORE_COLUMNS = ["Sentiment", "Confidence", "Negative_Probability", "Neutral_Probability",
                  "Positive_Probability", "Predicted_Class"]
@@ -112,7 +113,7 @@ def from_probabilities(df: DataFrame, p_neg: Column, p_neu: Column, p_pos: Colum
 def score(df: DataFrame, text_col: str = "Headline", scorer=None) -> DataFrame:
     """L1: add the scored columns to every row of ``df`` (a map-only step)."""
     scorer = LexiconScorer() if scorer is None else scorer
-    out, p0, p1, p2 = scorer.probabilities(df, text_col)
+    out, p0, p1, p2 = scorer.probabilities(spread(df), text_col)
     scored = from_probabilities(out, p0, p1, p2)
     keep = [c for c in df.columns if c not in SCORE_COLUMNS]
     return scored.select(*keep, *SCORE_COLUMNS)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import argmax3, class_to_label, exact_mean, round4
 from ..functions.keywords import keyword_hits
+from ..operators.partitioning import spread
 from .tables import load
 
 
@@ -83,8 +84,8 @@ def with_headlines(spark: SparkSession, sf_dir: str, scored: DataFrame,
     heads = document_texts(spark, sf_dir)
     n_docs = heads.agg(F.count(F.lit(1)).alias("_n_docs"))
     if match is not None:
-        heads = keyword_hits(heads, "Headline", keywords, match)
-    keyed = (scored.crossJoin(F.broadcast(n_docs))
+        heads = keyword_hits(spread(heads), "Headline", keywords, match)
+    keyed = (spread(scored).crossJoin(F.broadcast(n_docs))
              .withColumn("_doc_key", F.col("seq") % F.col("_n_docs"))
              .drop("_n_docs"))
     joined = keyed.join(heads, keyed["_doc_key"] == heads["doc_id"], "left")
@@ -158,7 +159,7 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ev.select("seq", time_text.alias("Time"), "event_type")
     heads = document_texts(spark, sf_dir)
     n_docs = heads.agg(F.count(F.lit(1)).alias("_n_docs"))
-    keyed = rows.crossJoin(F.broadcast(n_docs)).withColumn("_doc_key", F.col("seq") % F.col("_n_docs"))
+    keyed = spread(rows).crossJoin(F.broadcast(n_docs)).withColumn("_doc_key", F.col("seq") % F.col("_n_docs"))
     joined = keyed.join(heads, keyed["_doc_key"] == heads["doc_id"], "left")
     headline = F.when(F.col("event_type") == "error", F.lit(PLACEHOLDER)).otherwise(F.col("Headline"))
     return joined.select("seq", "Time", headline.alias("Headline"))
