@@ -546,3 +546,31 @@ ORACLE.update({
     "scorer_agreement": classification_metrics(_AGREE),
     "scorer_class_report": class_report(_AGREE),
 })
+
+
+# --- HTML pages (the driver's pages hold one nav list, a title and an h1) ----------
+
+def unescape(x: str) -> str:
+    out = x
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{ent}', '{ch}')"
+    return out
+
+
+def clean(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ')"
+
+
+ORACLE.update({
+    "page_list_rows": f"""SELECT page_id, CAST(0 AS INTEGER) AS table_idx,
+        CAST(i - 1 AS INTEGER) AS row_idx, {clean(unescape("regexp_replace(item, '<[^>]*>', '', 'g')"))} AS text,
+        CAST(1 AS INTEGER) AS n_cells
+      FROM (SELECT page_id, unnest(items) AS item, generate_subscripts(items, 1) AS i
+            FROM (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS items FROM pages) _a) _b""",
+    "page_headings": f"""SELECT page_id,
+        {clean(unescape("regexp_extract(html, '<title>(.*?)</title>', 1)"))} AS title,
+        {clean(unescape("regexp_extract(html, '<h1>(.*?)</h1>', 1)"))} AS h1 FROM pages""",
+    "page_tables": """SELECT CAST(NULL AS BIGINT) AS page_id, CAST(NULL AS INTEGER) AS table_idx,
+        CAST(NULL AS INTEGER) AS row_idx, CAST(NULL AS VARCHAR) AS Time, CAST(NULL AS VARCHAR) AS Headline
+      WHERE false""",
+})

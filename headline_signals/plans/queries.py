@@ -254,3 +254,27 @@ def q_scorer_agreement(spark, sf):
 @query("scorer_class_report")
 def q_scorer_class_report(spark, sf):
     return finalize(mt.class_report(_agreement(spark, sf)))
+
+
+# --- HTML pages ------------------------------------------------------------------
+
+from ..sources import html as hx  # noqa: E402
+
+
+@query("page_list_rows")
+def q_page_list_rows(spark, sf):
+    rows = hx.html_rows(load(spark, sf, "pages"), kind="list")
+    return rows.select("page_id", "table_idx", "row_idx", F.element_at("cells", 1).alias("text"),
+                       F.size("cells").alias("n_cells"))
+
+
+@query("page_headings")
+def q_page_headings(spark, sf):
+    return hx.page_headings(load(spark, sf, "pages"))
+
+
+@query("page_tables")
+def q_page_tables(spark, sf):
+    """Tables of every page picked at indexes 3 and 4, three-cell rows only."""
+    tables = hx.html_tables(load(spark, sf, "pages"))
+    return ex.headline_rows(tables, AS_OF)
