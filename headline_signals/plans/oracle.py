@@ -574,3 +574,25 @@ ORACLE.update({
         CAST(NULL AS INTEGER) AS row_idx, CAST(NULL AS VARCHAR) AS Time, CAST(NULL AS VARCHAR) AS Headline
       WHERE false""",
 })
+
+
+# --- published outputs and status ----------------------------------------------------
+
+def freshness(rel: str, time_expr: str, name: str, as_of: str = "2024-01-31 00:00:00") -> str:
+    return f"""SELECT '{name}' AS table_name, count(*) AS rows, count(*) > 0 AS has_data,
+        max(_t) AS last_update,
+        (max(_t) IS NULL OR max(_t) < TIMESTAMP '{as_of}' - INTERVAL 1 HOUR) AS stale
+      FROM (SELECT {time_expr} AS _t FROM {rel} _r) _f"""
+
+
+_FEED_SCORED = lexicon_scored(COMPLETED_FEED, "Headline", ["seq", "Time"])
+_FEED_INDEX = daily_index(f"(SELECT {parse_time('Time')} AS Time, Predicted_Class, Confidence "
+                          f"FROM {_FEED_SCORED} _x)")
+
+ORACLE.update({
+    "published_index": _FEED_INDEX,
+    "published_scored_csv": f"SELECT * FROM {_FEED_SCORED} _p",
+    "snapshot_status": (freshness(_FEED_SCORED, parse_time("Time"), "scored") + " UNION ALL "
+                        + freshness(f"({_FEED_INDEX})", "CAST(Time AS TIMESTAMP)", "index")),
+    "feed_freshness": freshness(COMPLETED_FEED, parse_time("Time"), "feed"),
+})

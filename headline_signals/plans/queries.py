@@ -278,3 +278,42 @@ def q_page_tables(spark, sf):
     """Tables of every page picked at indexes 3 and 4, three-cell rows only."""
     tables = hx.html_tables(load(spark, sf, "pages"))
     return ex.headline_rows(tables, AS_OF)
+
+
+# --- files, refresh, status ----------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as fs  # noqa: E402
+from . import refresh as rf  # noqa: E402
+
+
+def _refreshed(spark, sf):
+    out = scratch_path(spark, f"refresh-{uuid.uuid4().hex}")
+    return rf.refresh(spark, ad.raw_feed(spark, sf), out, AS_OF)
+
+
+@query("published_index")
+def q_published_index(spark, sf):
+    """X3 + S4/S6/S7: refresh, then read the published daily index back from JSON Lines."""
+    paths = _refreshed(spark, sf)
+    return finalize(fs.read_json(spark, paths["index_json"], fs.INDEX_SCHEMA))
+
+
+@query("published_scored_csv")
+def q_published_scored(spark, sf):
+    """The scored rows read back from the published CSV with a declared schema."""
+    paths = _refreshed(spark, sf)
+    return fs.read_csv(spark, paths["scored"], fs.SCORED_SCHEMA).drop("Headline")
+
+
+@query("snapshot_status")
+def q_snapshot_status(spark, sf):
+    return rf.snapshot_status(spark, _refreshed(spark, sf), "2024-01-31 00:00:00")
+
+
+@query("feed_freshness")
+def q_feed_freshness(spark, sf):
+    feed = ex.complete_feed(ad.raw_feed(spark, sf), AS_OF)
+    return rf.freshness(feed, "Time", "2024-01-31 00:00:00", name="feed")
