@@ -596,3 +596,22 @@ ORACLE.update({
                         + freshness(f"({_FEED_INDEX})", "CAST(Time AS TIMESTAMP)", "index")),
     "feed_freshness": freshness(COMPLETED_FEED, parse_time("Time"), "feed"),
 })
+
+
+# --- modelling: deterministic parts -------------------------------------------------------
+
+def _r2(rel: str, y: str, x: str) -> str:
+    return f"""WITH v AS (SELECT {y} AS y, {x} AS x FROM {rel} _r WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
+      c AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS m FROM v)
+      SELECT {r6('b')} AS slope, {r6('a')} AS intercept,
+        {r6('1.0 - sum((y - (a + b * x)) ** 2) / sum((y - m) ** 2)')} AS r2
+      FROM v, c GROUP BY a, b"""
+
+
+ORACLE.update({
+    "split_assignment": """SELECT d.doc_id, l.quality AS label,
+        CASE WHEN ('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 7))::BIGINT % 10 < 7
+             THEN 'train' ELSE 'test' END AS split
+      FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+    "regression_r2": _r2(fallback_targets(_ORD_FEAT), "next_day_sentiment", "avg_sentiment"),
+})

@@ -317,3 +317,52 @@ def q_snapshot_status(spark, sf):
 def q_feed_freshness(spark, sf):
     feed = ex.complete_feed(ad.raw_feed(spark, sf), AS_OF)
     return rf.freshness(feed, "Time", "2024-01-31 00:00:00", name="feed")
+
+
+# --- modelling (Spark ML; learner outputs have no SQL oracle) --------------------------
+
+from . import modeling as ml  # noqa: E402
+
+
+@query("split_assignment")
+def q_split_assignment(spark, sf):
+    return ml.split_column(ad.labelled_text(spark, sf), "doc_id").select("doc_id", "label", "split")
+
+
+@query("text_classifier_report")
+def q_text_classifier_report(spark, sf):
+    data = ml.split_column(ad.labelled_text(spark, sf), "doc_id")
+    model = ml.train_text_classifier(data.where("split = 'train'"))
+    _, report = ml.evaluate_classifier(model, data.where("split = 'test'"))
+    return report
+
+
+def _market_feature_table(spark, sf):
+    return ff.build_features(ad.scored_headlines(spark, sf, base="orders", match="substring"),
+                             ad.market_series(spark, sf))
+
+
+@query("model_cv_scores")
+def q_model_cv_scores(spark, sf):
+    scores, _ = ml.train_targets(spark, _market_feature_table(spark, sf), refit=False)
+    return scores
+
+
+@query("model_summary")
+def q_model_summary(spark, sf):
+    scores, _ = ml.train_targets(spark, _market_feature_table(spark, sf), refit=False)
+    return ml.best_models(ml.summarize_folds(scores))
+
+
+@query("feature_ranking")
+def q_feature_ranking(spark, sf):
+    table = _market_feature_table(spark, sf)
+    forest = ml.classification_models()["random_forest_classifier"]
+    model = ml.fit_all(table, "next_day_positive", forest)
+    return ml.top_features(ml.feature_importance(spark, model, ft.feature_names(table)), 10)
+
+
+@query("regression_r2")
+def q_regression_r2(spark, sf):
+    t = ff.with_targets(_orders_feature_table(spark, sf))
+    return finalize(ml.ols_fit_r2(t, "next_day_sentiment", "avg_sentiment"))
