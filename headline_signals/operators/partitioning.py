@@ -23,9 +23,15 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     scan of many files already has enough partitions and is returned unchanged, so on
     a cluster this adds no shuffle; it only matters for a few large, unsplittable files.
     """
+    if df.isStreaming:
+        return df
     want = partitions or target_parallelism(df)
     try:
+        # only plans without a shuffle: asking an adaptive plan with exchanges for its
+        # partitions would run those stages ahead of the real job
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            return df
         have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - remote sessions have no RDD view
+    except Exception:  # noqa: BLE001 - remote sessions have no RDD or JVM view
         return df
     return df.repartition(want) if have < want else df

@@ -615,3 +615,8 @@ ORACLE.update({
       FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "regression_r2": _r2(fallback_targets(_ORD_FEAT), "next_day_sentiment", "avg_sentiment"),
 })
+
+ORACLE.update({
+    "streaming_daily_index": daily_index(SCORED_EVENTS),
+    "incremental_scored": f"SELECT *, CAST(Time AS DATE) AS day FROM {SCORED_EVENTS} _s",
+})

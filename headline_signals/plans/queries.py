@@ -208,6 +208,7 @@ from ..functions import parse_time  # noqa: E402
 from ..operators import extract as ex  # noqa: E402
 from ..operators import metrics as mt  # noqa: E402
 from ..operators import scoring as sc  # noqa: E402
+from ..operators.partitioning import spread  # noqa: E402
 from ..sources.tables import load  # noqa: E402
 
 AS_OF = "2024-01-31"
@@ -230,13 +231,13 @@ def q_feed_lexicon_index(spark, sf):
 
 @query("score_documents")
 def q_score_documents(spark, sf):
-    docs = load(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(load(spark, sf, "documents").select("doc_id", "text"))
     return sc.score(docs, "text").drop("text")
 
 
 @query("score_documents_substring")
 def q_score_documents_substring(spark, sf):
-    docs = load(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(load(spark, sf, "documents").select("doc_id", "text"))
     return sc.score(docs, "text", sc.LexiconScorer(match="substring")).drop("text")
 
 
@@ -366,3 +367,36 @@ def q_feature_ranking(spark, sf):
 def q_regression_r2(spark, sf):
     t = ff.with_targets(_orders_feature_table(spark, sf))
     return finalize(ml.ols_fit_r2(t, "next_day_sentiment", "avg_sentiment"))
+
+
+# --- Structured Streaming ---------------------------------------------------------------
+
+from ..streaming import incremental as st  # noqa: E402
+
+
+def _events_stream(spark, sf):
+    schema = load(spark, sf, "events").schema
+    ev = st.file_stream(spark, sf, schema, glob="events.parquet")
+    return ad.stand_in_scores(
+        ev, F.col("event_id"), F.col("ts"),
+        neg=F.lit(1) + F.floor("value") % 11,
+        neu=F.lit(1) + F.col("user_id") % 5,
+        pos=F.lit(1) + F.col("event_id") % 7,
+    )
+
+
+@query("streaming_daily_index")
+def q_streaming_daily_index(spark, sf):
+    """X5 over the events file read as a stream (everything on time, so equal to A1)."""
+    run = scratch_path(spark, f"stream-index-{uuid.uuid4().hex}")
+    st.run_updates(st.daily_index_stream(_events_stream(spark, sf)), f"{run}/out", f"{run}/checkpoint")
+    return finalize(st.latest_daily_index(spark, f"{run}/out"))
+
+
+@query("incremental_scored")
+def q_incremental_scored(spark, sf):
+    """Scored rows appended by an available-now stream, partitioned by day, read back."""
+    run = scratch_path(spark, f"stream-scored-{uuid.uuid4().hex}")
+    scored = _events_stream(spark, sf).withColumn("day", F.to_date("Time"))
+    st.run_to_files(scored, f"{run}/out", f"{run}/checkpoint", partition_by=["day"])
+    return spark.read.parquet(f"{run}/out")

@@ -150,7 +150,8 @@ def _rows_of(batches, id_col, html_col):
                 out["table_idx"].append(t)
                 out["row_idx"].append(r)
                 out["cells"].append(cells)
-        yield pd.DataFrame(out)
+        if out["page_id"]:  # an empty frame cannot carry the array column type
+            yield pd.DataFrame(out)
 
 
 def _headings_of(batches, id_col, html_col):
