@@ -30,7 +30,7 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def complete_time(c, as_of: _dt.date | str) -> Column:
+def complete_time(c, as_of: _dt.date | str, rollback_future: bool = False) -> Column:
     """Complete a partial time string against the ``as_of`` date.
 
     Order of the rules: (1) stripped text longer than 8 characters holding ``/`` or
@@ -38,12 +38,19 @@ def complete_time(c, as_of: _dt.date | str) -> Column:
     year of ``as_of`` (null when it does not parse, instead of stopping the job);
     (3) text with AM, PM or ``:`` is prefixed with the ``as_of`` date; (4) anything else
     is kept. The result is the stripped text. Null stays null.
+
+    ``rollback_future=True`` moves a month-day that would fall after ``as_of`` into the
+    previous year ("Dec-31" read on 1 January is last year's date).
     """
     as_of = _dt.date.fromisoformat(str(as_of)) if not isinstance(as_of, _dt.date) else as_of
     s = F.trim(_c(c))
     has_month = s.rlike("|".join(MONTH_ABBREVIATIONS))
     month_day = F.concat(F.regexp_replace(s, "-", " "), F.lit(f" {as_of.year}"))
-    month_date = F.date_format(try_parse_ntz(month_day, "MMM d yyyy"), "yyyy-MM-dd")
+    parsed = try_parse_ntz(month_day, "MMM d yyyy")
+    if rollback_future:
+        parsed = F.when(parsed > F.lit(as_of.isoformat()).cast("timestamp_ntz"),
+                        F.add_months(parsed, -12)).otherwise(parsed)
+    month_date = F.date_format(parsed, "yyyy-MM-dd")
     is_clock = F.upper(s).rlike("AM|PM") | s.contains(":")
     # null text falls through every test and comes out null
     return (

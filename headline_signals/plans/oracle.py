@@ -620,3 +620,68 @@ ORACLE.update({
     "streaming_daily_index": daily_index(SCORED_EVENTS),
     "incremental_scored": f"SELECT *, CAST(Time AS DATE) AS day FROM {SCORED_EVENTS} _s",
 })
+
+
+# --- option paths and small reports ---------------------------------------------------
+
+def rolling_range(rel: str) -> str:
+    parts, mom = [], []
+    for w in WINDOWS:
+        fr = f"(ORDER BY _day RANGE BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+
+        def mean(c, fr=fr):
+            return f"(CAST(sum(CAST({c} AS DECIMAL(24,4))) OVER {fr} AS DOUBLE) / count({c}) OVER {fr})"
+        parts += [
+            f"{mean('avg_sentiment')} AS sentiment_ma_{w}d",
+            f"stddev_samp(avg_sentiment) OVER {fr} AS sentiment_std_{w}d",
+            f"{mean('avg_weighted_sentiment')} AS weighted_sentiment_ma_{w}d",
+            f"{mean('headline_count')} AS headline_count_ma_{w}d",
+            f"{mean('avg_confidence')} AS confidence_ma_{w}d",
+            f"CASE WHEN count(avg_sentiment) OVER {fr} = {w} "
+            f"THEN regr_slope(avg_sentiment, _day) OVER {fr} END AS sentiment_trend_{w}d",
+        ]
+        mom.append(f"sentiment_ma_{w}d - lag(sentiment_ma_{w}d) OVER (ORDER BY Date) "
+                   f"AS sentiment_momentum_{w}d")
+    inner = (f"(SELECT *, {', '.join(parts)} FROM (SELECT *, CAST(date_diff('day', DATE '1970-01-01', Date) "
+             f"AS DOUBLE) AS _day FROM {rel} _a) _b)")
+    return f"(SELECT * EXCLUDE (_day), {', '.join(mom)} FROM {inner} _c)"
+
+
+def daily_stats_exact(scored: str) -> str:
+    rows = f"""(SELECT *, Time AS Date, Positive_Probability - Negative_Probability AS s,
+        (Positive_Probability - Negative_Probability) * Confidence AS w
+      FROM {scored} _r WHERE Time IS NOT NULL)"""
+    return f"(SELECT Date, {', '.join(_stat_exprs())} FROM {rows} _d GROUP BY Date)"
+
+
+_FEED_SCORED_TS = (f"(SELECT {parse_time('Time')} AS Time, Confidence, Negative_Probability, "
+                   f"Neutral_Probability, Positive_Probability FROM {lexicon_scored(COMPLETED_FEED, 'Headline', ['Time'])} _x)")
+_ORD_HEAD_KW = with_headlines(SCORED_ORDERS)
+_MERGE_COLS = ["Date"] + STAT_COLUMNS + keyword_names()
+
+ORACLE.update({
+    "index_series": f"SELECT Time, Daily_Sentiment_Index FROM ({daily_index(SCORED_EVENTS)}) _i",
+    "daily_stats_exact_grain": select_r6(daily_stats_exact(_FEED_SCORED_TS), ["Date"] + STAT_COLUMNS,
+                                         _dbl(STAT_COLUMNS)),
+    "rolling_features_range": select_r6(rolling_range(_ORD_DAILY), ["Date"] + STAT_COLUMNS + rolling_names(),
+                                        _dbl(STAT_COLUMNS + rolling_names())),
+    "fallback_targets_null_unknown": select_r6(
+        f"""(SELECT *, CAST(next_day_sentiment > 0 AS INTEGER) AS next_day_positive,
+              CAST(next_3day_sentiment > 0 AS INTEGER) AS next_3day_positive
+            FROM (SELECT *, lead(avg_sentiment) OVER (ORDER BY Date) AS next_day_sentiment,
+              CASE WHEN count(avg_sentiment) OVER (ORDER BY Date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) = 3
+                   THEN CAST(sum(CAST(avg_sentiment AS DECIMAL(24,4))) OVER (ORDER BY Date ROWS BETWEEN
+                        1 FOLLOWING AND 3 FOLLOWING) AS DOUBLE) / 3 END AS next_3day_sentiment
+              FROM {_ORD_FEAT} _t) _u)""",
+        ["Date", "avg_sentiment", "next_day_sentiment", "next_day_positive", "next_3day_sentiment",
+         "next_3day_positive"], {"avg_sentiment", "next_day_sentiment", "next_3day_sentiment"}),
+    "keyword_merge": select_r6(
+        f"""(SELECT d.Date, {', '.join('d.' + c for c in STAT_COLUMNS)},
+              {', '.join(f'coalesce(k.{c}, 0) AS {c}' for c in keyword_names())}
+            FROM {daily_stats(_ORD_HEAD_KW)} d LEFT JOIN {keyword_features(_ORD_HEAD_KW)} k ON d.Date = k.Date)""",
+        _MERGE_COLS, _dbl(STAT_COLUMNS + keyword_names())),
+    "feed_newest_first": f"SELECT seq, Time FROM {COMPLETED_FEED} _f",
+    "feed_preview": f"SELECT * FROM {SCORED_EVENTS} _s ORDER BY seq LIMIT 5",
+    "date_range": f"SELECT min(Date) AS start_date, max(Date) AS end_date FROM {_ORD_DAILY} _d",
+    "confidence_sentiment_correlation": correlation(_ORD_DAILY, "avg_confidence", "avg_sentiment"),
+})

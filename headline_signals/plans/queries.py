@@ -400,3 +400,62 @@ def q_incremental_scored(spark, sf):
     scored = _events_stream(spark, sf).withColumn("day", F.to_date("Time"))
     st.run_to_files(scored, f"{run}/out", f"{run}/checkpoint", partition_by=["day"])
     return spark.read.parquet(f"{run}/out")
+
+
+# --- option paths and small reports ---------------------------------------------------
+
+@query("index_series")
+def q_index_series(spark, sf):
+    """The daily index series in date order."""
+    return finalize(rp.index_series(dl.daily_index(ad.scored_events(spark, sf))))
+
+
+@query("daily_stats_exact_grain")
+def q_daily_stats_exact(spark, sf):
+    """A2 with ``grain="exact"``: groups on the full parsed time (minutes kept)."""
+    scored = sc.score(ex.complete_feed(ad.raw_feed(spark, sf), AS_OF), "Headline")
+    return finalize(dl.daily_stats(scored, grain="exact"))
+
+
+@query("rolling_features_range")
+def q_rolling_range(spark, sf):
+    """W1-W4 with ``frame="range"``: windows count calendar days, not rows."""
+    return finalize(rl.rolling_features(_orders_daily(spark, sf), frame="range"))
+
+
+@query("fallback_targets_null_unknown")
+def q_fallback_null_unknown(spark, sf):
+    t = tg.fallback_targets(_orders_feature_table(spark, sf), null_unknown=True)
+    return finalize(t.select("Date", "avg_sentiment", "next_day_sentiment", "next_day_positive",
+                             "next_3day_sentiment", "next_3day_positive"))
+
+
+@query("keyword_merge")
+def q_keyword_merge(spark, sf):
+    """J1 as the reference runs it: daily statistics left-joined to keyword rows, then 0-filled."""
+    rows = ad.scored_headlines(spark, sf, base="orders", match="substring")
+    return finalize(dl.merge_keywords(dl.daily_stats(rows), dl.keyword_features(rows)))
+
+
+@query("feed_newest_first")
+def q_feed_newest_first(spark, sf):
+    """O2: the completed feed sorted on parsed time, newest first."""
+    feed = ex.complete_feed(ad.raw_feed(spark, sf), AS_OF).select("seq", "Time")
+    return ex.newest_first(feed)
+
+
+@query("feed_preview")
+def q_feed_preview(spark, sf):
+    """The first five scored rows in feed order."""
+    return rp.preview(ad.scored_events(spark, sf), 5, "seq")
+
+
+@query("date_range")
+def q_date_range(spark, sf):
+    return rp.date_range(_orders_daily(spark, sf))
+
+
+@query("confidence_sentiment_correlation")
+def q_conf_corr(spark, sf):
+    """C3 fallback panel: confidence against sentiment when there is no market data."""
+    return finalize(rp.correlation(_orders_daily(spark, sf), "avg_confidence", "avg_sentiment"))

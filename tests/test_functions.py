@@ -145,3 +145,30 @@ def test_global_index_matches_row_number(spark):
     out = rp.feed_pages(df).orderBy("seq").collect()
     assert [r["global_index"] for r in out] == list(range(1, len(out) + 1))
     assert out[5]["page"] == 2 and out[5]["position_in_page"] == 1
+
+
+def test_complete_time_rollback_future(spark):
+    df = spark.createDataFrame([("Dec-31",), ("Jan-01",)], "t string")
+    out = col_values(df.select(complete_time("t", "2026-01-01", rollback_future=True).alias("c")), "c")
+    assert out == ["2025-12-31", "2026-01-01"]
+    out = col_values(df.select(complete_time("t", "2026-01-01").alias("c")), "c")
+    assert out == ["2026-12-31", "2026-01-01"]
+
+
+def test_label_codes(spark):
+    from headline_signals.functions import class_to_label, label_to_class, label_to_sign
+    df = spark.createDataFrame([(" Negative",), ("neutral",), ("POSITIVE",), ("other",)], "s string")
+    out = df.select(label_to_class("s").alias("c")).collect()
+    assert [r["c"] for r in out] == [0, 1, 2, None]
+    df2 = spark.createDataFrame([(0,), (1,), (2,), (7,)], "c int")
+    got = df2.select(class_to_label("c").alias("l"), label_to_sign(class_to_label("c")).alias("s")).collect()
+    assert [(r["l"], r["s"]) for r in got] == [("Negative", -1), ("Neutral", 0), ("Positive", 1), (None, None)]
+
+
+def test_json_array_read(spark, tmp_path):
+    from headline_signals.sources import files as fs
+    p = tmp_path / "index.json"
+    p.write_text('[\n {"Time": "2025-09-02", "Daily_Sentiment_Index": 28.3, "Headlines_Processed": 2},\n'
+                 ' {"Time": "2025-09-03", "Daily_Sentiment_Index": 56.6, "Headlines_Processed": 6}\n]')
+    df = fs.read_json(spark, str(p), fs.INDEX_SCHEMA, array=True)
+    assert df.count() == 2 and df.schema == fs.INDEX_SCHEMA
