@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .windows import ordered, to_here
 
@@ -63,19 +63,18 @@ def time_folds(df: DataFrame, k: int | None = None, order_col: str = "Date") ->
 
     With ``n`` rows and ``s = n // (k + 1)``, fold ``i`` (from 0) tests rows
     ``[n - (k - i) s, n - (k - i - 1) s)`` and trains on every earlier row. ``k=None``
-    applies the reference's rule (``fold_count``) to ``n`` inside the plan.
+    applies the reference's rule (``fold_count``) to ``n`` inside the plan. Position and
+    ``n`` are window values over the daily series, so the input is read once.
     """
-    pos = with_position(df, order_col)
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    pos = with_position(df, order_col).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
     if k is None:
         k_col = (F.when(F.col("_n") < 5, 0).when(F.col("_n") < 10, 3)
                  .otherwise(F.least(F.lit(3), (F.col("_n") / 5).cast("int"))))
     else:
         k_col = F.lit(int(k))
-    n = n.withColumn("_k", k_col).withColumn("_s", (F.col("_n") / (F.col("_k") + 1)).cast("int"))
-    x = pos.crossJoin(F.broadcast(n)).withColumn(
-        "fold", F.explode(F.when(F.col("_k") > 0, F.sequence(F.lit(0), F.col("_k") - 1))
-                          .otherwise(F.array().cast("array<int>"))))
+    x = pos.withColumn("_k", k_col).withColumn("_s", (F.col("_n") / (F.col("_k") + 1)).cast("int"))
+    x = x.withColumn("fold", F.explode(F.when(F.col("_k") > 0, F.sequence(F.lit(0), F.col("_k") - 1))
+                                       .otherwise(F.array().cast("array<int>"))))
     test_start = F.col("_n") - (F.col("_k") - F.col("fold")) * F.col("_s")
     role = (F.when(F.col("row_idx") < test_start, F.lit("train"))
             .when(F.col("row_idx") < test_start + F.col("_s"), F.lit("test")))
@@ -86,9 +85,6 @@ def time_folds(df: DataFrame, k: int | None = None, order_col: str = "Date") ->
 def ordered_split(df: DataFrame, order_col: str = "Date", fraction: float = 0.7,
                   minimum: int = 3) -> DataFrame:
     """First ``max(minimum, int(fraction * n))`` rows are ``train``, the rest ``test``."""
-    pos = with_position(df, order_col)
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    pos = with_position(df, order_col).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
     cut = F.greatest(F.lit(minimum), (F.col("_n") * fraction).cast("int"))
-    return (pos.crossJoin(F.broadcast(n))
-            .withColumn("role", F.when(F.col("row_idx") < cut, "train").otherwise("test"))
-            .drop("_n"))
+    return pos.withColumn("role", F.when(F.col("row_idx") < cut, "train").otherwise("test")).drop("_n")

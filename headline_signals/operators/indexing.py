@@ -15,12 +15,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 def global_index(df: DataFrame, key: str, target_buckets: int = 4096,
                  out_col: str = "global_index") -> DataFrame:
     """Add ``out_col`` = 1-based position of each row in ascending ``key`` order."""
-    span = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    span = span.withColumn(
-        "_width", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / target_buckets)))
-    keyed = (df.crossJoin(F.broadcast(span))
-             .withColumn("_bucket", F.floor((F.col(key) - F.col("_lo")) / F.col("_width")))
-             .drop("_lo", "_hi", "_width"))
+    lo_hi = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
+    lo, hi = lo_hi.getField("lo"), lo_hi.getField("hi")
+    width = F.greatest(F.lit(1), F.ceil((hi - lo + 1) / target_buckets))
+    keyed = df.withColumn("_bucket", F.floor((F.col(key) - lo) / width))
     # one row per bucket: at most target_buckets rows, so the running sum is cheap
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(

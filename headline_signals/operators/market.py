@@ -30,10 +30,9 @@ def select_range(market: DataFrame, start: Column, end: Column, pad_days: int =
 
 
 def market_range_for(daily: DataFrame, market: DataFrame, pad_days: int = 30) -> DataFrame:
-    """Market rows over the daily table's date range plus ``pad_days`` (a one-row join)."""
-    span = daily.agg(F.min("Date").alias("_start"), F.max("Date").alias("_end"))
-    m = market.crossJoin(F.broadcast(span))
-    return select_range(m, F.col("_start"), F.col("_end"), pad_days).drop("_start", "_end")
+    """Market rows over the daily table's date range plus ``pad_days`` (a scalar subquery)."""
+    span = daily.agg(F.struct(F.min("Date").alias("start"), F.max("Date").alias("end"))).scalar()
+    return select_range(market, span.getField("start"), span.getField("end"), pad_days)
 
 
 def indicators(market: DataFrame, order_col: str = "Date",
@@ -87,3 +86,18 @@ def yield_series(ind: DataFrame, symbol: str = "^TNX") -> DataFrame:
     return (ind.where(F.col("symbol") == symbol)
             .select("Date", F.col("Close").alias("treasury_yield"),
                     F.col("daily_return").alias("yield_change")))
+
+
+def wide(ind: DataFrame, main_symbol: str = "SPY", fear_symbol: str | None = "^VIX") -> DataFrame:
+    """One row per date with the main series' columns (J3) and, when given, the fear
+    series' columns (J4): a conditional aggregate over the long indicator table."""
+    def pick(sym, c):
+        return F.max(F.when(F.col("symbol") == sym, F.col(c)))
+    aggs = [pick(main_symbol, "daily_return").alias("daily_return"),
+            pick(main_symbol, "volatility_5d").alias("volatility_5d"),
+            pick(main_symbol, "market_trend").alias("market_trend")]
+    if fear_symbol is not None:
+        aggs += [pick(fear_symbol, "Close").alias("VIX"),
+                 pick(fear_symbol, "daily_return").alias("vix_change"),
+                 pick(fear_symbol, "high_fear").alias("high_fear")]
+    return ind.groupBy("Date").agg(*aggs)

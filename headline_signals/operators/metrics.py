@@ -69,8 +69,7 @@ def fold_summary(scores: DataFrame, group_cols=("target", "model"), score_col: s
 
 
 def r2_score(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """``1 - sum((y - p)^2) / sum((y - mean y)^2)`` in two passes over a one-row mean."""
-    mean = df.agg(F.avg(label).alias("_mean"))
-    j = df.crossJoin(F.broadcast(mean))
-    return j.agg((F.lit(1.0) - F.sum((F.col(label) - F.col(prediction)) ** 2)
-                  / F.sum((F.col(label) - F.col("_mean")) ** 2)).alias("r2"))
+    """``1 - sum((y - p)^2) / sum((y - mean y)^2)``; the mean is a scalar subquery."""
+    mean = df.agg(F.avg(label)).scalar()
+    return df.agg((F.lit(1.0) - F.sum((F.col(label) - F.col(prediction)) ** 2)
+                   / F.sum((F.col(label) - mean) ** 2)).alias("r2"))

@@ -35,3 +35,15 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     except Exception:  # noqa: BLE001 - remote sessions have no RDD or JVM view
         return df
     return df.repartition(want) if have < want else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder now and continue from the written copy.
+
+    Used for small intermediate tables (daily grain) that later steps read more than
+    once: the upstream scan, join and aggregate run once, and the lineage is cut, so a
+    lost executor costs a re-read instead of a recomputation.
+    """
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

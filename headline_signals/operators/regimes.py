@@ -1,16 +1,16 @@
 """Quantile thresholds and regime flags.
 
-Thresholds are exact quantiles with linear interpolation (``percentile``), computed as
-a one-row aggregate over the daily table and joined back as a broadcast of that one
-row. ``percentile`` keeps every distinct value, which is bounded here by the number of
-days; for row-level tables use ``percentile_approx`` instead.
+Thresholds are exact quantiles with linear interpolation (``percentile``) over the whole
+daily series (per entity with ``partition_by``). ``percentile`` keeps every distinct
+value, which is bounded here by the number of days; for row-level tables use
+``percentile_approx`` instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import null_as_zero_flag
 
@@ -30,17 +30,24 @@ def thresholds(daily: DataFrame, partition_by: Sequence[str] | None = None) -> D
 
 
 def regime_flags(daily: DataFrame, partition_by: Sequence[str] | None = None) -> DataFrame:
-    """Six 0/1 flags against whole-series quantiles and fixed levels."""
-    q = thresholds(daily, partition_by)
-    joined = (daily.join(q, list(partition_by), "left") if partition_by
-              else daily.crossJoin(F.broadcast(q)))
+    """Six 0/1 flags against whole-series quantiles and fixed levels.
+
+    The quantiles are window aggregates over the whole (per-entity) series, so the daily
+    table is read once; a self-join with ``thresholds`` would evaluate it twice.
+    """
+    whole = Window.partitionBy(*partition_by) if partition_by else Window.partitionBy()
+    q = {
+        "_q25": F.percentile("avg_sentiment", 0.25).over(whole),
+        "_q75": F.percentile("avg_sentiment", 0.75).over(whole),
+        "_v75": F.percentile("sentiment_volatility", 0.75).over(whole),
+        "_c75": F.percentile("headline_count", 0.75).over(whole),
+    }
     flags = {
-        "extreme_positive_day": null_as_zero_flag(F.col("avg_sentiment") > F.col("sentiment_q75")),
-        "extreme_negative_day": null_as_zero_flag(F.col("avg_sentiment") < F.col("sentiment_q25")),
-        "high_sentiment_volatility":
-            null_as_zero_flag(F.col("sentiment_volatility") > F.col("volatility_q75")),
-        "high_news_flow_day": null_as_zero_flag(F.col("headline_count") > F.col("count_q75")),
+        "extreme_positive_day": null_as_zero_flag(F.col("avg_sentiment") > F.col("_q75")),
+        "extreme_negative_day": null_as_zero_flag(F.col("avg_sentiment") < F.col("_q25")),
+        "high_sentiment_volatility": null_as_zero_flag(F.col("sentiment_volatility") > F.col("_v75")),
+        "high_news_flow_day": null_as_zero_flag(F.col("headline_count") > F.col("_c75")),
         "mixed_sentiment_day": null_as_zero_flag(F.col("Neutral_Probability_mean") > 0.5),
         "high_confidence_day": null_as_zero_flag(F.col("avg_confidence") > 0.8),
     }
-    return joined.withColumns(flags).select(*daily.columns, *FLAG_COLUMNS)
+    return daily.withColumns(q).withColumns(flags).select(*daily.columns, *FLAG_COLUMNS)

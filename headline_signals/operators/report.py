@@ -34,16 +34,26 @@ def histogram(df: DataFrame, col: str, n_bins: int | None = 10) -> DataFrame:
     ``bin = floor((v - min) / size)`` with the maximum folded into the last bin; when
     all values are equal (size 0) every row goes to bin 0. Labels are
     ``"%.2f - %.2f"`` of the bin edges. ``n_bins=None`` uses ``min(10, rows)`` bins.
-    Two small aggregates (min/max, then counts per bin, both partial-aggregated) and a
-    join against the bin numbers.
+    Min, max and bin count are one scalar subquery; counting per bin is a partial
+    aggregate; the empty bins come from an equi-join with the bin numbers.
     """
     vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if n_bins is None:
-        nb = F.least(F.lit(10), F.count(F.lit(1)).cast("int"))
-    else:
-        nb = F.lit(int(n_bins))
+    nb = (F.least(F.lit(10), F.count(F.lit(1)).cast("int")) if n_bins is None
+          else F.lit(int(n_bins)))
     stats = vals.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), nb.alias("_nb"))
-    return _histogram_from_stats(vals, stats)
+    s = stats.select(F.struct("_lo", "_hi", "_nb")).scalar()
+    lo, hi, n = s.getField("_lo"), s.getField("_hi"), s.getField("_nb")
+    size = (hi - lo) / n
+    binned = vals.select(F.when(size > 0, F.least(F.floor((F.col("_v") - lo) / size), n - 1))
+                         .otherwise(F.lit(0)).cast("int").alias("bin"))
+    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("_count"))
+    bins = stats.select(F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("bin"))
+    start, end = lo + F.col("bin") * size, lo + (F.col("bin") + 1) * size
+    return (bins.join(counts, "bin", "left")
+            .select(F.col("bin").cast("int"),
+                    F.format_string("%.2f - %.2f", start, end).alias("label"),
+                    start.alias("bin_start"), end.alias("bin_end"),
+                    F.coalesce(F.col("_count"), F.lit(0)).cast("bigint").alias("count")))
 
 
 def correlation(df: DataFrame, a: str, b: str, name: str = "correlation") -> DataFrame:
@@ -151,20 +161,3 @@ def dashboard(daily: DataFrame, ma_window: int = 7, n_bins: int | None = 30,
     else:
         out["confidence_vs_sentiment"] = correlation(daily, "avg_confidence", "avg_sentiment")
     return out
-
-
-def _histogram_from_stats(vals: DataFrame, stats: DataFrame) -> DataFrame:
-    stats = stats.withColumn("_size", (F.col("_hi") - F.col("_lo")) / F.col("_nb"))
-    binned = vals.crossJoin(F.broadcast(stats)).select(
-        F.when(F.col("_size") > 0,
-               F.least(F.floor((F.col("_v") - F.col("_lo")) / F.col("_size")), F.col("_nb") - 1))
-        .otherwise(F.lit(0)).cast("int").alias("bin"))
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("_count"))
-    bins = stats.select("*", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("bin"))
-    lo = F.col("_lo") + F.col("bin") * F.col("_size")
-    hi = F.col("_lo") + (F.col("bin") + 1) * F.col("_size")
-    return (bins.join(counts, "bin", "left")
-            .select(F.col("bin").cast("int"),
-                    F.format_string("%.2f - %.2f", lo, hi).alias("label"),
-                    lo.alias("bin_start"), hi.alias("bin_end"),
-                    F.coalesce(F.col("_count"), F.lit(0)).cast("bigint").alias("count")))

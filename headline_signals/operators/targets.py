@@ -57,10 +57,12 @@ def market_targets(daily: DataFrame, ind: DataFrame, main_symbol: str = "SPY",
     """F6 with J3/J4: left-join the main series (and the fear series when present) on
     the calendar date, then build next-day and next-3-day return targets.
 
-    Both joined tables are daily-grain; Spark picks the join strategy (AQE turns it
-    into a broadcast at run time when the market side is small).
+    The indicator table is pivoted to one row per date first (``market.wide``), so the
+    market source is read once and joined once. Both sides are daily-grain; Spark picks
+    the join strategy (AQE turns it into a broadcast at run time when it is small).
     """
-    merged = daily.join(mk.main_series(ind, main_symbol), order_col, "left")
+    wide = mk.wide(ind, main_symbol, fear_symbol)
+    merged = daily.join(wide, order_col, "left")
     nxt = F.lead("daily_return", 1).over(ordered(order_col))
     merged = merged.withColumns({
         "next_day_return": nxt,
@@ -74,7 +76,6 @@ def market_targets(daily: DataFrame, ind: DataFrame, main_symbol: str = "SPY",
     cols = [*daily.columns, "daily_return", "volatility_5d", "market_trend",
             "next_day_return", "next_day_positive", "next_day_big_move",
             "next_3day_return", "next_3day_positive"]
-    merged = merged.select(*cols)
     if fear_symbol is not None:
-        merged = merged.join(mk.fear_series(ind, fear_symbol), order_col, "left")
-    return merged
+        cols += ["VIX", "vix_change", "high_fear"]
+    return merged.select(*cols)

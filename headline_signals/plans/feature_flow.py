@@ -19,21 +19,28 @@ from ..operators import daily as dl
 from ..operators import market as mk
 from ..operators import targets as tg
 from ..operators.features import feature_matrix
+from ..operators.partitioning import materialize
 from ..operators.regimes import FLAG_COLUMNS, regime_flags
 from ..operators.rolling import DEFAULT_WINDOWS, rolling_feature_names, rolling_features
 
 
 def daily_feature_table(scored: DataFrame, time_col: str = "Time", grain: str = "day",
                         keywords: dict[str, list[str]] | None = None, match: str = "substring",
-                        windows: Sequence[int] = DEFAULT_WINDOWS) -> DataFrame:
+                        windows: Sequence[int] = DEFAULT_WINDOWS,
+                        materialize_daily: bool = True) -> DataFrame:
     """Steps 2-5: ``Date``, 15 aggregates, 28 rolling columns, 6 flags, 24 keyword columns.
 
+    The daily aggregate (one row per day) is checkpointed once (``materialize_daily``):
+    the date span, the quantiles and the targets all read it again.
+
     The keyword aggregates ride in the same ``groupBy`` as the statistics, which replaces
     the per-date lookup loop and the later merge (J1, J2); the whole-frame fill that the
     merge performed is applied at the same point in the flow.
     """
     keywords = KEYWORDS if keywords is None else keywords
     daily = dl.daily_features(scored, time_col, grain, keywords, match)
+    if materialize_daily:
+        daily = materialize(daily)
     daily = rolling_features(daily, windows)
     daily = regime_flags(daily)
     cols = (["Date"] + dl.DAILY_STAT_COLUMNS + rolling_feature_names(windows) + FLAG_COLUMNS

@@ -231,8 +231,7 @@ def ols_fit_r2(df: DataFrame, y: str, x: str) -> DataFrame:
     """A15 on a one-variable least-squares fit computed by aggregates: slope and
     intercept (``regr_slope``, ``regr_intercept``), predictions, then ``r2_score``."""
     valid = df.dropna(subset=[x, y])
-    coef = valid.agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))
-    pred = valid.crossJoin(F.broadcast(coef)).select(
-        F.col(y).alias("label"), (F.col("_a") + F.col("_b") * F.col(x)).alias("prediction"))
-    r2 = mt.r2_score(pred)
-    return coef.crossJoin(r2).select(F.col("_b").alias("slope"), F.col("_a").alias("intercept"), "r2")
+    coef = valid.agg(F.struct(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"))).scalar()
+    b, a = coef.getField("b"), coef.getField("a")
+    pred = valid.select(F.col(y).alias("label"), (a + b * F.col(x)).alias("prediction"))
+    return mt.r2_score(pred).select(b.alias("slope"), a.alias("intercept"), "r2")

@@ -75,19 +75,16 @@ def with_headlines(spark: SparkSession, sf_dir: str, scored: DataFrame,
                    match: str | None = None) -> DataFrame:
     """V2: attach a headline text to every scored row (document ``seq mod #documents``).
 
-    The document count is a one-row aggregate joined to every row (a broadcast of one
-    row); the headline join itself is a shuffle equi-join, since documents grow with
+    The document count is a scalar subquery (one value, computed once); the headline join itself is a shuffle equi-join, since documents grow with
     the data and are never broadcast. With ``match`` set, keyword match columns are
     computed once per document before the join; a plan that then needs only those
     columns never ships the text through the shuffle.
     """
     heads = document_texts(spark, sf_dir)
-    n_docs = heads.agg(F.count(F.lit(1)).alias("_n_docs"))
+    n_docs = heads.agg(F.count(F.lit(1))).scalar()  # scalar subquery, run once
     if match is not None:
         heads = keyword_hits(spread(heads), "Headline", keywords, match)
-    keyed = (spread(scored).crossJoin(F.broadcast(n_docs))
-             .withColumn("_doc_key", F.col("seq") % F.col("_n_docs"))
-             .drop("_n_docs"))
+    keyed = spread(scored).withColumn("_doc_key", F.col("seq") % n_docs)
     joined = keyed.join(heads, keyed["_doc_key"] == heads["doc_id"], "left")
     extra = [c for c in heads.columns if c.startswith("_kw_")]
     cols = ["seq", "Time", "Headline"] + [c for c in scored.columns if c not in ("seq", "Time")]
@@ -158,8 +155,8 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     time_text = F.call_function("date_format", ts, fmt)
     rows = ev.select("seq", time_text.alias("Time"), "event_type")
     heads = document_texts(spark, sf_dir)
-    n_docs = heads.agg(F.count(F.lit(1)).alias("_n_docs"))
-    keyed = spread(rows).crossJoin(F.broadcast(n_docs)).withColumn("_doc_key", F.col("seq") % F.col("_n_docs"))
+    n_docs = heads.agg(F.count(F.lit(1))).scalar()
+    keyed = spread(rows).withColumn("_doc_key", F.col("seq") % n_docs)
     joined = keyed.join(heads, keyed["_doc_key"] == heads["doc_id"], "left")
     headline = F.when(F.col("event_type") == "error", F.lit(PLACEHOLDER)).otherwise(F.col("Headline"))
     return joined.select("seq", "Time", headline.alias("Headline"))
