@@ -7,6 +7,9 @@ is ``rint(x * 1e4) / 1e4`` and the 6-decimal output rounding is the same with 1e
 
 from __future__ import annotations
 
+from ..functions.keywords import KEYWORDS
+from ..functions.timeparse import MONTH_ABBREVIATIONS
+
 
 def r4(x: str) -> str:
     return f"(round_even(({x}) * 1e4, 0) / 1e4)"
@@ -107,8 +110,6 @@ def select_r6(rel: str, cols: list[str], doubles: set[str]) -> str:
     return f"SELECT {', '.join(items)} FROM {rel} _f"
 
 
-
-
 def label_counts(scored: str) -> str:
     return f"""SELECT CAST(v.chart_order AS INTEGER) AS chart_order, v.label,
         (SELECT count(*) FROM {scored} _s WHERE _s.Sentiment = v.label) AS count
@@ -143,7 +144,6 @@ ORACLE: dict[str, str] = {
 
 # --- daily-grain feature flow ---------------------------------------------------------
 
-from ..functions.keywords import KEYWORDS  # noqa: E402
 
 WINDOWS = (3, 7, 14, 30)
 FLAG_COLUMNS = ["extreme_positive_day", "extreme_negative_day", "high_sentiment_volatility",
@@ -440,7 +440,6 @@ ORACLE.update({
 
 # --- raw feed, time completion and parsing, lexicon scoring, metrics ----------------
 
-from ..functions.timeparse import MONTH_ABBREVIATIONS  # noqa: E402
 
 AS_OF = "2024-01-31"
 

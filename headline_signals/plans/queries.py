@@ -7,14 +7,33 @@ the SQL oracle), and -0.0 is folded into 0.0, so that results compare exactly.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from . import feature_flow as ff
+from . import modeling as ml
+from . import refresh as rf
+from ..functions import parse_time
 from ..operators import daily as dl
+from ..operators import extract as ex
+from ..operators import features as ft
+from ..operators import market as mk
+from ..operators import metrics as mt
+from ..operators import regimes as rg
 from ..operators import report as rp
+from ..operators import rolling as rl
+from ..operators import scoring as sc
+from ..operators import targets as tg
+from ..operators.partitioning import spread
+from ..session import scratch_path
 from ..sources import adapters as ad
+from ..sources import files as fs
+from ..sources import html as hx
+from ..sources.tables import load
+from ..streaming import incremental as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -71,13 +90,6 @@ def q_confidence_histogram(spark, sf):
 
 # --- daily-grain feature flow over the long (orders) series -------------------------
 
-from ..operators import features as ft  # noqa: E402
-from ..operators import market as mk  # noqa: E402
-from ..operators import regimes as rg  # noqa: E402
-from ..operators import rolling as rl  # noqa: E402
-from ..operators import targets as tg  # noqa: E402
-from . import feature_flow as ff  # noqa: E402
-
 
 def _orders_daily(spark, sf):
     return dl.daily_stats(ad.scored_orders(spark, sf))
@@ -204,12 +216,6 @@ def q_page_count(spark, sf):
 
 # --- raw feed: extraction, time completion and parsing, scoring ---------------------
 
-from ..functions import parse_time  # noqa: E402
-from ..operators import extract as ex  # noqa: E402
-from ..operators import metrics as mt  # noqa: E402
-from ..operators import scoring as sc  # noqa: E402
-from ..operators.partitioning import spread  # noqa: E402
-from ..sources.tables import load  # noqa: E402
 
 AS_OF = "2024-01-31"
 
@@ -259,8 +265,6 @@ def q_scorer_class_report(spark, sf):
 
 # --- HTML pages ------------------------------------------------------------------
 
-from ..sources import html as hx  # noqa: E402
-
 
 @query("page_list_rows")
 def q_page_list_rows(spark, sf):
@@ -283,12 +287,6 @@ def q_page_tables(spark, sf):
 
 # --- files, refresh, status ----------------------------------------------------------
 
-import uuid  # noqa: E402
-
-from ..session import scratch_path  # noqa: E402
-from ..sources import files as fs  # noqa: E402
-from . import refresh as rf  # noqa: E402
-
 
 def _refreshed(spark, sf):
     out = scratch_path(spark, f"refresh-{uuid.uuid4().hex}")
@@ -322,8 +320,6 @@ def q_feed_freshness(spark, sf):
 
 # --- modelling (Spark ML; learner outputs have no SQL oracle) --------------------------
 
-from . import modeling as ml  # noqa: E402
-
 
 @query("split_assignment")
 def q_split_assignment(spark, sf):
@@ -371,8 +367,6 @@ def q_regression_r2(spark, sf):
 
 # --- Structured Streaming ---------------------------------------------------------------
 
-from ..streaming import incremental as st  # noqa: E402
-
 
 def _events_stream(spark, sf):
     schema = load(spark, sf, "events").schema
