@@ -235,3 +235,35 @@ def ols_fit_r2(df: DataFrame, y: str, x: str) -> DataFrame:
     b, a = coef.getField("b"), coef.getField("a")
     pred = valid.select(F.col(y).alias("label"), (a + b * F.col(x)).alias("prediction"))
     return mt.r2_score(pred).select(b.alias("slope"), a.alias("intercept"), "r2")
+
+
+# --- run report (C4) ---------------------------------------------------------------------
+
+def run_report(spark: SparkSession, table: DataFrame, order_col: str = "Date",
+               targets: Sequence[str] = ft.TARGET_COLUMNS, top_k: int = 5) -> DataFrame:
+    """C4: one row with the run summary (A8-A11), the best target and model (O5) with
+    their mean fold score, the ``top_k`` features of that model refitted on all rows
+    (O3, O4), the feature count, and a recommendation when no model could be trained."""
+    from ..operators import report as rp
+
+    features = ft.feature_names(table)
+    scores, _ = train_targets(spark, table, targets, refit=False)
+    ranked = summarize_folds(scores).orderBy(F.col("mean_score").desc_nulls_last(), "target", "model")
+    best = ranked.first()  # one row: which learner to refit and rank
+    summary = rp.summary(table, order_col).withColumn("feature_count", F.lit(len(features)))
+    if best is None:
+        return summary.select("*", F.lit(None).cast("string").alias("best_target"),
+                              F.lit(None).cast("string").alias("best_model"),
+                              F.lit(None).cast("double").alias("best_score"),
+                              F.lit(None).cast("array<string>").alias("top_features"),
+                              F.lit("collect more days of headlines; too few rows to train models")
+                              .alias("recommendation"))
+    est = (classification_models() if best["model"] in classification_models() else regression_models())[best["model"]]
+    model = fit_all(table, best["target"], est, features)
+    top = top_features(feature_importance(spark, model, features), top_k)
+    top_list = top.agg(F.collect_list("feature").alias("top_features"))  # at most top_k rows
+    return (summary.select("*", F.lit(best["target"]).alias("best_target"),
+                           F.lit(best["model"]).alias("best_model"),
+                           F.lit(float(best["mean_score"])).alias("best_score"),
+                           top_list.scalar().alias("top_features"),
+                           F.lit(None).cast("string").alias("recommendation")))

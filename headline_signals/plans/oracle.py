@@ -684,3 +684,8 @@ ORACLE.update({
     "date_range": f"SELECT min(Date) AS start_date, max(Date) AS end_date FROM {_ORD_DAILY} _d",
     "confidence_sentiment_correlation": correlation(_ORD_DAILY, "avg_confidence", "avg_sentiment"),
 })
+
+ORACLE.update({
+    "dashboard_sentiment_series": select_r6(_ORD_FEAT, ["Date", "avg_sentiment", "sentiment_ma_7d"],
+                                            {"avg_sentiment", "sentiment_ma_7d"}),
+})

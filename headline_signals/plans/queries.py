@@ -453,3 +453,16 @@ def q_date_range(spark, sf):
 def q_conf_corr(spark, sf):
     """C3 fallback panel: confidence against sentiment when there is no market data."""
     return finalize(rp.correlation(_orders_daily(spark, sf), "avg_confidence", "avg_sentiment"))
+
+
+@query("dashboard_sentiment_series")
+def q_dashboard_series(spark, sf):
+    """C2 panel: daily sentiment with its 7-row moving average."""
+    panels = rp.dashboard(_orders_feature_table(spark, sf), ma_window=7)
+    return finalize(panels["sentiment_series"])
+
+
+@query("run_report")
+def q_run_report(spark, sf):
+    """C4: summary, best target and model, top features of the best model."""
+    return finalize(ml.run_report(spark, _market_feature_table(spark, sf)))
