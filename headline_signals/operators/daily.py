@@ -53,15 +53,25 @@ def daily_index(scored: DataFrame, time_col: str = "Time", class_col: str = "Pre
     scorer rounds them), so the mean is taken from an exact decimal sum.
     """
     sign = label_to_sign(class_to_label(F.col(class_col)))
-    # the null-day group is dropped after the aggregate: filtering first would make the
-    # optimizer copy the (possibly large) time-parsing expression into the filter
-    return (scored
-            .select(day_of(scored, time_col).alias("Time"),
-                    (sign * F.col(confidence_col)).alias("_score"))
-            .groupBy("Time")
-            .agg((exact_mean("_score", 4) * 100).alias("Daily_Sentiment_Index"),
-                 F.count(F.lit(1)).alias("Headlines_Processed"))
-            .where(F.col("Time").isNotNull()))
+    agg = (scored
+           .select(day_of(scored, time_col).alias("Time"),
+                   (sign * F.col(confidence_col)).alias("_score"))
+           .groupBy("Time")
+           .agg((exact_mean("_score", 4) * 100).alias("Daily_Sentiment_Index"),
+                F.count(F.lit(1)).alias("Headlines_Processed")))
+    return drop_null_group(agg, "Time", "Headlines_Processed")
+
+
+def drop_null_group(agg: DataFrame, key: str, count_col: str) -> DataFrame:
+    """Drop the group of rows whose key (a parsed day) is null, after the aggregate.
+
+    A plain ``key IS NOT NULL`` filter would be pushed below the ``groupBy`` and the
+    scan-side projections, so the time parsing behind the key would run twice (once in
+    the filter, once for the key). Referencing an aggregate column (a count, never
+    negative) keeps the filter above the aggregate; the null group's partial rows are
+    tiny.
+    """
+    return agg.where(F.col(key).isNotNull() | (F.col(count_col) < 0))
 
 
 def _stat_aggs() -> list[Column]:
@@ -112,12 +122,12 @@ def daily_stats(scored: DataFrame, time_col: str = "Time", grain: str = "day") -
     """Daily statistics (A2): ``Date`` plus the 15 aggregates, rounded to 4 decimals.
 
     ``headline_count`` counts rows with a known score. Rows without a parseable time
-    are dropped first (P3). ``grain="exact"`` groups on the full timestamp instead of
+    are left out (P3; their group is dropped after the aggregate). ``grain="exact"`` groups on the full timestamp instead of
     the calendar day (the reference's behaviour when times carry minutes).
     """
     rows = sentiment_columns(scored).withColumn("Date", _grain(scored, time_col, grain))
-    return (rows.where(F.col("Date").isNotNull())
-            .groupBy("Date").agg(*_stat_aggs()))
+    agg = rows.groupBy("Date").agg(*_stat_aggs(), F.count(F.lit(1)).alias("_rows"))
+    return drop_null_group(agg, "Date", "_rows").drop("_rows")
 
 
 def keyword_features(scored: DataFrame, time_col: str = "Time", grain: str = "day",
@@ -132,8 +142,9 @@ def keyword_features(scored: DataFrame, time_col: str = "Time", grain: str = "da
     """
     keywords = KEYWORDS if keywords is None else keywords
     rows = sentiment_columns(scored).withColumn("Date", _grain(scored, time_col, grain))
-    rows = _with_hits(rows.where(F.col("Date").isNotNull()), keywords, match)
-    return rows.groupBy("Date").agg(*_keyword_aggs(keywords))
+    rows = _with_hits(rows, keywords, match)
+    agg = rows.groupBy("Date").agg(*_keyword_aggs(keywords), F.count(F.lit(1)).alias("_rows"))
+    return drop_null_group(agg, "Date", "_rows").drop("_rows")
 
 
 def daily_features(scored: DataFrame, time_col: str = "Time", grain: str = "day",
@@ -142,8 +153,10 @@ def daily_features(scored: DataFrame, time_col: str = "Time", grain: str = "day"
     """A2 and K1-K3 in a single ``groupBy``: one scan, one shuffle, no join (fuses J1/J2)."""
     keywords = KEYWORDS if keywords is None else keywords
     rows = sentiment_columns(scored).withColumn("Date", _grain(scored, time_col, grain))
-    rows = _with_hits(rows.where(F.col("Date").isNotNull()), keywords, match)
-    return rows.groupBy("Date").agg(*_stat_aggs(), *_keyword_aggs(keywords))
+    rows = _with_hits(rows, keywords, match)
+    agg = rows.groupBy("Date").agg(*_stat_aggs(), *_keyword_aggs(keywords),
+                                   F.count(F.lit(1)).alias("_rows"))
+    return drop_null_group(agg, "Date", "_rows").drop("_rows")
 
 
 def merge_keywords(daily: DataFrame, keyword_daily: DataFrame) -> DataFrame:
