@@ -248,9 +248,12 @@ def q_score_documents_substring(spark, sf):
 
 
 def _agreement(spark, sf):
-    rows = ad.scored_headlines(spark, sf, base="events")
-    lex = sc.score(rows.select("seq", "Headline", F.col("Predicted_Class").alias("label")), "Headline")
-    return lex.select("label", F.col("Predicted_Class").alias("prediction"))
+    """Stand-in labels against the lexicon class of each row's text. Texts repeat across
+    rows, so each document is scored once and the class joined to its rows."""
+    docs = spread(load(spark, sf, "documents").select("doc_id", "text"))
+    doc_class = sc.score(docs, "text").select("doc_id", F.col("Predicted_Class").alias("prediction"))
+    rows = ad.scored_events(spark, sf).select("seq", F.col("Predicted_Class").alias("label"))
+    return ad.with_document_columns(spark, sf, rows, doc_class).select("label", "prediction")
 
 
 @query("scorer_agreement")

@@ -91,6 +91,16 @@ def with_headlines(spark: SparkSession, sf_dir: str, scored: DataFrame,
     return joined.select(*cols, *extra)
 
 
+def with_document_columns(spark: SparkSession, sf_dir: str, rows: DataFrame,
+                          per_document: DataFrame) -> DataFrame:
+    """Attach per-document columns (keyed by ``doc_id``, computed once per document)
+    to the rows that refer to each document (``seq mod #documents``)."""
+    n_docs = load(spark, sf_dir, "documents").agg(F.count(F.lit(1))).scalar()
+    keyed = spread(rows).withColumn("_doc_key", F.col("seq") % n_docs)
+    joined = keyed.join(per_document, keyed["_doc_key"] == per_document["doc_id"], "left")
+    return joined.drop("_doc_key", "doc_id")
+
+
 def scored_headlines(spark: SparkSession, sf_dir: str, base: str = "events",
                      keywords: dict[str, list[str]] | None = None,
                      match: str | None = None) -> DataFrame:
