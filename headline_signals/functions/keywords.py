@@ -57,8 +57,10 @@ def mention_count(lowered: Column, words: list[str], match: str = "substring",
     singles = [w for w in words if " " not in w]
     phrases = [w for w in words if " " in w]
     toks = tokens(lowered) if toks is None else toks
-    total = F.coalesce(F.size(F.array_intersect(toks, F.array(*[F.lit(w) for w in singles]))),
-                       F.lit(0)) if singles else F.lit(0)
+    # explicit null test: size(null) is -1, not null, when ANSI mode is off
+    total = (F.when(lowered.isNull(), F.lit(0))
+             .otherwise(F.size(F.array_intersect(toks, F.array(*[F.lit(w) for w in singles]))))
+             if singles else F.lit(0))
     for p in phrases:
         total = total + F.coalesce(_phrase_hit(lowered, p).cast("int"), F.lit(0))
     return total

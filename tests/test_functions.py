@@ -171,3 +171,10 @@ def test_json_array_read(spark, tmp_path):
                  ' {"Time": "2025-09-03", "Daily_Sentiment_Index": 56.6, "Headlines_Processed": 6}\n]')
     df = fs.read_json(spark, str(p), fs.INDEX_SCHEMA, array=True)
     assert df.count() == 2 and df.schema == fs.INDEX_SCHEMA
+
+
+def test_null_text_counts_zero(spark):
+    df = spark.createDataFrame([(None,)], "Headline string")
+    for match in ("substring", "word"):
+        out = keyword_hits(df, keywords={"k": ["up", "trade war"]}, match=match).first()
+        assert out["_kw_k_n"] == 0 and out["_kw_k_hit"] is False
