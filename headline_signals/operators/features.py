@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .windows import ordered, to_here
+from . import series
+from .windows import to_here
 
 # Columns never used as features (targets, keys, same-day market return).
 EXCLUDED_COLUMNS = [
@@ -24,11 +25,15 @@ def feature_names(df: DataFrame, extra_excluded: Sequence[str] = ()) -> list[str
 
 
 def fill_features(df: DataFrame, features: Sequence[str], order_col: str = "Date",
-                  partition_by: Sequence[str] | None = None) -> DataFrame:
+                  partition_by: Sequence[str] | None = None,
+                  chunk_rows: int = series.CHUNK_ROWS) -> DataFrame:
     """Pad each feature forward along the series, then replace what is left by 0."""
-    w = to_here(order_col, partition_by)
-    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0)) for c in features}
-    return df.withColumns(filled)
+    if partition_by:
+        w = to_here(order_col, partition_by)
+        filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0)) for c in features}
+        return df.withColumns(filled)
+    padded = series.forward_fill(df, list(features), order_col, chunk_rows)
+    return padded.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in features}).select(*df.columns)
 
 
 def feature_matrix(df: DataFrame, order_col: str = "Date",
@@ -44,8 +49,9 @@ def feature_matrix(df: DataFrame, order_col: str = "Date",
 
 
 def with_position(df: DataFrame, order_col: str = "Date") -> DataFrame:
-    """Row position from 0 along a daily-grain series (one row per day)."""
-    return df.withColumn("row_idx", (F.row_number().over(ordered(order_col)) - 1).cast("int"))
+    """Row position from 0 along the series (``series.with_positions``: bucketed global
+    numbering, no single-task window)."""
+    return series.with_positions(df, order_col, "row_idx").withColumn("row_idx", F.col("row_idx").cast("int"))
 
 
 def fold_count(n: int) -> int:
@@ -63,10 +69,10 @@ def time_folds(df: DataFrame, k: int | None = None, order_col: str = "Date") ->
 
     With ``n`` rows and ``s = n // (k + 1)``, fold ``i`` (from 0) tests rows
     ``[n - (k - i) s, n - (k - i - 1) s)`` and trains on every earlier row. ``k=None``
-    applies the reference's rule (``fold_count``) to ``n`` inside the plan. Position and
-    ``n`` are window values over the daily series, so the input is read once.
+    applies the reference's rule (``fold_count``) to ``n`` inside the plan (``n`` is a
+    scalar subquery).
     """
-    pos = with_position(df, order_col).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    pos = with_position(df, order_col).withColumn("_n", series.count_all(df))
     if k is None:
         k_col = (F.when(F.col("_n") < 5, 0).when(F.col("_n") < 10, 3)
                  .otherwise(F.least(F.lit(3), (F.col("_n") / 5).cast("int"))))
@@ -85,6 +91,6 @@ def time_folds(df: DataFrame, k: int | None = None, order_col: str = "Date") ->
 def ordered_split(df: DataFrame, order_col: str = "Date", fraction: float = 0.7,
                   minimum: int = 3) -> DataFrame:
     """First ``max(minimum, int(fraction * n))`` rows are ``train``, the rest ``test``."""
-    pos = with_position(df, order_col).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    pos = with_position(df, order_col).withColumn("_n", series.count_all(df))
     cut = F.greatest(F.lit(minimum), (F.col("_n") * fraction).cast("int"))
     return pos.withColumn("role", F.when(F.col("row_idx") < cut, "train").otherwise("test")).drop("_n")

@@ -32,16 +32,22 @@ def thresholds(daily: DataFrame, partition_by: Sequence[str] | None = None) -> D
 def regime_flags(daily: DataFrame, partition_by: Sequence[str] | None = None) -> DataFrame:
     """Six 0/1 flags against whole-series quantiles and fixed levels.
 
-    The quantiles are window aggregates over the whole (per-entity) series, so the daily
-    table is read once; a self-join with ``thresholds`` would evaluate it twice.
+    The quantiles are a scalar subquery over one series, or window aggregates per entity
+    for panels; no self-join.
     """
-    whole = Window.partitionBy(*partition_by) if partition_by else Window.partitionBy()
-    q = {
-        "_q25": F.percentile("avg_sentiment", 0.25).over(whole),
-        "_q75": F.percentile("avg_sentiment", 0.75).over(whole),
-        "_v75": F.percentile("sentiment_volatility", 0.75).over(whole),
-        "_c75": F.percentile("headline_count", 0.75).over(whole),
-    }
+    if partition_by:
+        whole = Window.partitionBy(*partition_by)
+        q = {
+            "_q25": F.percentile("avg_sentiment", 0.25).over(whole),
+            "_q75": F.percentile("avg_sentiment", 0.75).over(whole),
+            "_v75": F.percentile("sentiment_volatility", 0.75).over(whole),
+            "_c75": F.percentile("headline_count", 0.75).over(whole),
+        }
+    else:
+        # one series: the four quantiles are one scalar subquery (a partial aggregate)
+        t = thresholds(daily).select(F.struct("*")).scalar()
+        q = {"_q25": t.getField("sentiment_q25"), "_q75": t.getField("sentiment_q75"),
+             "_v75": t.getField("volatility_q75"), "_c75": t.getField("count_q75")}
     flags = {
         "extreme_positive_day": null_as_zero_flag(F.col("avg_sentiment") > F.col("_q75")),
         "extreme_negative_day": null_as_zero_flag(F.col("avg_sentiment") < F.col("_q25")),

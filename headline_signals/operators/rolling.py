@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import series
 from .windows import ordered
 
 DEFAULT_WINDOWS = (3, 7, 14, 30)
@@ -26,7 +27,8 @@ def rolling_feature_names(windows: Sequence[int] = DEFAULT_WINDOWS) -> list[str]
 
 def rolling_features(daily: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
                      order_col: str = "Date", partition_by: Sequence[str] | None = None,
-                     frame: str = "rows", scale: int = 4) -> DataFrame:
+                     frame: str = "rows", scale: int = 4,
+                     chunk_rows: int = series.CHUNK_ROWS) -> DataFrame:
     """Add 7 columns per window length ``w``:
 
     * W1 ``sentiment_ma``, ``weighted_sentiment_ma``, ``headline_count_ma``,
@@ -37,19 +39,27 @@ def rolling_features(daily: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
       position, null until the frame holds ``w`` values.
 
     All windows share one partitioning and one ordering, so Spark sorts once. Means
-    are exact for inputs with at most ``scale`` decimals (A2 rounds to 4).
+    are exact for inputs with at most ``scale`` decimals (A2 rounds to 4). A single
+    series is cut into position chunks with a halo of ``max(windows)`` rows
+    (``operators.series``); panels are partitioned by ``partition_by``.
     """
-    base = ordered(order_col, partition_by)
+    if frame not in ("rows", "range"):
+        raise ValueError("frame must be 'rows' or 'range'")
+    if partition_by:
+        data = daily.withColumn("_pos", F.row_number().over(ordered(order_col, partition_by)))
+        part = Window.partitionBy(*partition_by)
+    else:
+        data = series.chunked(daily, order_col, lookback=max(windows), chunk_rows=chunk_rows)
+        part = Window.partitionBy("_chunk")
+    base = part.orderBy("_pos")
     if frame == "rows":
         frame_of = lambda w: base.rowsBetween(-(w - 1), 0)
-        pos = F.row_number().over(base).cast("double")
-    elif frame == "range":
+        x = F.col("_pos").cast("double")
+    else:
         day_no = F.unix_date(F.col(order_col).cast("date"))
-        rbase = (Window.partitionBy(*partition_by) if partition_by else Window).orderBy(day_no)
+        rbase = part.orderBy(day_no)
         frame_of = lambda w: rbase.rangeBetween(-(w - 1), 0)
-        pos = day_no.cast("double")
-    else:
-        raise ValueError("frame must be 'rows' or 'range'")
+        x = day_no.cast("double")
 
     def mean(c, fw):
         # daily aggregates carry 4 decimals: an exact decimal sum keeps the window
@@ -57,7 +67,7 @@ def rolling_features(daily: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
         return (F.sum(F.col(c).cast(f"decimal(24,{scale})")).over(fw).cast("double")
                 / F.count(c).over(fw))
 
-    out = daily.withColumn("_pos", pos)
+    out = data.withColumn("_x", x)
     first = {}
     for w in windows:
         fw = frame_of(w)
@@ -67,7 +77,7 @@ def rolling_features(daily: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
         first[f"headline_count_ma_{w}d"] = mean("headline_count", fw)
         first[f"confidence_ma_{w}d"] = mean("avg_confidence", fw)
         full = F.count("avg_sentiment").over(fw) == w
-        first[f"sentiment_trend_{w}d"] = F.when(full, F.regr_slope("avg_sentiment", "_pos").over(fw))
+        first[f"sentiment_trend_{w}d"] = F.when(full, F.regr_slope("avg_sentiment", "_x").over(fw))
     out = out.withColumns(first)
     momentum = {
         f"sentiment_momentum_{w}d":
@@ -75,4 +85,6 @@ def rolling_features(daily: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
         for w in windows
     }
     out = out.withColumns(momentum)
+    if not partition_by:
+        out = series.unchunk(out)
     return out.select(*daily.columns, *rolling_feature_names(windows))

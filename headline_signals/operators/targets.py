@@ -1,59 +1,75 @@
 """Forward targets (W10, W11, F6, F7) and the market merge that feeds them.
 
 Targets look forward along the daily series: ``lead`` for the next row and a
-``rowsBetween(1, 3)`` frame for the next three rows. As in the reference, a target that
-is unknown (last rows) gives a 0 flag; ``null_unknown=True`` keeps those flags null so
-they can be dropped from training.
+``rowsBetween(1, 3)`` frame for the next three rows. A single series is cut into
+position chunks whose halo holds the next 3 rows (``operators.series``); panels are
+partitioned by ``partition_by``. As in the reference, a target that is unknown (last
+rows) gives a 0 flag; ``null_unknown=True`` keeps those flags null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions import null_as_zero_flag
 from . import market as mk
-from .windows import ordered, rows
+from . import series
+
+LOOKAHEAD = 3
 
 
 def _flag(cond: Column, null_unknown: bool) -> Column:
     return cond.cast("int") if null_unknown else null_as_zero_flag(cond)
 
 
-def forward_mean_3(col: str, order_col: str = "Date",
-                   partition_by: Sequence[str] | None = None, scale: int | None = None) -> Column:
-    """Mean of the next three rows, null unless all three are known.
+def _prepare(df: DataFrame, order_col: str, partition_by: Sequence[str] | None,
+             chunk_rows: int) -> tuple[DataFrame, WindowSpec]:
+    if partition_by:
+        return df, Window.partitionBy(*partition_by).orderBy(order_col)
+    return (series.chunked(df, order_col, lookahead=LOOKAHEAD, chunk_rows=chunk_rows),
+            series.chunk_window())
+
+
+def _finish(df: DataFrame, partition_by: Sequence[str] | None) -> DataFrame:
+    return df if partition_by else series.unchunk(df)
+
+
+def forward_mean_3(col: str, base: WindowSpec, scale: int | None = None) -> Column:
+    """Mean of the next three rows along ``base``, null unless all three are known.
 
     With ``scale`` (values carrying at most that many decimals) the sum is exact.
     """
-    fw = rows(order_col, 1, 3, partition_by)
+    fw = base.rowsBetween(1, LOOKAHEAD)
     if scale is None:
         mean = F.avg(col).over(fw)
     else:
-        mean = F.sum(F.col(col).cast(f"decimal(24,{scale})")).over(fw).cast("double") / F.lit(3)
-    return F.when(F.count(col).over(fw) == 3, mean)
+        mean = F.sum(F.col(col).cast(f"decimal(24,{scale})")).over(fw).cast("double") / F.lit(LOOKAHEAD)
+    return F.when(F.count(col).over(fw) == LOOKAHEAD, mean)
 
 
 def fallback_targets(daily: DataFrame, order_col: str = "Date",
                      partition_by: Sequence[str] | None = None,
-                     null_unknown: bool = False) -> DataFrame:
+                     null_unknown: bool = False, chunk_rows: int = series.CHUNK_ROWS) -> DataFrame:
     """targets from future sentiment when there is no market data."""
-    nxt = F.lead("avg_sentiment", 1).over(ordered(order_col, partition_by))
-    out = daily.withColumns({
-        "next_day_sentiment": nxt,
-        "next_3day_sentiment": forward_mean_3("avg_sentiment", order_col, partition_by, scale=4),
+    data, base = _prepare(daily, order_col, partition_by, chunk_rows)
+    out = data.withColumns({
+        "next_day_sentiment": F.lead("avg_sentiment", 1).over(base),
+        "next_3day_sentiment": forward_mean_3("avg_sentiment", base, scale=4),
     })
-    return out.withColumns({
+    out = out.withColumns({
         "next_day_positive": _flag(F.col("next_day_sentiment") > 0, null_unknown),
         "next_3day_positive": _flag(F.col("next_3day_sentiment") > 0, null_unknown),
-    }).select(*daily.columns, "next_day_sentiment", "next_day_positive",
-              "next_3day_sentiment", "next_3day_positive")
+    })
+    return _finish(out, partition_by).select(
+        *daily.columns, "next_day_sentiment", "next_day_positive",
+        "next_3day_sentiment", "next_3day_positive")
 
 
 def market_targets(daily: DataFrame, ind: DataFrame, main_symbol: str = "SPY",
                    fear_symbol: str | None = "^VIX", order_col: str = "Date",
-                   null_unknown: bool = False) -> DataFrame:
+                   null_unknown: bool = False, chunk_rows: int = series.CHUNK_ROWS) -> DataFrame:
     """F6 with J3/J4: left-join the main series (and the fear series when present) on
     the calendar date, then build next-day and next-3-day return targets.
 
@@ -63,12 +79,12 @@ def market_targets(daily: DataFrame, ind: DataFrame, main_symbol: str = "SPY",
     """
     wide = mk.wide(ind, main_symbol, fear_symbol)
     merged = daily.join(wide, order_col, "left")
-    nxt = F.lead("daily_return", 1).over(ordered(order_col))
-    merged = merged.withColumns({
-        "next_day_return": nxt,
-        "next_3day_return": forward_mean_3("daily_return", order_col),
+    data, base = _prepare(merged, order_col, None, chunk_rows)
+    data = data.withColumns({
+        "next_day_return": F.lead("daily_return", 1).over(base),
+        "next_3day_return": forward_mean_3("daily_return", base),
     })
-    merged = merged.withColumns({
+    data = data.withColumns({
         "next_day_positive": _flag(F.col("next_day_return") > 0, null_unknown),
         "next_day_big_move": _flag(F.abs(F.col("next_day_return")) > 0.01, null_unknown),
         "next_3day_positive": _flag(F.col("next_3day_return") > 0, null_unknown),
@@ -78,4 +94,4 @@ def market_targets(daily: DataFrame, ind: DataFrame, main_symbol: str = "SPY",
             "next_3day_return", "next_3day_positive"]
     if fear_symbol is not None:
         cols += ["VIX", "vix_change", "high_fear"]
-    return merged.select(*cols)
+    return _finish(data, None).select(*cols)

@@ -27,7 +27,7 @@ from ..operators import report as rp
 from ..operators import rolling as rl
 from ..operators import scoring as sc
 from ..operators import targets as tg
-from ..operators.partitioning import spread
+from ..operators.partitioning import materialize, spread
 from ..session import scratch_path
 from ..sources import adapters as ad
 from ..sources import files as fs
@@ -92,7 +92,8 @@ def q_confidence_histogram(spark, sf):
 
 
 def _orders_daily(spark, sf):
-    return dl.daily_stats(ad.scored_orders(spark, sf))
+    # written once: the series operators read the daily table more than once
+    return materialize(dl.daily_stats(ad.scored_orders(spark, sf)))
 
 
 def _orders_feature_table(spark, sf):

@@ -74,9 +74,9 @@ def test_trend_std_forward(spark):
     std = [r["sentiment_std_3d"] for r in out]
     assert std[0] is None
     assert std[1:] == pytest.approx([2.1213203, 4.0414519, 6.0277138, 8.0208063, 10.0166528], abs=1e-6)
-    fwd = d.withColumn("f", tg.forward_mean_3("avg_sentiment")).orderBy("Date")
-    assert col_values(fwd, "f")[:3] == pytest.approx([9.666667, 16.666667, 25.666667], abs=1e-6)
-    assert col_values(fwd, "f")[3:] == [None, None, None]
+    fwd = tg.fallback_targets(d).orderBy("Date")
+    assert col_values(fwd, "next_3day_sentiment")[:3] == pytest.approx([9.666667, 16.666667, 25.666667], abs=1e-6)
+    assert col_values(fwd, "next_3day_sentiment")[3:] == [None, None, None]
 
 
 def test_quantiles(spark):
