@@ -21,7 +21,8 @@ TARGET_COLUMNS = ["next_day_positive", "next_3day_positive"]
 def feature_names(df: DataFrame, extra_excluded: Sequence[str] = ()) -> list[str]:
     """Every column except the excluded list and ``Unnamed*`` columns."""
     skip = set(EXCLUDED_COLUMNS) | set(extra_excluded)
-    return [c for c in df.columns if c not in skip and not c.startswith("Unnamed")]
+    return [c for c in df.columns
+            if c not in skip and not c.startswith("Unnamed") and not c.startswith("_")]
 
 
 def fill_features(df: DataFrame, features: Sequence[str], order_col: str = "Date",
@@ -32,7 +33,7 @@ def fill_features(df: DataFrame, features: Sequence[str], order_col: str = "Date
         w = to_here(order_col, partition_by)
         filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0)) for c in features}
         return df.withColumns(filled)
-    padded = series.forward_fill(df, list(features), order_col, chunk_rows)
+    padded = series.forward_fill(df, list(features), order_col, chunk_rows)  # keeps _pos if given
     return padded.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in features}).select(*df.columns)
 
 

@@ -86,5 +86,5 @@ def rolling_features(daily: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
     }
     out = out.withColumns(momentum)
     if not partition_by:
-        out = series.unchunk(out)
+        out = series.unchunk(out, keep_pos="_pos" in daily.columns)
     return out.select(*daily.columns, *rolling_feature_names(windows))

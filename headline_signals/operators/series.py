@@ -15,6 +15,7 @@ into chunks of ``chunk_rows`` consecutive rows instead:
 4. halo copies are dropped.
 
 Each task holds one chunk plus its halo, so the series length no longer bounds a task.
+A table that already carries ``_pos`` (numbered once upstream) is not numbered again.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def chunked(df: DataFrame, order_col: str = "Date", lookback: int = 0, lookahead
     """Rows with ``_pos``, ``_chunk`` and ``_halo``; edge rows copied to neighbour chunks."""
     if lookback >= chunk_rows or lookahead >= chunk_rows:
         raise ValueError("halo must be smaller than a chunk")
-    pos = with_positions(df, order_col)
+    pos = df if "_pos" in df.columns else with_positions(df, order_col)
     p, c = F.col("_pos"), F.floor(F.col("_pos") / chunk_rows)
     off = p % chunk_rows
     copies = F.array(
@@ -67,9 +68,10 @@ def chunk_window() -> WindowSpec:
     return Window.partitionBy("_chunk").orderBy("_pos")
 
 
-def unchunk(df: DataFrame) -> DataFrame:
-    """Drop halo copies and the helper columns."""
-    return df.where(~F.col("_halo")).drop("_chunk", "_halo", "_pos")
+def unchunk(df: DataFrame, keep_pos: bool = False) -> DataFrame:
+    """Drop halo copies and the helper columns (``_pos`` too unless ``keep_pos``)."""
+    out = df.where(~F.col("_halo")).drop("_chunk", "_halo")
+    return out if keep_pos else out.drop("_pos")
 
 
 def forward_fill(df: DataFrame, cols: list[str], order_col: str = "Date",
@@ -80,7 +82,9 @@ def forward_fill(df: DataFrame, cols: list[str], order_col: str = "Date",
     table with one row per chunk), carried forward over chunks, then inside each chunk
     ``coalesce(last known so far in the chunk, carry from earlier chunks)``.
     """
-    pos = with_positions(df, order_col).withColumn("_chunk", F.floor(F.col("_pos") / chunk_rows))
+    had_pos = "_pos" in df.columns
+    pos = (df if had_pos else with_positions(df, order_col)) \
+        .withColumn("_chunk", F.floor(F.col("_pos") / chunk_rows))
     last_of_chunk = pos.groupBy("_chunk").agg(
         *[F.max(F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(c).alias("v"))))
           .getField("v").alias(c) for c in cols])
@@ -91,7 +95,8 @@ def forward_fill(df: DataFrame, cols: list[str], order_col: str = "Date",
     inside = Window.partitionBy("_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     joined = pos.join(carry, "_chunk", "left")
     filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carry_{c}")) for c in cols}
-    return joined.withColumns(filled).drop("_chunk", "_pos", *[f"_carry_{c}" for c in cols])
+    out = joined.withColumns(filled).drop("_chunk", *[f"_carry_{c}" for c in cols])
+    return out if had_pos else out.drop("_pos")
 
 
 def count_all(df: DataFrame) -> Column:

@@ -32,8 +32,8 @@ def _prepare(df: DataFrame, order_col: str, partition_by: Sequence[str] | None,
             series.chunk_window())
 
 
-def _finish(df: DataFrame, partition_by: Sequence[str] | None) -> DataFrame:
-    return df if partition_by else series.unchunk(df)
+def _finish(df: DataFrame, partition_by: Sequence[str] | None, keep_pos: bool = False) -> DataFrame:
+    return df if partition_by else series.unchunk(df, keep_pos)
 
 
 def forward_mean_3(col: str, base: WindowSpec, scale: int | None = None) -> Column:
@@ -62,7 +62,7 @@ def fallback_targets(daily: DataFrame, order_col: str = "Date",
         "next_day_positive": _flag(F.col("next_day_sentiment") > 0, null_unknown),
         "next_3day_positive": _flag(F.col("next_3day_sentiment") > 0, null_unknown),
     })
-    return _finish(out, partition_by).select(
+    return _finish(out, partition_by, "_pos" in daily.columns).select(
         *daily.columns, "next_day_sentiment", "next_day_positive",
         "next_3day_sentiment", "next_3day_positive")
 
@@ -94,4 +94,4 @@ def market_targets(daily: DataFrame, ind: DataFrame, main_symbol: str = "SPY",
             "next_3day_return", "next_3day_positive"]
     if fear_symbol is not None:
         cols += ["VIX", "vix_change", "high_fear"]
-    return _finish(data, None).select(*cols)
+    return _finish(data, None, "_pos" in daily.columns).select(*cols)

@@ -19,6 +19,7 @@ from ..operators import daily as dl
 from ..operators import market as mk
 from ..operators import targets as tg
 from ..operators.features import feature_matrix
+from ..operators import series
 from ..operators.partitioning import materialize
 from ..operators.regimes import FLAG_COLUMNS, regime_flags
 from ..operators.rolling import DEFAULT_WINDOWS, rolling_feature_names, rolling_features
@@ -27,25 +28,23 @@ from ..operators.rolling import DEFAULT_WINDOWS, rolling_feature_names, rolling_
 def daily_feature_table(scored: DataFrame, time_col: str = "Time", grain: str = "day",
                         keywords: dict[str, list[str]] | None = None, match: str = "substring",
                         windows: Sequence[int] = DEFAULT_WINDOWS,
-                        materialize_daily: bool = True) -> DataFrame:
+                        keep_positions: bool = False) -> DataFrame:
     """Steps 2-5: ``Date``, 15 aggregates, 28 rolling columns, 6 flags, 24 keyword columns.
 
-    The daily aggregate (one row per day) is checkpointed once (``materialize_daily``):
-    the date span, the quantiles and the targets all read it again.
-
     The keyword aggregates ride in the same ``groupBy`` as the statistics, which replaces
     the per-date lookup loop and the later merge (J1, J2); the whole-frame fill that the
-    merge performed is applied at the same point in the flow.
+    merge performed is applied at the same point in the flow. The daily aggregate (one
+    row per day) is checkpointed and numbered once (``_pos``); the rolling windows, the
+    targets and the forward fill reuse that numbering (``keep_positions`` keeps it).
     """
     keywords = KEYWORDS if keywords is None else keywords
     daily = dl.daily_features(scored, time_col, grain, keywords, match)
-    if materialize_daily:
-        daily = materialize(daily)
+    daily = materialize(series.with_positions(daily))
     daily = rolling_features(daily, windows)
     daily = regime_flags(daily)
     cols = (["Date"] + dl.DAILY_STAT_COLUMNS + rolling_feature_names(windows) + FLAG_COLUMNS
-            + dl.keyword_columns(keywords))
-    return daily.select(*cols).fillna(0)
+            + dl.keyword_columns(keywords) + (["_pos"] if keep_positions else []))
+    return daily.select(*cols).fillna(0, subset=[c for c in cols if c not in ("Date", "_pos")])
 
 
 def with_targets(daily: DataFrame, market: DataFrame | None = None,
@@ -65,5 +64,6 @@ def with_targets(daily: DataFrame, market: DataFrame | None = None,
 def build_features(scored: DataFrame, market: DataFrame | None = None,
                    assemble: bool = False, **kwargs) -> DataFrame:
     """Steps 2-7: the filled feature table with keys and targets."""
-    daily = daily_feature_table(scored, **kwargs)
-    return feature_matrix(with_targets(daily, market), assemble=assemble)
+    daily = daily_feature_table(scored, keep_positions=True, **kwargs)
+    table = feature_matrix(with_targets(daily, market), assemble=assemble)
+    return table.drop("_pos")
