@@ -15,10 +15,17 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.partitioning import spread
 
+# The parser runs in Python workers: ship this module's code with the task (pickled by
+# value) so that workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROW_SCHEMA = "page_id long, kind string, table_idx int, row_idx int, cells array<string>"
 HEADING_SCHEMA = "page_id long, title string, h1 string"
 
