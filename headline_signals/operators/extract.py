@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import complete_time, parse_time
-from ..sources.adapters import PLACEHOLDER
+from ..functions.labels import PLACEHOLDER
 
 
 def pick_tables(tables: DataFrame, indexes: Sequence[int] = (3, 4),

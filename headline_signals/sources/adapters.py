@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import argmax3, class_to_label, exact_mean, round4
+from ..functions.labels import PLACEHOLDER
 from ..functions.keywords import keyword_hits
 from ..operators.partitioning import spread
 from .tables import load
@@ -144,10 +145,6 @@ def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id")
 
 
-# The headline placeholder a page shows before it has loaded.
-PLACEHOLDER = "Loading…"
-
-
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted feed rows as text, the shape a scraped page yields: ``(seq, Time, Headline)``.
 
