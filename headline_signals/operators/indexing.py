@@ -1,10 +1,13 @@
-"""Distributed global row index (for feed paging over whole tables).
+"""Distributed global row index (for feed paging and series positions).
 
 ``row_number()`` over an unpartitioned window moves every row into one task. Here the
-key range is cut into buckets of at most ``B`` consecutive key values: per-bucket counts
-form a small table (one row per bucket) whose running sum gives each bucket's offset,
-and rows are numbered inside their bucket with a window partitioned by bucket. Keys
-must be unique integers, so a bucket never holds more than ``B`` rows, whatever the skew.
+key range is cut into buckets of consecutive key values: per-bucket counts form a small
+table (one row per bucket) whose running sum gives each bucket's offset, and rows are
+numbered inside their bucket with a window partitioned by bucket. Keys must be unique
+integers, so a bucket never holds more keys than its width, whatever the skew: the
+width is ``span / target_buckets`` but never more than ``max_bucket_keys``, so the
+number of buckets grows with the key span and no task numbers more than
+``max_bucket_keys`` rows.
 """
 
 from __future__ import annotations
@@ -13,20 +16,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def global_index(df: DataFrame, key: str, target_buckets: int = 4096,
-                 out_col: str = "global_index") -> DataFrame:
+                 max_bucket_keys: int = 1 << 20, out_col: str = "global_index") -> DataFrame:
     """Add ``out_col`` = 1-based position of each row in ascending ``key`` order."""
     lo_hi = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
     lo, hi = lo_hi.getField("lo"), lo_hi.getField("hi")
-    width = F.greatest(F.lit(1), F.ceil((hi - lo + 1) / target_buckets))
+    width = F.greatest(F.lit(1), F.least(F.ceil((hi - lo + 1) / target_buckets), F.lit(max_bucket_keys)))
     keyed = df.withColumn("_bucket", F.floor((F.col(key) - lo) / width))
-    # one row per bucket: at most target_buckets rows, so the running sum is cheap
+    # one row per non-empty bucket: a small table next to the data
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_bucket",
         (F.sum("_n").over(Window.orderBy("_bucket")
                           .rowsBetween(Window.unboundedPreceding, -1))).alias("_offset"))
     local = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    # join strategy left to the planner: AQE broadcasts the offsets when they are small
     return (keyed.withColumn("_local", local)
-            .join(F.broadcast(offsets), "_bucket")
+            .join(offsets, "_bucket")
             .withColumn(out_col, (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("bigint"))
             .drop("_bucket", "_local", "_offset"))
