@@ -62,3 +62,23 @@ def test_positions_are_dense(spark):
     d = daily(spark)
     pos = sorted(r["_pos"] for r in series.with_positions(d).collect())
     assert pos == list(range(d.count()))
+
+
+def test_panel_paths_equal_per_entity_runs(spark):
+    from headline_signals.operators import regimes as rg
+    a = daily(spark, n=50, seed=1).withColumn("symbol", F.lit("A"))
+    b = daily(spark, n=35, seed=2).withColumn("symbol", F.lit("B"))
+    panel = a.unionByName(b).withColumn("sentiment_volatility", F.col("avg_confidence"))
+    for sym, one in (("A", a), ("B", b)):
+        one = one.withColumn("sentiment_volatility", F.col("avg_confidence"))
+        got = rl.rolling_features(panel, windows=(3, 7), partition_by=["symbol"]).where(F.col("symbol") == sym)
+        want = rl.rolling_features(one, windows=(3, 7), chunk_rows=9)
+        assert rows_of(got.drop("symbol")) == rows_of(want.drop("symbol"))
+        got = tg.fallback_targets(panel, partition_by=["symbol"]).where(F.col("symbol") == sym)
+        assert rows_of(got.drop("symbol")) == rows_of(tg.fallback_targets(one, chunk_rows=4).drop("symbol"))
+        got = ft.fill_features(panel, ["x"], partition_by=["symbol"]).where(F.col("symbol") == sym)
+        assert rows_of(got.drop("symbol")) == rows_of(ft.fill_features(one, ["x"], chunk_rows=6).drop("symbol"))
+        ok = panel.withColumn("Neutral_Probability_mean", F.lit(0.4))
+        got = rg.regime_flags(ok, partition_by=["symbol"]).where(F.col("symbol") == sym)
+        one2 = one.withColumn("Neutral_Probability_mean", F.lit(0.4))
+        assert rows_of(got.drop("symbol")) == rows_of(rg.regime_flags(one2).drop("symbol"))
