@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from . import series
-from .windows import to_here
 
 # Columns never used as features (targets, keys, same-day market return).
 EXCLUDED_COLUMNS = [
@@ -29,11 +28,8 @@ def fill_features(df: DataFrame, features: Sequence[str], order_col: str = "Date
                   partition_by: Sequence[str] | None = None,
                   chunk_rows: int = series.CHUNK_ROWS) -> DataFrame:
     """Pad each feature forward along the series, then replace what is left by 0."""
-    if partition_by:
-        w = to_here(order_col, partition_by)
-        filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0)) for c in features}
-        return df.withColumns(filled)
-    padded = series.forward_fill(df, list(features), order_col, chunk_rows)  # keeps _pos if given
+    padded = series.forward_fill(df, list(features), order_col, chunk_rows,
+                                 list(partition_by or []))  # keeps _pos if given
     return padded.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in features}).select(*df.columns)
 
 

@@ -16,21 +16,31 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def global_index(df: DataFrame, key: str, target_buckets: int = 4096,
-                 max_bucket_keys: int = 1 << 20, out_col: str = "global_index") -> DataFrame:
-    """Add ``out_col`` = 1-based position of each row in ascending ``key`` order."""
-    lo_hi = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
-    lo, hi = lo_hi.getField("lo"), lo_hi.getField("hi")
+                 max_bucket_keys: int = 1 << 20, out_col: str = "global_index",
+                 partition_by: list[str] | None = None) -> DataFrame:
+    """Add ``out_col`` = 1-based position of each row in ascending ``key`` order (within
+    each ``partition_by`` group when given)."""
+    pb = list(partition_by or [])
+    if pb:
+        # per group key span: one row per group, joined (the planner picks the strategy)
+        span = df.groupBy(*pb).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+        keyed = df.join(span, pb)
+        lo, hi = F.col("_lo"), F.col("_hi")
+    else:
+        lo_hi = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
+        keyed, lo, hi = df, lo_hi.getField("lo"), lo_hi.getField("hi")
     width = F.greatest(F.lit(1), F.least(F.ceil((hi - lo + 1) / target_buckets), F.lit(max_bucket_keys)))
-    keyed = df.withColumn("_bucket", F.floor((F.col(key) - lo) / width))
+    keyed = keyed.withColumn("_bucket", F.floor((F.col(key) - lo) / width))
+    if pb:
+        keyed = keyed.drop("_lo", "_hi")
     # one row per non-empty bucket: a small table next to the data
-    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_bucket",
-        (F.sum("_n").over(Window.orderBy("_bucket")
-                          .rowsBetween(Window.unboundedPreceding, -1))).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    counts = keyed.groupBy(*pb, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    over_buckets = (Window.partitionBy(*pb) if pb else Window).orderBy("_bucket") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*pb, "_bucket", F.sum("_n").over(over_buckets).alias("_offset"))
+    local = F.row_number().over(Window.partitionBy(*pb, "_bucket").orderBy(key))
     # join strategy left to the planner: AQE broadcasts the offsets when they are small
     return (keyed.withColumn("_local", local)
-            .join(offsets, "_bucket")
+            .join(offsets, [*pb, "_bucket"])
             .withColumn(out_col, (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("bigint"))
             .drop("_bucket", "_local", "_offset"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import null_as_zero_flag
 
@@ -32,23 +32,27 @@ def thresholds(daily: DataFrame, partition_by: Sequence[str] | None = None) -> D
 def regime_flags(daily: DataFrame, partition_by: Sequence[str] | None = None) -> DataFrame:
     """Six 0/1 flags against whole-series quantiles and fixed levels.
 
-    The quantiles are a scalar subquery over one series, or window aggregates per entity
-    for panels; no self-join.
+    The quantiles are a scalar subquery over one series, or a grouped aggregate per
+    entity joined back for panels; no window holds a whole series.
     """
     if partition_by:
-        whole = Window.partitionBy(*partition_by)
-        q = {
-            "_q25": F.percentile("avg_sentiment", 0.25).over(whole),
-            "_q75": F.percentile("avg_sentiment", 0.75).over(whole),
-            "_v75": F.percentile("sentiment_volatility", 0.75).over(whole),
-            "_c75": F.percentile("headline_count", 0.75).over(whole),
-        }
+        # one threshold row per entity (a partial aggregate), joined back on the entity
+        t = thresholds(daily, partition_by).select(
+            *partition_by, F.col("sentiment_q25").alias("_q25"), F.col("sentiment_q75").alias("_q75"),
+            F.col("volatility_q75").alias("_v75"), F.col("count_q75").alias("_c75"))
+        daily_t = daily.join(t, list(partition_by), "left")
+        flags = _flags()
+        return daily_t.withColumns(flags).select(*daily.columns, *FLAG_COLUMNS)
     else:
         # one series: the four quantiles are one scalar subquery (a partial aggregate)
         t = thresholds(daily).select(F.struct("*")).scalar()
         q = {"_q25": t.getField("sentiment_q25"), "_q75": t.getField("sentiment_q75"),
              "_v75": t.getField("volatility_q75"), "_c75": t.getField("count_q75")}
-    flags = {
+    return daily.withColumns(q).withColumns(_flags()).select(*daily.columns, *FLAG_COLUMNS)
+
+
+def _flags() -> dict:
+    return {
         "extreme_positive_day": null_as_zero_flag(F.col("avg_sentiment") > F.col("_q75")),
         "extreme_negative_day": null_as_zero_flag(F.col("avg_sentiment") < F.col("_q25")),
         "high_sentiment_volatility": null_as_zero_flag(F.col("sentiment_volatility") > F.col("_v75")),
@@ -56,4 +60,3 @@ def regime_flags(daily: DataFrame, partition_by: Sequence[str] | None = None) ->
         "mixed_sentiment_day": null_as_zero_flag(F.col("Neutral_Probability_mean") > 0.5),
         "high_confidence_day": null_as_zero_flag(F.col("avg_confidence") > 0.8),
     }
-    return daily.withColumns(q).withColumns(flags).select(*daily.columns, *FLAG_COLUMNS)

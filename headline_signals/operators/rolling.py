@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import series
-from .windows import ordered
 
 DEFAULT_WINDOWS = (3, 7, 14, 30)
 
@@ -39,18 +38,16 @@ def rolling_features(daily: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
       position, null until the frame holds ``w`` values.
 
     All windows share one partitioning and one ordering, so Spark sorts once. Means
-    are exact for inputs with at most ``scale`` decimals (A2 rounds to 4). A single
-    series is cut into position chunks with a halo of ``max(windows)`` rows
-    (``operators.series``); panels are partitioned by ``partition_by``.
+    are exact for inputs with at most ``scale`` decimals (A2 rounds to 4). Each series
+    (one per ``partition_by`` group) is cut into position chunks with a halo of
+    ``max(windows)`` rows (``operators.series``).
     """
     if frame not in ("rows", "range"):
         raise ValueError("frame must be 'rows' or 'range'")
-    if partition_by:
-        data = daily.withColumn("_pos", F.row_number().over(ordered(order_col, partition_by)))
-        part = Window.partitionBy(*partition_by)
-    else:
-        data = series.chunked(daily, order_col, lookback=max(windows), chunk_rows=chunk_rows)
-        part = Window.partitionBy("_chunk")
+    pb = list(partition_by or [])
+    data = series.chunked(daily, order_col, lookback=max(windows), chunk_rows=chunk_rows,
+                          partition_by=pb)
+    part = Window.partitionBy(*pb, "_chunk")
     base = part.orderBy("_pos")
     if frame == "rows":
         frame_of = lambda w: base.rowsBetween(-(w - 1), 0)
@@ -85,6 +82,5 @@ def rolling_features(daily: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
         for w in windows
     }
     out = out.withColumns(momentum)
-    if not partition_by:
-        out = series.unchunk(out, keep_pos="_pos" in daily.columns)
+    out = series.unchunk(out, keep_pos="_pos" in daily.columns)
     return out.select(*daily.columns, *rolling_feature_names(windows))

@@ -28,7 +28,8 @@ from .partitioning import materialize
 CHUNK_ROWS = 4096
 
 
-def with_positions(df: DataFrame, order_col: str = "Date", out_col: str = "_pos") -> DataFrame:
+def with_positions(df: DataFrame, order_col: str = "Date", out_col: str = "_pos",
+                   partition_by: list[str] | None = None) -> DataFrame:
     """0-based position of each row in ``order_col`` order (dates or integers, unique).
 
     Numbering reads its input three times (key span, bucket counts, rows), so the input
@@ -38,7 +39,7 @@ def with_positions(df: DataFrame, order_col: str = "Date", out_col: str = "_pos"
     df = materialize(df)
     key = F.unix_date(F.col(order_col).cast("date")) if _is_dateish(df, order_col) else F.col(order_col)
     keyed = df.withColumn("_order_key", key.cast("bigint"))
-    return (global_index(keyed, "_order_key", out_col=out_col)
+    return (global_index(keyed, "_order_key", out_col=out_col, partition_by=partition_by)
             .withColumn(out_col, F.col(out_col) - 1).drop("_order_key"))
 
 
@@ -47,11 +48,11 @@ def _is_dateish(df: DataFrame, col: str) -> bool:
 
 
 def chunked(df: DataFrame, order_col: str = "Date", lookback: int = 0, lookahead: int = 0,
-            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            chunk_rows: int = CHUNK_ROWS, partition_by: list[str] | None = None) -> DataFrame:
     """Rows with ``_pos``, ``_chunk`` and ``_halo``; edge rows copied to neighbour chunks."""
     if lookback >= chunk_rows or lookahead >= chunk_rows:
         raise ValueError("halo must be smaller than a chunk")
-    pos = df if "_pos" in df.columns else with_positions(df, order_col)
+    pos = df if "_pos" in df.columns else with_positions(df, order_col, partition_by=partition_by)
     p, c = F.col("_pos"), F.floor(F.col("_pos") / chunk_rows)
     off = p % chunk_rows
     copies = F.array(
@@ -64,8 +65,8 @@ def chunked(df: DataFrame, order_col: str = "Date", lookback: int = 0, lookahead
             .drop("_copy"))
 
 
-def chunk_window() -> WindowSpec:
-    return Window.partitionBy("_chunk").orderBy("_pos")
+def chunk_window(partition_by: list[str] | None = None) -> WindowSpec:
+    return Window.partitionBy(*(partition_by or []), "_chunk").orderBy("_pos")
 
 
 def unchunk(df: DataFrame, keep_pos: bool = False) -> DataFrame:
@@ -75,7 +76,7 @@ def unchunk(df: DataFrame, keep_pos: bool = False) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, cols: list[str], order_col: str = "Date",
-                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                 chunk_rows: int = CHUNK_ROWS, partition_by: list[str] | None = None) -> DataFrame:
     """Last known value of each column along the series (nulls padded forward).
 
     Two passes instead of an unbounded window: the last known value of every chunk (a
@@ -83,17 +84,19 @@ def forward_fill(df: DataFrame, cols: list[str], order_col: str = "Date",
     ``coalesce(last known so far in the chunk, carry from earlier chunks)``.
     """
     had_pos = "_pos" in df.columns
-    pos = (df if had_pos else with_positions(df, order_col)) \
+    pb = list(partition_by or [])
+    pos = (df if had_pos else with_positions(df, order_col, partition_by=pb)) \
         .withColumn("_chunk", F.floor(F.col("_pos") / chunk_rows))
-    last_of_chunk = pos.groupBy("_chunk").agg(
+    last_of_chunk = pos.groupBy(*pb, "_chunk").agg(
         *[F.max(F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(c).alias("v"))))
           .getField("v").alias(c) for c in cols])
     # one row per chunk: carry the last known value from all earlier chunks
-    over_chunks = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    over_chunks = (Window.partitionBy(*pb) if pb else Window).orderBy("_chunk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
     carry = last_of_chunk.select(
-        "_chunk", *[F.last(c, ignorenulls=True).over(over_chunks).alias(f"_carry_{c}") for c in cols])
-    inside = Window.partitionBy("_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    joined = pos.join(carry, "_chunk", "left")
+        *pb, "_chunk", *[F.last(c, ignorenulls=True).over(over_chunks).alias(f"_carry_{c}") for c in cols])
+    inside = Window.partitionBy(*pb, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    joined = pos.join(carry, [*pb, "_chunk"], "left")
     filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carry_{c}")) for c in cols}
     out = joined.withColumns(filled).drop("_chunk", *[f"_carry_{c}" for c in cols])
     return out if had_pos else out.drop("_pos")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from ..functions import null_as_zero_flag
 from . import market as mk
@@ -26,14 +26,13 @@ def _flag(cond: Column, null_unknown: bool) -> Column:
 
 def _prepare(df: DataFrame, order_col: str, partition_by: Sequence[str] | None,
              chunk_rows: int) -> tuple[DataFrame, WindowSpec]:
-    if partition_by:
-        return df, Window.partitionBy(*partition_by).orderBy(order_col)
-    return (series.chunked(df, order_col, lookahead=LOOKAHEAD, chunk_rows=chunk_rows),
-            series.chunk_window())
+    pb = list(partition_by or [])
+    return (series.chunked(df, order_col, lookahead=LOOKAHEAD, chunk_rows=chunk_rows, partition_by=pb),
+            series.chunk_window(pb))
 
 
 def _finish(df: DataFrame, partition_by: Sequence[str] | None, keep_pos: bool = False) -> DataFrame:
-    return df if partition_by else series.unchunk(df, keep_pos)
+    return series.unchunk(df, keep_pos)
 
 
 def forward_mean_3(col: str, base: WindowSpec, scale: int | None = None) -> Column:
