@@ -13,15 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import null_as_zero_flag
-from .windows import ordered, rows, to_here
-
-
-def _pct_change(df: DataFrame, src: str, dst: str, order_col: str,
-                partition_by: Sequence[str] | None) -> DataFrame:
-    padded = f"_{dst}_padded"
-    df = df.withColumn(padded, F.last(src, ignorenulls=True).over(to_here(order_col, partition_by)))
-    prev = F.lag(padded, 1).over(ordered(order_col, partition_by))
-    return df.withColumn(dst, F.try_divide(F.col(padded), prev) - 1).drop(padded)
+from . import series
 
 
 def select_range(market: DataFrame, start: Column, end: Column, pad_days: int = 30) -> DataFrame:
@@ -36,17 +28,25 @@ def market_range_for(daily: DataFrame, market: DataFrame, pad_days: int = 30) ->
 
 
 def indicators(market: DataFrame, order_col: str = "Date",
-               partition_by: Sequence[str] = ("symbol",)) -> DataFrame:
+               partition_by: Sequence[str] = ("symbol",),
+               chunk_rows: int = series.CHUNK_ROWS) -> DataFrame:
     """Per symbol: daily_return (W5), volatility_5d (W6), sma_20 (W7), rsi (W9),
     market_trend (W8) and high_fear (F5, ``Close > 20``).
 
     Frame guards reproduce minimum-row rules: volatility needs 5 returns, sma_20 needs
-    20 closes, rsi needs 14 rows.
+    20 closes, rsi needs 14 rows. Each symbol's series is numbered once, prices are
+    padded forward with the two-pass chunk carry, and the windows run in position
+    chunks with a 20-row halo (``operators.series``), so no task holds a whole series.
     """
-    pb = list(partition_by) if partition_by else None
-    df = _pct_change(market, "Close", "daily_return", order_col, pb)
-    w5, w20, w14 = rows(order_col, -4, 0, pb), rows(order_col, -19, 0, pb), rows(order_col, -13, 0, pb)
-    delta = F.col("Close") - F.lag("Close", 1).over(ordered(order_col, pb))
+    pb = list(partition_by or [])
+    numbered = series.with_positions(market.withColumn("_padded", F.col("Close")), order_col,
+                                     partition_by=pb)
+    padded = series.forward_fill(numbered, ["_padded"], order_col, chunk_rows, pb)
+    df = series.chunked(padded, order_col, lookback=20, chunk_rows=chunk_rows, partition_by=pb)
+    base = series.chunk_window(pb)
+    w5, w20, w14 = base.rowsBetween(-4, 0), base.rowsBetween(-19, 0), base.rowsBetween(-13, 0)
+    df = df.withColumn("daily_return", F.try_divide(F.col("_padded"), F.lag("_padded", 1).over(base)) - 1)
+    delta = F.col("Close") - F.lag("Close", 1).over(base)
     df = df.withColumns({
         "_gain": F.when(delta > 0, delta).otherwise(F.lit(0.0)),
         "_loss": F.when(delta < 0, -delta).otherwise(F.lit(0.0)),
@@ -65,7 +65,7 @@ def indicators(market: DataFrame, order_col: str = "Date",
         "market_trend": null_as_zero_flag(F.col("Close") > F.col("sma_20")),
         "high_fear": null_as_zero_flag(F.col("Close") > 20),
     })
-    return df.drop("_gain", "_loss", "_ag", "_al")
+    return series.unchunk(df).drop("_gain", "_loss", "_ag", "_al", "_padded")
 
 
 def main_series(ind: DataFrame, symbol: str = "SPY") -> DataFrame:

@@ -82,3 +82,16 @@ def test_panel_paths_equal_per_entity_runs(spark):
         got = rg.regime_flags(ok, partition_by=["symbol"]).where(F.col("symbol") == sym)
         one2 = one.withColumn("Neutral_Probability_mean", F.lit(0.4))
         assert rows_of(got.drop("symbol")) == rows_of(rg.regime_flags(one2).drop("symbol"))
+
+
+def test_market_indicators_chunked_equals_whole(spark):
+    from headline_signals.operators import market as mk
+    rnd = random.Random(5)
+    rows = []
+    for sym in ("A", "B"):
+        price = 100.0
+        for i in range(90):
+            price = max(1.0, price + rnd.uniform(-3, 3))
+            rows.append((sym, dt.date(2024, 1, 1) + dt.timedelta(days=i), None if rnd.random() < 0.1 else round(price, 2)))
+    m = spark.createDataFrame(rows, "symbol string, Date date, Close double")
+    assert rows_of(mk.indicators(m, chunk_rows=23)) == rows_of(mk.indicators(m))
