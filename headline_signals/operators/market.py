@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import null_as_zero_flag
 from . import series
+from .partitioning import materialize
 
 
 def select_range(market: DataFrame, start: Column, end: Column, pad_days: int = 30) -> DataFrame:
@@ -41,7 +42,8 @@ def indicators(market: DataFrame, order_col: str = "Date",
     pb = list(partition_by or [])
     numbered = series.with_positions(market.withColumn("_padded", F.col("Close")), order_col,
                                      partition_by=pb)
-    padded = series.forward_fill(numbered, ["_padded"], order_col, chunk_rows, pb)
+    # written once: the chunking and every window pass read the padded series
+    padded = materialize(series.forward_fill(numbered, ["_padded"], order_col, chunk_rows, pb))
     df = series.chunked(padded, order_col, lookback=20, chunk_rows=chunk_rows, partition_by=pb)
     base = series.chunk_window(pb)
     w5, w20, w14 = base.rowsBetween(-4, 0), base.rowsBetween(-19, 0), base.rowsBetween(-13, 0)
