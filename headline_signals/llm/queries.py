@@ -10,6 +10,11 @@ from .byte_bpe import bpe_digests
 from .common import documents
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .secret_scan import MORE_RULES, secret_digests
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(documents(spark, sf_dir))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +32,45 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_mixing": op8_mixing,
 }
 
+#: kind, RE2 pattern, capturing group and its least length, as in the rules.
+_SECRET_SQL = [
+    ("assign", "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
+     "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    *((r.kind, r.pattern, r.group, r.least) for r in MORE_RULES),
+]
+
+
+def _spans_sql(order: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """All spans of one kind: match i starts after the pieces up to it and the matches before it."""
+    return f"""SELECT doc_id, {order} AS k, '{kind}' AS kind, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
+    's': coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0)::BIGINT
+         + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT,
+    'l': length(m[i]), 'g': length(g[i])}}), lambda z: z.g >= {least})) AS z
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p,
+               regexp_extract_all(t, '{pattern}', {group}) AS g FROM d)"""
+
+
 ORACLE: dict[str, str] = {
+    "op1_secret_scan": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_spans_sql(i, *rule) for i, rule in enumerate(_SECRET_SQL))}),
+j AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+             count(*) FILTER (k = 2) AS n_hex,
+             string_agg(kind || ':' || z.s || ':' || (z.s + z.l), ',' ORDER BY z.s, k) FILTER (k <= 2) AS base,
+             string_agg(kind || ':' || z.s || ':' || (z.s + z.l), ',' ORDER BY z.s, k) AS spans
+      FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j ON d.doc_id = j.doc_id
+""",
     "op3_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
            FROM documents),
