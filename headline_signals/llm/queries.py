@@ -10,6 +10,7 @@ from .byte_bpe import bpe_digests
 from .common import documents
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .pitman_yor import language_model_scores
 from .secret_scan import MORE_RULES, secret_digests
 
 
@@ -31,11 +32,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_mixing": op8_mixing,
+    "op10_pitman_yor": op10_pitman_yor,
 }
 
 #: kind, RE2 pattern, capturing group and its least length, as in the rules.
