@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.tables import load
 from .byte_bpe import bpe_digests
-from .common import documents
+from .common import documents, id_bucket
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
+from .language_id import identify
 from .mixing import mix
 from .pitman_yor import language_model_scores
 from .secret_scan import MORE_RULES, secret_digests
@@ -26,12 +29,23 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", (id_bucket(F.col("doc_id")) % 3 == 1).alias("held_out"),
+                                 F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
                         F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_text(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(documents(spark, sf_dir))
 
@@ -40,7 +54,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
+    "op9_html_text": op9_html_text,
     "op10_pitman_yor": op10_pitman_yor,
 }
 
