@@ -10,6 +10,7 @@ from ..sources.tables import load
 from .byte_bpe import bpe_digests
 from .common import documents, id_bucket
 from .exact_dedup import exact_dedup
+from .fingerprints import edited_fingerprints
 from .html_text import extract_text
 from .language_id import identify
 from .mixing import mix
@@ -21,6 +22,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(documents(spark, sf_dir))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -52,6 +57,7 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_fingerprints": op2_fingerprints,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_language_id": op7_language_id,
