@@ -12,6 +12,7 @@ from .common import documents, id_bucket
 from .exact_dedup import exact_dedup
 from .fingerprints import edited_fingerprints
 from .html_text import extract_text
+from .jaccard_join import similar_documents
 from .language_id import identify
 from .mixing import mix
 from .pitman_yor import language_model_scores
@@ -30,6 +31,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_fingerprints": op2_fingerprints,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
