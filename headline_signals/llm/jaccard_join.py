@@ -21,12 +21,11 @@ token. Only keys, and the sets that have any, are shuffled as rows.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .block_keys import ANSWER_SCHEMA, SENT_SCHEMA, answer_blocks, key_bits, received, sent_rows
 from .common import checkpointed, mix64, row_blocks, text_or_empty, word_hashes
 from .components import components
 
@@ -95,17 +94,6 @@ def _describe(stream):
                  pa.array(np.diff(offsets), pa.int64())], names=["id", "n", "set_id", "n_bytes"])
 
 
-def pack(ascending: np.ndarray) -> bytes:
-    """Ascending numbers as compressed gaps, byte by byte, so that equal high bytes meet."""
-    gaps = np.diff(ascending, prepend=np.uint64(0))
-    return zlib.compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
 def frequency_code(count: np.ndarray) -> np.ndarray:
     """Counts as one ascending byte: exact up to 200, then half powers of two."""
     count = np.asarray(count, np.int64)
@@ -130,36 +118,16 @@ class _Block:
         self.keys, self.place, self.counts = np.unique(short, return_inverse=True, return_counts=True)
 
 
-def _cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    edges = np.array([i * (1 << bits) // buckets for i in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
-
-
 def _send(buckets: int, bits: int):
     def send(docs: pa.Table, nodes: pa.Table) -> pa.Table:
         wanted = set(zip(nodes.column("id").to_pylist(), nodes.column("set_id").to_pylist()))
         block = _Block(docs, wanted, 64 - bits)
-        cuts = _cuts(block.keys, buckets, bits)
         number = docs.column("block")[0].as_py() if docs.num_rows else -1
-        rows = [(b, number, pack(block.keys[i:j]), zlib.compress(block.counts[i:j].astype(np.uint32).tobytes(), 1))
-                for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-        return pa.table([list(c) for c in zip(*rows)] if rows else [[]] * 4, schema=pa.schema(
-            [("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+        return sent_rows(number, block.keys, block.counts, buckets, bits)
 
     return send
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """For every block of a bucket: one byte per key, in the order of the block's keys."""
-    keys = [unpack(k) for k in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(zlib.decompress(c), np.uint32) for c in table.column("counts").to_pylist()]
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.bincount(place, np.concatenate(counts), len(distinct))
-    codes = np.split(frequency_code(sums)[place], np.cumsum([len(k) for k in keys])[:-1])
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
-                     "codes": pa.array([zlib.compress(c.tobytes(), 1) for c in codes], pa.binary())})
-
-
 KEY_SCHEMA = "key bigint, set_id bigint, n int, many int, tokens binary"
 _KEY_ARROW = pa.schema([("key", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("many", pa.int32()),
                         ("tokens", pa.binary())])
@@ -192,9 +160,7 @@ def _emit(bits: int):
         nodes = [(i, s) for i, s in zip(side.column("id").to_pylist(), side.column("set_id").to_pylist())
                  if s is not None]
         block = _Block(docs, set(nodes), 64 - bits)
-        answers = sorted((b, c) for b, c in zip(side.column("bucket").to_pylist(), side.column("codes").to_pylist())
-                         if c is not None)
-        codes = np.frombuffer(b"".join(zlib.decompress(c) for _, c in answers), np.uint8)
+        codes = received(side)
         columns: list[list[np.ndarray]] = [[], [], [], []]
         sets, at = [], 0
         for node, tokens in block.sets:
@@ -298,8 +264,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     total = described.agg(F.sum("n_bytes").alias("size"), F.sum("n").alias("tokens")).first()
     blocks = max(8, -(-(total["size"] or 0) // BLOCK_TEXT))
     buckets = max(8, -(-(total["tokens"] or 0) // BUCKET_TOKENS))
-    # enough bits of a token to tell it from all others but for one in some thousands
-    bits = min(64, max(1, int(total["tokens"] or 1).bit_length()) + 13)
+    bits = key_bits(int(total["tokens"] or 1))
 
     def block_of(column: str):
         return F.pmod(F.xxhash64(column), F.lit(blocks)).alias("block")
@@ -309,8 +274,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                          .agg(F.min("id").alias("id")).select("set_id", "n", "id", block_of("id")))
     dealt = rows.where("id is not null").select("id", "text", block_of("id")).repartition(blocks, "block").groupBy("block")
     sent = dealt.cogroup(nodes.groupBy("block")).applyInArrow(
-        _send(buckets, bits), "bucket int, block bigint, keys binary, counts binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "block bigint, bucket int, codes binary")
+        _send(buckets, bits), SENT_SCHEMA)
+    answers = sent.groupBy("bucket").applyInArrow(answer_blocks(frequency_code), ANSWER_SCHEMA)
     side = (answers.select("block", "bucket", "codes", F.lit(None).cast("bigint").alias("id"),
                            F.lit(None).cast("bigint").alias("set_id"))
             .unionByName(nodes.select("block", F.lit(None).cast("int").alias("bucket"),
