@@ -9,15 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from headline_signals.llm.byte_bpe import bpe_digests
 from headline_signals.llm.common import documents
 from headline_signals.llm.exact_dedup import keep_first
+from headline_signals.llm.jaccard_join import keep_one
+from headline_signals.llm.language_id import keep_identified
 from headline_signals.llm.mixing import mixed_copies
 from headline_signals.session import scratch_path
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told (a text, with letters) stay."""
+    return keep_identified(docs)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id stays."""
     return keep_first(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that similarity links join, the one with the smallest id stays."""
+    return keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once, or up to three times."""
     return mixed_copies(docs)
@@ -29,7 +41,9 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", identify_language),
     ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
     ("mixing", mix_sources),
     ("byte_bpe", tokenise),
 ]

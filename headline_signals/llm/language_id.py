@@ -196,3 +196,8 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", hold_out: int = 1, fo
 def identify(docs: DataFrame) -> DataFrame:
     """Fits on the training rows of ``docs`` and predicts all of them."""
     return predict_language(docs, fit_language_model(training_rows(docs)))
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose language is not ``und``."""
+    return identify(docs).where(F.col("_lang_pred") != UNKNOWN).select(*[F.col(c) for c in docs.columns])
