@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -78,22 +79,19 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    parts = [piece[i:i + 1] for i in range(len(piece))]
-    if len(parts) > 256:
-        return _merge_long(parts, ranks)
-    pair_ranks = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-    while pair_ranks:
-        best = min((r for r in pair_ranks if r is not None), default=None)
-        if best is None:
-            break
+    if len(piece) > 256:
+        return _merge_long([piece[i:i + 1] for i in range(len(piece))], ranks)
+    get, none = ranks.get, len(ranks) + 1 << 8
+    cuts = list(range(len(piece) + 1))  # part i is piece[cuts[i]:cuts[i + 1]]
+    pair_ranks = [get(piece[i:i + 2], none) for i in range(len(piece) - 1)]
+    while pair_ranks and (best := min(pair_ranks)) != none:
         i = pair_ranks.index(best)
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        del pair_ranks[i]
+        del cuts[i + 1], pair_ranks[i]
         if i > 0:
-            pair_ranks[i - 1] = ranks.get(parts[i - 1] + parts[i])
+            pair_ranks[i - 1] = get(piece[cuts[i - 1]:cuts[i + 1]], none)
         if i < len(pair_ranks):
-            pair_ranks[i] = ranks.get(parts[i] + parts[i + 1])
-    return [ranks[p] for p in parts]
+            pair_ranks[i] = get(piece[cuts[i]:cuts[i + 2]], none)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
 
 
 def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
@@ -120,9 +118,23 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p, on in zip(parts, alive) if on]
 
 
+class _PieceIds(dict):
+    """Ids of the pieces seen lately; it starts anew when it holds ``CACHE_PIECES``."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        ids = self[piece] = tuple(merge_piece(piece.encode(), self.ranks))  # tuples of ints burden no collector
+        return ids
+
+
 def text_encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
-    ranks, compiled = load_ranks(path), regex.compile(pattern)
-    piece_ids = lru_cache(CACHE_PIECES)(lambda piece: tuple(merge_piece(piece.encode(), ranks)))
+    compiled = regex.compile(pattern)
+    piece_ids = _PieceIds(load_ranks(path)).__getitem__
 
     def encode(text: str) -> list[int]:
         if len(text) <= CHUNK_CHARS:
@@ -130,10 +142,7 @@ def text_encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
         else:
             ends = boundaries(text, compiled)
             pieces = [text[a:b] for a, b in zip([0, *ends], ends)]
-        ids: list[int] = []
-        for piece in pieces:
-            ids += piece_ids(piece)
-        return ids
+        return list(chain.from_iterable(map(piece_ids, pieces)))
 
     return encode
 
@@ -171,8 +180,9 @@ def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "to
 
         def task(batch):
             for block, _, _ in row_blocks(batch, text_col):
-                ids = [encode(t or "") for t in block.column(text_col).to_pylist()]
-                yield block, pa.array(ids, pa.list_(pa.int32()))
+                ids = [np.array(encode(t or ""), np.int32) for t in block.column(text_col).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                yield block, pa.ListArray.from_arrays(ends, np.concatenate(ids))
         return task
 
     drop = (ids_col, text_col) if drop_text else (ids_col,)
@@ -191,7 +201,8 @@ def decode_documents(encoded: DataFrame, ids_col: str = "token_ids", bytes_col:
         def task(batch):
             for start in range(0, batch.num_rows, 256):
                 block = batch.slice(start, 256)
-                texts = [b"".join(map(token, ids or ())) for ids in block.column(ids_col).to_pylist()]
+                texts = [b"".join(map(token, ids.values.to_numpy().tolist() if ids.is_valid else ()))
+                         for ids in block.column(ids_col)]
                 yield block, pa.array(texts, pa.binary())
         return task
 
