@@ -1,14 +1,14 @@
 """Column-expression helpers (pure Catalyst, no Python workers)."""
 
-from .numeric import round4, null_as_zero_flag, nan_to_null, exact_sum, exact_mean
-from .timeparse import complete_time, parse_time, to_day, format_day
+from .numeric import round4, null_as_zero_flag, exact_sum, mean_of
+from .timeparse import complete_time, parse_time, to_day
 from .labels import (LABELS, class_to_label, label_to_class, label_to_sign,
                      softmax3, argmax3)
-from .keywords import KEYWORDS, mention_count, any_mention
+from .keywords import KEYWORDS, mention_count
 
 __all__ = [
-    "round4", "null_as_zero_flag", "nan_to_null", "exact_sum", "exact_mean",
-    "complete_time", "parse_time", "to_day", "format_day",
+    "round4", "null_as_zero_flag", "exact_sum", "mean_of",
+    "complete_time", "parse_time", "to_day",
     "LABELS", "class_to_label", "label_to_class", "label_to_sign", "softmax3", "argmax3",
-    "KEYWORDS", "mention_count", "any_mention",
+    "KEYWORDS", "mention_count",
 ]

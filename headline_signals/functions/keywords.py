@@ -66,18 +66,6 @@ def mention_count(lowered: Column, words: list[str], match: str = "substring",
     return total
 
 
-def any_mention(lowered: Column, words: list[str], match: str = "substring",
-                toks: Column | None = None) -> Column:
-    """True when any category word occurs; null text -> false."""
-    _check(match)
-    if match == "substring":
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.coalesce(lowered.contains(w), F.lit(False))
-        return hit
-    return mention_count(lowered, words, match, toks) > 0
-
-
 def hit_columns(keywords: dict[str, list[str]]) -> list[str]:
     """Names of the per-text match columns added by ``keyword_hits``."""
     return [c for cat in keywords for c in (f"_kw_{cat}_n", f"_kw_{cat}_hit")]

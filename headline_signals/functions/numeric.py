@@ -23,22 +23,16 @@ def null_as_zero_flag(cond: Column) -> Column:
     return F.coalesce(cond.cast("int"), F.lit(0))
 
 
-def nan_to_null(c) -> Column:
-    """NaN -> NULL, so that Spark aggregates skip it like pandas does."""
-    c = _c(c)
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
-
-
-def exact_sum(c, scale: int = 4) -> Column:
+def exact_sum(c, scale: int) -> Column:
     """Sum of values that carry at most ``scale`` decimals, added exactly as DECIMAL.
 
-    Scored probabilities and daily aggregates are rounded to 4 decimals by construction,
-    so casting them to ``DECIMAL(.., scale)`` is lossless and the sum is exact: the
-    result no longer depends on how rows were split across partitions or tasks.
+    For values that the caller knows to carry no more decimals the cast is lossless and the
+    sum does not depend on how rows were split across tasks. Others would be cut.
     """
     return F.sum(_c(c).cast(f"decimal(24,{scale})"))
 
 
-def exact_mean(c, scale: int = 4) -> Column:
-    """Mean as ``double(exact decimal sum) / count`` (see ``exact_sum``); null when no values."""
-    return exact_sum(c, scale).cast("double") / F.count(_c(c))
+def mean_of(c, scale: int | None = None) -> Column:
+    """The mean, null when there are no values: ``avg``, or with ``scale`` the exact decimal sum
+    (see ``exact_sum``) over the count."""
+    return F.avg(_c(c)) if scale is None else exact_sum(c, scale).cast("double") / F.count(_c(c))

@@ -16,14 +16,16 @@ from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampT
 MONTH_ABBREVIATIONS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
                        "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
-# Extra formats tried after the two fixed tiers of ``parse_time`` (our explicit stand-in
-# for free-form inference). Each is tried with ``try_to_timestamp``; first hit wins.
+# Formats of ``parse_time``: two fixed tiers and our explicit stand-in for free-form inference.
 # ISO shapes ("yyyy-MM-dd HH:mm[:ss]", "yyyy-MM-ddTHH:mm:ss") are covered by the cast.
-FALLBACK_FORMATS = [
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "MMM d yyyy",
-]
+# Format -> shape of the texts it is tried on, so that a text is parsed by one format only.
+FORMAT_SHAPES = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "yyyy-MM-dd h:mma": r"^\d{4}-\d{2}-\d{2} \d{1,2}:\d{2}[AP]M$",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "MMM d yyyy": r"^[A-Z]{3} \d{1,2} \d{4}$",
+}
 
 
 def _c(c) -> Column:
@@ -78,11 +80,11 @@ def parse_time(c) -> Column:
     fallback formats and Spark's own cast. Anything else is null.
     """
     s = F.trim(_c(c))
-    # each tier is null unless the whole text matches its format, so one coalesce
-    # keeps the order of the tiers; "yyyy-MM-dd" only matches a bare date
-    tiers = [try_parse_ntz(s, "yyyy-MM-dd"), try_parse_ntz(F.upper(s), "yyyy-MM-dd h:mma")]
-    tiers += [try_parse_ntz(s, fmt) for fmt in FALLBACK_FORMATS]
-    tiers.append(s.try_cast("timestamp_ntz"))
+    upper = F.upper(s)
+    tiers = [F.when(upper.rlike(shape), try_parse_ntz(upper if "a" in fmt else s, fmt))
+             for fmt, shape in FORMAT_SHAPES.items()]
+    tiers.append(F.when(~upper.rlike("|".join(f"({shape})" for shape in FORMAT_SHAPES.values())),
+                        s.try_cast("timestamp_ntz")))
     return F.when(~F.lower(s).startswith("loading"), F.coalesce(*tiers))
 
 
@@ -101,8 +103,3 @@ def to_day(c, dtype=None) -> Column:
 def day_of(df, col: str) -> Column:
     """``to_day`` that looks up the column type in ``df``."""
     return to_day(col, df.schema[col].dataType)
-
-
-def format_day(c) -> Column:
-    """``yyyy-MM-dd`` text of a date or timestamp (D4); null stays null."""
-    return F.date_format(_c(c), "yyyy-MM-dd")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import KEYWORDS, class_to_label, exact_mean, label_to_sign, round4
+from ..functions import KEYWORDS, class_to_label, label_to_sign, mean_of, round4
 from ..functions.keywords import hit_columns, keyword_hits
 from ..functions.timeparse import day_of, parse_time
 
@@ -44,45 +44,39 @@ def _grain(scored: DataFrame, time_col: str, grain: str) -> Column:
 
 
 def daily_index(scored: DataFrame, time_col: str = "Time", class_col: str = "Predicted_Class",
-                confidence_col: str = "Confidence") -> DataFrame:
+                confidence_col: str = "Confidence", scale: int | None = None) -> DataFrame:
     """Daily sentiment index (A1).
 
     Per calendar day: ``Daily_Sentiment_Index = 100 * mean(sign(class) * confidence)``
     over rows with a known score, and ``Headlines_Processed`` = all rows of the day.
-    Rows whose time does not parse are excluded. Confidences carry 4 decimals (the
-    scorer rounds them), so the mean is taken from an exact decimal sum.
+    Rows whose time does not parse are excluded. ``scale``: the decimals that confidences
+    carry, if the caller knows them (``score`` rounds to 4); the sum is then exact.
     """
     sign = label_to_sign(class_to_label(F.col(class_col)))
     agg = (scored
            .select(day_of(scored, time_col).alias("Time"),
                    (sign * F.col(confidence_col)).alias("_score"))
            .groupBy("Time")
-           .agg((exact_mean("_score", 4) * 100).alias("Daily_Sentiment_Index"),
+           .agg((mean_of("_score", scale) * 100).alias("Daily_Sentiment_Index"),
                 F.count(F.lit(1)).alias("Headlines_Processed")))
-    return drop_null_group(agg, "Time", "Headlines_Processed")
+    return drop_null_group(agg, "Time")
 
 
-def drop_null_group(agg: DataFrame, key: str, count_col: str) -> DataFrame:
-    """Drop the group of rows whose key (a parsed day) is null, after the aggregate.
-
-    A plain ``key IS NOT NULL`` filter would be pushed below the ``groupBy`` and the
-    scan-side projections, so the time parsing behind the key would run twice (once in
-    the filter, once for the key). Referencing an aggregate column (a count, never
-    negative) keeps the filter above the aggregate; the null group's partial rows are
-    tiny.
-    """
-    return agg.where(F.col(key).isNotNull() | (F.col(count_col) < 0))
+def drop_null_group(agg: DataFrame, key: str) -> DataFrame:
+    """Drop the group of rows whose key (a day) is null. On a date or timestamp column the filter
+    reaches the scan; on parsed text it runs with the parsing, below the aggregate."""
+    return agg.where(F.col(key).isNotNull())
 
 
-def _stat_aggs() -> list[Column]:
+def _stat_aggs(scale: int | None) -> list[Column]:
+    double = None if scale is None else 2 * scale  # decimals of a product
     s, w, c = F.col("sentiment_score"), F.col("weighted_sentiment"), F.col("Confidence")
-    # probabilities carry 4 decimals, weighted scores 8: means use exact decimal sums
     raw = [
-        exact_mean(s, 4), F.stddev_samp(s), F.min(s), F.max(s), F.count(s),
-        exact_mean(w, 8), F.stddev_samp(w), exact_mean(c, 4), F.stddev_samp(c),
-        exact_mean("Positive_Probability", 4), F.max("Positive_Probability"),
-        exact_mean("Negative_Probability", 4), F.max("Negative_Probability"),
-        exact_mean("Neutral_Probability", 4), F.max("Neutral_Probability"),
+        mean_of(s, scale), F.stddev_samp(s), F.min(s), F.max(s), F.count(s),
+        mean_of(w, double), F.stddev_samp(w), mean_of(c, scale), F.stddev_samp(c),
+        mean_of("Positive_Probability", scale), F.max("Positive_Probability"),
+        mean_of("Negative_Probability", scale), F.max("Negative_Probability"),
+        mean_of("Neutral_Probability", scale), F.max("Neutral_Probability"),
     ]
     out = []
     for name, agg in zip(DAILY_STAT_COLUMNS, raw):
@@ -100,13 +94,14 @@ def _with_hits(rows: DataFrame, keywords: dict[str, list[str]], match: str,
     return keyword_hits(rows, text_col, keywords, match)
 
 
-def _keyword_aggs(keywords: dict[str, list[str]]) -> list[Column]:
+def _keyword_aggs(keywords: dict[str, list[str]], scale: int | None) -> list[Column]:
+    double = None if scale is None else 2 * scale
     out = []
     for cat in keywords:
         hit = F.col(f"_kw_{cat}_hit")
         out += [
             F.sum(f"_kw_{cat}_n").cast("bigint").alias(f"{cat}_mentions"),
-            F.coalesce(exact_mean(F.when(hit, F.col("weighted_sentiment")), 8), F.lit(0.0))
+            F.coalesce(mean_of(F.when(hit, F.col("weighted_sentiment")), double), F.lit(0.0))
              .alias(f"{cat}_sentiment"),
             F.sum(hit.cast("int")).cast("bigint").alias(f"{cat}_headlines"),
         ]
@@ -118,21 +113,23 @@ def keyword_columns(keywords: dict[str, list[str]] | None = None) -> list[str]:
     return [f"{cat}_{kind}" for cat in keywords for kind in ("mentions", "sentiment", "headlines")]
 
 
-def daily_stats(scored: DataFrame, time_col: str = "Time", grain: str = "day") -> DataFrame:
+def daily_stats(scored: DataFrame, time_col: str = "Time", grain: str = "day",
+                scale: int | None = None) -> DataFrame:
     """Daily statistics (A2): ``Date`` plus the 15 aggregates, rounded to 4 decimals.
 
     ``headline_count`` counts rows with a known score. Rows without a parseable time
-    are left out (P3; their group is dropped after the aggregate). ``grain="exact"`` groups on the full timestamp instead of
-    the calendar day (the reference's behaviour when times carry minutes).
+    are left out (P3). ``grain="exact"`` groups on the full timestamp instead of the calendar
+    day (the reference's behaviour when times carry minutes). ``scale``: the decimals that
+    probabilities carry, if known; sums are then exact.
     """
     rows = sentiment_columns(scored).withColumn("Date", _grain(scored, time_col, grain))
-    agg = rows.groupBy("Date").agg(*_stat_aggs(), F.count(F.lit(1)).alias("_rows"))
-    return drop_null_group(agg, "Date", "_rows").drop("_rows")
+    agg = rows.groupBy("Date").agg(*_stat_aggs(scale))
+    return drop_null_group(agg, "Date")
 
 
 def keyword_features(scored: DataFrame, time_col: str = "Time", grain: str = "day",
                      keywords: dict[str, list[str]] | None = None,
-                     match: str = "substring") -> DataFrame:
+                     match: str = "substring", scale: int | None = None) -> DataFrame:
     """Keyword features per day (K1-K3): for each category, mentions (distinct words
     found per headline, summed), headlines with any match, and the mean weighted
     sentiment of those headlines (0 when none).
@@ -143,20 +140,19 @@ def keyword_features(scored: DataFrame, time_col: str = "Time", grain: str = "da
     keywords = KEYWORDS if keywords is None else keywords
     rows = sentiment_columns(scored).withColumn("Date", _grain(scored, time_col, grain))
     rows = _with_hits(rows, keywords, match)
-    agg = rows.groupBy("Date").agg(*_keyword_aggs(keywords), F.count(F.lit(1)).alias("_rows"))
-    return drop_null_group(agg, "Date", "_rows").drop("_rows")
+    agg = rows.groupBy("Date").agg(*_keyword_aggs(keywords, scale))
+    return drop_null_group(agg, "Date")
 
 
 def daily_features(scored: DataFrame, time_col: str = "Time", grain: str = "day",
                    keywords: dict[str, list[str]] | None = None,
-                   match: str = "substring") -> DataFrame:
+                   match: str = "substring", scale: int | None = None) -> DataFrame:
     """A2 and K1-K3 in a single ``groupBy``: one scan, one shuffle, no join (fuses J1/J2)."""
     keywords = KEYWORDS if keywords is None else keywords
     rows = sentiment_columns(scored).withColumn("Date", _grain(scored, time_col, grain))
     rows = _with_hits(rows, keywords, match)
-    agg = rows.groupBy("Date").agg(*_stat_aggs(), *_keyword_aggs(keywords),
-                                   F.count(F.lit(1)).alias("_rows"))
-    return drop_null_group(agg, "Date", "_rows").drop("_rows")
+    agg = rows.groupBy("Date").agg(*_stat_aggs(scale), *_keyword_aggs(keywords, scale))
+    return drop_null_group(agg, "Date")
 
 
 def merge_keywords(daily: DataFrame, keyword_daily: DataFrame) -> DataFrame:

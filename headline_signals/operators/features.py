@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import series
 
@@ -34,11 +34,14 @@ def fill_features(df: DataFrame, features: Sequence[str], order_col: str = "Date
 
 
 def feature_matrix(df: DataFrame, order_col: str = "Date",
-                   extra_excluded: Sequence[str] = (), assemble: bool = False) -> DataFrame:
+                   extra_excluded: Sequence[str] = (), assemble: bool = False,
+                   gaps: Sequence[str] | None = None) -> DataFrame:
     """F8: the filled feature columns (plus keys and targets), optionally assembled
-    into a ``features`` vector for Spark ML."""
+    into a ``features`` vector for Spark ML. ``gaps``: the features that can be null, if the
+    caller knows them; the others are not read for filling."""
     names = feature_names(df, extra_excluded)
-    out = fill_features(df, names, order_col)
+    to_fill = names if gaps is None else list(gaps)
+    out = fill_features(df, to_fill, order_col) if to_fill else df
     if assemble:
         from pyspark.ml.feature import VectorAssembler
         out = VectorAssembler(inputCols=names, outputCol="features").transform(out)
@@ -51,14 +54,10 @@ def with_position(df: DataFrame, order_col: str = "Date") -> DataFrame:
     return series.with_positions(df, order_col, "row_idx").withColumn("row_idx", F.col("row_idx").cast("int"))
 
 
-def fold_count(n: int) -> int:
+def fold_rule(n: Column) -> Column:
     """Number of folds the reference uses for ``n`` rows: none below 5, 3 below 10,
     else ``min(3, n // 5)``."""
-    if n < 5:
-        return 0
-    if n < 10:
-        return 3
-    return min(3, n // 5)
+    return F.when(n < 5, 0).when(n < 10, 3).otherwise(F.least(F.lit(3), (n / 5).cast("int")))
 
 
 def time_folds(df: DataFrame, k: int | None = None, order_col: str = "Date") -> DataFrame:
@@ -66,13 +65,12 @@ def time_folds(df: DataFrame, k: int | None = None, order_col: str = "Date") ->
 
     With ``n`` rows and ``s = n // (k + 1)``, fold ``i`` (from 0) tests rows
     ``[n - (k - i) s, n - (k - i - 1) s)`` and trains on every earlier row. ``k=None``
-    applies the reference's rule (``fold_count``) to ``n`` inside the plan (``n`` is a
+    applies the reference's rule (``fold_rule``) to ``n`` inside the plan (``n`` is a
     scalar subquery).
     """
     pos = with_position(df, order_col).withColumn("_n", series.count_all(df))
     if k is None:
-        k_col = (F.when(F.col("_n") < 5, 0).when(F.col("_n") < 10, 3)
-                 .otherwise(F.least(F.lit(3), (F.col("_n") / 5).cast("int"))))
+        k_col = fold_rule(F.col("_n"))
     else:
         k_col = F.lit(int(k))
     x = pos.withColumn("_k", k_col).withColumn("_s", (F.col("_n") / (F.col("_k") + 1)).cast("int"))

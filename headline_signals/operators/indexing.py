@@ -1,39 +1,52 @@
 """Distributed global row index (for feed paging and series positions).
 
 ``row_number()`` over an unpartitioned window moves every row into one task. Here the
-key range is cut into buckets of consecutive key values: per-bucket counts form a small
-table (one row per bucket) whose running sum gives each bucket's offset, and rows are
-numbered inside their bucket with a window partitioned by bucket. Keys must be unique
-integers, so a bucket never holds more keys than its width, whatever the skew: the
-width is ``span / target_buckets`` but never more than ``max_bucket_keys``, so the
-number of buckets grows with the key span and no task numbers more than
-``max_bucket_keys`` rows.
+keys are cut into ranges at quantiles of the data, so ranges hold about equally many rows
+however sparse or uneven the keys are: per-range counts form a small table whose running
+sum gives each range's offset, and rows are numbered inside their range with a window
+partitioned by it. The number of ranges follows the session's shuffle partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-def global_index(df: DataFrame, key: str, target_buckets: int = 4096,
-                 max_bucket_keys: int = 1 << 20, out_col: str = "global_index",
-                 partition_by: list[str] | None = None) -> DataFrame:
+#: Ranges per shuffle partition: enough for hash partitioning to even them out.
+RANGES_PER_PARTITION = 4
+
+
+def key_range(df: DataFrame, key: str, ranges: int | None = None) -> Column:
+    """Number of the range of ``key`` (ascending, of any orderable numeric type): how many of the
+    quantiles of ``df`` are not above it, found in two steps of about the square root of
+    their number. Null keys get range 0. The quantiles, one number per range, are found by a
+    job of their own."""
+    n = ranges or RANGES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = math.isqrt(n) + 1
+    edges = df.agg(F.percentile_approx(key, [i / n for i in range(n)], 10 * n)).first()[0]
+    if not edges:
+        return F.lit(0)
+    kind, value = df.schema[key].dataType.simpleString(), F.col(key)
+
+    def literal(values):
+        return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+
+    edges = sorted(set(edges))
+    coarse = literal(edges[::step])
+    fine = F.array(*[literal(edges[i:i + step]) for i in range(0, len(edges), step)])
+    group = F.greatest(F.size(F.filter(coarse, lambda e: e <= value)) - 1, F.lit(0))
+    within = F.greatest(F.size(F.filter(F.get(fine, group), lambda e: e <= value)) - 1, F.lit(0))
+    return F.when(value.isNull(), 0).otherwise(group * step + within)
+
+
+def global_index(df: DataFrame, key: str, out_col: str = "global_index",
+                 partition_by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Add ``out_col`` = 1-based position of each row in ascending ``key`` order (within
-    each ``partition_by`` group when given)."""
+    each ``partition_by`` group when given). Equal keys are numbered in any order."""
     pb = list(partition_by or [])
-    if pb:
-        # per group key span: one row per group, joined (the planner picks the strategy)
-        span = df.groupBy(*pb).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-        keyed = df.join(span, pb)
-        lo, hi = F.col("_lo"), F.col("_hi")
-    else:
-        lo_hi = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
-        keyed, lo, hi = df, lo_hi.getField("lo"), lo_hi.getField("hi")
-    width = F.greatest(F.lit(1), F.least(F.ceil((hi - lo + 1) / target_buckets), F.lit(max_bucket_keys)))
-    keyed = keyed.withColumn("_bucket", F.floor((F.col(key) - lo) / width))
-    if pb:
-        keyed = keyed.drop("_lo", "_hi")
-    # one row per non-empty bucket: a small table next to the data
+    keyed = df.withColumn("_bucket", key_range(df, key, ranges))
+    # one row per non-empty range: a small table next to the data
     counts = keyed.groupBy(*pb, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     over_buckets = (Window.partitionBy(*pb) if pb else Window).orderBy("_bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)

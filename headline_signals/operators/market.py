@@ -70,26 +70,6 @@ def indicators(market: DataFrame, order_col: str = "Date",
     return series.unchunk(df).drop("_gain", "_loss", "_ag", "_al", "_padded")
 
 
-def main_series(ind: DataFrame, symbol: str = "SPY") -> DataFrame:
-    """The main series columns joined onto news days."""
-    return (ind.where(F.col("symbol") == symbol)
-            .select("Date", "daily_return", "volatility_5d", "market_trend"))
-
-
-def fear_series(ind: DataFrame, symbol: str = "^VIX") -> DataFrame:
-    """The fear series columns (J4): VIX level, its change and the high-fear flag."""
-    return (ind.where(F.col("symbol") == symbol)
-            .select("Date", F.col("Close").alias("VIX"),
-                    F.col("daily_return").alias("vix_change"), "high_fear"))
-
-
-def yield_series(ind: DataFrame, symbol: str = "^TNX") -> DataFrame:
-    """The yield series: level and change (computed, not merged, as in the reference)."""
-    return (ind.where(F.col("symbol") == symbol)
-            .select("Date", F.col("Close").alias("treasury_yield"),
-                    F.col("daily_return").alias("yield_change")))
-
-
 def wide(ind: DataFrame, main_symbol: str = "SPY", fear_symbol: str | None = "^VIX") -> DataFrame:
     """One row per date with the main series' columns (J3) and, when given, the fear
     series' columns (J4): a conditional aggregate over the long indicator table."""

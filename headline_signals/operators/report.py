@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import exact_mean
+from ..functions import mean_of
 from .indexing import global_index
 
 # Chart order of the label counts.
@@ -33,7 +33,8 @@ def histogram(df: DataFrame, col: str, n_bins: int | None = 10) -> DataFrame:
 
     ``bin = floor((v - min) / size)`` with the maximum folded into the last bin; when
     all values are equal (size 0) every row goes to bin 0. Labels are
-    ``"%.2f - %.2f"`` of the bin edges. ``n_bins=None`` uses ``min(10, rows)`` bins.
+    ``"%.2f - %.2f"`` of the bin edges. ``n_bins=None`` uses ``min(10, rows)`` bins, so
+    no bins for no rows.
     Min, max and bin count are one scalar subquery; counting per bin is a partial
     aggregate; the empty bins come from an equi-join with the bin numbers.
     """
@@ -47,7 +48,8 @@ def histogram(df: DataFrame, col: str, n_bins: int | None = 10) -> DataFrame:
     binned = vals.select(F.when(size > 0, F.least(F.floor((F.col("_v") - lo) / size), n - 1))
                          .otherwise(F.lit(0)).cast("int").alias("bin"))
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("_count"))
-    bins = stats.select(F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("bin"))
+    bins = stats.select(F.explode(F.when(F.col("_nb") > 0, F.sequence(F.lit(0), F.col("_nb") - 1))
+                                 .otherwise(F.array().cast("array<int>"))).alias("bin"))
     start, end = lo + F.col("bin") * size, lo + (F.col("bin") + 1) * size
     return (bins.join(counts, "bin", "left")
             .select(F.col("bin").cast("int"),
@@ -68,21 +70,22 @@ def date_range(daily: DataFrame, order_col: str = "Date") -> DataFrame:
 
 
 def extreme_days(daily: DataFrame, value: str = "avg_sentiment", order_col: str = "Date") -> DataFrame:
-    """The day with the highest and the lowest value; the earliest day wins ties."""
+    """The day with the highest and the lowest value; the earliest day wins ties and days
+    without a value win nothing."""
     v, d = F.col(value), F.col(order_col)
     return daily.agg(
-        F.min_by(d, F.struct(-v, d)).alias("most_positive_day"),
+        F.min_by(d, F.when(v.isNotNull(), F.struct(-v, d))).alias("most_positive_day"),
         F.max(v).alias("most_positive_value"),
-        F.min_by(d, F.struct(v, d)).alias("most_negative_day"),
+        F.min_by(d, F.when(v.isNotNull(), F.struct(v, d))).alias("most_negative_day"),
         F.min(v).alias("most_negative_value"),
     )
 
 
-def summary(daily: DataFrame, order_col: str = "Date", scale: int | None = 4) -> DataFrame:
+def summary(daily: DataFrame, order_col: str = "Date", scale: int | None = None) -> DataFrame:
     """One-row run summary with quality grades (A10).
 
-    ``scale``: daily sentiments carry 4 decimals (A2 rounds them), so their mean is
-    taken from an exact decimal sum; ``None`` for a plain double mean.
+    ``scale``: the decimals that daily sentiments carry, if the caller knows them (A2 rounds
+    to 4); their mean is then taken from an exact sum. Days without a value win nothing.
     """
     v = F.col("avg_sentiment")
     d = F.col(order_col)
@@ -90,11 +93,11 @@ def summary(daily: DataFrame, order_col: str = "Date", scale: int | None = 4) ->
         F.count(F.lit(1)).alias("total_days"),
         F.min(d).alias("start_date"), F.max(d).alias("end_date"),
         F.avg("headline_count").alias("avg_headlines_per_day"),
-        (F.avg(v) if scale is None else exact_mean(v, scale)).alias("avg_sentiment"),
+        mean_of(v, scale).alias("avg_sentiment"),
         F.stddev_samp(v).alias("sentiment_volatility"),
         F.min(v).alias("min_sentiment"), F.max(v).alias("max_sentiment"),
-        F.min_by(d, F.struct(-v, d)).alias("most_positive_day"),
-        F.min_by(d, F.struct(v, d)).alias("most_negative_day"),
+        F.min_by(d, F.when(v.isNotNull(), F.struct(-v, d))).alias("most_positive_day"),
+        F.min_by(d, F.when(v.isNotNull(), F.struct(v, d))).alias("most_negative_day"),
     )
     return out.withColumns({
         "data_quality": F.when(F.col("avg_headlines_per_day") > 10, "Good").otherwise("Low"),

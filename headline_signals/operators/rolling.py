@@ -26,7 +26,7 @@ def rolling_feature_names(windows: Sequence[int] = DEFAULT_WINDOWS) -> list[str]
 
 def rolling_features(daily: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
                      order_col: str = "Date", partition_by: Sequence[str] | None = None,
-                     frame: str = "rows", scale: int = 4,
+                     frame: str = "rows", scale: int | None = None,
                      chunk_rows: int = series.CHUNK_ROWS) -> DataFrame:
     """Add 7 columns per window length ``w``:
 
@@ -37,8 +37,9 @@ def rolling_features(daily: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
     * W4 ``sentiment_trend``: least-squares slope of ``avg_sentiment`` against row
       position, null until the frame holds ``w`` values.
 
-    All windows share one partitioning and one ordering, so Spark sorts once. Means
-    are exact for inputs with at most ``scale`` decimals (A2 rounds to 4). Each series
+    All windows share one partitioning and one ordering, so Spark sorts once. ``scale``:
+    the decimals that the averaged columns carry, if known (A2 rounds to 4); window sums
+    are then exact and do not depend on their order. Each series
     (one per ``partition_by`` group) is cut into position chunks with a halo of
     ``max(windows)`` rows (``operators.series``).
     """
@@ -59,8 +60,8 @@ def rolling_features(daily: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
         x = day_no.cast("double")
 
     def mean(c, fw):
-        # daily aggregates carry 4 decimals: an exact decimal sum keeps the window
-        # mean independent of the summation order
+        if scale is None:
+            return F.avg(c).over(fw)
         return (F.sum(F.col(c).cast(f"decimal(24,{scale})")).over(fw).cast("double")
                 / F.count(c).over(fw))
 

@@ -56,9 +56,12 @@ class LexiconScorer:
 class SparkMLScorer:
     """A fitted Spark ML model whose ``probability`` vector has the three classes in
     code order (0 Negative, 1 Neutral, 2 Positive). ``text_col`` must be the model's
-    input column."""
+    input column. A model fitted on other than three classes is refused."""
 
     def __init__(self, model, probability_col: str = "probability"):
+        last = model.stages[-1] if getattr(model, "stages", None) else model
+        if getattr(last, "numClasses", 3) != 3:
+            raise ValueError(f"the model has {last.numClasses} classes, not 3")
         self.model, self.probability_col = model, probability_col
 
     def probabilities(self, df: DataFrame, text_col: str):

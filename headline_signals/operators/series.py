@@ -3,8 +3,8 @@
 A window without ``partitionBy`` puts the whole series in one task. Here a series is cut
 into chunks of ``chunk_rows`` consecutive rows instead:
 
-1. every row gets its global position (``indexing.global_index`` on the integer day
-   number: per-bucket counts and running offsets, no single-task numbering);
+1. every row gets its global position (``indexing.global_index`` on the day number or the
+   microsecond: per-range counts and running offsets, no single-task numbering);
 2. row ``p`` belongs to chunk ``p // chunk_rows``; rows near a chunk edge are also
    copied into the neighbouring chunk as *halo* rows (``lookback`` rows at the end of a
    chunk go to the next one, ``lookahead`` rows at its start to the previous one), in
@@ -30,28 +30,36 @@ CHUNK_ROWS = 4096
 
 def with_positions(df: DataFrame, order_col: str = "Date", out_col: str = "_pos",
                    partition_by: list[str] | None = None) -> DataFrame:
-    """0-based position of each row in ``order_col`` order (dates or integers, unique).
+    """0-based position of each row in ``order_col`` order (dates, timestamps or integers; a
+    series holds each value once, equal ones would be placed in any order).
 
     Numbering reads its input three times (key span, bucket counts, rows), so the input
     is checkpointed first: it is computed once, and stacked series steps keep short
     plans instead of nesting each other's lineage.
     """
     df = materialize(df)
-    key = F.unix_date(F.col(order_col).cast("date")) if _is_dateish(df, order_col) else F.col(order_col)
-    keyed = df.withColumn("_order_key", key.cast("bigint"))
+    keyed = df.withColumn("_order_key", _order_key(df, order_col).cast("bigint"))
     return (global_index(keyed, "_order_key", out_col=out_col, partition_by=partition_by)
             .withColumn(out_col, F.col(out_col) - 1).drop("_order_key"))
 
 
-def _is_dateish(df: DataFrame, col: str) -> bool:
-    return df.schema[col].dataType.simpleString() in ("date", "timestamp", "timestamp_ntz")
+def _order_key(df: DataFrame, col: str) -> Column:
+    """An integer that orders like ``col``: a date's day number, a timestamp's microsecond."""
+    kind = df.schema[col].dataType.simpleString()
+    if kind == "date":
+        return F.unix_date(col)
+    if kind == "timestamp":
+        return F.unix_micros(col)
+    if kind == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(col))
+    return F.col(col)
 
 
 def chunked(df: DataFrame, order_col: str = "Date", lookback: int = 0, lookahead: int = 0,
             chunk_rows: int = CHUNK_ROWS, partition_by: list[str] | None = None) -> DataFrame:
-    """Rows with ``_pos``, ``_chunk`` and ``_halo``; edge rows copied to neighbour chunks."""
-    if lookback >= chunk_rows or lookahead >= chunk_rows:
-        raise ValueError("halo must be smaller than a chunk")
+    """Rows with ``_pos``, ``_chunk`` and ``_halo``; edge rows copied to neighbour chunks. Chunks are
+    longer than ``chunk_rows`` where a window reaches further."""
+    chunk_rows = max(chunk_rows, lookback + 1, lookahead + 1)
     pos = df if "_pos" in df.columns else with_positions(df, order_col, partition_by=partition_by)
     p, c = F.col("_pos"), F.floor(F.col("_pos") / chunk_rows)
     off = p % chunk_rows

@@ -50,12 +50,13 @@ def forward_mean_3(col: str, base: WindowSpec, scale: int | None = None) -> Colu
 
 def fallback_targets(daily: DataFrame, order_col: str = "Date",
                      partition_by: Sequence[str] | None = None,
-                     null_unknown: bool = False, chunk_rows: int = series.CHUNK_ROWS) -> DataFrame:
+                     null_unknown: bool = False, chunk_rows: int = series.CHUNK_ROWS,
+                     scale: int | None = None) -> DataFrame:
     """targets from future sentiment when there is no market data."""
     data, base = _prepare(daily, order_col, partition_by, chunk_rows)
     out = data.withColumns({
         "next_day_sentiment": F.lead("avg_sentiment", 1).over(base),
-        "next_3day_sentiment": forward_mean_3("avg_sentiment", base, scale=4),
+        "next_3day_sentiment": forward_mean_3("avg_sentiment", base, scale),
     })
     out = out.withColumns({
         "next_day_positive": _flag(F.col("next_day_sentiment") > 0, null_unknown),
@@ -76,8 +77,9 @@ def market_targets(daily: DataFrame, ind: DataFrame, main_symbol: str = "SPY",
     market source is read once and joined once. Both sides are daily-grain; Spark picks
     the join strategy (AQE turns it into a broadcast at run time when it is small).
     """
-    wide = mk.wide(ind, main_symbol, fear_symbol)
-    merged = daily.join(wide, order_col, "left")
+    wide = mk.wide(ind, main_symbol, fear_symbol).withColumnRenamed("Date", "_market_day")
+    # the market is daily: rows of a finer grain meet it on their calendar date
+    merged = daily.join(wide, F.to_date(order_col) == F.col("_market_day"), "left").drop("_market_day")
     data, base = _prepare(merged, order_col, None, chunk_rows)
     data = data.withColumns({
         "next_day_return": F.lead("daily_return", 1).over(base),

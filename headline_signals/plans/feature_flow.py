@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import KEYWORDS
 from ..operators import daily as dl
 from ..operators import market as mk
 from ..operators import targets as tg
-from ..operators.features import feature_matrix
+from ..operators.features import feature_matrix, feature_names
 from ..operators import series
 from ..operators.partitioning import materialize
 from ..operators.regimes import FLAG_COLUMNS, regime_flags
@@ -28,7 +28,7 @@ from ..operators.rolling import DEFAULT_WINDOWS, rolling_feature_names, rolling_
 def daily_feature_table(scored: DataFrame, time_col: str = "Time", grain: str = "day",
                         keywords: dict[str, list[str]] | None = None, match: str = "substring",
                         windows: Sequence[int] = DEFAULT_WINDOWS,
-                        keep_positions: bool = False) -> DataFrame:
+                        keep_positions: bool = False, scale: int | None = None) -> DataFrame:
     """Steps 2-5: ``Date``, 15 aggregates, 28 rolling columns, 6 flags, 24 keyword columns.
 
     The keyword aggregates ride in the same ``groupBy`` as the statistics, which replaces
@@ -38,9 +38,9 @@ def daily_feature_table(scored: DataFrame, time_col: str = "Time", grain: str =
     targets and the forward fill reuse that numbering (``keep_positions`` keeps it).
     """
     keywords = KEYWORDS if keywords is None else keywords
-    daily = dl.daily_features(scored, time_col, grain, keywords, match)
+    daily = dl.daily_features(scored, time_col, grain, keywords, match, scale)
     daily = materialize(series.with_positions(daily))
-    daily = rolling_features(daily, windows)
+    daily = rolling_features(daily, windows, scale=scale)
     daily = regime_flags(daily)
     cols = (["Date"] + dl.DAILY_STAT_COLUMNS + rolling_feature_names(windows) + FLAG_COLUMNS
             + dl.keyword_columns(keywords) + (["_pos"] if keep_positions else []))
@@ -49,21 +49,29 @@ def daily_feature_table(scored: DataFrame, time_col: str = "Time", grain: str =
 
 def with_targets(daily: DataFrame, market: DataFrame | None = None,
                  main_symbol: str = "SPY", fear_symbol: str | None = "^VIX",
-                 null_unknown: bool = False) -> DataFrame:
+                 null_unknown: bool = False, scale: int | None = None) -> DataFrame:
     """Step 6: market targets when the main series is available, else fallback targets.
 
-    ``market`` is a long ``(symbol, Date, Close)`` table; it is cut to the daily date
-    range plus 30 days before indicators are computed (S8).
+    ``market`` is a long ``(symbol, Date, Close)`` table; only the two symbols are read, cut
+    to the daily date range plus 30 days before indicators are computed (S8). Without rows
+    of the main symbol the fallback targets are used; without rows of the fear symbol its
+    columns are left out.
     """
-    if market is None:
-        return tg.fallback_targets(daily, null_unknown=null_unknown)
-    ind = mk.indicators(mk.market_range_for(daily, market))
-    return tg.market_targets(daily, ind, main_symbol, fear_symbol, null_unknown=null_unknown)
+    if market is not None:
+        market = mk.market_range_for(daily, market.where(F.col("symbol").isin(main_symbol, fear_symbol or main_symbol)))
+        found = {r["symbol"] for r in market.select("symbol").distinct().collect()}  # two at most
+    if market is None or main_symbol not in found:
+        return tg.fallback_targets(daily, null_unknown=null_unknown, scale=scale)
+    return tg.market_targets(daily, mk.indicators(market), main_symbol, fear_symbol if fear_symbol in found else None,
+                             null_unknown=null_unknown)
 
 
 def build_features(scored: DataFrame, market: DataFrame | None = None,
                    assemble: bool = False, **kwargs) -> DataFrame:
-    """Steps 2-7: the filled feature table with keys and targets."""
+    """Steps 2-7: the filled feature table with keys and targets. Only the market columns can
+    hold gaps: ``daily_feature_table`` has filled its own."""
     daily = daily_feature_table(scored, keep_positions=True, **kwargs)
-    table = feature_matrix(with_targets(daily, market), assemble=assemble)
+    targets = with_targets(daily, market, scale=kwargs.get("scale"))
+    gaps = [c for c in feature_names(targets) if c not in daily.columns]
+    table = feature_matrix(targets, assemble=assemble, gaps=gaps)
     return table.drop("_pos")

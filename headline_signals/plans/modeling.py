@@ -139,8 +139,8 @@ def cross_validate(spark: SparkSession, table: DataFrame, target: str,
     data = _assemble(table.where(F.col(target).isNotNull()), features)
     data = ft.with_position(data, order_col).select(
         "row_idx", F.col(target).cast("double").alias("label"), "features").cache()
-    n = data.count()
-    k = ft.fold_count(n) if n >= min_rows else 0
+    n, k = data.agg(F.count(F.lit(1)), ft.fold_rule(F.count(F.lit(1)))).first()
+    k = k if n >= min_rows else 0
     fitted: dict = {}
     if k == 0:
         data.unpersist()

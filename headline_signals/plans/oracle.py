@@ -257,14 +257,14 @@ def fallback_targets(rel: str) -> str:
 MARKET_SERIES = f"""(WITH m AS (
       SELECT CAST(l_shipdate AS DATE) AS Date, {exact_mean('l_extendedprice', 2)} AS SPY,
              {exact_mean('l_quantity', 2)} AS VIX, {exact_mean('l_tax', 2)} * 100 AS TNX
-      FROM lineitem WHERE dayofweek(l_shipdate) BETWEEN 1 AND 5 GROUP BY 1)
+      FROM lineitem GROUP BY 1)
     SELECT 'SPY' AS symbol, Date, SPY AS Close FROM m
     UNION ALL SELECT '^VIX', Date, VIX FROM m
     UNION ALL SELECT '^TNX', Date, TNX FROM m)"""
 
 MARKET_PANEL = f"""(SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS Date,
       {exact_mean('l_extendedprice', 2)} AS Close
-    FROM lineitem WHERE dayofweek(l_shipdate) BETWEEN 1 AND 5 GROUP BY 1, 2)"""
+    FROM lineitem GROUP BY 1, 2)"""
 
 INDICATOR_COLUMNS = ["symbol", "Date", "Close", "daily_return", "volatility_5d", "sma_20", "rsi",
                      "market_trend", "high_fear"]
@@ -490,6 +490,11 @@ def lexicon_scored(rel: str, text: str, keep: list[str], match: str = "word") ->
     n_neg = _word_count(low, KEYWORDS["bearish"], match)
     logits = f"""(SELECT {', '.join(keep)}, CAST(({n_neg}) AS DOUBLE) * 1.0 AS l0, 0.5 AS l1,
         CAST(({n_pos}) AS DOUBLE) * 1.0 AS l2 FROM {rel} _l)"""
+    return scored_logits(logits, keep)
+
+
+def scored_logits(logits: str, keep: list[str]) -> str:
+    """Scored columns from a relation with logits l0, l1 and l2."""
     exps = f"""(SELECT *, exp(l0 - m) AS e0, exp(l1 - m) AS e1, exp(l2 - m) AS e2
       FROM (SELECT *, greatest(l0, l1, l2) AS m FROM {logits} _a) _b)"""
     probs = f"(SELECT *, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2 FROM {exps} _c)"
@@ -569,9 +574,6 @@ ORACLE.update({
     "page_headings": f"""SELECT page_id,
         {clean(unescape("regexp_extract(html, '<title>(.*?)</title>', 1)"))} AS title,
         {clean(unescape("regexp_extract(html, '<h1>(.*?)</h1>', 1)"))} AS h1 FROM pages""",
-    "page_tables": """SELECT CAST(NULL AS BIGINT) AS page_id, CAST(NULL AS INTEGER) AS table_idx,
-        CAST(NULL AS INTEGER) AS row_idx, CAST(NULL AS VARCHAR) AS Time, CAST(NULL AS VARCHAR) AS Headline
-      WHERE false""",
 })
 
 
@@ -590,9 +592,11 @@ _FEED_INDEX = daily_index(f"(SELECT {parse_time('Time')} AS Time, Predicted_Clas
 
 ORACLE.update({
     "published_index": _FEED_INDEX,
-    "published_scored_csv": f"SELECT * FROM {_FEED_SCORED} _p",
-    "snapshot_status": (freshness(_FEED_SCORED, parse_time("Time"), "scored") + " UNION ALL "
-                        + freshness(f"({_FEED_INDEX})", "CAST(Time AS TIMESTAMP)", "index")),
+    "published_scored_csv": f"SELECT * FROM {lexicon_scored(COMPLETED_FEED, 'Headline', ['seq', 'Time', 'Headline'])} _p",
+    "snapshot_status": " UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, count(*) AS rows, count(*) > 0 AS has_data,
+          TIMESTAMP '2024-01-30 23:30:00' AS last_update, false AS stale FROM ({rel}) _t"""
+        for name, rel in (("scored", f"SELECT * FROM {_FEED_SCORED} _s"), ("index", _FEED_INDEX))),
     "feed_freshness": freshness(COMPLETED_FEED, parse_time("Time"), "feed"),
 })
 
@@ -617,7 +621,6 @@ ORACLE.update({
 
 ORACLE.update({
     "streaming_daily_index": daily_index(SCORED_EVENTS),
-    "incremental_scored": f"SELECT *, CAST(Time AS DATE) AS day FROM {SCORED_EVENTS} _s",
 })
 
 
@@ -679,7 +682,6 @@ ORACLE.update({
               {', '.join(f'coalesce(k.{c}, 0) AS {c}' for c in keyword_names())}
             FROM {daily_stats(_ORD_HEAD_KW)} d LEFT JOIN {keyword_features(_ORD_HEAD_KW)} k ON d.Date = k.Date)""",
         _MERGE_COLS, _dbl(STAT_COLUMNS + keyword_names())),
-    "feed_newest_first": f"SELECT seq, Time FROM {COMPLETED_FEED} _f",
     "feed_preview": f"SELECT * FROM {SCORED_EVENTS} _s ORDER BY seq LIMIT 5",
     "date_range": f"SELECT min(Date) AS start_date, max(Date) AS end_date FROM {_ORD_DAILY} _d",
     "confidence_sentiment_correlation": correlation(_ORD_DAILY, "avg_confidence", "avg_sentiment"),
@@ -689,3 +691,46 @@ ORACLE.update({
     "dashboard_sentiment_series": select_r6(_ORD_FEAT, ["Date", "avg_sentiment", "sentiment_ma_7d"],
                                             {"avg_sentiment", "sentiment_ma_7d"}),
 })
+
+
+# --- tables, scorers, finer grains ------------------------------------------------------
+
+_NATIONS = "(SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS j FROM nation)"
+_EXACT = daily_stats_exact(_FEED_SCORED_TS)
+_LENGTHS = """(SELECT doc_id, 0.0::DOUBLE AS l0, 1.0::DOUBLE AS l1, (length(coalesce(text, '')) % 3)::DOUBLE AS l2
+    FROM documents)"""
+_SHIFTED_MARKET = f"(SELECT symbol, Date + 9862 AS Date, Close FROM {MARKET_SERIES} _m)"
+
+ORACLE.update({
+    "page_tables": f"""SELECT CAST(n_regionkey AS BIGINT) AS page_id, 0 AS table_idx,
+          CAST(2 * j AS INTEGER) AS row_idx, n_nationkey || '|' || n_name || '|R' || n_regionkey AS cells FROM {_NATIONS} _a
+        UNION ALL SELECT n_regionkey, 0, CAST(2 * j + 1 AS INTEGER), n_nationkey || '||' FROM {_NATIONS} _b
+        UNION ALL SELECT n_regionkey, CAST(j + 1 AS INTEGER), 0, n_name || '|' || n_nationkey FROM {_NATIONS} _c""",
+    "page_headline_rows": f"""SELECT CAST(page_id AS BIGINT) AS page_id, 0 AS table_idx,
+          CAST(row_idx AS INTEGER) AS row_idx, {complete_time('Time')} AS Time, Headline
+        FROM (SELECT n_regionkey AS page_id, 2 * j AS row_idx, n_name AS Time, 'R' || n_regionkey AS Headline FROM {_NATIONS} _a
+              UNION ALL SELECT n_regionkey, 2 * j + 1, '', '' FROM {_NATIONS} _b) _r""",
+    "sentiment_labels": """SELECT doc_id, Sentiment, CAST(CASE Sentiment WHEN 'Negative' THEN 0 WHEN 'Neutral' THEN 1
+          ELSE 2 END AS INTEGER) AS label
+        FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN 'Negative' WHEN quality = 1 THEN 'Positive' ELSE 'Neutral' END
+                AS Sentiment FROM documents JOIN labels USING (doc_id)) _l""",
+    "batch_scored_documents": f"SELECT * FROM {scored_logits(_LENGTHS, ['doc_id'])} _s",
+    "rolling_features_exact": select_r6(
+        rolling(_EXACT), ["Date", "avg_sentiment", "sentiment_ma_3d", "sentiment_ma_7d", "sentiment_std_7d",
+                          "headline_count_ma_7d"],
+        {"avg_sentiment", "sentiment_ma_3d", "sentiment_ma_7d", "sentiment_std_7d", "headline_count_ma_7d"}),
+    "market_targets_exact": select_r6(
+        f"""(SELECT *, {flag('next_day_return > 0')} AS next_day_positive FROM (
+            SELECT d.Date, s.daily_return, lead(s.daily_return) OVER (ORDER BY d.Date) AS next_day_return
+            FROM {_EXACT} d LEFT JOIN (SELECT Date, daily_return FROM {indicators(_SHIFTED_MARKET)} _i
+              WHERE symbol = 'SPY') s ON CAST(d.Date AS DATE) = s.Date) _t)""",
+        ["Date", "daily_return", "next_day_return", "next_day_positive"], {"daily_return", "next_day_return"}),
+    "feed_pages_sparse": f"""SELECT *, CAST((global_index - 1) // 5 + 1 AS BIGINT) AS page,
+        CAST((global_index - 1) % 5 + 1 AS INTEGER) AS position_in_page
+        FROM (SELECT seq, key, row_number() OVER (ORDER BY key) AS global_index FROM (
+          SELECT seq, ('0x' || left(md5(CAST(seq AS VARCHAR)), 15))::BIGINT AS key FROM {SCORED_EVENTS} _s) _k) _p""",
+    "feed_newest_first": f"""SELECT seq, Time, row_number() OVER (ORDER BY {parse_time('Time')} DESC NULLS LAST, seq) AS place
+        FROM {COMPLETED_FEED} _f""",
+})
+
+ORACLE["incremental_scored"] = f"SELECT *, CAST({parse_time('Time')} AS DATE) AS day FROM {_FEED_SCORED} _s"

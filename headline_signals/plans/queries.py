@@ -1,8 +1,8 @@
 """Registered queries: one per operator family, each ``(spark, sf_dir) -> DataFrame``.
 
 Every query reads the driver tables (through the adapter views) and runs over the whole
-of them. Double outputs are rounded to 6 decimals with ``rint`` (the same IEEE steps as
-the SQL oracle), and -0.0 is folded into 0.0, so that results compare exactly.
+of them. The operators return full doubles; here, where another engine adds up the same
+doubles in another order, results are rounded to 6 decimals (``finalize``) to compare.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -35,6 +36,9 @@ from ..sources import html as hx
 from ..sources.tables import load
 from ..streaming import incremental as st
 
+#: Decimals of the stand-in and lexicon probabilities (the scorer rounds to 4).
+SCALE = 4
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -61,19 +65,19 @@ def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query("daily_index")
 def q_daily_index(spark, sf):
-    return finalize(dl.daily_index(ad.scored_events(spark, sf)))
+    return finalize(dl.daily_index(ad.scored_events(spark, sf), scale=SCALE))
 
 
 @query("daily_index_orders")
 def q_daily_index_orders(spark, sf):
-    return finalize(dl.daily_index(ad.scored_orders(spark, sf)))
+    return finalize(dl.daily_index(ad.scored_orders(spark, sf), scale=SCALE))
 
 
 # --- A2: daily statistics -----------------------------------------------------------
 
 @query("daily_stats")
 def q_daily_stats(spark, sf):
-    return finalize(dl.daily_stats(ad.scored_orders(spark, sf)))
+    return finalize(dl.daily_stats(ad.scored_orders(spark, sf), scale=SCALE))
 
 
 # --- A3 / A4: chart datasets over scored rows ---------------------------------------
@@ -93,16 +97,16 @@ def q_confidence_histogram(spark, sf):
 
 def _orders_daily(spark, sf):
     # written once: the series operators read the daily table more than once
-    return materialize(dl.daily_stats(ad.scored_orders(spark, sf)))
+    return materialize(dl.daily_stats(ad.scored_orders(spark, sf), scale=SCALE))
 
 
 def _orders_feature_table(spark, sf):
-    return ff.daily_feature_table(ad.scored_headlines(spark, sf, base="orders", match="substring"))
+    return ff.daily_feature_table(ad.scored_headlines(spark, sf, base="orders", match="substring"), scale=SCALE)
 
 
 @query("rolling_features")
 def q_rolling(spark, sf):
-    return finalize(rl.rolling_features(_orders_daily(spark, sf)))
+    return finalize(rl.rolling_features(_orders_daily(spark, sf), scale=SCALE))
 
 
 @query("regime_thresholds")
@@ -117,14 +121,14 @@ def q_flags(spark, sf):
 
 @query("keyword_features")
 def q_keywords(spark, sf):
-    return finalize(dl.keyword_features(ad.scored_headlines(spark, sf, base="orders",
-                                                            match="substring")))
+    return finalize(dl.keyword_features(ad.scored_headlines(spark, sf, base="orders", match="substring"),
+                                        scale=SCALE))
 
 
 @query("keyword_features_word")
 def q_keywords_word(spark, sf):
     heads = ad.scored_headlines(spark, sf, base="events", match="word")
-    return finalize(dl.keyword_features(heads, match="word"))
+    return finalize(dl.keyword_features(heads, match="word", scale=SCALE))
 
 
 @query("daily_feature_table")
@@ -134,7 +138,7 @@ def q_feature_table(spark, sf):
 
 @query("fallback_targets")
 def q_fallback_targets(spark, sf):
-    t = ff.with_targets(_orders_feature_table(spark, sf))
+    t = ff.with_targets(_orders_feature_table(spark, sf), scale=SCALE)
     return finalize(t.select("Date", "avg_sentiment", "next_day_sentiment", "next_day_positive",
                              "next_3day_sentiment", "next_3day_positive"))
 
@@ -161,7 +165,7 @@ def q_market_targets(spark, sf):
 @query("feature_matrix")
 def q_feature_matrix(spark, sf):
     return finalize(ff.build_features(ad.scored_headlines(spark, sf, base="orders", match="substring"),
-                                      ad.market_series(spark, sf)))
+                                      ad.market_series(spark, sf), scale=SCALE))
 
 
 @query("time_folds")
@@ -176,7 +180,7 @@ def q_ordered_split(spark, sf):
 
 @query("run_summary")
 def q_summary(spark, sf):
-    return finalize(rp.summary(_orders_daily(spark, sf)))
+    return finalize(rp.summary(_orders_daily(spark, sf), scale=SCALE))
 
 
 @query("extreme_days")
@@ -191,7 +195,7 @@ def q_sentiment_histogram(spark, sf):
 
 @query("sentiment_histogram_small")
 def q_sentiment_histogram_small(spark, sf):
-    return finalize(rp.histogram(dl.daily_stats(ad.scored_events(spark, sf)), "avg_sentiment", None))
+    return finalize(rp.histogram(dl.daily_stats(ad.scored_events(spark, sf), scale=SCALE), "avg_sentiment", None))
 
 
 @query("sentiment_return_correlation")
@@ -233,7 +237,7 @@ def q_feed_times(spark, sf):
 def q_feed_lexicon_index(spark, sf):
     """The batch flow end to end: extracted rows -> completed times -> scores -> index."""
     feed = ex.complete_feed(ad.raw_feed(spark, sf), AS_OF)
-    return finalize(dl.daily_index(sc.score(feed, "Headline")))
+    return finalize(dl.daily_index(sc.score(feed, "Headline"), scale=SCALE))
 
 
 @query("score_documents")
@@ -284,9 +288,15 @@ def q_page_headings(spark, sf):
 
 @query("page_tables")
 def q_page_tables(spark, sf):
-    """Tables of every page picked at indexes 3 and 4, three-cell rows only."""
-    tables = hx.html_tables(load(spark, sf, "pages"))
-    return ex.headline_rows(tables, AS_OF)
+    """Every row of several tables a page, nested ones and spanning cells included."""
+    rows = hx.html_tables(ad.table_pages(spark, sf))
+    return rows.select("page_id", "table_idx", "row_idx", F.concat_ws("|", "cells").alias("cells"))
+
+
+@query("page_headline_rows")
+def q_page_headline_rows(spark, sf):
+    """Three-cell rows of picked tables as headline rows."""
+    return ex.headline_rows(hx.html_tables(ad.table_pages(spark, sf)), AS_OF, indexes=(0, 1))
 
 
 # --- files, refresh, status ----------------------------------------------------------
@@ -294,7 +304,7 @@ def q_page_tables(spark, sf):
 
 def _refreshed(spark, sf):
     out = scratch_path(spark, f"refresh-{uuid.uuid4().hex}")
-    return rf.refresh(spark, ad.raw_feed(spark, sf), out, AS_OF)
+    return rf.refresh(spark, ad.raw_feed(spark, sf), out, AS_OF, published_at="2024-01-30 23:30:00")
 
 
 @query("published_index")
@@ -308,7 +318,7 @@ def q_published_index(spark, sf):
 def q_published_scored(spark, sf):
     """The scored rows read back from the published CSV with a declared schema."""
     paths = _refreshed(spark, sf)
-    return fs.read_csv(spark, paths["scored"], fs.SCORED_SCHEMA).drop("Headline")
+    return fs.read_csv(spark, paths["scored"], fs.SCORED_SCHEMA)
 
 
 @query("snapshot_status")
@@ -332,15 +342,75 @@ def q_split_assignment(spark, sf):
 
 @query("text_classifier_report")
 def q_text_classifier_report(spark, sf):
-    data = ml.split_column(ad.labelled_text(spark, sf), "doc_id")
+    data = ml.split_column(ad.labelled_sentiment(spark, sf), "doc_id")
     model = ml.train_text_classifier(data.where("split = 'train'"))
     _, report = ml.evaluate_classifier(model, data.where("split = 'test'"))
     return report
 
 
+@query("sentiment_labels")
+def q_sentiment_labels(spark, sf):
+    """P5: text labels and their class codes."""
+    return ad.labelled_sentiment(spark, sf).select("doc_id", "Sentiment", F.col("label").cast("int").alias("label"))
+
+
+@query("ml_scored_documents")
+def q_ml_scored_documents(spark, sf):
+    """L1(b): all documents scored by the three-class text classifier trained here."""
+    model = ml.train_text_classifier(ad.labelled_sentiment(spark, sf), reg_params=(0.01,))
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    return sc.score(docs, "text", sc.SparkMLScorer(model)).drop("text")
+
+
+def _length_model():
+    """A model that SQL can follow: logits (0, 1, length mod 3)."""
+    def predict(texts):
+        n = np.array([len(t) for t in texts], dtype=float)
+        return np.stack([np.zeros_like(n), np.ones_like(n), n % 3], axis=1)
+    return predict
+
+
+@query("batch_scored_documents")
+def q_batch_scored_documents(spark, sf):
+    """L1(c): all documents scored by an external model on Arrow batches."""
+    docs = load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return sc.score(docs, "text", sc.BatchModelScorer(_length_model, logits=True)).drop("text")
+
+
+@query("rolling_features_exact")
+def q_rolling_exact(spark, sf):
+    """W1-W4 over a series of timestamps: several points a day, ordered within the day."""
+    scored = sc.score(ex.complete_feed(ad.raw_feed(spark, sf), AS_OF), "Headline")
+    series = dl.daily_stats(scored, grain="exact", scale=SCALE)
+    return finalize(rl.rolling_features(series, windows=(3, 7), scale=SCALE).select(
+        "Date", "avg_sentiment", "sentiment_ma_3d", "sentiment_ma_7d", "sentiment_std_7d", "headline_count_ma_7d"))
+
+
+#: Moves the stand-in market over the days of the feed.
+MARKET_SHIFT_DAYS = 9862
+
+
+@query("market_targets_exact")
+def q_market_targets_exact(spark, sf):
+    """J3 at the full timestamp: every row meets the market on its calendar date."""
+    scored = sc.score(ex.complete_feed(ad.raw_feed(spark, sf), AS_OF), "Headline")
+    series = dl.daily_stats(scored, grain="exact", scale=SCALE)
+    market = ad.market_series(spark, sf).withColumn("Date", F.date_add("Date", MARKET_SHIFT_DAYS))
+    out = tg.market_targets(series, mk.indicators(market), fear_symbol=None)
+    return finalize(out.select("Date", "daily_return", "next_day_return", "next_day_positive"))
+
+
+@query("feed_pages_sparse")
+def q_feed_pages_sparse(spark, sf):
+    """O6 over keys spread over the whole range of longs."""
+    rows = ad.scored_events(spark, sf).select("seq", F.conv(F.substring(F.md5(F.col("seq").cast("string")), 1, 15),
+                                                            16, 10).cast("long").alias("key"))
+    return rp.feed_pages(rows, order_col="key")
+
+
 def _market_feature_table(spark, sf):
     return ff.build_features(ad.scored_headlines(spark, sf, base="orders", match="substring"),
-                             ad.market_series(spark, sf))
+                             ad.market_series(spark, sf), scale=SCALE)
 
 
 @query("model_cv_scores")
@@ -365,7 +435,7 @@ def q_feature_ranking(spark, sf):
 
 @query("regression_r2")
 def q_regression_r2(spark, sf):
-    t = ff.with_targets(_orders_feature_table(spark, sf))
+    t = ff.with_targets(_orders_feature_table(spark, sf), scale=SCALE)
     return finalize(ml.ols_fit_r2(t, "next_day_sentiment", "avg_sentiment"))
 
 
@@ -393,9 +463,12 @@ def q_streaming_daily_index(spark, sf):
 
 @query("incremental_scored")
 def q_incremental_scored(spark, sf):
-    """Scored rows appended by an available-now stream, partitioned by day, read back."""
+    """The raw feed as a stream: times completed and parsed, texts scored, rows appended to a
+    table partitioned by day, read back."""
     run = scratch_path(spark, f"stream-scored-{uuid.uuid4().hex}")
-    scored = _events_stream(spark, sf).withColumn("day", F.to_date("Time"))
+    events = st.file_stream(spark, sf, load(spark, sf, "events").schema, glob="events.parquet")
+    feed = ex.complete_feed(ad.raw_feed(spark, sf, events), AS_OF)
+    scored = sc.score(feed, "Headline").withColumn("day", F.to_date(parse_time("Time"))).drop("Headline")
     st.run_to_files(scored, f"{run}/out", f"{run}/checkpoint", partition_by=["day"])
     return spark.read.parquet(f"{run}/out")
 
@@ -405,25 +478,25 @@ def q_incremental_scored(spark, sf):
 @query("index_series")
 def q_index_series(spark, sf):
     """The daily index series in date order."""
-    return finalize(rp.index_series(dl.daily_index(ad.scored_events(spark, sf))))
+    return finalize(rp.index_series(dl.daily_index(ad.scored_events(spark, sf), scale=SCALE)))
 
 
 @query("daily_stats_exact_grain")
 def q_daily_stats_exact(spark, sf):
     """A2 with ``grain="exact"``: groups on the full parsed time (minutes kept)."""
     scored = sc.score(ex.complete_feed(ad.raw_feed(spark, sf), AS_OF), "Headline")
-    return finalize(dl.daily_stats(scored, grain="exact"))
+    return finalize(dl.daily_stats(scored, grain="exact", scale=SCALE))
 
 
 @query("rolling_features_range")
 def q_rolling_range(spark, sf):
     """W1-W4 with ``frame="range"``: windows count calendar days, not rows."""
-    return finalize(rl.rolling_features(_orders_daily(spark, sf), frame="range"))
+    return finalize(rl.rolling_features(_orders_daily(spark, sf), frame="range", scale=SCALE))
 
 
 @query("fallback_targets_null_unknown")
 def q_fallback_null_unknown(spark, sf):
-    t = tg.fallback_targets(_orders_feature_table(spark, sf), null_unknown=True)
+    t = tg.fallback_targets(_orders_feature_table(spark, sf), null_unknown=True, scale=SCALE)
     return finalize(t.select("Date", "avg_sentiment", "next_day_sentiment", "next_day_positive",
                              "next_3day_sentiment", "next_3day_positive"))
 
@@ -432,14 +505,15 @@ def q_fallback_null_unknown(spark, sf):
 def q_keyword_merge(spark, sf):
     """J1 as the reference runs it: daily statistics left-joined to keyword rows, then 0-filled."""
     rows = ad.scored_headlines(spark, sf, base="orders", match="substring")
-    return finalize(dl.merge_keywords(dl.daily_stats(rows), dl.keyword_features(rows)))
+    return finalize(dl.merge_keywords(dl.daily_stats(rows, scale=SCALE), dl.keyword_features(rows, scale=SCALE)))
 
 
 @query("feed_newest_first")
 def q_feed_newest_first(spark, sf):
     """O2: the completed feed sorted on parsed time, newest first."""
     feed = ex.complete_feed(ad.raw_feed(spark, sf), AS_OF).select("seq", "Time")
-    return ex.newest_first(feed)
+    # a rank column, as the order of rows is not compared
+    return ex.newest_rank(feed)
 
 
 @query("feed_preview")

@@ -21,39 +21,53 @@ from ..sources import files as fs
 
 
 def refresh(spark: SparkSession, feed: DataFrame, out_dir: str, as_of: _dt.date | str,
-            scorer=None) -> dict[str, str]:
-    """Extract -> complete times -> score -> index, replacing every output."""
+            scorer=None, published_at: str | None = None) -> dict[str, str]:
+    """Extract -> complete times -> score -> index, replacing every output.
+
+    Scored rows and index are written once and published from there. ``published_at``
+    (default: now) goes into the ``published`` table, last of all: it tells when the
+    outputs before it were complete.
+    """
     out = out_dir.rstrip("/")
-    headlines = ex.complete_feed(feed, as_of)
-    fs.write_parquet(sc.score(headlines, "Headline", scorer), f"{out}/_scored")
+    fs.write_parquet(sc.score(ex.complete_feed(feed, as_of), "Headline", scorer), f"{out}/_scored")
     scored = spark.read.parquet(f"{out}/_scored")
-    index = dl.daily_index(scored)
+    fs.write_parquet(dl.daily_index(scored, scale=4), f"{out}/_index")  # the scorer rounds to 4 decimals
+    index = spark.read.parquet(f"{out}/_index")
     paths = fs.publish([
-        ("headlines", headlines.select("Time", "Headline"), "csv"),
+        ("headlines", scored.select("Time", "Headline"), "csv"),
         ("scored", scored, "csv"),
         ("scored_json", scored, "json"),
         ("index", index, "csv"),
         ("index_json", index, "json"),
     ], out)
-    return dict(zip(["headlines", "scored", "scored_json", "index", "index_json"], paths))
+    at = F.current_timestamp() if published_at is None else F.lit(published_at)
+    fs.write_parquet(spark.range(1).select(at.cast("timestamp_ntz").alias("published_at")), f"{out}/published")
+    return dict(zip(["headlines", "scored", "scored_json", "index", "index_json"], paths)) | {
+        "published": f"{out}/published"}
 
 
 def freshness(df: DataFrame, time_col: str, as_of: str, max_age: str = "1 hour",
-              name: str = "table") -> DataFrame:
-    """One status row: rows, whether there is data, newest time, and ``stale``
-    (no time at all, or newest time older than ``as_of - max_age``)."""
+              name: str = "table", published: DataFrame | None = None) -> DataFrame:
+    """One status row: rows, whether there is data, the time of the last update, and
+    ``stale`` (no such time, or older than ``as_of - max_age``). The last update is when the
+    table was published, if ``published`` tells, else the newest ``time_col``."""
     dtype = df.schema[time_col].dataType.simpleString()
-    t = parse_time(time_col) if dtype == "string" else F.col(time_col).cast("timestamp_ntz")
+    if published is None:
+        t = F.max(parse_time(time_col) if dtype == "string" else F.col(time_col).cast("timestamp_ntz"))
+    else:
+        t = published.agg(F.max("published_at")).scalar()
     limit = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {max_age}")
-    return (df.agg(F.count(F.lit(1)).alias("rows"), F.max(t).alias("last_update"))
+    return (df.agg(F.count(F.lit(1)).alias("rows"), t.alias("last_update"))
             .select(F.lit(name).alias("table_name"), "rows", (F.col("rows") > 0).alias("has_data"),
                     "last_update",
                     (F.col("last_update").isNull() | (F.col("last_update") < limit)).alias("stale")))
 
 
 def snapshot_status(spark: SparkSession, paths: dict[str, str], as_of: str) -> DataFrame:
-    """X2 over published outputs: status of the scored rows and of the daily index."""
+    """X2 over published outputs: status of the scored rows and of the daily index, by when the
+    refresh published them."""
+    published = spark.read.parquet(paths["published"])
     scored = fs.read_csv(spark, paths["scored"], fs.SCORED_SCHEMA)
     index = fs.read_csv(spark, paths["index"], fs.INDEX_SCHEMA)
-    return (freshness(scored, "Time", as_of, name="scored")
-            .unionByName(freshness(index, "Time", as_of, name="index")))
+    return (freshness(scored, "Time", as_of, name="scored", published=published)
+            .unionByName(freshness(index, "Time", as_of, name="index", published=published)))

@@ -38,14 +38,15 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster whoever runs it points the setting at shared storage and we only read
-    it. Only when it is unset (a bare local session) do we create a scratch folder.
+    Whoever runs a cluster points the setting at storage that all executors share, and we
+    only read it. Where it is unset, a local session gets a scratch folder of its own; on a
+    cluster that would be lost with a machine, so there it is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = sc.getCheckpointDir()
-    if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="hs-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import argmax3, class_to_label, exact_mean, round4
+from ..functions import argmax3, class_to_label, label_to_class, mean_of, round4
 from ..functions.labels import PLACEHOLDER
 from ..functions.keywords import keyword_hits
 from ..operators.partitioning import spread
@@ -113,17 +113,15 @@ def scored_headlines(spark: SparkSession, sf_dir: str, base: str = "events",
 def market_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: a long ``(symbol, Date, Close)`` table from ``lineitem`` ship days.
 
-    Weekdays only, so that a calendar of news days has gaps against it. Three series
-    stand in for an index fund, a fear index and a yield: mean extended price, mean
+    Three series stand in for an index fund, a fear index and a yield: mean extended price, mean
     quantity and 100 x mean tax per ship day (2-decimal inputs, exact sums).
     """
     li = load(spark, sf_dir, "lineitem")
     day = F.to_date("l_shipdate")
-    daily = (li.where(F.dayofweek("l_shipdate").between(2, 6))
-             .groupBy(day.alias("Date"))
-             .agg(exact_mean("l_extendedprice", 2).alias("SPY"),
-                  exact_mean("l_quantity", 2).alias("VIX"),
-                  (exact_mean("l_tax", 2) * 100).alias("TNX")))
+    daily = (li.groupBy(day.alias("Date"))
+             .agg(mean_of("l_extendedprice", 2).alias("SPY"),
+                  mean_of("l_quantity", 2).alias("VIX"),
+                  (mean_of("l_tax", 2) * 100).alias("TNX")))
     return daily.select(
         "Date",
         F.expr("stack(3, 'SPY', SPY, '^VIX', VIX, '^TNX', TNX) AS (symbol, Close)"),
@@ -131,11 +129,10 @@ def market_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V4 panel form: one series per ``l_returnflag`` (weekday ship days)."""
+    """V4 panel form: one series per ``l_returnflag``."""
     li = load(spark, sf_dir, "lineitem")
-    return (li.where(F.dayofweek("l_shipdate").between(2, 6))
-            .groupBy(F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").alias("Date"))
-            .agg(exact_mean("l_extendedprice", 2).alias("Close")))
+    return (li.groupBy(F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").alias("Date"))
+            .agg(mean_of("l_extendedprice", 2).alias("Close")))
 
 
 def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,14 +142,39 @@ def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id")
 
 
-def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6 in three classes: ``(doc_id, text, Sentiment, label)``; toxic documents stand in for
+    negative ones, good ones for positive, the others are neutral. ``label`` is the class code."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    kind = (F.when(F.col("toxic") == 1, "Negative").when(F.col("quality") == 1, "Positive").otherwise("Neutral"))
+    labels = load(spark, sf_dir, "labels").select("doc_id", kind.alias("Sentiment"))
+    return docs.join(labels, "doc_id").withColumn("label", label_to_class(F.col("Sentiment")))
+
+
+def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with ``<table>`` markup rendered from nations: ``(page_id, html)``, a page per region.
+
+    Table 0 of a page lists its nations; the first cell of a nation's row spans two rows, the
+    second of which holds a table of its own with the nation's name and key."""
+    nation = load(spark, sf_dir, "nation").withColumn("inner", F.format_string(
+        "<table><tr><td>%s</td><td>%d</td></tr></table>", "n_name", "n_nationkey"))
+    rows = nation.select("n_regionkey", "n_nationkey", F.format_string(
+        "<tr><td rowspan=2>%d</td><td>%s</td><td>R%d</td></tr><tr><td colspan=2>%s</td></tr>",
+        "n_nationkey", "n_name", "n_regionkey", "inner").alias("row"))
+    page = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "row"))), lambda r: r["row"]), "")
+    return rows.groupBy(F.col("n_regionkey").cast("long").alias("page_id")).agg(
+        F.concat(F.lit("<body><table>"), page, F.lit("</table></body>")).alias("html"))
+
+
+def raw_feed(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Extracted feed rows as text, the shape a scraped page yields: ``(seq, Time, Headline)``.
 
     ``Time`` is text in the feed's shapes, chosen by event type: full date and clock
     time (view), clock time only (click), month-day (signup) or date (others);
     ``Headline`` is a whole document text, or the loading placeholder for error events.
+    ``events`` replaces the events table, by a stream for example.
     """
-    ev = load(spark, sf_dir, "events").select(
+    ev = (load(spark, sf_dir, "events") if events is None else events).select(
         F.col("event_id").alias("seq"), "ts", "event_type")
     ts, et = F.col("ts"), F.col("event_type")
     fmt = (F.when(et == "view", F.lit("yyyy-MM-dd hh:mma"))

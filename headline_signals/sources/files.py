@@ -34,23 +34,23 @@ INDEX_SCHEMA = StructType([
     StructField("Headlines_Processed", LongType()),
 ])
 
-MARKET_SCHEMA = StructType([
-    StructField("symbol", StringType()),
-    StructField("Date", DateType()),
-    StructField("Close", DoubleType()),
-])
-
-
 def read_csv(spark: SparkSession, path: str, schema: StructType, multiline: bool = True) -> DataFrame:
     """S3: CSV with a header row; quoted fields may hold commas, doubled quotes and, with
-    ``multiline`` (needed for whole texts), line breaks."""
-    return (spark.read.schema(schema).option("header", True).option("escape", '"')
-            .option("multiLine", multiline).option("mode", "PERMISSIVE").csv(path))
+    ``multiline`` (needed for whole texts), line breaks. White space counts; ``\\N`` and
+    an empty field are null, a quoted empty field is the empty text (``write_csv`` writes it so)."""
+    return (_csv_options(spark.read.schema(schema)).option("multiLine", multiline)
+            .option("mode", "PERMISSIVE").csv(path))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, replacing the target. Row ids travel as a named column."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    _csv_options(df.write.mode("overwrite")).option("escapeQuotes", True).csv(path)
+
+
+def _csv_options(io):
+    """Options of reader and writer alike: texts survive unchanged, line breaks included."""
+    return (io.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).option("nullValue", "\\N").option("lineSep", "\n"))
 
 
 def dates_as_text(df: DataFrame) -> DataFrame:

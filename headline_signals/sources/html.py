@@ -36,86 +36,144 @@ def _clean(text: str) -> str:
     return _WS.sub(" ", text).strip(" ")
 
 
+class _Table:
+    """An open table: its row and cell so far, and the cells that reach down into its next rows."""
+
+    def __init__(self, index: int):
+        self.index, self.n_rows = index, 0
+        self.row: list[tuple[str, int, int]] | None = None
+        self.cell: list[str] | None = None
+        self.spans = (1, 1)
+        self.reaching: dict[int, tuple[int, str]] = {}  # column -> (rows left, text)
+
+    def close_cell(self) -> None:
+        if self.cell is not None and self.row is not None:
+            self.row.append((_clean("".join(self.cell)), *self.spans))
+        self.cell = None
+
+    def close_row(self) -> list[str] | None:
+        """The finished row's cells, one per column it covers; null if no row was open."""
+        self.close_cell()
+        if self.row is None:
+            return None
+        cells: list[str] = []
+        below: dict[int, tuple[int, str]] = {}
+
+        def from_above() -> None:
+            while len(cells) in self.reaching:
+                left, text = self.reaching.pop(len(cells))
+                if left > 1:
+                    below[len(cells)] = (left - 1, text)
+                cells.append(text)
+
+        for text, across, down in self.row:
+            from_above()
+            for _ in range(across):
+                if down > 1:
+                    below[len(cells)] = (down - 1, text)
+                cells.append(text)
+        from_above()
+        self.reaching = self.reaching | below
+        self.row = None
+        self.n_rows += 1
+        return cells
+
+
+def _span(attrs, name: str) -> int:
+    value = dict(attrs).get(name) or ""
+    return min(1000, max(1, int(value))) if value.isdigit() else 1
+
+
 class _RowCollector(HTMLParser):
-    """Collects rows of tables (``tr`` -> ``td``/``th`` cells) and of lists (``li``)."""
+    """Collects rows of tables (``tr`` -> ``td``/``th`` cells) and of lists (``li``).
+
+    Every open table keeps its own row and cell, and every open list its own item, so that
+    an inner one leaves the outer one as it was. Text counts for the innermost only.
+    ``colspan`` and ``rowspan`` repeat a cell's text in every column and row it covers.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple[str, int, int, list[str]]] = []
-        self.tables: list[list] = []   # stack of [table_idx, next_row_idx]
-        self.lists: list[list] = []
+        self.tables: list[_Table] = []
+        self.lists: list[list] = []   # stack of [list_idx, next_row_idx, open item or None]
+        self.open: list[str] = []     # kinds of the open tables and lists, outermost first
         self.n_tables = self.n_lists = 0
-        self.row: list[str] | None = None
-        self.cell: list[str] | None = None
-        self.item: list[str] | None = None
         self.skip = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
             self.skip += 1
         elif tag == "table":
-            self.tables.append([self.n_tables, 0])
+            self.tables.append(_Table(self.n_tables))
+            self.open.append("table")
             self.n_tables += 1
         elif tag == "tr" and self.tables:
             self._close_row()
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            self._close_cell()
-            self.cell = []
+            self.tables[-1].row = []
+        elif tag in ("td", "th") and self.tables and self.tables[-1].row is not None:
+            self.tables[-1].close_cell()
+            self.tables[-1].cell = []
+            self.tables[-1].spans = (_span(attrs, "colspan"), _span(attrs, "rowspan"))
         elif tag in ("ul", "ol"):
-            self.lists.append([self.n_lists, 0])
+            self.lists.append([self.n_lists, 0, None])
+            self.open.append("list")
             self.n_lists += 1
         elif tag == "li" and self.lists:
             self._close_item()
-            self.item = []
+            self.lists[-1][2] = []
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
-        elif tag in ("td", "th"):
-            self._close_cell()
-        elif tag == "tr":
+        elif tag in ("td", "th") and self.tables:
+            self.tables[-1].close_cell()
+        elif tag == "tr" and self.tables:
             self._close_row()
         elif tag == "table" and self.tables:
-            self._close_row()
-            self.tables.pop()
-        elif tag == "li":
+            self._close("table")
+        elif tag == "li" and self.lists:
             self._close_item()
         elif tag in ("ul", "ol") and self.lists:
-            self._close_item()
-            self.lists.pop()
+            self._close("list")
 
     def handle_data(self, data):
-        if self.skip:
+        if self.skip or not self.open:
             return
-        for buf in (self.cell, self.item):
-            if buf is not None:
-                buf.append(data)
-
-    def _close_cell(self):
-        if self.cell is not None and self.row is not None:
-            self.row.append(_clean("".join(self.cell)))
-        self.cell = None
+        buf = self.tables[-1].cell if self.open[-1] == "table" else self.lists[-1][2]
+        if buf is not None:
+            buf.append(data)
+
+    def _close(self, kind):
+        """Closes the innermost open table or list, and what is open inside it."""
+        while self.open:
+            closed = self.open.pop()
+            if closed == "table":
+                self._close_row()
+                self.tables.pop()
+            else:
+                self._close_item()
+                self.lists.pop()
+            if closed == kind:
+                return
 
     def _close_row(self):
-        self._close_cell()
-        if self.row is not None and self.tables:
-            t = self.tables[-1]
-            self.rows.append(("table", t[0], t[1], self.row))
-            t[1] += 1
-        self.row = None
+        table = self.tables[-1]
+        cells = table.close_row()
+        if cells is not None:
+            self.rows.append(("table", table.index, table.n_rows - 1, cells))
 
     def _close_item(self):
-        if self.item is not None and self.lists:
-            lst = self.lists[-1]
-            self.rows.append(("list", lst[0], lst[1], [_clean("".join(self.item))]))
+        lst = self.lists[-1]
+        if lst[2] is not None:
+            self.rows.append(("list", lst[0], lst[1], [_clean("".join(lst[2]))]))
             lst[1] += 1
-        self.item = None
+            lst[2] = None
 
     def close(self):
         super().close()
-        self._close_row()
-        self._close_item()
+        while self.open:
+            self._close(self.open[-1])
 
 
 class _HeadingCollector(HTMLParser):

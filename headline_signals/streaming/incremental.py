@@ -73,7 +73,7 @@ def daily_index_stream(scored: DataFrame, time_col: str = "Time", watermark: str
 
 def run_updates(agg: DataFrame, out_path: str, checkpoint: str) -> None:
     """Run an update-mode aggregate over all available input; each micro-batch's
-    updated rows go to ``out_path/batch_id=<n>`` (overwritten on replay)."""
+    updated rows go to ``out_path/batch=<n>`` (overwritten on replay)."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}"))

@@ -1,6 +1,7 @@
 """Learners: rows-only checks (unseeded numbers are not compared), save/load, scorer hooks."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from headline_signals.operators import scoring as sc
@@ -23,15 +24,36 @@ def test_cross_validation_rows(spark):
 
 
 def test_text_classifier_save_load(spark):
-    data = ml.split_column(ad.labelled_text(spark, SF_SMALL), "doc_id")
+    data = ml.split_column(ad.labelled_sentiment(spark, SF_SMALL), "doc_id")
     model = ml.train_text_classifier(data.where("split = 'train'"), reg_params=(0.01,))
     path = scratch_path(spark, "t-model")
     ml.save_model(model, path)
     again = ml.load_model(path)
     summary, report = ml.evaluate_classifier(again, data.where("split = 'test'"))
     assert summary.count() == 1 and report.count() >= 1
-    scored = sc.score(data.limit(5), "text", sc.SparkMLScorer(again))
-    assert scored.count() == 5
+    rows = sc.score(data.limit(5), "text", sc.SparkMLScorer(again)).collect()
+    assert len(rows) == 5
+    for r in rows:
+        p = [r["Negative_Probability"], r["Neutral_Probability"], r["Positive_Probability"]]
+        assert abs(sum(p) - 1) < 2e-4 and r["Confidence"] == max(p)
+
+
+def test_scorer_refuses_other_than_three_classes(spark):
+    two = ml.train_text_classifier(ad.labelled_text(spark, SF_SMALL), reg_params=(0.01,))
+    with pytest.raises(ValueError, match="2 classes"):
+        sc.SparkMLScorer(two)
+
+
+def test_regression_models_fit(spark):
+    table = ff.build_features(ad.scored_headlines(spark, SF_SMALL, base="orders", match="substring"), assemble=True)
+    assert table.schema["features"].dataType.simpleString() == "vector"
+    models = ml.regression_models()
+    models["random_forest_regressor"].setNumTrees(5)
+    models["gradient_boosting"].setMaxIter(3)
+    scores, fitted = ml.cross_validate(spark, table.drop("features"), "next_day_sentiment", model_type="regression",
+                                       models=models)
+    assert set(fitted) == set(models) and scores.count() == 9
+    assert all(r["score"] <= 1 for r in scores.collect())
 
 
 def test_batch_model_scorer(spark):
