@@ -180,8 +180,8 @@ def test_null_text_counts_zero(spark):
         assert out["_kw_k_n"] == 0 and out["_kw_k_hit"] is False
 
 
-def test_global_index_with_small_buckets(spark):
+def test_global_index_with_small_ranges(spark):
     from headline_signals.operators.indexing import global_index
     df = spark.range(0, 3000, 7).withColumnRenamed("id", "seq")
-    out = global_index(df, "seq", target_buckets=4, max_bucket_keys=50).orderBy("seq").collect()
+    out = global_index(df, "seq", ranges=60).orderBy("seq").collect()
     assert [r["global_index"] for r in out] == list(range(1, len(out) + 1))
