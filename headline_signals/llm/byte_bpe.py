@@ -28,7 +28,7 @@ OVERLAP_CHARS = 512
 #: has three); matches ending so close to a cut are not trusted.
 MARGIN = 4
 #: Distinct pieces whose codes a task keeps; a piece beyond that is encoded again.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
