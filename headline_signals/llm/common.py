@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.partitioning import materialize
+from ..session import scratch_path
 from ..sources.tables import load
 
 #: White space of the word definition: space and the control characters 0x09 to 0x0D.
@@ -16,7 +18,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: A word: a run of anything else.
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step handles at once (temporaries take about 50 times that).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table under ``spark.checkpoint.dir``, for small tables that rounds of
+    joins read: a checkpoint keeps the size estimate of the plan that made it, and those
+    multiply from round to round. The application's folder goes when the application ends."""
+    spark = df.sparkSession
+    folder = scratch_path(spark, f"llm-{spark.sparkContext.applicationId}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    table = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(table)
+    return spark.read.schema(df.schema).parquet(table)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until it is not among ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_row(docs: DataFrame, **needed: str) -> DataFrame:
+    """``docs`` as one struct column ``row``, and what an operator needs by its own names, so that
+    no column of the input can clash with one of the operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       *[F.col(f"`{c}`").alias(name) for name, c in needed.items()])
+
+
 def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

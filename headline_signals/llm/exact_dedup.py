@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACES, checkpointed, partitions_for, text_or_empty
+from .common import SPACES, checkpointed, fresh, partitions_for, text_or_empty
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -66,5 +66,6 @@ def _merge(records: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) that stay."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    mark = fresh("_kept_id", docs.columns)
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(mark))
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(mark)), "left_semi")

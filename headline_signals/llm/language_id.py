@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_bucket
+from .common import id_bucket, whole_row
 
 FEATURES = 1 << 14
 ORDERS = (1, 2, 3)
@@ -171,8 +171,9 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if no
     label was learned. Only the text is looked at: repeated rows, null ids and further
-    columns pass through.
+    columns pass through, but for columns of those two names, which are replaced.
     """
+    docs = docs.drop("_lang_pred", "_score")
     fields = docs.schema.fields
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,4 +201,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) whose language is not ``und``."""
-    return identify(docs).where(F.col("_lang_pred") != UNKNOWN).select(*[F.col(c) for c in docs.columns])
+    model = fit_language_model(training_rows(docs))
+    found = predict_language(whole_row(docs, text="text"), model)
+    return found.where(F.col("_lang_pred") != UNKNOWN).select("row.*")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORDS, checkpointed, text_or_empty
+from .common import WORDS, checkpointed, text_or_empty, whole_row
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -113,7 +113,8 @@ def _small(df: DataFrame, few: bool) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target``, ``_taken`` (names of its own).
+    """``docs`` with ``_size``, ``_source_size``, ``_target``, ``_taken``; columns of such names are
+    replaced.
 
     Null text has size 0 and is never taken; a null source is a source of its own, named
     last. Repeated rows share a hash and are taken or left together. Sources without words
@@ -122,7 +123,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = mixture(docs, id_col, text_col, source_col)
     few = plan.count() <= BROADCAST_SOURCES
     plan = plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns])
-    sized = (docs.withColumn("_size", word_count(text_col)).withColumn("_h", id_hash(id_col))
+    own = ["_source_size", "_target", "_taken", "_key", "_source_key", "_h", "_repeats", "_edge", "_shift", "_edge_taken"]
+    sized = (docs.drop(*own).withColumn("_size", word_count(text_col)).withColumn("_h", id_hash(id_col))
              .withColumn("_key", _source_key(source_col)))
     bucket = F.expr("shiftright(_h, _shift)")
     extra = F.when((bucket < F.col("_edge")) | ((bucket == F.col("_edge")) & F.col("_edge_taken")), 1).otherwise(0)
@@ -132,8 +134,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_copies(docs: DataFrame) -> DataFrame:
-    """The mix itself: every row of ``docs`` as many times as it is taken."""
-    taken = mix(docs)
+    """The mix itself: every row of ``docs`` (all columns) as many times as it is taken."""
+    taken = mix(whole_row(docs, doc_id="doc_id", text="text", source="source"))
     times = F.when(F.col("_size") > 0, F.col("_taken") / F.col("_size")).otherwise(0).cast("int")
-    return (taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times)))
-            .select(*[F.col(c) for c in docs.columns]))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
