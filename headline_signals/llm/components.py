@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed
+from .common import written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,16 +15,16 @@ def components(links: DataFrame) -> DataFrame:
     grows with the logarithm of their length. A hub's neighbours are reduced to one
     minimum before the shuffle.
     """
-    both = checkpointed(links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v"))
                         .union(links.select("b", "a")).distinct())
-    labels = checkpointed(both.select(F.col("u").alias("id")).distinct().withColumn("component", F.col("id")))
+    labels = written(both.select(F.col("u").alias("id")).distinct().withColumn("component", F.col("id")))
     while True:
         near = (both.join(labels, F.col("v") == F.col("id")).groupBy("u")
                 .agg(F.min("component").alias("near")))
-        hooked = checkpointed(labels.join(near, F.col("id") == F.col("u")).select(
+        hooked = written(labels.join(near, F.col("id") == F.col("u")).select(
             "id", F.col("component").alias("was"), F.least("component", "near").alias("now")))
         jump = hooked.select(F.col("id").alias("at"), F.col("now").alias("next"))
-        new = checkpointed(hooked.join(jump, F.col("now") == F.col("at")).select(
+        new = written(hooked.join(jump, F.col("now") == F.col("at")).select(
             "id", "was", F.least("now", "next").alias("component")))
         labels = new.select("id", "component")
         if new.where("component <> was").isEmpty():

@@ -9,10 +9,12 @@ the keys. Tokens that only one set holds are never keys, so a document with more
 quarter of its own text emits nothing. Sets with very many frequent prefix tokens use
 single tokens, which other sets then emit for them as well: a longer way, equally exact.
 
-Candidates are verified on whole sets. In a list of equal keys neighbours are compared
-first; what the links found do not join yet is compared across components, until no
-candidate pair that could join two components is left. A group of thousands of near
-copies so costs links in proportion to its size, not to its square.
+Candidates are verified on whole sets. In a list of equal keys all sets are first compared
+with the one that has the least of its own, which in a group of near copies is the text
+they were made from, and with their neighbour. What the links found do not join yet is
+compared across components, behind an exact bound on the overlap from 1024-bit parity
+bitmaps, until no pair that could join two components is left. Only sets that neither
+their list's centre nor a neighbour links can cost more than a few comparisons.
 
 On Spark: documents are dealt into blocks; a block sends its distinct tokens, sorted,
 gap-coded and compressed, to token buckets, which answer with one byte of frequency per
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .block_keys import ANSWER_SCHEMA, SENT_SCHEMA, answer_blocks, key_bits, received, sent_rows
-from .common import checkpointed, mix64, row_blocks, text_or_empty, word_hashes
+from .common import checkpointed, fresh, mix64, row_blocks, text_or_empty, word_hashes, written
 from .components import components
 
 WORDS_PER_SHINGLE = 5
@@ -38,6 +40,8 @@ FREQUENT = 64
 COMBINED = 64
 #: Lists of frequent keys are chained in so many parts, then the parts with each other.
 SALTS = 16
+#: Bits of the parity bitmaps that bound the overlap of two sets from above.
+BITMAP_BITS = 1024
 #: Kinds of keys; those of single frequent tokens are 0 and 1.
 RARE, COMBINATION = -1, -2
 BLOCK_TEXT = 16 << 20
@@ -128,31 +132,42 @@ def _send(buckets: int, bits: int):
     return send
 
 
-KEY_SCHEMA = "key bigint, set_id bigint, n int, many int, tokens binary"
-_KEY_ARROW = pa.schema([("key", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("many", pa.int32()),
-                        ("tokens", pa.binary())])
+KEY_SCHEMA = "key bigint, set_id bigint, n int, many int, pos int, own float, tokens binary, bits array<bigint>"
+_KEY_ARROW = pa.schema([("key", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("many", pa.int32()), ("pos", pa.int32()),
+                        ("own", pa.float32()), ("tokens", pa.binary()), ("bits", pa.list_(pa.int64()))])
 
 
-def prefix_keys(tokens: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set and the kind of each: a rare token, a combination, 1 for a single
-    frequent token of a set with too many to combine, 0 for one emitted on their behalf."""
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of tokens hash to i. Two bitmaps differ in no more bits
+    than there are tokens in one set only."""
+    odd = np.bincount((tokens % np.uint64(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefix_keys(tokens: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of a set, the kind of each (a rare token, a combination, 1 for a single frequent
+    token of a set with too many to combine, 0 for one of any other set) and the place of the
+    key's first token in the order."""
     n = len(tokens)
     order = np.lexsort((tokens, codes))
     first = n - (PERCENT * n + 99) // 100 + 1
     u, c = tokens[order[:first + 1]], codes[order[:first + 1]]
-    rare = u[:first][(c[:first] > 1) & (c[:first] < FREQUENT)]
-    often = u[c >= FREQUENT]
+    is_rare = np.flatnonzero((c[:first] > 1) & (c[:first] < FREQUENT))
+    is_often = np.flatnonzero(c >= FREQUENT)
+    rare, often = u[is_rare], u[is_often]
     combined, single, many = np.empty(0, np.uint64), np.empty(0, np.uint64), 0
+    i = is_single = np.empty(0, np.int64)
     if len(often) > 1:
         if len(often) <= COMBINED:
             i, j = np.triu_indices(len(often), 1)
             combined = mix64(often[i] * _STEPS[2] + often[j])
         else:
             many = 1
-        single = mix64(u[:first][c[:first] >= FREQUENT] ^ _STEPS[3])
+        is_single = is_often[is_often < first]
+        single = mix64(u[is_single] ^ _STEPS[3])
     keys = np.concatenate([rare, combined, single])
     kinds = np.concatenate([np.full(len(rare), RARE), np.full(len(combined), COMBINATION), np.full(len(single), many)])
-    return keys, kinds
+    return keys, kinds, np.concatenate([is_rare, is_often[i], is_single])
 
 
 def _emit(bits: int):
@@ -161,24 +176,27 @@ def _emit(bits: int):
                  if s is not None]
         block = _Block(docs, set(nodes), 64 - bits)
         codes = received(side)
-        columns: list[list[np.ndarray]] = [[], [], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
         sets, at = [], 0
         for node, tokens in block.sets:
             own = codes[block.place[at:at + len(tokens)]]
             at += len(tokens)
-            keys, kinds = prefix_keys(tokens, own)
+            keys, kinds, places = prefix_keys(tokens, own)
             if len(keys):
-                for column, value in zip(columns, (keys.view(np.int64), node, len(tokens), kinds)):
+                for column, value in zip(columns, (keys.view(np.int64), node, len(tokens), kinds, places, (own == 1).mean())):
                     column.append(np.broadcast_to(value, len(keys)))
-                sets.append((node, len(tokens), tokens.tobytes()))
+                sets.append((node, len(tokens), tokens.tobytes(), bitmap(tokens).tolist()))
         tables = []
         if sets:
-            key, node, n, kinds = (np.concatenate(c) for c in columns)
-            tables.append(pa.table([key, node, n.astype(np.int32), kinds.astype(np.int32), pa.nulls(len(key), pa.binary())],
+            key, node, n, kinds, places, own = (np.concatenate(c) for c in columns)
+            tables.append(pa.table([key, node, n.astype(np.int32), kinds.astype(np.int32),
+                                    places.astype(np.int32), own.astype(np.float32),
+                                    pa.nulls(len(key), pa.binary()), pa.nulls(len(key), pa.list_(pa.int64()))],
                                    schema=_KEY_ARROW))
             tables.append(pa.table([pa.nulls(len(sets), pa.int64()), [s[0] for s in sets],
                                     pa.array([s[1] for s in sets], pa.int32()), pa.nulls(len(sets), pa.int32()),
-                                    [s[2] for s in sets]], schema=_KEY_ARROW))
+                                    pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.float32()), [s[2] for s in sets], [s[3] for s in sets]],
+                                   schema=_KEY_ARROW))
         return pa.concat_tables(tables) if tables else _KEY_ARROW.empty_table()
 
     return emit
@@ -200,7 +218,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     # the sets are the wide side: each is sent once per pair it is in
     with_a = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("a_tokens")), "a")
     with_b = with_a.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("b_tokens")), "b")
-    return checkpointed(with_b.select("a", "b", "a_tokens", "b_tokens").mapInArrow(_verify, "a bigint, b bigint"))
+    return written(with_b.select("a", "b", "a_tokens", "b_tokens").mapInArrow(_verify, "a bigint, b bigint"))
 
 
 def _pair(x: str, y: str):
@@ -212,41 +230,56 @@ def _fits(n: str, m: str):
 
 
 def neighbour_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b, shared): neighbours by size in the list of a key, and the number of such lists.
+    """(a, b, shared): in the list of a key, every set with the first one and with the one before
+    it, ordered by the share of tokens that no other set has; and the number of such lists.
 
     Lists of single frequent tokens are for sets that have too many: a pair needs one of
-    them. Long lists are chained in parts by a salt and the heads of the parts once more."""
+    them. Long lists are taken in parts by a salt and the heads of the parts once more."""
     salt = F.when(F.col("many") != RARE, F.pmod(F.xxhash64("set_id"), F.lit(SALTS))).otherwise(0)
-    inner = Window.partitionBy("key", "salt").orderBy("n", "set_id")
-    outer = Window.partitionBy("key").orderBy("n", "set_id")
-
-    def before(df: DataFrame, window) -> DataFrame:
-        return df.withColumn("p", F.lag(F.struct("set_id", "n", "many")).over(window))
-
-    parts = before(keys.withColumn("salt", salt), inner)
-    heads = before(parts.where(F.col("p").isNull() & (F.col("many") != RARE)).drop("p"), outer)
-    linked = parts.select("set_id", "n", "many", "p").union(heads.select("set_id", "n", "many", "p")).where("p is not null")
+    inner = Window.partitionBy("key", "salt").orderBy("own", "set_id")
+    outer = Window.partitionBy("key").orderBy("own", "set_id")
+
+    def with_others(df: DataFrame, window) -> DataFrame:
+        this = F.struct("set_id", "n", "many")
+        return df.withColumn("first", F.first(this).over(window)).withColumn("last", F.lag(this).over(window))
+
+    columns = ["set_id", "n", "many", "first", "last"]
+    parts = with_others(keys.withColumn("salt", salt), inner)
+    heads = with_others(parts.where(F.col("last").isNull() & (F.col("many") != RARE)).drop("first", "last"), outer)
+    linked = (parts.select(columns).union(heads.select(columns)).where("last is not null")
+              .select("set_id", "n", "many", F.explode(F.array_distinct(F.array("first", "last"))).alias("p")))
     return (linked.where(_fits("n", "p.n") & ((F.col("many") < 0) | (F.col("many") + F.col("p.many") > 0)))
             .groupBy(*_pair("set_id", "p.set_id")).agg(F.count("*").alias("shared")))
 
 
-def cross_pairs(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): candidates of one list that are in different components.
+def cross_pairs(keys: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): candidates of one list that are in different components and may be similar.
 
-    Lists whose sets are all in one component are done. In the others the sets outside the
-    list's largest component are compared with all that are not in their own."""
+    Read are the lists of single tokens: a similar pair meets in that of its first common token,
+    and in far fewer lists than with combinations. Those whose sets are all in one component
+    are done. In the others the sets outside the list's largest component meet all that are
+    not in their own; a pair goes on if enough tokens follow the key in both sets, and if the
+    bitmaps do not differ in more bits than similar sets have tokens apart."""
+    keys = keys.where(F.col("many") != COMBINATION)
     labelled = keys.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn(
         "component", F.coalesce("component", "set_id"))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("members"))
     open_lists = (sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct(
         "members", "component")).alias("main")).where("parts > 1").select("key", "main"))
-    rest = checkpointed(labelled.join(open_lists, "key"))
-    left = rest.where("component <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in
-                                                         ("set_id", "n", "many", "component")])
+    words = range(BITMAP_BITS // 64)
+    bits = sets.select("set_id", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in words])
+    rest = written(labelled.join(open_lists, "key").join(bits, "set_id"))
+    left = rest.where("component <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in (
+        "set_id", "n", "pos", "component", *[f"b{i}" for i in words])])
+    behind = F.least(F.col("n") - F.col("pos"), F.col("x_n") - F.col("x_pos"))
+    differ = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"x_b{i}"))) for i in words), F.lit(0))
+    # |x| + |y| - 2 * common tokens apart, and common >= PERCENT / (100 + PERCENT) * (|x| + |y|)
+    may_link = (((100 + PERCENT) * behind >= PERCENT * (F.col("n") + F.col("x_n")))
+                & ((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n") + F.col("x_n"))))
     return (left.join(rest, "key")
             .where(F.col("component") != F.col("x_component"))
             .where((F.col("component") == F.col("main")) | (F.col("set_id") < F.col("x_set_id")))
-            .where(_fits("n", "x_n") & ((F.col("many") < 0) | (F.col("many") + F.col("x_many") > 0)))
+            .where(may_link & _fits("n", "x_n"))
             .select(*_pair("set_id", "x_set_id")).distinct())
 
 
@@ -281,8 +314,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             .unionByName(nodes.select("block", F.lit(None).cast("int").alias("bucket"),
                                       F.lit(None).cast("binary").alias("codes"), "id", "set_id")))
     emitted = checkpointed(dealt.cogroup(side.groupBy("block")).applyInArrow(_emit(bits), KEY_SCHEMA))
-    sets = emitted.where("tokens is not null").select("set_id", "tokens")
-    keys = emitted.where("key is not null").select("key", "set_id", "n", "many")
+    sets = emitted.where("tokens is not null").select("set_id", "tokens", "bits")
+    keys = emitted.where("key is not null").select("key", "set_id", "n", "many", "pos", "own")
     links = _links(keys, sets)
     labels = components(links)
     node_labels = nodes.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn(
@@ -297,15 +330,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def _links(keys: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that join every two sets which any chain of similar pairs joins."""
-    chained = checkpointed(neighbour_pairs(keys))
-    # first each set with the neighbour it shares most lists with: one pair per set
+    chained = written(neighbour_pairs(keys))
+    # first each set with the one it meets in most lists: one pair per set
     ends = chained.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("of"))
     best = ends.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("pair"))
     links = verified(best.select("pair.a", "pair.b").distinct(), sets)
-    # then the neighbours that are still apart, then everything that is
-    for pairs in (lambda labels: _apart(chained, labels), lambda labels: cross_pairs(keys, labels)):
+    # then the others that are still apart, then everything that is
+    for pairs in (lambda labels: _apart(chained, labels), lambda labels: cross_pairs(keys, sets, labels)):
         found = verified(pairs(components(links)), sets)
-        links = checkpointed(links.union(found))
+        links = written(links.union(found))
     return links
 
 
@@ -319,7 +352,8 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: of each component the smallest id; rows
     with a null id stay."""
+    mark = fresh("_kept_id", docs.columns)
     kept = (similar_documents(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-            .select(F.col(id_col).alias("_kept_id")))
-    return docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").unionByName(
+            .select(F.col(id_col).alias(mark)))
+    return docs.join(kept, F.col(id_col) == F.col(mark), "left_semi").unionByName(
         docs.where(F.col(id_col).isNull()))
