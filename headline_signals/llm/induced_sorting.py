@@ -74,11 +74,9 @@ class SymbolQueues:
 
 def suffix_types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the one after it; the last one (the end) is."""
-    n = len(text)
+    # a run of equal symbols has the type of its last symbol; the end differs from all others
     changes = np.flatnonzero(text[:-1] != text[1:])
-    # a run of equal symbols has the type of its last symbol
-    at = np.searchsorted(changes, np.arange(n - 1))
-    at = changes[np.minimum(at, len(changes) - 1)]
+    at = np.repeat(changes, np.diff(np.r_[-1, changes]))
     return np.r_[text[at] < text[at + 1], True]
 
 
@@ -125,7 +123,9 @@ def _names(text: np.ndarray, first: np.ndarray, order: np.ndarray) -> np.ndarray
     """Names of the leftmost S substrings: equal if the substrings are, ascending as they are.
     ``first`` has their positions ascending, ``order`` sorted by substring."""
     ends = np.r_[first[1:] + 1, len(text)]
-    length = (ends - first)[np.searchsorted(first, order)]
+    number = np.empty(len(text), np.int32)
+    number[first] = np.arange(len(first))
+    length = (ends - first)[number[order]]
     starts, same = order, np.zeros(len(order), bool)
     same[1:] = length[1:] == length[:-1]
     # compare neighbours of equal length symbol by symbol, only those still equal
@@ -139,26 +139,34 @@ def _names(text: np.ndarray, first: np.ndarray, order: np.ndarray) -> np.ndarray
         left = left[length[left] > step]
     names = np.cumsum(~same) - 1
     out = np.empty(len(first), np.int64)
-    out[np.searchsorted(first, order)] = names
+    out[number[order]] = names
     return out
 
 
 
 def _sort_names(names: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes of the string of names, by pairs of ranks of doubled length, until
-    all differ or the first ``depth`` names decide."""
-    rank, span = names, 1
-    while True:
-        after = np.zeros(len(rank), np.int64)
-        after[:-span or None] = rank[span:] + 1
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.r_[False, key[order[1:]] != key[order[:-1]]]
-        rank = np.empty(len(rank), np.int64)
-        rank[order] = np.cumsum(new)
+    all differ or the first ``depth`` names decide. Only suffixes that still tie are sorted
+    again; a rank is the place of the first of those that tie."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    start = np.r_[True, names[order[1:]] != names[order[:-1]]]
+    rank, span = np.empty(n, np.int64), 1
+    rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+    while span < min(depth, n):
+        tied = np.flatnonzero(~(start & np.r_[start[1:], True]))
+        if not len(tied):
+            break
+        ties = order[tied]
+        after = ties + span
+        key = rank[ties] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by_key = np.argsort(key, kind="stable")
+        order[tied], key = ties[by_key], key[by_key]
+        start[tied] = np.r_[True, key[1:] != key[:-1]]
+        new = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+        rank[order[tied]] = new[tied]
         span *= 2
-        if new.sum() == len(rank) - 1 or span >= depth or span >= len(rank):
-            return order
+    return order
 
 
 def sorted_suffixes(text: np.ndarray, depth: int):

@@ -202,6 +202,10 @@ def repeated_windows(text: np.ndarray, rows: np.ndarray) -> np.ndarray:
     position, windows, id, digest and start of the fragments in their order in ``text``."""
     at = rows[:, 0]
     late: list[np.ndarray] = []
+    edges = np.zeros(len(text) + 1, np.int8)
+    edges[at] += 1
+    edges[at + rows[:, 1]] -= 1
+    is_window = np.cumsum(edges[:-1], dtype=np.int8).astype(bool)
 
     def compare(windows: np.ndarray) -> None:
         """Finds the classes among ``windows``, text positions in suffix order. Suffixes with other
@@ -209,17 +213,17 @@ def repeated_windows(text: np.ndarray, rows: np.ndarray) -> np.ndarray:
         if len(windows) < 2:
             return
         equal = _equal_neighbours(text, windows)
-        group = np.r_[0, np.cumsum(~equal)]
+        shared = np.r_[equal, False] | np.r_[False, equal]
+        group = np.r_[0, np.cumsum(~equal)][shared]
+        windows = windows[shared]
         fragment = np.searchsorted(at, windows, "right") - 1
         offset = windows - at[fragment]
         order = np.lexsort((rows[fragment, 4] + offset, rows[fragment, 3], rows[fragment, 2], group))
-        again = np.r_[False, group[order[1:]] == group[order[:-1]]]
+        again = np.r_[np.zeros(min(1, len(order)), bool), group[order[1:]] == group[order[:-1]]]
         late.append(np.stack([fragment[order[again]], offset[order[again]]], 1))
 
     for positions in sorted_suffixes(text, WINDOW + 28):
-        fragment = np.maximum(np.searchsorted(at, positions, "right") - 1, 0)
-        inside = positions - at[fragment]
-        compare(positions[(inside >= 0) & (inside < rows[fragment, 1])])
+        compare(positions[is_window[positions]])
     return np.concatenate(late) if late else np.empty((0, 2), np.int64)
 
 
@@ -334,7 +338,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     answers = sent.groupBy("bucket").applyInArrow(answer_blocks(lambda n: np.minimum(n, 2)), ANSWER_SCHEMA)
     side = answers.unionByName(nodes, allowMissingColumns=True)
     found = dealt.cogroup(side.groupBy("block")).applyInArrow(_emit(bits), FRAGMENT_SCHEMA)
-    shards = (found.repartition(blocks, "name")
+    shards = (found.repartition(2 * blocks, "name")
               .sortWithinPartitions("name", "content", "windows", "id", "digest", "start"))
     ranges = checkpointed(shards.mapInArrow(_sort_shard, RANGE_SCHEMA))
     side = ranges.unionByName(nodes, allowMissingColumns=True)
