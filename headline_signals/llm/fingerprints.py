@@ -31,12 +31,23 @@ def _bin(x: Column) -> Column:
     return F.shiftright(x, 64 - BIN_BITS) + F.lit(BINS // 2)
 
 
+def _bit(b: Column, ones: int = 1) -> Column:
+    """A long with bit ``b`` mod 64 set (from ``ones`` = -1: that bit and all above)."""
+    return F.call_function("shiftleft", F.lit(ones).cast("bigint"), b.cast("int"))
+
+
+def _occupied(word: int):
+    """Adds a hash's bin to the bits of ``word``."""
+    none = F.lit(0).cast("bigint")
+    return lambda bits, x: bits.bitwiseOR(F.when(F.shiftright(_bin(x), 6) == word, _bit(_bin(x))).otherwise(none))
+
+
 def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """``df`` with ``out array<bigint>``: the packed fingerprint of ``text_col``; an empty array
     if the text is null or has no word. A text of fewer words than a shingle is one shingle.
 
-    Each step is a column of its own, read several times by the next, so that no array is
-    built again for every element of another.
+    Each step is a column of its own that the next reads more than once: a column read only
+    once, inside a lambda, would be folded into it and built again for every element.
     """
     names = set(df.columns)
     lower = F.translate(text_or_empty(text_col), string.ascii_uppercase, string.ascii_lowercase)
@@ -49,9 +60,18 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
         .when(F.col("_n") > 0, F.array(F.xxhash64("_w")))
         .otherwise(F.array().cast("array<bigint>"))))
     df = df.withColumn("_m", F.filter("_s", lambda x, i: (i == 0) | (_bin(x) != _bin(F.get("_s", i - 1)))))
-    df = df.withColumn("_b", F.transform("_m", _bin))
-    df = df.withColumn("_slots", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get(
-        "_m", (F.array_position("_b", b.cast("bigint")) - 1).cast("int"))))
+    # which bins are occupied, as bits of four longs, and how many are before each long
+    words_of_bits = range(BINS // 64)
+    df = df.withColumn("_o", F.array(*[F.aggregate("_m", F.lit(0).cast("bigint"), _occupied(w)) for w in words_of_bits]))
+    before = [sum((F.bit_count(F.get("_o", F.lit(k))) for k in range(w)), F.lit(0)).cast("bigint") for w in words_of_bits]
+    df = df.withColumn("_o", F.concat("_o", F.array(*before)))
+
+    def slot(b: Column) -> Column:
+        word = F.get("_o", F.shiftright(b, 6))
+        rank = F.get("_o", F.shiftright(b, 6) + len(words_of_bits)) + F.bit_count(word.bitwiseAND(F.bitwise_not(_bit(b, -1))))
+        return F.when(word.bitwiseAND(_bit(b)) != 0, F.get("_m", rank.cast("int")))
+
+    df = df.withColumn("_slots", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), slot))
 
     def filled(value: Column, b: Column) -> Column:
         probes = [F.get("_slots", F.pmod(F.xxhash64(b, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(PROBES)]
@@ -60,9 +80,9 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
         return F.coalesce(value, *probes, ranked).bitwiseAND(F.lit((1 << BITS) - 1))
 
     df = df.withColumn("_v", F.transform("_slots", filled))
-    packed = F.transform(F.sequence(F.lit(0), F.lit(BINS // PER_LONG - 1)), lambda w: F.aggregate(
+    packed = F.when(F.size("_v") == BINS, F.transform(F.sequence(F.lit(0), F.lit(BINS // PER_LONG - 1)), lambda w: F.aggregate(
         F.slice("_v", w * PER_LONG + 1, PER_LONG), F.lit(0).cast("bigint"),
-        lambda a, x: F.shiftleft(a, BITS).bitwiseOR(x)))
+        lambda a, x: F.shiftleft(a, BITS).bitwiseOR(x))))
     df = df.withColumn(out, F.when(F.col("_n") > 0, packed).otherwise(F.array().cast("array<bigint>")))
     return df.select(*[c for c in df.columns if c in names and c != out], out)
 
@@ -111,11 +131,12 @@ def with_next(df: DataFrame, id_col: str, carry: list[str]) -> DataFrame:
                                    F.struct(before.alias("r"), F.lit(1).alias("copy")))
                    ).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy"))))
     # the wrap-around copy stands after everything, the others after a range's own rows
-    dealt = df.withColumn("_range", place).withColumn("_home", F.explode(homes))
-    window = Window.partitionBy("_home.r").orderBy("_home.copy", F.col(id_col).asc_nulls_first(), *carry)
-    for c in carry:
-        dealt = dealt.withColumn(f"_next_{c}", F.lead(c).over(window))
-    return dealt.where("_home.copy = 0").drop("_range", "_home")
+    dealt = df.withColumn("_range", place).withColumn("_home", F.explode(homes)).select(
+        *df.columns, F.col("_home.r").alias("_r"), F.col("_home.copy").alias("_copy"))
+    # one window over plain columns, so that the texts are dealt out once
+    window = Window.partitionBy("_r").orderBy("_copy", F.col(id_col).asc_nulls_first(), *carry)
+    nexts = dealt.select("*", *[F.lead(c).over(window).alias(f"_next_{c}") for c in carry])
+    return nexts.where("_copy = 0").drop("_r", "_copy")
 
 
 def _range_of(value: Column, edges: list) -> Column:
