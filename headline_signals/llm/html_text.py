@@ -4,7 +4,9 @@ A page becomes a sequence of text blocks, each with the path of tags from the ro
 Per path, text length and punctuation are summed over its blocks and divided by their
 number. Both ratios are smoothed along the page, fused with the share of text outside
 links and with what the path's names say, and paths over a threshold are content. Paths
-decide, not single blocks: a short paragraph counts like its long siblings.
+decide, not single blocks: a short paragraph counts like its long siblings. A frame (menu,
+advert, comments ...) that holds the page's main element or most of its prose is none,
+whatever its names say.
 """
 
 from __future__ import annotations
@@ -46,7 +48,16 @@ FRAME_NAMES = frozenset(
     "signup login share sharing social related recommended recommendations comment comments commentlist reply replies "
     "respond disqus discussion feedback widget widgets toolbar pagination pager copyright legal disclaimer tags "
     "teaser trending outbrain taboola paywall".split())
+#: Those that hold prose of their own: beside an article's text, however short, they stay frames.
+OTHER_PROSE = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo promos promotion teaser related recommended "
+    "recommendations trending comment comments commentlist reply replies respond disqus discussion feedback cookie "
+    "cookies consent gdpr popup modal newsletter outbrain taboola".split())
 MAIN_TAGS = frozenset(["article", "main"])
+ROOT_TAGS = frozenset(["html", "body"])
+#: How surely an element is a frame: by a name or a form, by a tag, role or name of other prose, or hidden.
+PART, WHOLE, HIDDEN = 1, 2, 3
+PART_TAGS = frozenset(["form", "fieldset"])
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -64,6 +75,18 @@ KERNEL = (1.0, 0.6, 0.2)
 OUTSIDE = 0.05
 #: A path is content from this share of the page's text-weighted mean score on.
 THRESHOLD = 0.3
+#: A ``WHOLE`` frame that holds most prose is none if less than this share of it is outside frames.
+LEFT_OUTSIDE = 0.25
+
+
+@dataclass(eq=False)
+class Element:
+    tag: str
+    label: str
+    framed: int
+    main: bool
+    heads: bool
+    prose: int = 0
 
 
 @dataclass
@@ -71,16 +94,20 @@ class Block:
     path: str
     text: str
     linked: int
-    frame: bool
-    main: bool
+    within: list[Element]
 
+    @property
+    def frame(self) -> bool:
+        return any(e.framed for e in self.within)
 
-@dataclass
-class Element:
-    tag: str
-    label: str
-    frame: bool
-    main: bool
+    @property
+    def main(self) -> bool:
+        return any(e.heads for e in self.within)
+
+    @property
+    def prose(self) -> int:
+        """Characters outside links, if the text has punctuation."""
+        return len(self.text) - self.linked if PUNCTUATION.search(self.text) else 0
 
 
 @dataclass
@@ -97,9 +124,9 @@ class _Page:
         if self.parts:
             text = SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
             if text:
-                top = self.stack[-1] if self.stack else Element("", "", False, False)
                 path = "/".join(e.label for e in self.stack if e.tag in BLOCK_TAGS)
-                self.blocks.append(Block(path, text, min(self.linked, len(text)), top.frame, top.main))
+                within = [e for e in self.stack if e.tag in BLOCK_TAGS or e.framed or e.heads]
+                self.blocks.append(Block(path, text, min(self.linked, len(text)), within))
             self.parts.clear()
         self.linked = 0
 
@@ -129,16 +156,22 @@ class _Page:
             if tag == "br":
                 self.parts.append(" ")
             return
-        over = self.stack[-1] if self.stack else Element("", "", False, False)
-        names, hidden = _names(rest) if "=" in rest or "hidden" in rest else (set(), False)
-        main = over.main or tag in MAIN_TAGS or "role:main" in names
-        frame = (tag in FRAME_TAGS and not (tag == "header" and over.main)) or hidden
-        if not frame and names and tag not in ("html", "body"):
+        over_main = bool(self.stack) and self.stack[-1].main
+        names, whole, hidden = _names(rest) if "=" in rest or "hidden" in rest else (set(), set(), False)
+        heads = tag in MAIN_TAGS or "role:main" in names
+        framed = HIDDEN if hidden or tag == "head" else 0
+        if not framed and tag in FRAME_TAGS and not (tag == "header" and over_main):
+            framed = PART if tag in PART_TAGS else WHOLE
+        if framed < WHOLE and names and tag not in ROOT_TAGS:
             said = names & FRAME_NAMES
-            frame = bool(said) and not (said == {"header"} and over.main) or any(
-                f"role:{r}" in names for r in FRAME_ROLES)
+            if said == {"header"} and over_main:
+                said = set()
+            if said & whole & OTHER_PROSE or any(f"role:{r}" in names for r in FRAME_ROLES):
+                framed = WHOLE
+            elif said and not heads:
+                framed = PART
         label = tag + "".join(f".{n}" for n in sorted(names)) if tag in BLOCK_TAGS else tag
-        self.stack.append(Element(tag, label, over.frame or frame, main))
+        self.stack.append(Element(tag, label, framed, over_main or heads, heads))
         if tag == "a":
             self.links += 1
 
@@ -153,19 +186,20 @@ class _Page:
                 return
 
 
-def _names(rest: str) -> tuple[set[str], bool]:
-    """Words of the element's class and id, its role, and whether it is hidden."""
-    names, hidden = set(), False
+def _names(rest: str) -> tuple[set[str], set[str], bool]:
+    """Words of the element's class and id and its role, whole classes and id, and whether it is hidden."""
+    names, whole, hidden = set(), set(), False
     for key, *values in ATTRIBUTE.findall(rest):
         key, value = key.lower(), next((v for v in values if v), "")
         if key in ("class", "id"):
             names.update(w.lower() for w in NAME.findall(value))
+            whole.update(value.lower().split())
         elif key == "role":
             names.add(f"role:{value.strip().lower()}")
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or (
                 key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             hidden = True
-    return names, hidden
+    return names, whole, hidden
 
 
 def page_blocks(page: str) -> list[Block]:
@@ -185,9 +219,39 @@ def page_blocks(page: str) -> list[Block]:
     if at < len(page):
         state.text(page[at:])
     state.end_block()
+    _lift(state.blocks)
     return state.blocks
 
 
+def _lift(blocks: list[Block]) -> None:
+    """Elements that their tag or names make frames, but that hold the content, are none."""
+    total = outside = 0
+    elements: dict[int, Element] = {}
+    free_main = False
+    for b in blocks:
+        if any(e.framed == HIDDEN for e in b.within):
+            continue
+        prose = b.prose
+        total += prose
+        free = True
+        for e in b.within:
+            e.prose += prose
+            elements[id(e)] = e
+            free = free and not e.framed
+            free_main = free_main or free and e.heads
+        outside += prose if free else 0
+    heads = [e for e in elements.values() if e.heads]
+    if heads and not free_main:
+        most = max(heads, key=lambda e: e.prose)
+        within = next(b.within for b in blocks if most in b.within)
+        for e in within[:within.index(most) + 1]:
+            if e.framed == PART or outside < LEFT_OUTSIDE * most.prose:
+                e.framed = 0
+    for e in elements.values():
+        if e.framed and 2 * e.prose > total and (e.framed == PART or outside < LEFT_OUTSIDE * e.prose):
+            e.framed = 0
+
+
 def _smoothed(values: list[float]) -> list[float]:
     out = []
     for i in range(len(values)):

@@ -254,3 +254,26 @@ def test_html_table(spark):
                                 "page_id bigint, url string, html string, text string")
     assert sorted(len(r.text) for r in extract_text(odd).collect())[:2] == [0, 0]
     assert extract_text(odd.limit(0)).collect() == []
+
+
+PARAGRAPH = "<p>" + "Some words of the story, told in full, with marks; and more of it. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<div class='layout has-sidebar'>", "</div>"), ("<div id='page' class='no-sidebar'>", "</div>"),
+    ("<form id=aspnetForm><div>", "</div></form>"), ("<article class='post category-legal'>", "</article>"),
+    ("<article class='post social'>", "</article>"), ("<div class='post social'>", "</div>"), ("<div class='sidebar'><article>", "</article></div>"),
+    ("<div class='widget'><main>", "</main></div>")])
+def test_html_names_do_not_hide_the_article(before, after):
+    page = (f"<html><body><nav><a href=a>Home</a></nav>{before}<h1>Title</h1>{PARAGRAPH * 6}"
+            f"<div class='comments'><p>A reader wrote this, which is long.</p></div>{after}"
+            f"<div class='cookie-notice'><p>We use cookies, as all do.</p></div></body></html>")
+    got = main_text(page).split("\n\n")
+    assert got[0] == "Title" and len(got) == 7
+
+
+def test_html_long_comments_are_still_dropped():
+    comments = f"<div class='comments'><article class='comment'>{PARAGRAPH * 9}</article></div>"
+    for inner in (f"<article>{PARAGRAPH * 6}</article>", f"<div>{PARAGRAPH * 6}</div>"):
+        got = main_text(f"<html><body>{inner}{comments}</body></html>").split("\n\n")
+        assert len(got) == 6
