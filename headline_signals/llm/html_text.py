@@ -3,10 +3,11 @@
 A page becomes a sequence of text blocks, each with the path of tags from the root to it.
 Per path, text length and punctuation are summed over its blocks and divided by their
 number. Both ratios are smoothed along the page, fused with the share of text outside
-links and with what the path's names say, and paths over a threshold are content. Paths
-decide, not single blocks: a short paragraph counts like its long siblings. A frame (menu,
-advert, comments ...) that holds the page's main element or most of its prose is none,
-whatever its names say.
+links and with what the path's names say, and paths over a threshold find the content's
+root: the article or main element around them, else the deepest element that covers them.
+All blocks under the root stay, lists, tables and links too, but for frames (menus,
+adverts, comments ...). A frame that holds the page's main element or most of its prose
+is none, whatever its names say.
 """
 
 from __future__ import annotations
@@ -288,12 +289,57 @@ def content_paths(blocks: list[Block]) -> set[str]:
     return {path for path, r in ratio.items() if r > 0 and r >= THRESHOLD * mean}
 
 
+def _children_in(blocks: list[Block], root: Element | None) -> list[tuple[Element | None, list[int]]]:
+    """The parts of ``root`` (None: of the page): what block of each child, in order."""
+    found: dict[int, tuple[Element | None, list[int]]] = {}
+    for i, b in enumerate(blocks):
+        if root is None or root in b.within:
+            depth = 0 if root is None else b.within.index(root) + 1
+            child = b.within[depth] if depth < len(b.within) else None
+            found.setdefault(id(child) if child else -1 - i, (child, []))[1].append(i)
+    return list(found.values())
+
+
+def content_blocks(blocks: list[Block]) -> list[Block]:
+    """All blocks but frames under the root of what passes.
+
+    Outside any article or main element, where the passing paths meet only in the page's
+    body, its parts before or after all of them that are mostly links are menus.
+    """
+    chosen = content_paths(blocks)
+    blocks = [b for b in blocks if not b.frame]
+    passing = [b for b in blocks if b.path in chosen]
+    if not passing:
+        return []
+    mains = {id(e) for b in passing for e in [next((e for e in b.within if e.heads), None)] if e}
+    if mains:
+        return [b for b in blocks if b.path in chosen or any(id(e) in mains for e in b.within)]
+    shared = passing[0].within
+    for b in passing[1:]:
+        same = 0
+        while same < min(len(shared), len(b.within)) and shared[same] is b.within[same]:
+            same += 1
+        shared = shared[:same]
+    # a lone passing block is covered by itself; its root is what holds it
+    if shared and all(shared[-1] is b.within[-1] for b in passing) and shared[-1].tag not in ROOT_TAGS and len(shared) > 1:
+        shared = shared[:-1]
+    root = shared[-1] if shared else None
+    if root is not None and root.tag not in ROOT_TAGS:
+        return [b for b in blocks if root in b.within]
+    passes = [i for i, b in enumerate(blocks) if b.path in chosen]
+    kept: list[int] = []
+    for _, part in _children_in(blocks, root):
+        between = part[-1] > passes[0] and part[0] < passes[-1] or any(blocks[i].path in chosen for i in part)
+        linked, length = (sum(v) for v in zip(*[(blocks[i].linked, len(blocks[i].text)) for i in part]))
+        if between or 2 * linked <= length:
+            kept += part
+    return [blocks[i] for i in sorted(kept)]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    blocks = page_blocks(page)
-    chosen = content_paths(blocks)
-    return "\n\n".join(b.text for b in blocks if b.path in chosen and not b.frame)
+    return "\n\n".join(b.text for b in content_blocks(page_blocks(page)))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -259,6 +259,22 @@ def test_html_table(spark):
 PARAGRAPH = "<p>" + "Some words of the story, told in full, with marks; and more of it. " * 6 + "</p>"
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_keeps_short_and_linked_blocks_of_an_article(tag):
+    items = [f"ingredient number {i:03d} gram" for i in range(20)]
+    cells = [f"c{i:05d}" for i in range(30)]
+    links = [f"Reference {i:02d} of the story" for i in range(10)]
+    body = (f"<h1>Title</h1>{PARAGRAPH * 6}<ul>{''.join(f'<li>{t}</li>' for t in items)}</ul>{PARAGRAPH * 3}"
+            f"<table>{''.join(f'<tr><td>{t}</td></tr>' for t in cells)}</table>{PARAGRAPH * 3}"
+            f"<ol>{''.join(f'<li><a href=x>{t}</a></li>' for t in links)}</ol><pre>x = 1</pre>")
+    page = (f"<html><body><nav><a href=a>Home</a></nav><{tag}>{body}</{tag}><div class='related'><p>{'Other, too. ' * 9}</p></div>"
+            "<ul><li><a href=b>Elsewhere</a></li></ul></body></html>")
+    got = main_text(page).split("\n\n")
+    assert [t for t in got if t in items] == items and [t for t in got if t in cells] == cells
+    assert [t for t in got if t in links] == links and got[0] == "Title" and got[-1] == "x = 1"
+    assert len(got) == 1 + 12 + 20 + 30 + 10 + 1
+
+
 @pytest.mark.parametrize("before, after", [
     ("<div class='layout has-sidebar'>", "</div>"), ("<div id='page' class='no-sidebar'>", "</div>"),
     ("<form id=aspnetForm><div>", "</div></form>"), ("<article class='post category-legal'>", "</article>"),
