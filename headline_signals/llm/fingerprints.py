@@ -111,13 +111,18 @@ def with_next(df: DataFrame, id_col: str, carry: list[str]) -> DataFrame:
     """``df`` with ``_next_<c>`` for each of ``carry``: of the row that follows by ``id_col``
     (nulls first, ties by the columns carried), after the last row the first.
 
-    Ids are cut into ranges at quantiles that are ids themselves; a copy of each range's
-    first rows also goes to the range before it, so that every range is a window of its own.
+    Ids are cut into ranges near quantiles, at the smallest id that each range really has; a
+    copy of each range's first rows also goes to the range before it, so that every range is
+    a window of its own.
     """
     ranges = 4 * partitions_for(df)
     found = df.agg(F.min(id_col), F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 20 * ranges),
                    F.count(F.when(F.col(id_col).isNull(), 1))).first()
-    edges = sorted({found[0], *found[1]}) if found[0] is not None else []
+    cuts = sorted({found[0], *found[1]}) if found[0] is not None else []
+    # quantiles go through doubles, which round large ids: they only say where to look
+    least = df.where(F.col(id_col).isNotNull()).groupBy(_range_of(F.col(id_col), cuts).alias("_range")).agg(
+        F.min(id_col).alias("_least"))
+    edges = sorted(r["_least"] for r in least.collect()) if len(cuts) > 1 else cuts
     first = None if found[2] or not edges else edges[0]
     place = _range_of(F.col(id_col), edges)
     last = max(len(edges) - 1, 0)

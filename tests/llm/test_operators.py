@@ -115,6 +115,14 @@ def test_fingerprints(spark, odd, small):
         assert all(len(f) == 1 for f in by_text.values())
 
 
+def test_fingerprints_of_large_ids(spark):
+    rows = [((1 << 62) + 3 * i, f"text {i} of many words that differ by {i * i}") for i in range(300)]
+    got = {r.doc_id: r for r in edited_fingerprints(frame(spark, rows)).collect()}
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        half = len(t) // 2
+        assert got[i].edited_sha256 == brute.sha(t[:len(t) - half] + after[:half])
+
+
 def test_exact_dedup(spark, odd, small):
     for df, rows in both(spark, odd, small):
         got = table(exact_dedup(df), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
