@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.partitioning import materialize
@@ -51,6 +52,30 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def tagged(docs: DataFrame, tag: str) -> DataFrame:
+    """``docs`` and a bigint ``tag`` of each row that is the same whenever the rows are read: of
+    a Parquet table a 64-bit hash of file and row number, else a number in a written copy."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and fresh(
+            "_metadata", docs.columns) == "_metadata":
+        try:
+            return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(tag))
+        except AnalysisException:  # a format without row numbers
+            pass
+    return checkpointed(docs.withColumn(tag, F.monotonically_increasing_id()))
+
+
+def first_id(id_col: str, tag: str) -> Column:
+    """What rows are ranked by: null ids last, then by id, then by tag."""
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(tag).alias("tag"))
+
+
+def only_kept(rows: DataFrame, kept: DataFrame, id_col: str, tag: str) -> DataFrame:
+    """The rows of tagged ``rows``, without tag, whose ``first_id`` is among ``kept`` (column ``id``)."""
+    mark, mark_tag = fresh("_kept_id", rows.columns), fresh("_kept_tag", rows.columns)
+    kept = kept.select(F.col("id.id").alias(mark), F.col("id.tag").alias(mark_tag))
+    return rows.join(kept, F.col(id_col).eqNullSafe(F.col(mark)) & (F.col(tag) == F.col(mark_tag)), "left_semi").drop(tag)
+
+
 def whole_row(docs: DataFrame, **needed: str) -> DataFrame:
     """``docs`` as one struct column ``row``, and what an operator needs by its own names, so that
     no column of the input can clash with one of the operator's."""

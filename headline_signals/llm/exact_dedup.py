@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACES, checkpointed, fresh, partitions_for, text_or_empty
+from .common import SPACES, checkpointed, first_id, fresh, only_kept, partitions_for, tagged, text_or_empty
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -37,8 +37,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is returned, counted and marked alike. Other columns are ignored, whatever their names.
     An empty table gives an empty result.
     """
-    levels = max(1, math.ceil(math.log(4 * partitions_for(docs), fan_in)))
-    text = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("t"))
+    leaves, tree = _tree(docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("t")), fan_in)
+    won = tree[-1].select("run", *KEY, F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    for below in reversed(tree[:-1]):
+        won = (below.select("run", *KEY).withColumn("above", F.floor(F.col("run") / fan_in))
+               .join(won.withColumnRenamed("run", "above"), ["above", *KEY]).drop("above"))
+    return leaves.join(won, ["run", *KEY]).select(
+        F.col("id").alias(id_col), "keep_id", "group_size",
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def _tree(text: DataFrame, fan_in: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The leaves of rows ``(id, t)`` and the records of every level, the root's last."""
+    levels = max(1, math.ceil(math.log(4 * partitions_for(text), fan_in)))
     leaves = checkpointed(text.select(
         "id", F.sha2("t", 256).alias("digest"), F.octet_length("t").alias("n_bytes"),
         F.xxhash64("t").alias("check"),
@@ -48,13 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for _ in range(levels):
         below = tree[-1]
         tree.append(_merge(below.withColumn("run", F.floor(F.col("run") / fan_in))))
-    won = tree[-1].select("run", *KEY, F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
-    for below in reversed(tree[:-1]):
-        won = (below.select("run", *KEY).withColumn("above", F.floor(F.col("run") / fan_in))
-               .join(won.withColumnRenamed("run", "above"), ["above", *KEY]).drop("above"))
-    return leaves.join(won, ["run", *KEY]).select(
-        F.col("id").alias(id_col), "keep_id", "group_size",
-        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return leaves, tree
 
 
 def _merge(records: DataFrame) -> DataFrame:
@@ -64,8 +69,10 @@ def _merge(records: DataFrame) -> DataFrame:
                         .sortWithinPartitions("run", *KEY))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay."""
-    mark = fresh("_kept_id", docs.columns)
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(mark))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(mark)), "left_semi")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stay: one per text, that with the smallest id; of
+    rows with the same id any one, and one with a null id only if no other has the text."""
+    tag = fresh("_row_tag", docs.columns)
+    rows = tagged(docs, tag)
+    _, tree = _tree(rows.select(first_id(id_col, tag).alias("id"), normalised(text_col).alias("t")), fan_in)
+    return only_kept(rows, tree[-1], id_col, tag)

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .block_keys import ANSWER_SCHEMA, SENT_SCHEMA, answer_blocks, key_bits, received, sent_rows
-from .common import checkpointed, fresh, mix64, row_blocks, text_or_empty, word_hashes, written
+from .common import (checkpointed, first_id, fresh, mix64, only_kept, row_blocks, tagged, text_or_empty, word_hashes,
+                     written)
 from .components import components
 
 WORDS_PER_SHINGLE = 5
@@ -350,10 +351,12 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay: of each component the smallest id; rows
-    with a null id stay."""
-    mark = fresh("_kept_id", docs.columns)
-    kept = (similar_documents(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-            .select(F.col(id_col).alias(mark)))
-    return docs.join(kept, F.col(id_col) == F.col(mark), "left_semi").unionByName(
-        docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` (all columns) that stay: of each component one row, that with the
+    smallest id. Rows are compared each on its own, whether ids are repeated or null; null
+    ids give way to others."""
+    tag = fresh("_row_tag", docs.columns)
+    rows = tagged(docs, tag)
+    found = similar_documents(rows, tag, text_col).select(F.col(tag).alias("of_tag"), "component_id")
+    ids = rows.select(first_id(id_col, tag).alias("id"))
+    kept = found.join(ids, F.col("of_tag") == F.col("id.tag")).groupBy("component_id").agg(F.min("id").alias("id"))
+    return only_kept(rows, kept, id_col, tag)

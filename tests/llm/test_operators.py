@@ -301,3 +301,24 @@ def test_html_long_comments_are_still_dropped():
     for inner in (f"<article>{PARAGRAPH * 6}</article>", f"<div>{PARAGRAPH * 6}</div>"):
         got = main_text(f"<html><body>{inner}{comments}</body></html>").split("\n\n")
         assert len(got) == 6
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_one_row_per_text_whatever_the_ids(spark, tmp_path, stored):
+    near = BASE + " a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(5, BASE), (5, BASE), (None, BASE), (5, "other text of five words"), (7, "other  text of five words"),
+            (5, "kept only once " + LONG[:90]), (None, "no id at all"), (None, "no id at all"), (None, "one more"),
+            (9, near), (3, near + " end"), (None, near + " end two"), (3, near + " end"), (3, "not near")]
+    df = frame(spark, rows)
+    if stored:
+        df.repartition(3).write.parquet(f"{tmp_path}/docs")
+        df = spark.read.parquet(f"{tmp_path}/docs")
+    first = keep_first(df)
+    got = table(first, "doc_id", "text")
+    assert [(i, brute.SPACE.sub(" ", t)) for i, t in got] == sorted(
+        {(5, BASE), (5, "other text of five words"), (5, rows[5][1]), (None, "no id at all"), (None, "one more"),
+         (9, near), (3, near + " end"), (None, near + " end two"), (3, "not near")}, key=repr)
+    assert first.columns == df.columns
+    expected = sorted([(5, BASE), (5, "other text of five words"), (5, rows[5][1]), (None, "no id at all"),
+                       (None, "one more"), (3, near + " end"), (3, "not near")], key=repr)
+    for source in (df, first):
+        assert [(i, brute.SPACE.sub(" ", t)) for i, t in table(keep_one(source), "doc_id", "text")] == expected
