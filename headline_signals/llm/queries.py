@@ -18,6 +18,9 @@ from .mixing import mix
 from .pitman_yor import language_model_scores
 from .secret_scan import MORE_RULES, secret_digests
 from .suffix_dedup import remove_repeats
+from .token_alignment import align_tokens
+from .toxicity import toxicity_scores
+from .whitening import whiten
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +68,18 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(documents(spark, sf_dir))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), load(spark, sf_dir, "labels"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_fingerprints": op2_fingerprints,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_html_text": op9_html_text,
     "op10_pitman_yor": op10_pitman_yor,
+    "op11_toxicity": op11_toxicity,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_whitening": op13_whitening,
 }
 
 #: kind, RE2 pattern, capturing group and its least length, as in the rules.
