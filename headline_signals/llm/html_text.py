@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # HTML's element kinds.
-RAW_TAGS = "script style noscript template iframe svg canvas object textarea title select math audio video"
+RAW_TAGS = "script style noscript template iframe svg canvas textarea title select audio video annotation annotation-xml"
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -54,6 +54,14 @@ OTHER_PROSE = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promos promotion teaser related recommended "
     "recommendations trending comment comments commentlist reply replies respond disqus discussion feedback cookie "
     "cookies consent gdpr popup modal newsletter outbrain taboola".split())
+#: Inside an article or main element these names and tags may also be the content's own (a section called
+#: discussion, a list of steps): there they are frames only if what they hold looks like one.
+DOUBTFUL_NAMES = frozenset(
+    "side menu menus header masthead legal notice notices notification alert social related discussion feedback tags "
+    "trending copyright disclaimer toolbar overlay subscription".split())
+DOUBTFUL_TAGS = frozenset(["menu", "dialog"])
+#: A doubtful element is content if at most this share of its text is in links.
+LINKED_SHARE = 0.2
 MAIN_TAGS = frozenset(["article", "main"])
 ROOT_TAGS = frozenset(["html", "body"])
 #: How surely an element is a frame: by a name or a form, by a tag, role or name of other prose, or hidden.
@@ -62,7 +70,8 @@ PART_TAGS = frozenset(["form", "fieldset"])
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW_TAGS.split())})\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
+    r"|<svg(?=[\s/])[^>]*?/>"
+    rf"|<(?P<raw>{'|'.join(RAW_TAGS.split())})(?=[\s/>])[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -88,6 +97,8 @@ class Element:
     main: bool
     heads: bool
     prose: int = 0
+    #: Framed by its tag or by names that may be the content's own.
+    doubtful: bool = False
 
 
 @dataclass
@@ -163,16 +174,21 @@ class _Page:
         framed = HIDDEN if hidden or tag == "head" else 0
         if not framed and tag in FRAME_TAGS and not (tag == "header" and over_main):
             framed = PART if tag in PART_TAGS else WHOLE
-        if framed < WHOLE and names and tag not in ROOT_TAGS:
+        doubtful = over_main and framed == WHOLE and tag in DOUBTFUL_TAGS
+        if (framed < WHOLE or doubtful) and names and tag not in ROOT_TAGS:
             said = names & FRAME_NAMES
+            if over_main and said and said <= DOUBTFUL_NAMES:
+                doubtful, framed, whole = True, framed or PART, set()
+            elif said:
+                doubtful = False
             if said == {"header"} and over_main:
                 said = set()
             if said & whole & OTHER_PROSE or any(f"role:{r}" in names for r in FRAME_ROLES):
-                framed = WHOLE
-            elif said and not heads:
+                framed, doubtful = WHOLE, False
+            elif said and not heads and not framed:
                 framed = PART
         label = tag + "".join(f".{n}" for n in sorted(names)) if tag in BLOCK_TAGS else tag
-        self.stack.append(Element(tag, label, framed, over_main or heads, heads))
+        self.stack.append(Element(tag, label, framed, over_main or heads, heads, doubtful=doubtful))
         if tag == "a":
             self.links += 1
 
@@ -226,6 +242,15 @@ def page_blocks(page: str) -> list[Block]:
 
 def _lift(blocks: list[Block]) -> None:
     """Elements that their tag or names make frames, but that hold the content, are none."""
+    held: dict[int, list] = {}
+    for b in blocks:
+        for e in b.within:
+            if e.doubtful:
+                sums = held.setdefault(id(e), [e, 0, 0, 0])
+                sums[1:] = sums[1] + len(b.text), sums[2] + b.linked, sums[3] + b.prose
+    for e, length, linked, prose in held.values():
+        if linked <= LINKED_SHARE * length and (prose or e.tag in DOUBTFUL_TAGS):
+            e.framed = 0
     total = outside = 0
     elements: dict[int, Element] = {}
     free_main = False
