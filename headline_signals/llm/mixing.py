@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORDS, checkpointed, text_or_empty, whole_row
+from .common import WORDS, checkpointed, fresh, tagged, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -26,10 +26,14 @@ def word_count(text_col: str) -> Column:
     return F.regexp_count(text_or_empty(text_col), F.lit(WORDS)).cast("long")
 
 
-def id_hash(id_col: str) -> Column:
-    """60 bits of the MD5 of the id as text (null: of the empty text)."""
-    return F.conv(F.substring(F.md5(text_or_empty(F.col(id_col).cast("string")).cast("binary")), 1, 15),
-                  16, 10).cast("long")
+def row_hash(id_col: str, tag_col: str) -> Column:
+    """60 bits: 48 of the MD5 of the id as text and 12 of the row's tag, so that rows of one id are
+    not all or none taken; for a null id all of them from the tag."""
+    def bits(text: Column, digits: int) -> Column:
+        return F.conv(F.substring(F.md5(text.cast("string").cast("binary")), 1, digits), 16, 10).cast("long")
+
+    return F.when(F.col(id_col).isNull(), bits(F.col(tag_col), 15)).otherwise(
+        F.shiftleft(bits(F.col(id_col), 12), 12).bitwiseOR(bits(F.col(tag_col), 3)))
 
 
 def _source_key(source_col: str) -> Column:
@@ -65,16 +69,14 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         .otherwise((rest * F.col("w")).cast("double") / open_weight).alias("target"))
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            source_col: str = "source") -> DataFrame:
-    """One row per source: (source_key, source_size, target, repeats, edge, shift, edge_taken).
+def mixture(slim: DataFrame) -> DataFrame:
+    """One row per source of rows (source_key, h, size): (source_key, source_size, target, repeats,
+    edge, shift, edge_taken).
 
     A source is taken ``repeats`` times whole; what is left of its target is filled with the
     documents whose hash lies below ``edge << shift``, and the boundary bucket itself
     (``hash >> shift = edge``) if that brings the sum nearer to the target.
     """
-    slim = checkpointed(docs.select(_source_key(source_col).alias("source_key"),
-                                    id_hash(id_col).alias("h"), word_count(text_col).alias("size")))
     targets = (source_targets(slim)
                .withColumn("repeats", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                            .otherwise(F.lit(0)).cast("long"))
@@ -114,27 +116,33 @@ def _small(df: DataFrame, few: bool) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> DataFrame:
     """``docs`` with ``_size``, ``_source_size``, ``_target``, ``_taken``; columns of such names are
-    replaced.
+    replaced, all others come back whatever their names.
 
     Null text has size 0 and is never taken; a null source is a source of its own, named
-    last. Repeated rows share a hash and are taken or left together. Sources without words
-    have target 0. An empty table gives an empty result.
+    last. Rows with a null id and repeated rows are taken or left one by one, by file and row
+    number. Sources without words have target 0. An empty table gives an empty result.
     """
-    plan = mixture(docs, id_col, text_col, source_col)
+    tag = fresh("_row_tag", docs.columns)
+    kept = [c for c in docs.columns if c not in ("_size", "_source_size", "_target", "_taken")]
+    # input columns travel under names that no column of ours can have
+    rows = tagged(docs, tag).select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], row_hash(f"`{id_col}`", f"`{tag}`").alias("h"),
+        word_count(f"`{text_col}`").alias("size"), _source_key(f"`{source_col}`").alias("key"))
+    plan = mixture(checkpointed(rows.select(F.col("key").alias("source_key"), "h", "size")))
     few = plan.count() <= BROADCAST_SOURCES
-    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns])
-    own = ["_source_size", "_target", "_taken", "_key", "_source_key", "_h", "_repeats", "_edge", "_shift", "_edge_taken"]
-    sized = (docs.drop(*own).withColumn("_size", word_count(text_col)).withColumn("_h", id_hash(id_col))
-             .withColumn("_key", _source_key(source_col)))
-    bucket = F.expr("shiftright(_h, _shift)")
-    extra = F.when((bucket < F.col("_edge")) | ((bucket == F.col("_edge")) & F.col("_edge_taken")), 1).otherwise(0)
-    return (sized.join(_small(plan, few), F.col("_key") == F.col("_source_key"))
-            .withColumn("_taken", F.col("_size") * (F.col("_repeats") + extra))
-            .drop("_key", "_source_key", "_h", "_repeats", "_edge", "_shift", "_edge_taken"))
+    bucket = F.expr("shiftright(h, shift)")
+    extra = F.when((bucket < F.col("edge")) | ((bucket == F.col("edge")) & F.col("edge_taken")), 1).otherwise(0)
+    return rows.join(_small(plan, few), F.col("key") == F.col("source_key")).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("size").alias("_size"),
+        F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
+        (F.col("size") * (F.col("repeats") + extra)).alias("_taken"))
 
 
 def mixed_copies(docs: DataFrame) -> DataFrame:
-    """The mix itself: every row of ``docs`` (all columns) as many times as it is taken."""
-    taken = mix(whole_row(docs, doc_id="doc_id", text="text", source="source"))
+    """The mix itself: every row of ``docs`` (all columns) as many times as it is taken, which for
+    null texts is never; null ids and repeated rows as ``mix`` says. An empty table stays empty."""
+    clashing = [c for c in docs.columns if c in ("_size", "_source_size", "_target", "_taken")]
+    renamed = docs.withColumnsRenamed({c: fresh(f"{c}_kept", docs.columns) for c in clashing})
     times = F.when(F.col("_size") > 0, F.col("_taken") / F.col("_size")).otherwise(0).cast("int")
-    return taken.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
+    copies = mix(renamed).withColumn("_taken", F.explode(F.array_repeat(F.lit(0), times)))
+    return copies.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(renamed.columns, docs.columns)])

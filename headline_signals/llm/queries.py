@@ -54,7 +54,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    mixed = mix(documents(spark, sf_dir))
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
                         F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
