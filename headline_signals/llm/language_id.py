@@ -146,12 +146,14 @@ def fit_language_model(train: DataFrame, text_col: str = "text", label_col: str
               .groupBy("place").agg(F.sum("n").alias("n")).collect()):
         frequencies[r["place"]] = r["n"]
     idf = np.log((1 + total) / (1 + frequencies)) + 1
-    # a uniform number from the id decides, so the sample is the same in every run
-    draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    # a uniform number from id and text decides, so the sample is the same in every run, and rows
+    # without an id are drawn one by one; of repeated rows one is enough
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     share = F.lit(0.0)
     for label in labels:
         share = F.when(F.col("label") == label, F.lit(min(1.0, per_label / sizes[label]))).otherwise(share)
-    sample = (train.where(draw < share).select("label", "text")
+    sample = (train.where(draw < share).withColumn("key", F.xxhash64("id", "text"))
+              .dropDuplicates(["label", "key"]).select("label", "text")
               .mapInArrow(_sparse_counts, "label string, places array<bigint>, counts array<bigint>").collect())
     number = {label: i for i, label in enumerate(labels)}
     rows = sorted(((number[r["label"]], r["places"], r["counts"]) for r in sample))
@@ -195,12 +197,14 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", hold_out: int = 1, fo
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Fits on the training rows of ``docs`` and predicts all of them."""
+    """Fits on the training rows of ``docs`` and predicts all of them (``predict_language`` says how nulls,
+    repeated rows and an empty table come out; null labels and all-null columns teach nothing)."""
     return predict_language(docs, fit_language_model(training_rows(docs)))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose language is not ``und``."""
+    """The rows of ``docs`` (all columns) whose language is not ``und``: null texts and those without a letter
+    go, null ids and repeated rows stay as they are. An empty table stays empty."""
     model = fit_language_model(training_rows(docs))
     found = predict_language(whole_row(docs, text="text"), model)
     return found.where(F.col("_lang_pred") != UNKNOWN).select("row.*")
