@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -19,7 +20,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import row_blocks
+from .common import fresh, row_blocks
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK_CHARS = 16_384
@@ -27,8 +28,10 @@ OVERLAP_CHARS = 512
 #: What follows a match can change it only through the next few characters (a contraction
 #: has three); matches ending so close to a cut are not trusted.
 MARGIN = 4
-#: Distinct pieces whose codes a task keeps; a piece beyond that is encoded again.
-CACHE_PIECES = 400_000
+#: Memory of the pieces whose codes a task keeps, about; a piece beyond that is encoded again.
+CACHE_BYTES = 96 << 20
+#: What an entry of the cache takes besides its characters and ids.
+ENTRY_BYTES = 200
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -119,22 +122,25 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
 
 
 class _PieceIds(dict):
-    """Ids of the pieces seen lately; it starts anew when it holds ``CACHE_PIECES``."""
+    """Ids of the pieces seen lately; it starts anew when it holds about ``cache_bytes``."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], cache_bytes: int):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.room, self.cache_bytes = ranks, cache_bytes, cache_bytes
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_PIECES:
+        ids = tuple(merge_piece(piece.encode(), self.ranks))  # tuples of ints burden no collector
+        self.room -= ENTRY_BYTES + len(piece) + 8 * len(ids)
+        if self.room < 0:
             self.clear()
-        ids = self[piece] = tuple(merge_piece(piece.encode(), self.ranks))  # tuples of ints burden no collector
+            self.room = self.cache_bytes
+        self[piece] = ids
         return ids
 
 
-def text_encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
+def text_encoder(ranks: dict[bytes, int], pattern: str, cache_bytes: int = CACHE_BYTES) -> Callable[[str], list[int]]:
     compiled = regex.compile(pattern)
-    piece_ids = _PieceIds(load_ranks(path)).__getitem__
+    piece_ids = _PieceIds(ranks, cache_bytes).__getitem__
 
     def encode(text: str) -> list[int]:
         if len(text) <= CHUNK_CHARS:
@@ -176,7 +182,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "to
     path = path or public_tokenizers.path(VOCABULARY)
 
     def work():
-        encode = text_encoder(path, pattern)
+        encode = text_encoder(load_ranks(path), pattern)
 
         def task(batch):
             for block, _, _ in row_blocks(batch, text_col):
@@ -209,12 +215,35 @@ def decode_documents(encoded: DataFrame, ids_col: str = "token_ids", bytes_col:
     return _run(encoded, work, bytes_col, "binary", ids_col, (bytes_col,))
 
 
-def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                path: str | None = None) -> DataFrame:
-    """Per document: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
-    encoded = encode_documents(docs.select(id_col, text_col), text_col, path=path, drop_text=True)
-    decoded = decode_documents(encoded, path=path)
-    return decoded.select(
-        id_col, F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
+                pattern: str = public_tokenizers.PATTERN, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """Per row: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
+
+    Texts are encoded and their ids decoded again in one worker, so that ids never leave it. A null
+    text counts as empty, null ids and repeated rows pass through, other columns are ignored,
+    whatever their names, and an empty table gives an empty result. ``cache_bytes`` bounds what
+    a worker keeps of pieces it has encoded.
+    """
+    path = path or public_tokenizers.path(VOCABULARY)
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    name = fresh(id_col, ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = load_ranks(path)
+        encode = text_encoder(ranks, pattern, cache_bytes)
+        token = {rank: piece for piece, rank in ranks.items()}.__getitem__
+        decimal = {rank: str(rank) for rank in ranks.values()}.__getitem__
+        for batch in stream:
+            for block, _, _ in row_blocks(batch, "text"):
+                rows = []
+                for text in block.column("text").to_pylist():
+                    ids = encode(text or "")
+                    rows.append((len(ids), sha256(" ".join(map(decimal, ids)).encode()).hexdigest(),
+                                 sha256(b"".join(map(token, ids))).hexdigest()))
+                n, of_ids, of_bytes = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [block.column("id"), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_bytes)],
+                    names=[name, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = slim.schema["id"].dataType.simpleString()
+    return slim.mapInArrow(run, f"`{name}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
