@@ -45,7 +45,7 @@ SALTS = 16
 BITMAP_BITS = 1024
 #: Kinds of keys; those of single frequent tokens are 0 and 1.
 RARE, COMBINATION = -1, -2
-BLOCK_TEXT = 16 << 20
+BLOCK_TEXT = 8 << 20
 BUCKET_TOKENS = 3_000_000
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                    0xA0761D6478BD642F], np.uint64)
