@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BLOCK_BYTES, checkpointed, fresh, id_bucket, mix64, row_blocks, text_or_empty, word_hashes
+from .common import BLOCK_BYTES, fresh, id_bucket, mix64, row_blocks, text_or_empty, word_hashes, written
 
 #: Lengths of the word beginnings that may become entries; shorter words may as a whole.
 STEM = range(3, 9)
@@ -288,14 +288,15 @@ def learn_lexicon(train: DataFrame, text_col: str = "text", label_col: str = "to
                   exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """The lexicon, exceptions and curve from all rows of ``train`` whose label is 0 or 1; without
     toxic rows, or without clean ones, an empty lexicon that says the share of toxic rows."""
-    train = train.where(F.col(label_col).isin(0, 1)).select(
-        text_or_empty(text_col).alias("text"), F.col(label_col).cast("bigint").alias("label"))
+    # written once: five passes read the labelled texts, and a join behind them would run in each
+    train = written(train.where(F.col(label_col).isin(0, 1)).select(
+        text_or_empty(text_col).alias("text"), F.col(label_col).cast("bigint").alias("label")))
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Lexicon({}, slope=0.0, offset=math.log((toxic + 0.5) / (clean + 0.5)))
     # one text of each sketch, the same in every run
-    distinct = checkpointed(
+    distinct = written(
         train.where("label = 1").mapInArrow(_sketch, "sketch bigint, text string, label bigint")
         .groupBy("sketch").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label"))
     texts = distinct.count()
