@@ -322,3 +322,57 @@ def test_one_row_per_text_whatever_the_ids(spark, tmp_path, stored):
                        (None, "one more"), (3, near + " end"), (3, "not near")], key=repr)
     for source in (df, first):
         assert [(i, brute.SPACE.sub(" ", t)) for i, t in table(keep_one(source), "doc_id", "text")] == expected
+
+
+STORY = "<p>This is the first paragraph of the story, with commas and a full stop. It goes on.</p>"
+
+
+@pytest.mark.parametrize("inner, kept", [
+    ("<svg class=i /><p>After the picture, text.</p>", ["After the picture, text."]),
+    ("<video-js id=x></video-js><p>After the player, text.</p><select-menu></select-menu><p>More, still.</p>",
+     ["After the player, text.", "More, still."]),
+    ("<section id='discussion'><h2>Discussion</h2><p>We find, as expected, that it holds.</p></section>",
+     ["Discussion", "We find, as expected, that it holds."]),
+    ("<section class='related work'><p>Others, before us, did this.</p></section><section id=feedback><p>It feeds back, "
+     "slowly.</p></section><p class='social'>People are social, mostly.</p>",
+     ["Others, before us, did this.", "It feeds back, slowly.", "People are social, mostly."]),
+    ("<p>The value is <math><mi>x</mi><mo>=</mo><mn>3</mn></math>, as shown.</p><object data=a><p>Fallback text, shown.</p>"
+     "</object>", ["The value is x=3, as shown.", "Fallback text, shown."]),
+    ("<menu><li>Mix flour<li>Bake</menu><dialog open><p>They said, quietly, no.</p></dialog>",
+     ["Mix flour", "Bake", "They said, quietly, no."]),
+    ("<div class='social'><a href=1>Share</a> <a>Tweet</a></div><div class='comments'><p>Great post, thanks.</p></div>"
+     "<div class=related><a>One story, here.</a><a>Two</a></div><p>End, really.</p>", ["End, really."]),
+])
+def test_names_and_raw_tags_inside_an_article(inner, kept):
+    page = f"<html><body><nav><a>Home</a></nav><article><h1>T</h1>{STORY}{inner}</article><footer>All rights.</footer></body></html>"
+    first = "This is the first paragraph of the story, with commas and a full stop. It goes on."
+    assert main_text(page).split("\n\n") == ["T", first, *kept]
+
+
+def test_very_long_page():
+    paragraphs = [f"Paragraph {i}, with some words. It ends here." for i in range(20_000)]
+    page = "<main>" + "".join(f"<p>{p}</p><ul><li>item {i}</ul>" for i, p in enumerate(paragraphs)) + "</main>"
+    assert main_text(page).split("\n\n")[::2] == paragraphs
+
+
+def test_mix_of_rows_without_an_id(spark):
+    """Null ids and repeated rows are drawn one by one, so the target is met within a document."""
+    rows = [(None if i % 2 else 7, "one two three four five", "abc"[i % 3] if i % 4 else None, "h", "k") for i in range(800)]
+    out = mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string, h string, _key string")).collect()
+    assert len(out) == 800 and {(r.h, r._key) for r in out} == {("h", "k")}
+    for source in {r.source for r in out}:
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r._taken for r in mine) - mine[0]._target) <= 15
+
+
+def test_language_sample_of_rows_without_an_id(spark):
+    from headline_signals.llm.language_id import fit_language_model
+    rows = [(None, f"the house and the garden {i}", "en") for i in range(300)] + [
+        (None, f"das haus und der garten {i}", "de") for i in range(300)] + [(5, "the same row", "en")] * 300
+    model = fit_language_model(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_label=60)
+    assert model.labels == ["de", "en"] and model.predict("der garten und das haus")[0] == "de"
+
+
+def test_bpe_with_a_tiny_cache(spark, odd):
+    assert table(bpe_digests(odd, cache_bytes=1000), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(
+        brute.bpe(TEXTS), key=repr)
