@@ -1,9 +1,9 @@
 """Quantile thresholds and regime flags.
 
-Thresholds are exact quantiles with linear interpolation (``percentile``) over the whole
-daily series (per entity with ``partition_by``). ``percentile`` keeps every distinct
-value, which is bounded here by the number of days; for row-level tables use
-``percentile_approx`` instead.
+Thresholds are exact quantiles with linear interpolation over the whole series (per entity
+with ``partition_by``). A series of days is bounded by the calendar, and ``percentile`` holds
+its distinct values in one task. A series of timestamps is not: its ranks are selected by
+counting (``operators.quantiles``).
 """
 
 from __future__ import annotations
@@ -13,19 +13,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import null_as_zero_flag
+from .quantiles import exact_quantiles
 
+# Names of the flags, in output order.
 FLAG_COLUMNS = ["extreme_positive_day", "extreme_negative_day", "high_sentiment_volatility",
                 "high_news_flow_day", "mixed_sentiment_day", "high_confidence_day"]
 
 
-def thresholds(daily: DataFrame, partition_by: Sequence[str] | None = None) -> DataFrame:
+#: Names of the thresholds, their columns and quantiles.
+THRESHOLDS = {
+    "sentiment_q25": ("avg_sentiment", 0.25), "sentiment_q75": ("avg_sentiment", 0.75),
+    "volatility_q75": ("sentiment_volatility", 0.75), "count_q75": ("headline_count", 0.75),
+}
+
+
+def thresholds(daily: DataFrame, partition_by: Sequence[str] | None = None, order_col: str = "Date") -> DataFrame:
     """q25/q75 of avg_sentiment, q75 of sentiment_volatility and headline_count."""
-    aggs = [
-        F.percentile("avg_sentiment", 0.25).alias("sentiment_q25"),
-        F.percentile("avg_sentiment", 0.75).alias("sentiment_q75"),
-        F.percentile("sentiment_volatility", 0.75).alias("volatility_q75"),
-        F.percentile("headline_count", 0.75).alias("count_q75"),
-    ]
+    if order_col not in daily.columns or daily.schema[order_col].dataType.simpleString() != "date":
+        return exact_quantiles(daily, THRESHOLDS, partition_by)
+    aggs = [F.percentile(c, p).alias(name) for name, (c, p) in THRESHOLDS.items()]
     return daily.groupBy(*partition_by).agg(*aggs) if partition_by else daily.agg(*aggs)
 
 

@@ -154,18 +154,18 @@ def flag(cond: str) -> str:
     return f"CAST(coalesce(CAST(({cond}) AS INTEGER), 0) AS INTEGER)"
 
 
-def rolling_names() -> list[str]:
+def rolling_names(windows=WINDOWS) -> list[str]:
     out = []
-    for w in WINDOWS:
+    for w in windows:
         out += [f"sentiment_ma_{w}d", f"sentiment_std_{w}d", f"weighted_sentiment_ma_{w}d",
                 f"headline_count_ma_{w}d", f"confidence_ma_{w}d",
                 f"sentiment_momentum_{w}d", f"sentiment_trend_{w}d"]
     return out
 
 
-def rolling(rel: str) -> str:
+def rolling(rel: str, windows=WINDOWS) -> str:
     parts, mom = [], []
-    for w in WINDOWS:
+    for w in windows:
         fr = f"(ORDER BY Date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
 
         def mean(c, fr=fr):
@@ -734,3 +734,15 @@ ORACLE.update({
 })
 
 ORACLE["incremental_scored"] = f"SELECT *, CAST({parse_time('Time')} AS DATE) AS day FROM {_FEED_SCORED} _s"
+
+_LONG = (1_000, 10_000)
+ORACLE.update({
+    "rolling_features_range_exact": select_r6(rolling_range(_EXACT), ["Date"] + STAT_COLUMNS + rolling_names(),
+                                              _dbl(STAT_COLUMNS + rolling_names())),
+    "rolling_features_long": select_r6(rolling(_EXACT, _LONG), ["Date"] + rolling_names(_LONG), set(rolling_names(_LONG))),
+    "regime_flags_exact_grain": select_r6(flags(_EXACT), ["Date", "avg_sentiment"] + FLAG_COLUMNS, {"avg_sentiment"}),
+    "score_quantiles": f"""SELECT Sentiment, {', '.join(
+        f"{r6(f'quantile_cont({c}, {p})')} AS {short}_q{round(100 * p):02d}" for short, c in (
+            ('confidence', 'Confidence'), ('positive', 'Positive_Probability'), ('negative', 'Negative_Probability'))
+        for p in (0.05, 0.25, 0.5, 0.75, 0.95))} FROM {SCORED_ORDERS} _s GROUP BY Sentiment""",
+})

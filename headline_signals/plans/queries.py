@@ -29,6 +29,7 @@ from ..operators import rolling as rl
 from ..operators import scoring as sc
 from ..operators import targets as tg
 from ..operators.partitioning import materialize, spread
+from ..operators.quantiles import exact_quantiles
 from ..session import scratch_path
 from ..sources import adapters as ad
 from ..sources import files as fs
@@ -386,6 +387,43 @@ def q_rolling_exact(spark, sf):
         "Date", "avg_sentiment", "sentiment_ma_3d", "sentiment_ma_7d", "sentiment_std_7d", "headline_count_ma_7d"))
 
 
+@query("rolling_features_range_exact")
+def q_rolling_range_exact(spark, sf):
+    """W1-W4 by calendar days over a series with several rows a day: prefix sums of moments."""
+    scored = sc.score(ex.complete_feed(ad.raw_feed(spark, sf), AS_OF), "Headline")
+    return finalize(rl.rolling_features(dl.daily_stats(scored, grain="exact", scale=SCALE), frame="range", scale=SCALE))
+
+
+#: Lengths of very long windows, in rows.
+LONG_WINDOWS = (1_000, 10_000)
+
+
+@query("rolling_features_long")
+def q_rolling_long(spark, sf):
+    """W1-W4 with windows of up to 10,000 rows: a row costs the same as with short ones."""
+    scored = sc.score(ex.complete_feed(ad.raw_feed(spark, sf), AS_OF), "Headline")
+    series = dl.daily_stats(scored, grain="exact", scale=SCALE)
+    return finalize(rl.rolling_features(series, LONG_WINDOWS, scale=SCALE).select(
+        "Date", *rl.rolling_feature_names(LONG_WINDOWS)))
+
+
+@query("regime_flags_exact_grain")
+def q_flags_exact(spark, sf):
+    """A6, F1-F4 over a series of timestamps: thresholds by rank selection."""
+    scored = sc.score(ex.complete_feed(ad.raw_feed(spark, sf), AS_OF), "Headline")
+    series = materialize(dl.daily_stats(scored, grain="exact", scale=SCALE))
+    return finalize(rg.regime_flags(series).select("Date", "avg_sentiment", *rg.FLAG_COLUMNS))
+
+
+@query("score_quantiles")
+def q_score_quantiles(spark, sf):
+    """A6 over all scored rows, per label: quantiles of confidence and of the class probabilities."""
+    wanted = {f"{short}_q{round(100 * p):02d}": (c, p) for short, c in (
+        ("confidence", "Confidence"), ("positive", "Positive_Probability"), ("negative", "Negative_Probability"))
+        for p in (0.05, 0.25, 0.5, 0.75, 0.95)}
+    return finalize(exact_quantiles(ad.scored_orders(spark, sf), wanted, ["Sentiment"]))
+
+
 #: Moves the stand-in market over the days of the feed.
 MARKET_SHIFT_DAYS = 9862
 
