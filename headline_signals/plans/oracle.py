@@ -746,3 +746,15 @@ ORACLE.update({
             ('confidence', 'Confidence'), ('positive', 'Positive_Probability'), ('negative', 'Negative_Probability'))
         for p in (0.05, 0.25, 0.5, 0.75, 0.95))} FROM {SCORED_ORDERS} _s GROUP BY Sentiment""",
 })
+
+_FEATURE_NAMES = STAT_COLUMNS + keyword_names()
+ORACLE.update({
+    "published_headlines": f"SELECT Time, Headline FROM {lexicon_scored(COMPLETED_FEED, 'Headline', ['Time', 'Headline'])} _p",
+    "published_scored_json": ORACLE["published_scored_csv"],
+    "incremental_daily_index": daily_index(SCORED_EVENTS),
+    "incremental_daily_features": select_r6(daily_features(with_headlines(SCORED_EVENTS)), ["Date"] + _FEATURE_NAMES,
+                                            _dbl(_FEATURE_NAMES)),
+    "refreshed_new_rows": _FEED_INDEX,
+    "streaming_states_index": daily_index(SCORED_EVENTS),
+    "compacted_daily_index": daily_index(SCORED_EVENTS),
+})

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from . import day_states as ds
 from . import feature_flow as ff
 from . import modeling as ml
 from . import refresh as rf
@@ -305,23 +306,74 @@ def q_page_headline_rows(spark, sf):
 
 def _refreshed(spark, sf):
     out = scratch_path(spark, f"refresh-{uuid.uuid4().hex}")
-    return rf.refresh(spark, ad.raw_feed(spark, sf), out, AS_OF, published_at="2024-01-30 23:30:00")
+    rf.refresh(spark, ad.raw_feed(spark, sf), out, AS_OF, published_at="2024-01-30 23:30:00")
+    return out
 
 
 @query("published_index")
 def q_published_index(spark, sf):
     """X3 + S4/S6/S7: refresh, then read the published daily index back from JSON Lines."""
-    paths = _refreshed(spark, sf)
+    paths = rf.published(spark, _refreshed(spark, sf))
     return finalize(fs.read_json(spark, paths["index_json"], fs.INDEX_SCHEMA))
 
 
 @query("published_scored_csv")
 def q_published_scored(spark, sf):
     """The scored rows read back from the published CSV with a declared schema."""
-    paths = _refreshed(spark, sf)
+    paths = rf.published(spark, _refreshed(spark, sf))
     return fs.read_csv(spark, paths["scored"], fs.SCORED_SCHEMA)
 
 
+@query("published_headlines")
+def q_published_headlines(spark, sf):
+    """The headlines read back from the published CSV."""
+    paths = rf.published(spark, _refreshed(spark, sf))
+    return fs.read_csv(spark, paths["headlines"], fs.HEADLINES_SCHEMA)
+
+
+@query("published_scored_json")
+def q_published_scored_json(spark, sf):
+    """The scored rows read back from the published JSON Lines."""
+    paths = rf.published(spark, _refreshed(spark, sf))
+    return fs.read_json(spark, paths["scored_json"], fs.SCORED_SCHEMA)
+
+
+def _batches(spark, sf):
+    """Scored event headlines in three batches, each with rows of all days: late ones among them."""
+    rows = ad.scored_headlines(spark, sf, base="events", match="substring")
+    return ds.split_batches(rows, "seq", 3)
+
+
+def _stored(spark, sf):
+    store = ds.StateStore(spark, scratch_path(spark, f"states-{uuid.uuid4().hex}"))
+    for i, rows in enumerate(_batches(spark, sf)):
+        ds.add_batch(store, i, rows)
+        if i == 1:
+            store.compact()
+    return store
+
+
+@query("incremental_daily_index")
+def q_incremental_daily_index(spark, sf):
+    """A1 from partial states of three batches, two of them in a snapshot."""
+    return finalize(ds.index_of(_stored(spark, sf).read()))
+
+
+@query("incremental_daily_features")
+def q_incremental_daily_features(spark, sf):
+    """A2 and K1-K3 from the same states."""
+    return finalize(ds.features_of(_stored(spark, sf).read()))
+
+
+@query("refreshed_new_rows")
+def q_refreshed_new_rows(spark, sf):
+    """X3 on new rows alone: the raw feed in two batches, each completed and scored once."""
+    store = ds.StateStore(spark, scratch_path(spark, f"states-{uuid.uuid4().hex}"))
+    for i, rows in enumerate(ds.split_batches(ad.raw_feed(spark, sf), "seq", 2)):
+        rf.refresh_new(store, i, rows, AS_OF)
+    return finalize(ds.index_of(store.read()))
+
+
 @query("snapshot_status")
 def q_snapshot_status(spark, sf):
     return rf.snapshot_status(spark, _refreshed(spark, sf), "2024-01-31 00:00:00")
@@ -495,7 +547,24 @@ def _events_stream(spark, sf):
 def q_streaming_daily_index(spark, sf):
     """X5 over the events file read as a stream (everything on time, so equal to A1)."""
     run = scratch_path(spark, f"stream-index-{uuid.uuid4().hex}")
-    st.run_updates(st.daily_index_stream(_events_stream(spark, sf)), f"{run}/out", f"{run}/checkpoint")
+    st.run_updates(st.daily_index_stream(_events_stream(spark, sf), scale=SCALE), f"{run}/out", f"{run}/checkpoint")
+    return finalize(st.latest_daily_index(spark, f"{run}/out"))
+
+
+@query("streaming_states_index")
+def q_streaming_states_index(spark, sf):
+    """X5 from the events file as a stream of partial states."""
+    store = ds.StateStore(spark, scratch_path(spark, f"stream-states-{uuid.uuid4().hex}"))
+    ds.run_states(_events_stream(spark, sf), store, f"{store.root}/checkpoint", compact_every=1, keywords={})
+    return finalize(ds.index_of(store.read()))
+
+
+@query("compacted_daily_index")
+def q_compacted_daily_index(spark, sf):
+    """The update log of the watermarked stream folded into a snapshot, with the rows that came late."""
+    run = scratch_path(spark, f"stream-compacted-{uuid.uuid4().hex}")
+    st.run_updates(st.daily_index_stream(_events_stream(spark, sf), scale=SCALE), f"{run}/out", f"{run}/checkpoint")
+    st.compact_updates(spark, f"{run}/out", ad.scored_events(spark, sf), scale=SCALE)
     return finalize(st.latest_daily_index(spark, f"{run}/out"))
 
 
