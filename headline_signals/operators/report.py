@@ -143,13 +143,27 @@ def index_series(index: DataFrame) -> DataFrame:
     return index.select("Time", "Daily_Sentiment_Index").orderBy("Time")
 
 
+def market_summary(daily: DataFrame, summary: DataFrame, sentiment_col: str = "avg_sentiment",
+                   return_col: str = "daily_return") -> DataFrame:
+    """C4: ``summary`` with the correlation of sentiment and same-day market return and the mean
+    return; both null without market data."""
+    if return_col not in daily.columns:
+        unknown = F.lit(None).cast("double")
+        return summary.withColumns({"market_correlation": unknown, "mean_return": unknown})
+    both = daily.agg(F.struct(F.corr(sentiment_col, return_col).alias("r"), F.avg(return_col).alias("m"))).scalar()
+    return summary.withColumns({"market_correlation": both.getField("r"), "mean_return": both.getField("m")})
+
+
 def dashboard(daily: DataFrame, ma_window: int = 7, n_bins: int | None = 30,
-              return_col: str | None = "next_day_return") -> dict[str, DataFrame]:
+              return_col: str | None = "next_day_return", model_scores: DataFrame | None = None,
+              importance: DataFrame | None = None, top_k: int = 10) -> dict[str, DataFrame]:
     """The data behind each dashboard panel, one DataFrame per panel.
 
-    C2 is ``ma_window=7, n_bins=30, return_col="next_day_return"``; C3 (simplified) is
-    ``ma_window=3, n_bins=None`` (``min(10, days)`` bins), ``return_col="daily_return"``,
-    falling back to confidence against sentiment when there is no market column.
+    C2 is ``ma_window=7, n_bins=30, return_col="next_day_return"`` with ``model_scores`` (rows target,
+    model, mean_score, as ``fold_summary`` returns them) and ``importance`` (rows feature,
+    importance) for the panels of model scores and of the ``top_k`` features; C3 (simplified)
+    is ``ma_window=3, n_bins=None`` (``min(10, days)`` bins), ``return_col="daily_return"``.
+    Without the market column both fall back to confidence against sentiment.
     """
     ma = f"sentiment_ma_{ma_window}d"
     out = {
@@ -160,7 +174,15 @@ def dashboard(daily: DataFrame, ma_window: int = 7, n_bins: int | None = 30,
         "sentiment_histogram": histogram(daily, "avg_sentiment", n_bins),
     }
     if return_col and return_col in daily.columns:
+        out["scatter"] = daily.select("avg_sentiment", return_col).dropna()
         out["sentiment_vs_return"] = correlation(daily, "avg_sentiment", return_col)
     else:
+        out["scatter"] = daily.select("avg_confidence", "avg_sentiment")
         out["confidence_vs_sentiment"] = correlation(daily, "avg_confidence", "avg_sentiment")
+    if model_scores is not None:
+        out["model_scores"] = model_scores.select("target", "model", "mean_score")
+    if importance is not None:
+        place = F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature"))
+        # one row a feature of the model
+        out["top_features"] = importance.select("feature", "importance", place.alias("place")).where(F.col("place") <= top_k)
     return out

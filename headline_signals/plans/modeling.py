@@ -6,6 +6,7 @@
 * Time-ordered cross-validation of daily feature tables (L7-L10): expanding folds
   from ``operators.features.time_folds``; each fit is a distributed Spark ML job and
   the driver only loops over at most 3 folds x a few models.
+* Least squares has no fit per fold: all folds come from Gram matrices (``plans.linear_folds``).
 * Feature ranking (O3-O5) from forest importances or absolute coefficients.
 
 Every learner is seeded; repeated runs on the same partitioning give the same models.
@@ -26,6 +27,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 
 from ..operators import features as ft
 from ..operators import metrics as mt
+from . import linear_folds as lf
 
 SEED = 42
 
@@ -123,6 +125,25 @@ def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
                            handleInvalid="keep").transform(df)
 
 
+def _least_squares(est) -> bool:
+    """Whether ``est`` is a linear regression without a penalty or weights."""
+    return (isinstance(est, LinearRegression) and est.getRegParam() == 0 and est.getFitIntercept()
+            and not est.isSet("weightCol") and est.getLoss() == "squaredError")
+
+
+def linear_scores(spark: SparkSession, table: DataFrame, models: dict[str, Sequence[str]], targets: Sequence[str],
+                  order_col: str = "Date") -> DataFrame:
+    """Fold scores (R squared) of least squares on each feature set of ``models`` for each target; one
+    pass per target serves all models."""
+    columns = sorted({c for cols in models.values() for c in cols})
+    rows = []
+    for t in targets:
+        grams = lf.fold_grams(table, t, columns, order_col)
+        for name, cols in models.items():
+            rows += lf.fold_scores(grams and grams.only([columns.index(c) for c in cols]), t, name)
+    return spark.createDataFrame(rows, RESULT_SCHEMA)
+
+
 def cross_validate(spark: SparkSession, table: DataFrame, target: str,
                    features: Sequence[str] | None = None, model_type: str = "classification",
                    models: dict | None = None, order_col: str = "Date",
@@ -154,6 +175,12 @@ def cross_validate(spark: SparkSession, table: DataFrame, target: str,
                  if model_type == "classification" else RegressionEvaluator(metricName="r2"))
     rows = []
     for name, est in models.items():
+        if model_type != "classification" and _least_squares(est):
+            grams = lf.fold_grams(table, target, features, order_col, min_rows=min_rows)
+            rows += lf.fold_scores(grams, target, name)
+            if refit and grams is not None:
+                fitted[name] = grams.fit()
+            continue
         for i, st in enumerate(starts):
             train = data.where(F.col("row_idx") < st)
             test = data.where((F.col("row_idx") >= st) & (F.col("row_idx") < st + s))
@@ -250,7 +277,7 @@ def run_report(spark: SparkSession, table: DataFrame, order_col: str = "Date",
     scores, _ = train_targets(spark, table, targets, refit=False)
     ranked = summarize_folds(scores).orderBy(F.col("mean_score").desc_nulls_last(), "target", "model")
     best = ranked.first()  # one row: which learner to refit and rank
-    summary = rp.summary(table, order_col).withColumn("feature_count", F.lit(len(features)))
+    summary = rp.market_summary(table, rp.summary(table, order_col)).withColumn("feature_count", F.lit(len(features)))
     if best is None:
         return summary.select("*", F.lit(None).cast("string").alias("best_target"),
                               F.lit(None).cast("string").alias("best_model"),

@@ -758,3 +758,61 @@ ORACLE.update({
     "streaming_states_index": daily_index(SCORED_EVENTS),
     "compacted_daily_index": daily_index(SCORED_EVENTS),
 })
+
+
+def _linear_scores() -> str:
+    """Two-variable normal equations from covariances; a model with one variable has a zero for the other."""
+    base = f"""(SELECT *, row_number() OVER (ORDER BY Date) - 1 AS i, count(*) OVER () AS n FROM (
+        SELECT Date, avg_confidence AS c, headline_count::DOUBLE AS v, avg_sentiment,
+          lead(avg_sentiment) OVER (ORDER BY Date) AS next_day_sentiment,
+          CASE WHEN count(avg_sentiment) OVER w = 3 THEN avg(avg_sentiment) OVER w END AS next_3day_sentiment
+        FROM {_ORD_DAILY} _o WINDOW w AS (ORDER BY Date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) _p WHERE {{y}} IS NOT NULL)"""
+    models = (("confidence", "c", "0.0"), ("volume", "v", "0.0"), ("both", "c", "v"))
+    parts = []
+    for y in ("next_day_sentiment", "next_3day_sentiment"):
+        for name, a, b in models:
+            two = b != "0.0"
+            slopes = (f"""(covar_pop({y}, {a}) * var_pop({b}) - covar_pop({y}, {b}) * covar_pop({a}, {b}))
+                / (var_pop({a}) * var_pop({b}) - covar_pop({a}, {b}) ** 2) AS p,
+                (covar_pop({y}, {b}) * var_pop({a}) - covar_pop({y}, {a}) * covar_pop({a}, {b}))
+                / (var_pop({a}) * var_pop({b}) - covar_pop({a}, {b}) ** 2) AS q""" if two else
+                      f"regr_slope({y}, {a}) AS p, 0.0 AS q")
+            parts.append(f"""SELECT '{y}' AS target, '{name}' AS model, CAST(f.fold AS INTEGER) AS fold,
+                1 - sum((x.{y} - (f.my + f.p * (x.{a} - f.ma) + f.q * ({'x.' + b if two else '0.0'} - f.mb))) ** 2)
+                  / (var_pop(x.{y}) * count(*)) AS score, 1 AS fold_ok, CAST(f.st AS INTEGER) AS n_train,
+                CAST(count(*) AS INTEGER) AS n_test
+              FROM (SELECT k.fold, k.st, k.s, avg({y}) AS my, avg({a}) AS ma, avg({b}) AS mb, {slopes}
+                    FROM {base.format(y=y)} t, (SELECT fold, n - (3 - fold) * (n // 4) AS st, n // 4 AS s
+                      FROM (SELECT count(*) AS n FROM {base.format(y=y)} _n), range(3) r(fold)) k
+                    WHERE t.i < k.st GROUP BY k.fold, k.st, k.s) f,
+                   {base.format(y=y)} x WHERE x.i >= f.st AND x.i < f.st + f.s GROUP BY f.fold, f.st""")
+    return f"({' UNION ALL '.join(parts)})"
+
+
+_SCORES = _linear_scores()
+_SUMMARY = f"""(SELECT target, model, avg(score) AS mean_score, stddev_pop(score) AS std_score, count(score) AS n_folds
+    FROM {_SCORES} _s GROUP BY target, model)"""
+_DAILY_MKT = market_targets(_ORD_DAILY, MARKET_SERIES)
+ORACLE.update({
+    "linear_fold_scores": select_r6(_SCORES, ["target", "model", "fold", "score", "fold_ok", "n_train", "n_test"], {"score"}),
+    "linear_model_summary": select_r6(_SUMMARY, ["target", "model", "mean_score", "std_score", "n_folds"],
+                                      {"mean_score", "std_score"}),
+    "linear_best_models": select_r6(f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target
+        ORDER BY mean_score DESC NULLS LAST, model) AS r FROM {_SUMMARY} _s) _r WHERE r = 1)""",
+                                    ["target", "model", "mean_score"], {"mean_score"}),
+    "dashboard_top_features": f"""SELECT feature, {r6('importance')} AS importance,
+        CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS place FROM (
+          SELECT unnest(['avg_confidence', 'headline_count']) AS feature, unnest([abs(p), abs(q)]) AS importance FROM (
+            SELECT (covar_pop(y, c) * var_pop(v) - covar_pop(y, v) * covar_pop(c, v)) / (var_pop(c) * var_pop(v) - covar_pop(c, v) ** 2) AS p,
+                   (covar_pop(y, v) * var_pop(c) - covar_pop(y, c) * covar_pop(c, v)) / (var_pop(c) * var_pop(v) - covar_pop(c, v) ** 2) AS q
+            FROM (SELECT lead(avg_sentiment) OVER (ORDER BY Date) AS y, avg_confidence AS c, headline_count::DOUBLE AS v
+                  FROM {_ORD_DAILY} _o) _p WHERE y IS NOT NULL) _q) _i""",
+    "dashboard_scatter": select_r6(f"(SELECT * FROM {_DAILY_MKT} _m WHERE next_day_return IS NOT NULL AND avg_sentiment IS NOT NULL)",
+                                   ["avg_sentiment", "next_day_return"], {"avg_sentiment", "next_day_return"}),
+    "simplified_dashboard_series": select_r6(_ORD_FEAT, ["Date", "avg_sentiment", "sentiment_ma_3d"],
+                                             {"avg_sentiment", "sentiment_ma_3d"}),
+    "simplified_dashboard_correlation": correlation(_DAILY_MKT, "avg_sentiment", "daily_return"),
+    "market_run_summary": f"""SELECT s.*, m.market_correlation, m.mean_return FROM ({summary(_ORD_DAILY)}) s,
+        (SELECT {r6('corr(avg_sentiment, daily_return)')} AS market_correlation, {r6('avg(daily_return)')} AS mean_return
+         FROM {_DAILY_MKT} _m) m""",
+})

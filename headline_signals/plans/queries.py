@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from . import day_states as ds
 from . import feature_flow as ff
+from . import linear_folds as lf
 from . import modeling as ml
 from . import refresh as rf
 from ..functions import parse_time
@@ -523,6 +524,83 @@ def q_feature_ranking(spark, sf):
     return ml.top_features(ml.feature_importance(spark, model, ft.feature_names(table)), 10)
 
 
+#: Feature sets of the compared linear models, and their targets.
+LINEAR_MODELS = {"confidence": ["avg_confidence"], "volume": ["headline_count"], "both": ["avg_confidence", "headline_count"]}
+LINEAR_TARGETS = ("next_day_sentiment", "next_3day_sentiment")
+
+
+def _linear_table(spark, sf):
+    # unknown targets of the last days are null and left out
+    return materialize(tg.fallback_targets(_orders_daily(spark, sf), null_unknown=True, scale=SCALE))
+
+
+@query("linear_fold_scores")
+def q_linear_fold_scores(spark, sf):
+    """R squared of least squares on every expanding fold."""
+    return finalize(ml.linear_scores(spark, _linear_table(spark, sf), LINEAR_MODELS, LINEAR_TARGETS))
+
+
+@query("linear_model_summary")
+def q_linear_model_summary(spark, sf):
+    """Mean and deviation of the fold scores, the panel of model scores."""
+    scores = ml.linear_scores(spark, _linear_table(spark, sf), LINEAR_MODELS, LINEAR_TARGETS)
+    return finalize(ml.summarize_folds(scores))
+
+
+@query("linear_best_models")
+def q_linear_best_models(spark, sf):
+    """The best model per target."""
+    scores = ml.linear_scores(spark, _linear_table(spark, sf), LINEAR_MODELS, LINEAR_TARGETS)
+    return finalize(ml.best_models(ml.summarize_folds(scores)).select("target", "model", "mean_score"))
+
+
+@query("dashboard_top_features")
+def q_dashboard_top_features(spark, sf):
+    """Features of the linear model on all rows by the size of their coefficients."""
+    table = _linear_table(spark, sf)
+    columns = ["avg_confidence", "headline_count"]
+    fit = lf.fold_grams(table, "next_day_sentiment", columns).fit()
+    panels = rp.dashboard(table, importance=ml.feature_importance(spark, fit, columns))
+    return finalize(panels["top_features"])
+
+
+@query("dashboard_scatter")
+def q_dashboard_scatter(spark, sf):
+    """C2 panel: sentiment against the next day's return."""
+    table = ff.with_targets(_orders_daily(spark, sf), ad.market_series(spark, sf))
+    return finalize(rp.dashboard(table)["scatter"])
+
+
+@query("simplified_dashboard_series")
+def q_simplified_series(spark, sf):
+    """C3 panel: daily sentiment with its 3-row moving average."""
+    return finalize(rp.dashboard(_orders_feature_table(spark, sf), ma_window=3, n_bins=None)["sentiment_series"])
+
+
+@query("simplified_dashboard_correlation")
+def q_simplified_correlation(spark, sf):
+    """C3 panel: sentiment against the same day's return."""
+    table = ff.with_targets(_orders_daily(spark, sf), ad.market_series(spark, sf))
+    return finalize(rp.dashboard(table, 3, None, "daily_return")["sentiment_vs_return"])
+
+
+@query("market_run_summary")
+def q_market_run_summary(spark, sf):
+    """C4: the run summary with market correlation and mean return."""
+    table = ff.with_targets(_orders_daily(spark, sf), ad.market_series(spark, sf))
+    return finalize(rp.market_summary(table, rp.summary(table, scale=SCALE)))
+
+
+@query("regressor_cv_scores")
+def q_regressor_cv_scores(spark, sf):
+    """Forest, boosting and least squares over expanding folds of the next day's return."""
+    table = materialize(ff.with_targets(_orders_daily(spark, sf), ad.market_series(spark, sf)))
+    models = ml.regression_models()
+    models["gradient_boosting"].setMaxIter(10)  # trees one after the other; more add minutes, not code
+    scores, _ = ml.cross_validate(spark, table, "next_day_return", dl.DAILY_STAT_COLUMNS, "regression", models, refit=False)
+    return scores
+
+
 @query("regression_r2")
 def q_regression_r2(spark, sf):
     t = ff.with_targets(_orders_feature_table(spark, sf), scale=SCALE)

@@ -67,3 +67,51 @@ def test_batch_model_scorer(spark):
     rows = out.select("Predicted_Class", "Confidence").collect()
     assert len(rows) == docs.count() and all(r["Predicted_Class"] in (1, 2) for r in rows)
     assert out.where(F.col("Confidence").isNull()).count() == 0
+
+
+def test_gram_folds_equal_fits_per_fold(spark):
+    """Every fold and the final fit against numpy on the rows themselves, a redundant column included."""
+    import datetime as dt
+
+    import numpy as np
+
+    from headline_signals.plans import linear_folds as lf
+
+    rng = np.random.default_rng(2)
+    n = 47
+    x = np.column_stack([rng.normal(1e4, 1, n), rng.normal(0, 1e-3, n), np.full(n, 3.0)])
+    x = np.column_stack([x, x[:, 0] * 2 - 1])
+    y = 0.5 * x[:, 0] - 200 * x[:, 1] + rng.normal(0, 0.1, n)
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), *map(float, x[i]), None if i == 46 else float(y[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "Date date, a double, b double, c double, d double, y double")
+    grams = lf.fold_grams(df, "y", ["a", "b", "c", "d"])
+    m, k = n - 1, 3
+    s = m // (k + 1)
+    assert grams.starts == [m - (k - i) * s for i in range(k)]
+    for i, start in enumerate(grams.starts):
+        coef, *_ = np.linalg.lstsq(np.column_stack([np.ones(start), x[:start, :2]]), y[:start], rcond=None)
+        test = slice(start, start + s)
+        error = y[test] - np.column_stack([np.ones(s), x[test, :2]]) @ coef
+        want = 1 - (error @ error) / ((y[test] - y[test].mean()) ** 2).sum()
+        assert abs(grams.r2(grams.fit(i + 1), i + 1) - want) < 1e-6
+    fit = grams.only([0, 1]).fit()
+    coef, *_ = np.linalg.lstsq(np.column_stack([np.ones(m), x[:m, :2]]), y[:m], rcond=None)
+    assert np.allclose(fit.coefficients.toArray(), coef[1:], rtol=1e-6)
+    predicted = grams.fit().predict(df, ["a", "b", "c", "d"]).where("y is not null").orderBy("Date").collect()
+    assert np.allclose([r["prediction"] for r in predicted], np.column_stack([np.ones(m), x[:m, :2]]) @ coef, atol=1e-5)
+    assert lf.fold_grams(df.limit(4), "y", ["a"]) is None and lf.fold_grams(df.limit(0), "y", ["a"]) is None
+
+
+def test_least_squares_cross_validation_uses_the_grams(spark):
+    import datetime as dt
+
+    from pyspark.ml.regression import LinearRegression
+
+    from headline_signals.plans import modeling as ml
+
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i % 7), float(i * i % 11), i % 7 * 2.0 + i * i % 11) for i in range(40)]
+    df = spark.createDataFrame(rows, "Date date, a double, b double, y double")
+    scores, fitted = ml.cross_validate(spark, df, "y", ["a", "b"], "regression", {"linear_regression": LinearRegression()})
+    assert [round(r["score"], 9) for r in scores.collect()] == [1.0] * 3
+    top = ml.feature_importance(spark, fitted["linear_regression"], ["a", "b"]).collect()
+    assert [(r["feature"], round(r["importance"], 9)) for r in top] == [("a", 2.0), ("b", 1.0)]
