@@ -43,6 +43,12 @@ def label_to_sign(c) -> Column:
     return out
 
 
+def class_to_sign(c) -> Column:
+    """0/1/2 -> -1/0/+1, unknown -> null: P4 and P6 in one, looked up once instead of nested tests."""
+    signs = F.array(*[F.lit(SIGNS[name]) for name in LABELS])
+    return F.get(signs, _c(c).cast("int"))
+
+
 def softmax3(l0, l1, l2) -> tuple[Column, Column, Column]:
     """Softmax of three logits, shifted by the max for stability (M3)."""
     l0, l1, l2 = _c(l0), _c(l1), _c(l2)

@@ -2,7 +2,8 @@
 
 The raw feed carries times as text in several shapes: a full date, a bare clock time
 of the current day, or a month-day without a year. These helpers complete and parse
-them with Catalyst expressions only, so parsing runs inside whole-stage codegen.
+them with Catalyst expressions only, so parsing runs inside whole-stage codegen. A text is
+reduced to its shape (letters as A, digits as 9); the shape picks the rewriting to ISO.
 """
 
 from __future__ import annotations
@@ -16,16 +17,14 @@ from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampT
 MONTH_ABBREVIATIONS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
                        "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
-# Formats of ``parse_time``: two fixed tiers and our explicit stand-in for free-form inference.
-# ISO shapes ("yyyy-MM-dd HH:mm[:ss]", "yyyy-MM-ddTHH:mm:ss") are covered by the cast.
-# Format -> shape of the texts it is tried on, so that a text is parsed by one format only.
-FORMAT_SHAPES = {
-    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
-    "yyyy-MM-dd h:mma": r"^\d{4}-\d{2}-\d{2} \d{1,2}:\d{2}[AP]M$",
-    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
-    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
-    "MMM d yyyy": r"^[A-Z]{3} \d{1,2} \d{4}$",
-}
+# Shapes of the texts that ``parse_time`` rewrites, upper-cased, with every letter as A and
+# every digit as 9. All others go to Spark's own cast, which covers the ISO shapes.
+SHAPE_CLOCK = ("9999-99-99 9:99AA", "9999-99-99 99:99AA")
+SHAPE_SLASHED = "9999/99/99"
+SHAPE_MONTH_FIRST = "99/99/9999"
+SHAPE_MONTH_NAME = ("AAA 9 9999", "AAA 99 9999")
+
+_LETTERS, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
 def _c(c) -> Column:
@@ -47,12 +46,11 @@ def complete_time(c, as_of: _dt.date | str, rollback_future: bool = False) -> Co
     as_of = _dt.date.fromisoformat(str(as_of)) if not isinstance(as_of, _dt.date) else as_of
     s = F.trim(_c(c))
     has_month = s.rlike("|".join(MONTH_ABBREVIATIONS))
-    month_day = F.concat(F.regexp_replace(s, "-", " "), F.lit(f" {as_of.year}"))
-    parsed = try_parse_ntz(month_day, "MMM d yyyy")
+    month_day = F.upper(F.concat(F.regexp_replace(s, "-", " "), F.lit(f" {as_of.year}")))
+    parsed = F.when(shape_of(month_day).isin(*SHAPE_MONTH_NAME), _month_name_iso(month_day)).try_cast("date")
     if rollback_future:
-        parsed = F.when(parsed > F.lit(as_of.isoformat()).cast("timestamp_ntz"),
-                        F.add_months(parsed, -12)).otherwise(parsed)
-    month_date = F.date_format(parsed, "yyyy-MM-dd")
+        parsed = F.when(parsed > F.lit(as_of), F.add_months(parsed, -12)).otherwise(parsed)
+    month_date = parsed.cast("string")
     is_clock = F.upper(s).rlike("AM|PM") | s.contains(":")
     # null text falls through every test and comes out null
     return (
@@ -63,29 +61,48 @@ def complete_time(c, as_of: _dt.date | str, rollback_future: bool = False) -> Co
     )
 
 
-def try_parse_ntz(s: Column, fmt: str) -> Column:
-    """Parse ``s`` with ``fmt`` to a wall-clock ``timestamp_ntz``; null when it fails.
+def shape_of(upper: Column) -> Column:
+    """Upper-case text with every letter A to Z as ``A`` and every digit as ``9``."""
+    return F.translate(upper, _LETTERS + _DIGITS, "A" * 26 + "9" * 10)
 
-    The guard uses ``try_to_timestamp`` (same parser) so the strict NTZ parse only runs
-    on text that parses; the result does not depend on the session time zone.
-    """
-    return F.when(F.try_to_timestamp(s, F.lit(fmt)).isNotNull(), F.to_timestamp_ntz(s, F.lit(fmt)))
+
+def _month_name_iso(upper: Column) -> Column:
+    """``AUG 7 2024`` as ``2024-08-07``; null for letters that are no month."""
+    place = F.instr(F.lit("".join(MONTH_ABBREVIATIONS).upper()), F.substring(upper, 1, 3)) - 1
+    month = F.when((place >= 0) & (place % 3 == 0), F.lpad((place / 3 + 1).cast("int").cast("string"), 2, "0"))
+    day = F.lpad(F.substring_index(F.substring(upper, 5, 2), " ", 1), 2, "0")
+    return F.concat(F.substring(upper, -4, 4), F.lit("-"), month, F.lit("-"), day)
+
+
+def _clock_iso(upper: Column) -> Column:
+    """``2024-01-05 2:05PM`` as ``2024-01-05 14:05``; null for an hour that a 12-hour clock lacks."""
+    hour = F.substring_index(F.substring(upper, 12, 2), ":", 1).cast("int")
+    hour_of_day = hour % 12 + F.when(upper.endswith("PM"), 12).otherwise(0)
+    minute = F.substring(upper, -4, 2)
+    return F.when(hour.between(1, 12), F.concat(
+        F.substring(upper, 1, 11), F.lpad(hour_of_day.cast("string"), 2, "0"), F.lit(":"), minute))
 
 
 def parse_time(c) -> Column:
     """Parse a time string to a ``timestamp_ntz`` in three tiers.
 
     Blank text or text starting with "loading" is null; ``yyyy-MM-dd`` exactly is a
-    date at midnight; then ``yyyy-MM-dd h:mma`` (AM/PM in either case); then the
-    fallback formats and Spark's own cast. Anything else is null.
+    date at midnight; then ``yyyy-MM-dd h:mma`` (AM/PM in either case); then ``yyyy/MM/dd``,
+    ``MM/dd/yyyy``, ``MMM d yyyy`` and Spark's own cast. Anything else is null.
+
+    The text's shape picks how it is rewritten to ISO, and one cast parses it, so the generated
+    code holds one parser and does not depend on the session time zone.
     """
     s = F.trim(_c(c))
     upper = F.upper(s)
-    tiers = [F.when(upper.rlike(shape), try_parse_ntz(upper if "a" in fmt else s, fmt))
-             for fmt, shape in FORMAT_SHAPES.items()]
-    tiers.append(F.when(~upper.rlike("|".join(f"({shape})" for shape in FORMAT_SHAPES.values())),
-                        s.try_cast("timestamp_ntz")))
-    return F.when(~F.lower(s).startswith("loading"), F.coalesce(*tiers))
+    shape = shape_of(upper)
+    iso = (F.when(shape.isin(*SHAPE_CLOCK) & upper.rlike("[AP]M$"), _clock_iso(upper))
+           .when(shape == SHAPE_SLASHED, F.translate(s, "/", "-"))
+           .when(shape == SHAPE_MONTH_FIRST,
+                 F.concat(F.substring(s, 7, 4), F.lit("-"), F.substring(s, 1, 2), F.lit("-"), F.substring(s, 4, 2)))
+           .when(shape.isin(*SHAPE_MONTH_NAME), _month_name_iso(upper))
+           .otherwise(s))
+    return F.when(~F.lower(s).startswith("loading"), iso.try_cast("timestamp_ntz"))
 
 
 def to_day(c, dtype=None) -> Column:

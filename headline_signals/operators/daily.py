@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import KEYWORDS, class_to_label, label_to_sign, mean_of, round4
+from ..functions import KEYWORDS, class_to_sign, mean_of, round4
 from ..functions.keywords import hit_columns, keyword_hits
 from ..functions.timeparse import day_of, parse_time
 
@@ -52,20 +52,24 @@ def daily_index(scored: DataFrame, time_col: str = "Time", class_col: str = "Pre
     Rows whose time does not parse are excluded. ``scale``: the decimals that confidences
     carry, if the caller knows them (``score`` rounds to 4); the sum is then exact.
     """
-    sign = label_to_sign(class_to_label(F.col(class_col)))
+    sign = class_to_sign(class_col)
     agg = (scored
            .select(day_of(scored, time_col).alias("Time"),
                    (sign * F.col(confidence_col)).alias("_score"))
            .groupBy("Time")
            .agg((mean_of("_score", scale) * 100).alias("Daily_Sentiment_Index"),
                 F.count(F.lit(1)).alias("Headlines_Processed")))
-    return drop_null_group(agg, "Time")
+    return drop_null_group(agg, "Time", scored, time_col)
 
 
-def drop_null_group(agg: DataFrame, key: str) -> DataFrame:
+def drop_null_group(agg: DataFrame, key: str, rows: DataFrame | None = None, time_col: str = "Time") -> DataFrame:
     """Drop the group of rows whose key (a day) is null. On a date or timestamp column the filter
-    reaches the scan; on parsed text it runs with the parsing, below the aggregate."""
-    return agg.where(F.col(key).isNotNull())
+    reaches the scan. Where the day is parsed from text (``time_col`` of ``rows``), a pushed filter would
+    parse each text twice, in code too long to compile, so it stays above the aggregate."""
+    if rows is None or rows.schema[time_col].dataType.simpleString() != "string":
+        return agg.where(F.col(key).isNotNull())
+    held = next(f.name for f in agg.schema.fields if f.dataType.simpleString() == "bigint")
+    return agg.where(F.when(F.coalesce(held, F.lit(0)) >= 0, F.col(key)).isNotNull())
 
 
 def _stat_aggs(scale: int | None) -> list[Column]:
@@ -124,7 +128,7 @@ def daily_stats(scored: DataFrame, time_col: str = "Time", grain: str = "day",
     """
     rows = sentiment_columns(scored).withColumn("Date", _grain(scored, time_col, grain))
     agg = rows.groupBy("Date").agg(*_stat_aggs(scale))
-    return drop_null_group(agg, "Date")
+    return drop_null_group(agg, "Date", scored, time_col)
 
 
 def keyword_features(scored: DataFrame, time_col: str = "Time", grain: str = "day",
@@ -141,7 +145,7 @@ def keyword_features(scored: DataFrame, time_col: str = "Time", grain: str = "da
     rows = sentiment_columns(scored).withColumn("Date", _grain(scored, time_col, grain))
     rows = _with_hits(rows, keywords, match)
     agg = rows.groupBy("Date").agg(*_keyword_aggs(keywords, scale))
-    return drop_null_group(agg, "Date")
+    return drop_null_group(agg, "Date", scored, time_col)
 
 
 def daily_features(scored: DataFrame, time_col: str = "Time", grain: str = "day",
@@ -152,7 +156,7 @@ def daily_features(scored: DataFrame, time_col: str = "Time", grain: str = "day"
     rows = sentiment_columns(scored).withColumn("Date", _grain(scored, time_col, grain))
     rows = _with_hits(rows, keywords, match)
     agg = rows.groupBy("Date").agg(*_stat_aggs(scale), *_keyword_aggs(keywords, scale))
-    return drop_null_group(agg, "Date")
+    return drop_null_group(agg, "Date", scored, time_col)
 
 
 def merge_keywords(daily: DataFrame, keyword_daily: DataFrame) -> DataFrame:

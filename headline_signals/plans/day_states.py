@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import KEYWORDS, class_to_label, label_to_sign, round4
+from ..functions import KEYWORDS, class_to_sign, round4
 from ..functions.keywords import hit_columns, keyword_hits
 from ..functions.timeparse import day_of
 from ..operators import daily as dl
@@ -48,7 +48,7 @@ def partial_states(scored: DataFrame, time_col: str = "Time", keywords: dict[str
     keywords = KEYWORDS if keywords is None else keywords
     rows = dl.sentiment_columns(scored).withColumns({
         "_day": day_of(scored, time_col),
-        "_index": label_to_sign(class_to_label(F.col("Predicted_Class"))) * F.col("Confidence")})
+        "_index": class_to_sign("Predicted_Class") * F.col("Confidence")})
     if keywords and not all(c in rows.columns for c in hit_columns(keywords)):
         rows = keyword_hits(rows, "Headline", keywords, match)
     aggs = [F.count(F.lit(1)).alias("rows"), F.count("_index").alias("n_i"), _total("_index", digits).alias("s_i")]
@@ -64,7 +64,7 @@ def partial_states(scored: DataFrame, time_col: str = "Time", keywords: dict[str
         aggs += [F.sum(f"_kw_{cat}_n").cast("bigint").alias(f"mentions_{cat}"),
                  F.sum(hit.cast("int")).cast("bigint").alias(f"headlines_{cat}"), F.count(weighted).alias(f"kn_{cat}"),
                  F.sum(F.when(hit, mo.scaled("weighted_sentiment", _digits("kw", digits)))).cast(mo.SUM).alias(f"ks_{cat}")]
-    return dl.drop_null_group(rows.groupBy(F.col("_day").alias("Date")).agg(*aggs), "Date")
+    return dl.drop_null_group(rows.groupBy(F.col("_day").alias("Date")).agg(*aggs), "Date", scored, time_col)
 
 
 def _total(column: str, digits: int) -> Column:

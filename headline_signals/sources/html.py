@@ -79,9 +79,17 @@ class _Table:
         return cells
 
 
-def _span(attrs, name: str) -> int:
-    value = dict(attrs).get(name) or ""
-    return min(1000, max(1, int(value))) if value.isdigit() else 1
+#: HTML lets a cell cover at most so many columns; rows below are counted, so they need no bound.
+MOST_COLUMNS = 1000
+
+
+def _span(attrs, name: str, most: int | None = None) -> int:
+    """A span of at least 1; what is no plain decimal number is 1."""
+    value = (dict(attrs).get(name) or "").strip()
+    if not (value.isascii() and value.isdecimal()):
+        return 1
+    span = max(1, int(value[-4000:] if len(value) > 4000 else value))
+    return span if most is None else min(most, span)
 
 
 class _RowCollector(HTMLParser):
@@ -114,7 +122,7 @@ class _RowCollector(HTMLParser):
         elif tag in ("td", "th") and self.tables and self.tables[-1].row is not None:
             self.tables[-1].close_cell()
             self.tables[-1].cell = []
-            self.tables[-1].spans = (_span(attrs, "colspan"), _span(attrs, "rowspan"))
+            self.tables[-1].spans = (_span(attrs, "colspan", MOST_COLUMNS), _span(attrs, "rowspan"))
         elif tag in ("ul", "ol"):
             self.lists.append([self.n_lists, 0, None])
             self.open.append("list")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-from ..functions import class_to_label, exact_sum, label_to_sign
+from ..functions import class_to_sign, exact_sum
 from ..functions.timeparse import day_of
 from ..operators.partitioning import materialize
 from ..sources import generations as gn
@@ -62,7 +62,7 @@ def run_to_files(df: DataFrame, out_path: str, checkpoint: str, partition_by: li
 
 
 def _score(class_col: str, confidence_col: str) -> Column:
-    return label_to_sign(class_to_label(F.col(class_col))) * F.col(confidence_col)
+    return class_to_sign(class_col) * F.col(confidence_col)
 
 
 def _sums(score: Column, scale: int | None) -> list[Column]:
