@@ -1,10 +1,12 @@
 """Parts of the operators on their own."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import regex
 from hypothesis import given, settings, strategies as st
 
@@ -122,17 +124,19 @@ def test_components(spark):
 
 
 def test_predictive_probabilities_add_up_to_one():
-    rng = np.random.default_rng(8)
-    words = np.unique(rng.integers(1, 1 << 40, 200).astype(np.uint64)) << np.uint64(pitman_yor.CLASS_BITS)
+    rng, bits = np.random.default_rng(8), 6
+    words = np.unique(rng.integers(1, 1 << 40, 200).astype(np.uint64)) << np.uint64(bits)
     keys = np.unique(rng.choice(words, 2000) | rng.integers(0, 5, 2000).astype(np.uint64))
-    counts = rng.integers(1, 30, len(keys))
-    by_class = np.bincount((keys & np.uint64(pitman_yor.CLASSES - 1)).astype(int), counts, pitman_yor.CLASSES)
-    model = {"discount": 0.6, "top_discount": 0.4, "base": 1 / (len(np.unique(keys >> np.uint64(6))) + 1), "totals": []}
+    counts = rng.integers(1, 300, len(keys))
+    by_class = np.bincount((keys & np.uint64(63)).astype(int), counts, 64)
+    model = {"discount": 0.6, "top_discount": 0.4, "base": 1 / (len(np.unique(keys >> np.uint64(6))) + 1), "bits": bits,
+             "totals": []}
     for sweep in range(4):
         *_, seating = pitman_yor.replay(keys, counts, 3, model, sweep)
-        model["totals"].append(seating.totals())
+        classes, n, customers, top = seating.totals()
+        model["totals"].append({"class_tables": np.bincount(classes, n, 64), "customers": customers, "top": top})
         assert (seating.tables >= 1).all() and (seating.tables <= counts).all()
-        assert np.bincount(seating.owner, seating.sizes).tolist() == counts[seating.movable].tolist()
+        assert (seating.top >= 1).all() and (seating.top <= seating.customers()).all()
     now = model["totals"][-1]
     parent = seating.parent(0.4, now["customers"], now["top"], model["base"])
     unknown = (1 + 0.4 * now["top"]) * model["base"] / (1 + now["customers"])
@@ -142,3 +146,73 @@ def test_predictive_probabilities_add_up_to_one():
         back = (1 + 0.6 * now["class_tables"][c]) / (1 + by_class[c])
         seen = (counts[own] - 0.6 * seating.tables[own]).sum() / (1 + by_class[c])
         assert abs(seen + back - 1) < 1e-9
+
+
+def seatings(n, opens, discount):
+    """Weight of every number of tables over all ways to seat n customers, by enumeration."""
+    found = {(1,): opens}
+    for _ in range(n - 1):
+        after = {}
+        for sizes, weight in found.items():
+            after[sizes + (1,)] = after.get(sizes + (1,), 0) + weight * opens
+            for i, size in enumerate(sizes):
+                grown = sizes[:i] + (size + 1,) + sizes[i + 1:]
+                after[grown] = after.get(grown, 0) + weight * (size - discount)
+        found = after
+    total = sum(found.values())
+    return [sum(w for s, w in found.items() if len(s) == t) / total for t in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("discount, opens", [(0.3, 0.5), (0.8, 3.0)])
+def test_tables_follow_the_exact_distribution(discount, opens):
+    rng, ways = np.random.default_rng(4), pitman_yor.log_table_counts(discount, 400)
+    for n in (2, 6):
+        exact = seatings(n, opens, discount)
+        drawn = pitman_yor.draw_tables(rng, np.full(20_000, n), np.full(20_000, opens), discount, ways)
+        share = np.bincount(drawn, minlength=n + 1)[1:] / 20_000
+        assert np.abs(share - exact).max() < 0.015
+    # large pairs: mean and spread against the exact recursion
+    for n, weight in ((100, 0.01), (400, 4.0), (400, 300.0)):
+        log = ways[n, 1:n + 1] + np.log(weight) * np.arange(1, n + 1)
+        p = np.exp(log - log.max())
+        p /= p.sum()
+        mean = (p * np.arange(1, n + 1)).sum()
+        drawn = pitman_yor.draw_tables(rng, np.full(4000, n), np.full(4000, weight), discount, ways)
+        assert abs(drawn.mean() - mean) < 0.05 * mean + 0.05
+        assert abs(drawn.std() - np.sqrt((p * (np.arange(1, n + 1) - mean) ** 2).sum())) < 0.15 * drawn.std() + 0.1
+
+
+def test_contexts_grow_with_the_corpus():
+    bits = [pitman_yor.context_bits(n) for n in (0, 10 ** 4, 10 ** 6, 10 ** 9, 10 ** 12, 10 ** 14)]
+    assert bits == sorted(bits) and bits[0] == 6 and bits[3] == 15 and bits[-1] == 20
+
+
+def test_language_model_score_by_brute_force(spark):
+    """Words that follow one another in fixed ways, so that every seating has one table a pair at most
+    twice: the score must lie between what the least and the most tables give, in plain Python."""
+    import math
+    import zlib
+
+    rows = [(i, "red fox" if i % 2 else "blue sky") for i in range(40)]
+    got = {r.doc_id: r for r in pitman_yor.language_model_scores(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    pairs = Counter()
+    for _, t in train:
+        tokens = [None, *t.split(), "\0"]
+        pairs.update(zip(tokens, tokens[1:]))
+    contexts = Counter()
+    for (c, _), n in pairs.items():
+        contexts[c] += n
+    discount = 0.5 if not any(n in (1, 2) for n in pairs.values()) else None
+    assert discount == 0.5
+    for i, t in rows:
+        tokens = [None, *t.split(), "\0"]
+        low = high = 0.0
+        for c, w in zip(tokens, tokens[1:]):
+            n = pairs[c, w]
+            # all tables are between one and n; the share left for the parent is at most 1
+            low += math.log10((n - discount * n) / (1 + contexts[c]))
+            high += math.log10(min(1.0, (n - discount + 1 + discount * n) / (1 + contexts[c])))
+        assert low <= got[i].score <= high <= 0
+        assert got[i].score > got[i].base_score
