@@ -62,18 +62,31 @@ _LOOKS = {ord(c): latin for latin, others in HOMOGLYPHS.items() for c in others}
 # full-width Latin letters, and marks that are put between letters without being seen
 _LOOKS |= {0xFF41 + i: chr(97 + i) for i in range(26)} | {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 _STANDS = str.maketrans(SUBSTITUTES)
-_SIGNS = re.escape("".join(SUBSTITUTES))
-# before a letter, or digits that end a word after one
-_INSIDE = re.compile(rf"[{_SIGNS}]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578]+(?!\w)")
+_LOOKALIKE = re.compile("[" + "".join(map(chr, _LOOKS)) + "]")
+_SIGNS = re.compile(f"[{re.escape(''.join(SUBSTITUTES))}]+")
+_ENDING = re.compile("[0134578]+")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def _letters_for(m: re.Match) -> str:
+    """The signs before a letter as letters; of others the digits that end a word after one."""
+    signs, text = m.group(), m.string
+    if m.end() < len(text) and text[m.end()].isalpha():
+        return signs.translate(_STANDS)
+    ending = _ENDING.match(signs)
+    if ending and m.start() and text[m.start() - 1].isalpha():
+        after = m.start() + ending.end()
+        if after == len(text) or not (text[after].isalnum() or text[after] == "_"):
+            return ending.group().translate(_STANDS) + signs[ending.end():]
+    return signs
+
+
 def fold(text: str) -> str:
     """The folded words of ``text``, each with one space on both sides."""
     text = text.lower()
-    if not text.isascii():
+    if not text.isascii() and _LOOKALIKE.search(text):
         text = text.translate(_LOOKS)
-    text = _INSIDE.sub(lambda m: m.group().translate(_STANDS), text)
+    text = _SIGNS.sub(_letters_for, text)
     return f" {_NO_LETTERS.sub(' ', text).strip()} "
 
 
@@ -360,8 +373,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     known = labels.select(F.col(f"`{id_col}`").alias("of"), F.col(f"`{label_col}`").alias("label")).distinct()
+    # a sort-merge join at every size: labels grow with the documents, so neither side is broadcast
     train = (rows.where(id_bucket(F.col("id")) % folds != hold_out)
-             .join(known.where(F.col("label").isin(0, 1)), F.col("id") == F.col("of")).select("text", "label"))
+             .join(known.where(F.col("label").isin(0, 1)).hint("merge"), F.col("id") == F.col("of")).select("text", "label"))
     lexicon = learn_lexicon(train, "text", "label")
     name = fresh(id_col, ["held_out", "score", "predicted"])
     return score_toxicity(rows, lexicon).select(
