@@ -5,8 +5,8 @@ kinds are offered:
 
 * ``LexiconScorer`` - word lists and a softmax, pure Catalyst expressions (no Python);
 * ``SparkMLScorer`` - any fitted Spark ML ``PipelineModel`` with a ``probability`` column;
-* ``BatchModelScorer`` - any external model called on Arrow batches through
-  ``predict_batch_udf`` (loaded once per Python worker, batched, never row by row).
+* ``BatchModelScorer`` - any external model called on batches of texts of like length
+  (loaded once per Python worker, never row by row).
 
 ``score`` then applies the reference's output rules: probabilities rounded to 4
 decimals, class = first arg-max of the unrounded probabilities, confidence = rounded
@@ -15,9 +15,12 @@ probability of that class, label from the class code.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import KEYWORDS, argmax3, class_to_label, round4, softmax3
 from ..functions.keywords import mention_count, tokens
@@ -73,28 +76,58 @@ class SparkMLScorer:
 
 
 class BatchModelScorer:
-    """An external model behind ``predict_batch_udf``.
+    """An external model called on batches of texts of about one length.
 
     ``make_predict_fn`` is called once per Python worker and returns a function from a
     NumPy array of texts to an ``(n, 3)`` array of probabilities (or logits with
-    ``logits=True``, soft-maxed in Catalyst).
+    ``logits=True``, soft-maxed in Catalyst). Texts of an Arrow batch are ordered by length and cut
+    into batches of at most ``batch_size`` texts whose padded size (texts times the longest) is at
+    most ``batch_chars`` characters, so memory is bounded and little is padded; a longer text
+    is a batch of its own. Scores come back in the order of the rows.
     """
 
-    def __init__(self, make_predict_fn: Callable, batch_size: int = 64, logits: bool = False):
+    def __init__(self, make_predict_fn: Callable, batch_size: int = 64, logits: bool = False, batch_chars: int = 200_000):
         self.make_predict_fn, self.batch_size, self.logits = make_predict_fn, batch_size, logits
+        self.batch_chars = batch_chars
 
     def probabilities(self, df: DataFrame, text_col: str):
-        from pyspark.ml.functions import predict_batch_udf
-        from pyspark.sql.types import ArrayType, DoubleType
-        udf = predict_batch_udf(self.make_predict_fn, return_type=ArrayType(DoubleType()),
-                                batch_size=self.batch_size)
-        out = df.withColumn("_p", udf(F.col(text_col)))
+        make, size, chars = self.make_predict_fn, self.batch_size, self.batch_chars
+        names = [*df.columns, "_p"]
+
+        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            predict = make()
+            for batch in stream:
+                texts = batch.column(text_col).to_pylist()
+                p = np.empty((len(texts), 3))
+                for part in length_batches([len(t or "") for t in texts], size, chars):
+                    some = np.empty(len(part), object)
+                    some[:] = [texts[i] for i in part]
+                    p[part] = predict(some)
+                ends = pa.array(np.arange(0, 3 * len(texts) + 1, 3, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=names)
+
+        out = df.mapInArrow(run, StructType([*df.schema.fields, StructField("_p", ArrayType(DoubleType()))]))
         p = F.col("_p")
         if self.logits:
             return out, *softmax3(p[0], p[1], p[2])
         return out, p[0], p[1], p[2]
 
 
+def length_batches(lengths: Sequence[int], most: int, chars: int) -> Iterator[list[int]]:
+    """Places of texts by rising length, in batches of at most ``most`` texts and ``chars`` padded characters
+    (one text at least)."""
+    part: list[int] = []
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        # the text that comes is the longest of its batch
+        if part and (len(part) == most or (len(part) + 1) * lengths[i] > chars):
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
+
+
 def from_probabilities(df: DataFrame, p_neg: Column, p_neu: Column, p_pos: Column) -> DataFrame:
     """The scored columns from three (unrounded) class probabilities."""
     df = df.withColumns({"_p0": p_neg, "_p1": p_neu, "_p2": p_pos})

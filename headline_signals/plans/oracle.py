@@ -816,3 +816,14 @@ ORACLE.update({
         (SELECT {r6('corr(avg_sentiment, daily_return)')} AS market_correlation, {r6('avg(daily_return)')} AS mean_return
          FROM {_DAILY_MKT} _m) m""",
 })
+
+ORACLE.update({
+    "feed_last_page": f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY seq) AS global_index FROM {SCORED_EVENTS} _s) _p
+        WHERE global_index > 5 * (SELECT (count(*) - 1) // 5 FROM {SCORED_EVENTS} _n)""",
+    "keyword_dictionary_hits": """WITH words AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark),
+        hits AS (SELECT d.doc_id, length(w) % 2 AS odd, count(*) AS n FROM documents d, words
+                 WHERE length(w) BETWEEN 5 AND 8 AND contains(lower(d.text), w) GROUP BY d.doc_id, odd)
+        SELECT d.doc_id, CAST(coalesce(e.n, 0) AS INTEGER) AS even_n, CAST(coalesce(o.n, 0) AS INTEGER) AS odd_n
+        FROM documents d LEFT JOIN hits e ON d.doc_id = e.doc_id AND e.odd = 0
+        LEFT JOIN hits o ON d.doc_id = o.doc_id AND o.odd = 1""",
+})

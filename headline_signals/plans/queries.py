@@ -20,11 +20,13 @@ from . import linear_folds as lf
 from . import modeling as ml
 from . import refresh as rf
 from ..functions import parse_time
+from ..functions.keywords import keyword_hits
 from ..operators import daily as dl
 from ..operators import extract as ex
 from ..operators import features as ft
 from ..operators import market as mk
 from ..operators import metrics as mt
+from ..operators import paging as pg
 from ..operators import regimes as rg
 from ..operators import report as rp
 from ..operators import rolling as rl
@@ -217,6 +219,26 @@ def q_feed_pages(spark, sf):
     return rp.feed_pages(ad.scored_events(spark, sf))
 
 
+@query("feed_last_page")
+def q_feed_last_page(spark, sf):
+    """The last page of the feed, read from stored pages."""
+    root = scratch_path(spark, f"pages-{uuid.uuid4().hex}")
+    pg.write_pages(ad.scored_events(spark, sf), root, block_rows=1_000)
+    return pg.read_page(spark, root, pg.stored_page_count(spark, root))
+
+
+@query("keyword_dictionary_hits")
+def q_keyword_dictionary_hits(spark, sf):
+    """K1 with the words of the benchmark passages as a dictionary: substrings found by hash, in one pass
+    whatever their number."""
+    found = load(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).distinct()
+    words = [r["w"] for r in found.where("length(w) between 5 and 8").collect()]
+    keywords = {"even": [w for w in words if len(w) % 2 == 0], "odd": [w for w in words if len(w) % 2]}
+    docs = spread(load(spark, sf, "documents").select("doc_id", "text"))
+    return keyword_hits(docs, "text", keywords, many=0).select(
+        "doc_id", F.col("_kw_even_n").alias("even_n"), F.col("_kw_odd_n").alias("odd_n"))
+
+
 @query("page_count")
 def q_page_count(spark, sf):
     return rp.page_count(ad.scored_events(spark, sf))
