@@ -53,7 +53,7 @@ def rolling_features(daily: DataFrame, windows: Sequence[int] = DEFAULT_WINDOWS,
     """
     if frame not in ("rows", "range"):
         raise ValueError("frame must be 'rows' or 'range'")
-    method = method or ("frames" if frame == "rows" and 8 * max(windows) <= chunk_rows else "prefix")
+    method = method or ("frames" if frame == "rows" and 8 * max(windows) <= series.CHUNK_ROWS else "prefix")
     if method not in ("frames", "prefix") or (method == "frames" and frame == "range"):
         raise ValueError("method must be 'prefix', or 'frames' for windows of rows")
     work = _by_frames if method == "frames" else _by_prefix
