@@ -54,5 +54,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder, for written intermediate tables."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    """A sub-folder of the shared checkpoint folder for the intermediate tables of one run; it is there
+    afterwards, and goes when the application ends."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
