@@ -177,7 +177,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "to
 
     A null or empty text has no ids. Every row is encoded on its own, so repeated rows,
     null ids and further columns pass through; an input column named like ``ids_col`` is
-    replaced. ``path`` must name a rank file that every worker has.
+    replaced, and an empty table stays empty. ``path`` must name a rank file that every worker has.
     """
     path = path or public_tokenizers.path(VOCABULARY)
 

@@ -164,7 +164,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null text counts as empty; without words the fingerprint is the empty string. Rows with
     a null id come first. Repeated ids follow each other, ordered by text. A single row is
-    its own next. ``id_col`` must be numeric; other columns are ignored.
+    its own next. ``id_col`` must be numeric; other columns are ignored. An empty table gives an
+    empty result.
     """
     texts = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
     nexts = with_next(with_fingerprint(texts, "_text", "_packed"), id_col, ["_text", "_packed"])

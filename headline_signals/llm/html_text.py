@@ -370,7 +370,8 @@ def main_text(page: str | None) -> str:
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` without ``html_col``, with ``text_col`` (main text; a null, empty or textless
     page gives the empty string). A column already named ``text_col`` is replaced; repeated
-    rows and null ids pass through. Pages are read whole and independently of each other."""
+    rows and null ids pass through, an empty table stays empty. Pages are read whole and
+    independently of each other."""
     kept = [f for f in pages.schema.fields if f.name not in (html_col, text_col)]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -172,7 +172,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
     """``docs`` with ``_lang_pred`` and ``_score`` (calibrated probability, 0 to 1).
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if no
-    label was learned. Only the text is looked at: repeated rows, null ids and further
+    label was learned. An empty table stays empty. Only the text is looked at: repeated rows, null ids and further
     columns pass through, but for columns of those two names, which are replaced.
     """
     docs = docs.drop("_lang_pred", "_score")

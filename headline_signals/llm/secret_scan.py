@@ -166,7 +166,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: id and ``found array<struct<kind, start, end>>``, by start, then rule order.
 
     Offsets are code points, ends exclusive. Null text counts as empty and has no spans;
-    ids may be null or repeated; other columns are ignored. Every text is searched whole.
+    ids may be null or repeated; other columns are ignored. Every text is searched whole. An
+    empty table gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     queries = [trigram_query(r.pattern) for r in rules]
