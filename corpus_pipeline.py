@@ -21,27 +21,30 @@ CACHE_BYTES = 24 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told (a text, with letters) stay."""
+    """Documents whose language can be told (a text, with letters) stay; null texts go, null ids and repeated
+    rows stay, an empty table stays empty."""
     return keep_identified(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id stays."""
+    """Of equal texts, the document with the smallest id stays: one row, also of repeated rows, and one with a
+    null id only if no other has the text."""
     return keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that similarity links join, the one with the smallest id stays."""
+    """Of documents that similarity links join, the one with the smallest id stays; texts without words and null
+    ids are handled as ``keep_one`` says."""
     return keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once, or up to three times."""
+    """Documents as often as the mix takes them: not at all, once, or up to three times; null texts never."""
     return mixed_copies(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of every row of the mix (a repeated document: every time)."""
+    """Token count and digests of every row of the mix (a repeated document: every time); an empty mix has none."""
     return bpe_digests(docs, cache_bytes=CACHE_BYTES)
 
 
