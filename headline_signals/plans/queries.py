@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from . import day_states as ds
+from . import epochs as ep
 from . import feature_flow as ff
 from . import linear_folds as lf
 from . import modeling as ml
@@ -424,6 +425,14 @@ def q_text_classifier_report(spark, sf):
     return report
 
 
+@query("text_epochs")
+def q_text_epochs(spark, sf):
+    """L4: weighted F1 of the validation rows after each of three epochs, and which epoch is kept."""
+    data = ml.split_column(ad.labelled_sentiment(spark, sf), "doc_id")
+    root = scratch_path(spark, f"epochs-{uuid.uuid4().hex}")
+    return finalize(ep.train_epochs(data.where("split = 'train'"), data.where("split = 'test'"), root)[1])
+
+
 @query("sentiment_labels")
 def q_sentiment_labels(spark, sf):
     """P5: text labels and their class codes."""

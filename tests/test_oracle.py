@@ -6,7 +6,7 @@ import __spark_entry__ as E
 from tools.oracle_check import digest, duck
 
 SLOW = {"model_cv_scores", "model_summary", "feature_ranking", "text_classifier_report", "run_report", "ml_scored_documents",
-        "regressor_cv_scores"}
+        "regressor_cv_scores", "text_epochs"}
 NAMES = sorted(set(E.oracle_sql()) - set(E.PIPELINE_QUERIES))
 
 
