@@ -3,13 +3,16 @@
 ``match="substring"`` (the reference's rule) tests ``word in text``: "ai" counts in
 "said". ``match="word"`` needs the word bounded by non-alphanumerics; single words are
 looked up in the text's token array (one split per text, then a hash intersection),
-multi-word phrases by a bounded regex.
+multi-word phrases by a bounded regex. ``mention_counts`` finds the same for many lists
+at once, on batches of texts (``word_match``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .word_match import counter, plain
+
 # The eight keyword categories and their words, in the reference's order.
 KEYWORDS: dict[str, list[str]] = {
     "bullish": ["surge", "soar", "rally", "gain", "rise", "up", "high", "record", "breakthrough"],
@@ -66,34 +69,20 @@ def mention_count(lowered: Column, words: list[str], match: str = "substring",
     return total
 
 
-#: From so many words on, substrings are looked up in a hash set instead of each word in the text.
-MANY_WORDS = 1_000
-
-
-def words_within(chars: Column, words: list[str]) -> Column:
-    """The distinct ``words`` that occur as substrings of a text given as its characters (K1 for large
-    dictionaries).
-
-    The words are classed by length; for each length all stretches of the text of that length are
-    looked up in a hash set. The work depends on the text and the number of lengths, not on
-    how many words there are. Null text holds none.
-    """
-    by_length: dict[int, list[str]] = {}
-    for w in set(words):
-        by_length.setdefault(len(w), []).append(w)
-    found = [_stretches_within(chars, length, same) for length, same in sorted(by_length.items())]
-    return F.concat(*found) if found else F.array().cast("array<string>")
-
+#: From so many words on, the lists are matched in one pass over the text (``word_match``).
+MANY_WORDS = 1
 
-def _stretches_within(chars: Column, length: int, words: list[str]) -> Column:
-    starts = F.sequence(F.lit(1), F.size(chars) - (length - 1))
-    stretches = F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(length)), ""))
-    held = F.array_intersect(stretches, F.array(*[F.lit(w) for w in words]))
-    return F.when(F.size(chars) >= length, held).otherwise(F.array().cast("array<string>"))
 
-
-def _among(found: str, words: list[str]) -> Column:
-    return F.size(F.filter(found, lambda w: w.isin(words)))
+def mention_counts(lowered: Column, lists: list[list[str]], match: str = "substring", many: int = MANY_WORDS) -> Column:
+    """``mention_count`` of every list as one array column. From ``many`` words on, texts are matched by
+    batches, each read once whatever the number of words; whole words that are not plain ones
+    (``word_match.plain``) are left to ``mention_count``."""
+    _check(match)
+    words = [w for ws in lists for w in ws]
+    if len(words) < many or (match == "word" and not plain(words)):
+        toks = tokens(lowered) if match == "word" else None
+        return F.array(*[mention_count(lowered, ws, match, toks).cast("int") for ws in lists])
+    return F.arrow_udf(counter(lists, match == "word"), "array<int>")(lowered)
 
 
 def hit_columns(keywords: dict[str, list[str]]) -> list[str]:
@@ -103,27 +92,20 @@ def hit_columns(keywords: dict[str, list[str]]) -> list[str]:
 
 def keyword_hits(df, text_col: str = "Headline", keywords: dict[str, list[str]] | None = None,
                  match: str = "substring", many: int = MANY_WORDS):
-    """Add per-text match columns (``_kw_<cat>_n`` int, ``_kw_<cat>_hit`` boolean). From ``many`` words on,
-    substrings are matched by ``words_within``, whose cost does not grow with the dictionary.
+    """Add per-text match columns (``_kw_<cat>_n`` int, ``_kw_<cat>_hit`` boolean), all categories in one pass
+    over the text (``mention_counts``).
 
     Run it on a table of distinct texts and join the result, so that each text is
     matched once however many rows refer to it.
     """
     keywords = KEYWORDS if keywords is None else keywords
-    lowered = F.lower(F.col(text_col))
-    if match == "substring" and sum(map(len, keywords.values())) >= many:
-        # characters first, as a column of their own: a place in them is found at once, in a text by counting
-        df = df.withColumn("_kw_chars", F.split(lowered, "")).withColumn(
-            "_kw_found", words_within(F.col("_kw_chars"), [w for ws in keywords.values() for w in ws]))
-        cols = {}
-        for cat, words in keywords.items():
-            n = _among("_kw_found", words)
-            cols |= {f"_kw_{cat}_n": n, f"_kw_{cat}_hit": n > 0}
-        return df.withColumns(cols).drop("_kw_found", "_kw_chars")
-    toks = tokens(lowered) if match == "word" else None
+    if not keywords:
+        return df
+    found = mention_counts(F.lower(F.col(text_col)), list(keywords.values()), match, many)
+    df = df.withColumn("_kw_counts", found)
     cols = {}
-    for cat, words in keywords.items():
-        n = mention_count(lowered, words, match, toks)
+    for i, cat in enumerate(keywords):
+        n = F.col("_kw_counts")[i]
         cols[f"_kw_{cat}_n"] = n
         cols[f"_kw_{cat}_hit"] = n > 0
-    return df.withColumns(cols)
+    return df.withColumns(cols).drop("_kw_counts")

@@ -3,7 +3,7 @@
 A scorer turns a DataFrame with a text column into three probability columns. Three
 kinds are offered:
 
-* ``LexiconScorer`` - word lists and a softmax, pure Catalyst expressions (no Python);
+* ``LexiconScorer`` - word lists, matched on batches of texts, and a softmax;
 * ``SparkMLScorer`` - any fitted Spark ML ``PipelineModel`` with a ``probability`` column;
 * ``BatchModelScorer`` - any external model called on batches of texts of like length
   (loaded once per Python worker, never row by row).
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import KEYWORDS, argmax3, class_to_label, round4, softmax3
-from ..functions.keywords import mention_count, tokens
+from ..functions.keywords import mention_counts
 
 SCORE_COLUMNS = ["Sentiment", "Confidence", "Negative_Probability", "Neutral_Probability",
                  "Positive_Probability", "Predicted_Class"]
@@ -43,14 +43,10 @@ class LexiconScorer:
         self.match, self.neutral_logit, self.weight = match, neutral_logit, weight
 
     def probabilities(self, df: DataFrame, text_col: str) -> tuple[DataFrame, Column, Column, Column]:
-        lowered = F.lower(F.col(text_col))
-        toks = tokens(lowered) if self.match == "word" else None
-        # counts first, as columns: later steps refer to them several times, and a
-        # separate projection keeps the text matching from being repeated
-        out = df.withColumns({
-            "_n_pos": mention_count(lowered, self.positive, self.match, toks),
-            "_n_neg": mention_count(lowered, self.negative, self.match, toks),
-        })
+        # counts first, as a column: later steps refer to them several times
+        found = mention_counts(F.lower(F.col(text_col)), [self.positive, self.negative], self.match)
+        out = df.withColumn("_found", found).withColumns({
+            "_n_pos": F.col("_found")[0], "_n_neg": F.col("_found")[1]}).drop("_found")
         p = softmax3(F.col("_n_neg") * F.lit(self.weight), F.lit(self.neutral_logit),
                      F.col("_n_pos") * F.lit(self.weight))
         return out, *p
