@@ -3,7 +3,9 @@
 ``refresh`` runs the batch flow of SURVEY 3.1 as Spark jobs and publishes its outputs:
 headlines, scored rows (CSV and JSON) and the daily index (CSV and JSON). The scored
 table is written once as Parquet and read back by the later steps, so scoring runs
-once and the index job starts from a short lineage. All outputs of a run form one generation
+once and the index job starts from a short lineage. Files are compressed; rows of one text
+are neighbours in them (``operators.feeds``), so a text that many rows show takes little
+more room than once. All outputs of a run form one generation
 (``sources.generations``): they become current together, by the manifest row written last.
 ``refresh_new`` reads new rows only and brings the daily tables up to date from partial states.
 """
@@ -14,11 +16,9 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import parse_time
+from ..functions import KEYWORDS, parse_time
 from ..operators import daily as dl
-from ..operators import extract as ex
-from ..operators import scoring as sc
-from ..operators.partitioning import materialize
+from ..operators import feeds as fd
 from ..sources import files as fs
 from ..sources import generations as gn
 from . import day_states as ds
@@ -28,7 +28,7 @@ from . import day_states as ds
 OUTPUTS = (("headlines", "csv"), ("scored", "csv"), ("scored_json", "json"), ("index", "csv"), ("index_json", "json"))
 
 
-def refresh(spark: SparkSession, feed: DataFrame, out_dir: str, as_of: _dt.date | str,
+def refresh(spark: SparkSession, feed: fd.Feed | DataFrame, out_dir: str, as_of: _dt.date | str,
             scorer=None, published_at: str | None = None, keep: int = 2) -> dict[str, str]:
     """Extract -> complete times -> score -> index; the outputs replace those before as one.
 
@@ -37,13 +37,13 @@ def refresh(spark: SparkSession, feed: DataFrame, out_dir: str, as_of: _dt.date
     before as the current one; of complete generations the newest ``keep`` stay.
     """
     folder = gn.new_folder(out_dir)
-    fs.write_parquet(sc.score(ex.complete_feed(feed, as_of), "Headline", scorer), f"{folder}/_scored")
+    fs.write_parquet(fd.score_feed(feed, as_of, scorer, with_text=True), f"{folder}/_scored", compression="zstd")
     scored = spark.read.parquet(f"{folder}/_scored")
     fs.write_parquet(dl.daily_index(scored, scale=4), f"{folder}/_index")  # the scorer rounds to 4 decimals
     index = spark.read.parquet(f"{folder}/_index")
     tables = {"headlines": scored.select("Time", "Headline"), "scored": scored, "scored_json": scored,
               "index": index, "index_json": index}
-    fs.publish([(name, tables[name], fmt) for name, fmt in OUTPUTS], folder)
+    fs.publish([(name, tables[name], fmt) for name, fmt in OUTPUTS], folder, compression="gzip")
     gn.complete(spark, out_dir, folder, dict(OUTPUTS) | {"_scored": "parquet", "_index": "parquet"}, published_at)
     gn.drop_older(spark, out_dir, keep)
     return published(spark, out_dir)
@@ -55,12 +55,11 @@ def published(spark: SparkSession, out_dir: str) -> dict[str, str]:
     return {name: now.path(name) for name in now.formats} if now else {}
 
 
-def refresh_new(store: ds.StateStore, batch_id: int, feed: DataFrame, as_of: _dt.date | str, scorer=None) -> None:
+def refresh_new(store: ds.StateStore, batch_id: int, feed: fd.Feed | DataFrame, as_of: _dt.date | str, scorer=None) -> None:
     """X3 for new rows alone: they are completed, scored and added to ``store`` as one batch, which then
     answers for the daily index, statistics and keyword features of all rows so far. A batch that
     is run again replaces itself."""
-    scored = materialize(sc.score(ex.complete_feed(feed, as_of), "Headline", scorer))
-    ds.add_batch(store, batch_id, scored)
+    ds.add_batch(store, batch_id, fd.score_feed(feed, as_of, scorer, keywords=KEYWORDS))
 
 
 def freshness(df: DataFrame, time_col: str, as_of: str, max_age: str = "1 hour",

@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import argmax3, class_to_label, label_to_class, mean_of, round4
-from ..functions.labels import PLACEHOLDER
 from ..functions.keywords import keyword_hits
+from ..operators.feeds import Feed
 from ..operators.partitioning import spread
 from .tables import load
 
@@ -166,12 +166,13 @@ def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("<body><table>"), page, F.lit("</table></body>")).alias("html"))
 
 
-def raw_feed(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """Extracted feed rows as text, the shape a scraped page yields: ``(seq, Time, Headline)``.
+def feed(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> Feed:
+    """Extracted feed rows and the texts they refer to: ``(seq, Time, doc_id, loading)`` and
+    ``(doc_id, Headline)``.
 
     ``Time`` is text in the feed's shapes, chosen by event type: full date and clock
     time (view), clock time only (click), month-day (signup) or date (others);
-    ``Headline`` is a whole document text, or the loading placeholder for error events.
+    ``Headline`` is a whole document text, and rows of error events are still loading.
     ``events`` replaces the events table, by a stream for example.
     """
     ev = (load(spark, sf_dir, "events") if events is None else events).select(
@@ -182,10 +183,13 @@ def raw_feed(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
            .when(et == "signup", F.lit("MMM-dd"))
            .otherwise(F.lit("yyyy-MM-dd")))
     time_text = F.call_function("date_format", ts, fmt)
-    rows = ev.select("seq", time_text.alias("Time"), "event_type")
+    rows = ev.select("seq", time_text.alias("Time"), F.coalesce(et == "error", F.lit(False)).alias("loading"))
     heads = document_texts(spark, sf_dir)
     n_docs = heads.agg(F.count(F.lit(1))).scalar()
-    keyed = spread(rows).withColumn("_doc_key", F.col("seq") % n_docs)
-    joined = keyed.join(heads, keyed["_doc_key"] == heads["doc_id"], "left")
-    headline = F.when(F.col("event_type") == "error", F.lit(PLACEHOLDER)).otherwise(F.col("Headline"))
-    return joined.select("seq", "Time", headline.alias("Headline"))
+    return Feed(spread(rows).withColumn("doc_id", F.col("seq") % n_docs), heads)
+
+
+def raw_feed(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """The feed as a scraped page yields it, the text in every row: ``(seq, Time, Headline)``, with the
+    loading placeholder for error events."""
+    return feed(spark, sf_dir, events).joined()

@@ -42,9 +42,9 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, multiline: bool
             .option("mode", "PERMISSIVE").csv(path))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
     """CSV with a header, replacing the target. Row ids travel as a named column."""
-    _csv_options(df.write.mode("overwrite")).option("escapeQuotes", True).csv(path)
+    _csv_options(df.write.mode("overwrite")).option("escapeQuotes", True).csv(path, compression=compression)
 
 
 def _csv_options(io):
@@ -64,9 +64,9 @@ def dates_as_text(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str, compression: str = "none") -> None:
     """JSON Lines records, dates as ``yyyy-MM-dd``; nulls are written as null."""
-    dates_as_text(df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    dates_as_text(df).write.mode("overwrite").option("ignoreNullFields", False).json(path, compression=compression)
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType, array: bool = False) -> DataFrame:
@@ -74,19 +74,23 @@ def read_json(spark: SparkSession, path: str, schema: StructType, array: bool =
     return spark.read.schema(schema).option("multiLine", array).json(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str | None = None) -> None:
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    w.parquet(path, compression=compression)
 
 
-def publish(outputs: list[tuple[str, DataFrame, str]], base: str) -> list[str]:
+def publish(outputs: list[tuple[str, DataFrame, str]], base: str, compression: str = "none") -> list[str]:
     """Write each ``(name, df, fmt)`` under ``base/name`` in order; fmt is
-    ``csv``, ``json`` or ``parquet``. Returns the written paths."""
+    ``csv``, ``json`` or ``parquet``. Returns the written paths. The readers here know a file's
+    ``compression`` (CSV and JSON; ``gzip`` for example) by its name."""
     paths = []
     for name, df, fmt in outputs:
         path = f"{base.rstrip('/')}/{name}"
-        {"csv": write_csv, "json": write_json, "parquet": write_parquet}[fmt](df, path)
+        if fmt == "parquet":
+            write_parquet(df, path)
+        else:
+            {"csv": write_csv, "json": write_json}[fmt](df, path, compression)
         paths.append(path)
     return paths
