@@ -104,3 +104,19 @@ def test_matcher_across_steps_and_with_a_large_dictionary():
     assert WordMatcher([words]).counts(texts).tolist() == want
     assert WordMatcher([["", "q"]]).counts(pa.array(["", None, "q"])).tolist() == [[1], [0], [2]]
     assert plain(["a b", "x1"]) and not plain(["s&p"]) and not plain(["a  b"])
+
+
+def test_classifier_reads_its_texts_once(spark):
+    from headline_signals.plans import modeling as ml
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(i):
+        seen.add(1)
+        return ("good gain", "bad loss", "flat market")[i % 3] + f" w{i % 5}"
+
+    rows = spark.range(0, 60, 1, 2).select(read("id").alias("text"), (F.col("id") % 3).alias("label"))
+    model = ml.train_text_classifier(rows)
+    assert seen.value <= 2 * 60  # written once (a checkpoint runs its plan twice)
+    assert len(model.stages) == 4
+    assert model.transform(spark.createDataFrame([("bad loss",)], "text string")).first()["prediction"] == 1
