@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Whether Spark deletes the shuffle files of a query when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def target_parallelism(df: DataFrame) -> int:
@@ -47,3 +53,21 @@ def materialize(df: DataFrame) -> DataFrame:
     from ..session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries started in this block leave no shuffle files: each deletes its own as it ends.
+
+    For steps whose result is written, so that nothing reads the shuffle again; else the files
+    stay on the executors' disks until the driver collects its garbage."""
+    try:
+        before = spark.conf.get(_CLEANUP)
+        spark.conf.set(_CLEANUP, "true")
+    except Exception:  # noqa: BLE001 - a remote session or a Spark without the setting
+        yield
+        return
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import KEYWORDS, parse_time
 from ..operators import daily as dl
 from ..operators import feeds as fd
+from ..operators.partitioning import shuffles_dropped
 from ..sources import files as fs
 from ..sources import generations as gn
 from . import day_states as ds
@@ -37,13 +38,14 @@ def refresh(spark: SparkSession, feed: fd.Feed | DataFrame, out_dir: str, as_of:
     before as the current one; of complete generations the newest ``keep`` stay.
     """
     folder = gn.new_folder(out_dir)
-    fs.write_parquet(fd.score_feed(feed, as_of, scorer, with_text=True), f"{folder}/_scored", compression="zstd")
+    with shuffles_dropped(spark):  # the texts' shuffle is as large as the table it makes
+        fs.write_parquet(fd.score_feed(feed, as_of, scorer, with_text=True), f"{folder}/_scored", compression="zstd")
     scored = spark.read.parquet(f"{folder}/_scored")
     fs.write_parquet(dl.daily_index(scored, scale=4), f"{folder}/_index")  # the scorer rounds to 4 decimals
     index = spark.read.parquet(f"{folder}/_index")
     tables = {"headlines": scored.select("Time", "Headline"), "scored": scored, "scored_json": scored,
               "index": index, "index_json": index}
-    fs.publish([(name, tables[name], fmt) for name, fmt in OUTPUTS], folder, compression="gzip")
+    fs.publish([(name, tables[name], fmt) for name, fmt in OUTPUTS], folder, compression="zstd")
     gn.complete(spark, out_dir, folder, dict(OUTPUTS) | {"_scored": "parquet", "_index": "parquet"}, published_at)
     gn.drop_older(spark, out_dir, keep)
     return published(spark, out_dir)

@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import (DateType, DoubleType, IntegerType, LongType, StringType,
                                StructField, StructType, TimestampNTZType, TimestampType)
 
+#: Codecs of text files beyond the names that Spark knows for them. A zstd window holds megabytes, so rows of
+#: one long text that are neighbours take little more room than one; gzip sees no further back than 32 KB.
+TEXT_CODECS = {"zstd": "org.apache.parquet.hadoop.codec.ZstandardCodec"}
+#: Level of zstd for all files: a quarter smaller than gzip on texts, and faster where texts repeat.
+ZSTD_LEVEL = {"parquet.compression.codec.zstd.level": "9"}
+
 HEADLINES_SCHEMA = StructType([
     StructField("Time", StringType()),
     StructField("Headline", StringType()),
@@ -44,7 +50,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, multiline: bool
 
 def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
     """CSV with a header, replacing the target. Row ids travel as a named column."""
-    _csv_options(df.write.mode("overwrite")).option("escapeQuotes", True).csv(path, compression=compression)
+    w = _csv_options(df.write.mode("overwrite")).options(**ZSTD_LEVEL).option("escapeQuotes", True)
+    w.csv(path, compression=TEXT_CODECS.get(compression, compression))
 
 
 def _csv_options(io):
@@ -66,7 +73,8 @@ def dates_as_text(df: DataFrame) -> DataFrame:
 
 def write_json(df: DataFrame, path: str, compression: str = "none") -> None:
     """JSON Lines records, dates as ``yyyy-MM-dd``; nulls are written as null."""
-    dates_as_text(df).write.mode("overwrite").option("ignoreNullFields", False).json(path, compression=compression)
+    w = dates_as_text(df).write.mode("overwrite").options(**ZSTD_LEVEL).option("ignoreNullFields", False)
+    w.json(path, compression=TEXT_CODECS.get(compression, compression))
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType, array: bool = False) -> DataFrame:
@@ -75,7 +83,7 @@ def read_json(spark: SparkSession, path: str, schema: StructType, array: bool =
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str | None = None) -> None:
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").options(**ZSTD_LEVEL)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path, compression=compression)
@@ -84,7 +92,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 def publish(outputs: list[tuple[str, DataFrame, str]], base: str, compression: str = "none") -> list[str]:
     """Write each ``(name, df, fmt)`` under ``base/name`` in order; fmt is
     ``csv``, ``json`` or ``parquet``. Returns the written paths. The readers here know a file's
-    ``compression`` (CSV and JSON; ``gzip`` for example) by its name."""
+    ``compression`` (CSV and JSON; ``gzip`` or ``zstd`` for example) by its name."""
     paths = []
     for name, df, fmt in outputs:
         path = f"{base.rstrip('/')}/{name}"

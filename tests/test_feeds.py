@@ -1,7 +1,11 @@
 """Texts scored and matched once each, and what published rows take on disk."""
 
 import os
+import random
+import time
 import uuid
+import zlib
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -13,6 +17,7 @@ from headline_signals.functions.word_match import STEP, WordMatcher, plain
 from headline_signals.operators import extract as ex
 from headline_signals.operators import feeds as fd
 from headline_signals.operators import scoring as sc
+from headline_signals.operators.partitioning import shuffles_dropped
 from headline_signals.plans import refresh as rf
 from headline_signals.session import scratch_path
 from headline_signals.sources import files as fs
@@ -120,3 +125,41 @@ def test_classifier_reads_its_texts_once(spark):
     assert seen.value <= 2 * 60  # written once (a checkpoint runs its plan twice)
     assert len(model.stages) == 4
     assert model.transform(spark.createDataFrame([("bad loss",)], "text string")).first()["prediction"] == 1
+
+
+def _written(folder):
+    return sum(f.stat().st_size for f in Path(folder).rglob("part-*") if f.is_file())
+
+
+def test_published_rows_of_one_long_text_take_little_room(spark, tmp_path):
+    """Texts far beyond the 32 KB that gzip looks back, ten rows each: every output about as large as the texts once."""
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(12_000)) for _ in range(4)]
+    rows = spark.createDataFrame([(10 * i + j, "2024-01-03", i, False) for i in range(4) for j in range(10)],
+                                 "seq long, Time string, doc_id long, loading boolean")
+    heads = spark.createDataFrame(list(enumerate(texts)), "doc_id long, Headline string")
+    paths = rf.refresh(spark, fd.Feed(rows, heads), str(tmp_path / "out"), "2024-01-30")
+    once = len(zlib.compress("".join(texts).encode(), 9))
+    for name in ("headlines", "scored", "scored_json"):
+        assert once / 2 < _written(paths[name]) < 2 * once, name
+    for got in (fs.read_csv(spark, paths["scored"], fs.SCORED_SCHEMA), fs.read_json(spark, paths["scored_json"], fs.SCORED_SCHEMA)):
+        assert {r["seq"]: r["Headline"] for r in got.collect()} == {10 * i + j: texts[i] for i in range(4) for j in range(10)}
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    def shuffles():
+        local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {local.apply(i).getName() for i in range(local.size()) if "shuffle_" in local.apply(i).getName()}
+
+    def write(name):
+        before = shuffles()
+        spark.range(2000).repartition(7).write.parquet(str(tmp_path / name))
+        for _ in range(50):  # files are deleted in the background
+            if not (left := shuffles() - before):
+                break
+            time.sleep(0.1)
+        return left
+
+    with shuffles_dropped(spark):
+        assert not write("a")
+    assert write("b")  # the setting is as it was
