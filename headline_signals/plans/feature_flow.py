@@ -58,7 +58,9 @@ def with_targets(daily: DataFrame, market: DataFrame | None = None,
     columns are left out.
     """
     if market is not None:
-        market = mk.market_range_for(daily, market.where(F.col("symbol").isin(main_symbol, fear_symbol or main_symbol)))
+        # written once, a row per symbol and day: the symbols and the indicators are found in it
+        market = materialize(mk.market_range_for(
+            daily, market.where(F.col("symbol").isin(main_symbol, fear_symbol or main_symbol))))
         found = {r["symbol"] for r in market.select("symbol").distinct().collect()}  # two at most
     if market is None or main_symbol not in found:
         return tg.fallback_targets(daily, null_unknown=null_unknown, scale=scale)

@@ -27,10 +27,13 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 
 from ..operators import features as ft
 from ..operators import metrics as mt
-from ..operators.partitioning import materialize
+from ..operators.partitioning import materialize, target_parallelism
 from . import linear_folds as lf
 
 SEED = 42
+#: Rows of a task in the fits of daily tables. A fit is some hundred short jobs, whose time is that of
+#: their tasks; the shuffle width, which follows the headlines, would give each task a few days.
+FIT_ROWS = 500
 
 
 # --- text classifier ------------------------------------------------------------------
@@ -130,6 +133,13 @@ def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
                            handleInvalid="keep").transform(df)
 
 
+def _for_fits(df: DataFrame, n: int, order_col: str) -> DataFrame:
+    """``df`` of ``n`` rows in partitions for repeated fits: as many as its rows fill, at most the task slots;
+    rows in order, so that seeded learners do not depend on the shuffle width."""
+    parts = max(1, min(-(-n // FIT_ROWS), target_parallelism(df)))
+    return df.repartition(parts, order_col).sortWithinPartitions(order_col)
+
+
 def _least_squares(est) -> bool:
     """Whether ``est`` is a linear regression without a penalty or weights."""
     return (isinstance(est, LinearRegression) and est.getRegParam() == 0 and est.getFitIntercept()
@@ -156,21 +166,21 @@ def cross_validate(spark: SparkSession, table: DataFrame, target: str,
     """Per model, fit on each expanding fold's train rows, score its test rows
     (accuracy or R^2), then (``refit``) fit on all rows. Fewer than ``min_rows`` rows: no models.
 
-    The table is daily grain (one row per day), so it is positioned once, cached, and
-    every fold is a range filter on the position (W13), not a join.
+    The table is daily grain (one row per day), so it is positioned once, cached in few
+    partitions, and every fold is a range filter on the position (W13), not a join.
     Returns ``(fold scores DataFrame, {model name: model fitted on all rows})``.
     """
     features = list(features or ft.feature_names(table))
     models = models or (classification_models() if model_type == "classification" else regression_models())
     data = _assemble(table.where(F.col(target).isNotNull()), features)
-    data = ft.with_position(data, order_col).select(
-        "row_idx", F.col(target).cast("double").alias("label"), "features").cache()
+    data = materialize(ft.with_position(data, order_col).select(
+        "row_idx", F.col(target).cast("double").alias("label"), "features"))
     n, k = data.agg(F.count(F.lit(1)), ft.fold_rule(F.count(F.lit(1)))).first()
     k = k if n >= min_rows else 0
     fitted: dict = {}
     if k == 0:
-        data.unpersist()
         return spark.createDataFrame([], RESULT_SCHEMA), fitted
+    data = _for_fits(data, n, "row_idx").cache()
     s = n // (k + 1)
     starts = [n - (k - i) * s for i in range(k)]
     # classes present in each fold's training rows, in one pass
@@ -233,10 +243,11 @@ def top_features(importance: DataFrame, k: int = 10) -> DataFrame:
 def train_targets(spark: SparkSession, table: DataFrame,
                   targets: Sequence[str] = ft.TARGET_COLUMNS, min_rows: int = 5,
                   models: dict | None = None, refit: bool = True) -> tuple[DataFrame, dict]:
-    """Cross-validate every target present in the table.
+    """Cross-validate every target present in the table, which is computed once for all of them.
 
     Returns (fold scores for all targets, {target: {model: fitted}})."""
     features = ft.feature_names(table)
+    table = materialize(table)
     all_scores, fitted = None, {}
     for t in targets:
         if t not in table.columns:
@@ -252,11 +263,17 @@ def train_targets(spark: SparkSession, table: DataFrame,
 
 # --- in-sample regression score (A15 over an aggregate fit) ---------------------------
 
-def fit_all(table: DataFrame, target: str, estimator, features: Sequence[str] | None = None):
+def fit_all(table: DataFrame, target: str, estimator, features: Sequence[str] | None = None, order_col: str = "Date"):
     """Fit ``estimator`` on every row with a known target (the final fit of L9)."""
     features = list(features or ft.feature_names(table))
-    data = _assemble(table.where(F.col(target).isNotNull()), features)
-    return estimator.fit(data.select(F.col(target).cast("double").alias("label"), "features"))
+    table = materialize(table.where(F.col(target).isNotNull()))
+    data = _assemble(table, features)
+    if order_col in data.columns:
+        data = _for_fits(data, table.count(), order_col)
+    data = data.select(F.col(target).cast("double").alias("label"), "features").cache()
+    model = estimator.fit(data)
+    data.unpersist()
+    return model
 
 
 def ols_fit_r2(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -279,6 +296,7 @@ def run_report(spark: SparkSession, table: DataFrame, order_col: str = "Date",
     from ..operators import report as rp
 
     features = ft.feature_names(table)
+    table = materialize(table)  # read by the fits of every target, the summary and the last fit
     scores, _ = train_targets(spark, table, targets, refit=False)
     ranked = summarize_folds(scores).orderBy(F.col("mean_score").desc_nulls_last(), "target", "model")
     best = ranked.first()  # one row: which learner to refit and rank
@@ -291,7 +309,7 @@ def run_report(spark: SparkSession, table: DataFrame, order_col: str = "Date",
                               F.lit("collect more days of headlines; too few rows to train models")
                               .alias("recommendation"))
     est = (classification_models() if best["model"] in classification_models() else regression_models())[best["model"]]
-    model = fit_all(table, best["target"], est, features)
+    model = fit_all(table, best["target"], est, features, order_col)
     top = top_features(feature_importance(spark, model, features), top_k)
     top_list = top.agg(F.collect_list("feature").alias("top_features"))  # at most top_k rows
     return (summary.select("*", F.lit(best["target"]).alias("best_target"),

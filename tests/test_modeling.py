@@ -115,3 +115,40 @@ def test_least_squares_cross_validation_uses_the_grams(spark):
     assert [round(r["score"], 9) for r in scores.collect()] == [1.0] * 3
     top = ml.feature_importance(spark, fitted["linear_regression"], ["a", "b"]).collect()
     assert [(r["feature"], round(r["importance"], 9)) for r in top] == [("a", 2.0), ("b", 1.0)]
+
+
+def test_feature_table_is_computed_once_for_all_targets(spark):
+    """Rows of the table pass a counting function: once each, however many targets, folds and models read them."""
+    from pyspark.ml.classification import LogisticRegression
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x % 5)
+
+    n = 24
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int"))
+    table = spark.range(n).repartition(3).select(
+        day.alias("Date"), counted.asNondeterministic()("id").alias("f"), (F.col("id") % 2).alias("next_day_positive"),
+        (F.col("id") % 3 % 2).alias("next_3day_positive"))
+    scores, _ = ml.train_targets(spark, table, models={"lr": LogisticRegression(maxIter=2)})
+    assert scores.count() == 6 and seen.value == n
+
+
+def test_fits_do_not_depend_on_the_shuffle_width(spark):
+    table = spark.range(1300).select(
+        F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("Date"),
+        (F.hash("id") % 7).alias("a"), (F.hash(F.lit(1), "id") % 5).alias("b"), (F.hash("id") % 2 == 0).cast("int").alias("next_day_positive"))
+    forest = {"forest": ml.classification_models()["random_forest_classifier"].setNumTrees(3).setMaxDepth(3)}
+    width, scores = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("2", "19"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows, _ = ml.cross_validate(spark, table, "next_day_positive", ["a", "b"], models=forest, refit=False)
+            scores.append([tuple(r) for r in rows.orderBy("fold").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert scores[0] == scores[1] and len(scores[0]) == 3
+    assert ml._for_fits(spark.range(1300), 1300, "id").rdd.getNumPartitions() == min(3, spark.sparkContext.defaultParallelism)
