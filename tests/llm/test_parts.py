@@ -216,3 +216,46 @@ def test_language_model_score_by_brute_force(spark):
             high += math.log10(min(1.0, (n - discount + 1 + discount * n) / (1 + contexts[c])))
         assert low <= got[i].score <= high <= 0
         assert got[i].score > got[i].base_score
+
+
+def test_every_word_is_a_context_of_its_own(spark):
+    """More words than a small corpus had classes, each followed by one word only: the score must lie between
+    what the least and the most tables of the exact contexts give."""
+    import math
+    import zlib
+
+    rows = [(i, f"w{i % 300} v{i % 300}") for i in range(4500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r for r in pitman_yor.language_model_scores(df).collect()}
+    pairs, contexts = Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            tokens = [None, *t.split(), "\0"]
+            pairs.update(zip(tokens, tokens[1:]))
+            contexts.update(tokens[:-1])
+    assert min(pairs.values()) > 2 and len(got) == len(rows)  # so the discount is 0.5
+    for i, t in rows:
+        tokens = [None, *t.split(), "\0"]
+        bounds = [((n - 0.5 * n) / (1 + contexts[c]), min(1.0, (n + 0.5 + 0.5 * contexts[c]) / (1 + contexts[c])))
+                  for c, w in zip(tokens, tokens[1:]) for n in [pairs[c, w]]]
+        assert sum(math.log10(x) for x, _ in bounds) <= got[i].score <= sum(math.log10(x) for _, x in bounds)
+
+
+def test_pairs_of_one_customer_need_no_seat():
+    """A bucket's words and pairs of one customer as fixed tables: the parent's customers, totals and
+    probabilities are those of all its pairs."""
+    keys = np.array([1 << 6 | 0, 1 << 6 | 1, 2 << 6 | 1, 3 << 6 | 2, 3 << 6 | 3], np.uint64)
+    counts = np.array([5, 1, 1, 1, 4])
+    whole = pitman_yor.Seating(keys, counts, 1, 6)
+    moving = np.array([0 << 6 | 0, 2 << 6 | 3], np.uint64)
+    part = pitman_yor.Seating(moving, counts[counts > 1], 1, 6, fixed=np.array([1, 1, 1]))
+    assert whole.customers().tolist() == part.customers().tolist() == [2, 1, 2]
+    assert whole.totals()[2:] == part.totals()[2:]
+    assert whole.parent(0.4, 5, 3, 0.25).tolist() == part.parent(0.4, 5, 3, 0.25).tolist()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 1 << 62), max_size=40))
+def test_squeezed_numbers_come_back(values):
+    values = np.array(values, np.int64)
+    assert pitman_yor.loosen(pitman_yor.squeeze(values)).tolist() == values.tolist()
