@@ -162,8 +162,8 @@ def _send_words(ranges: int):
         for row in _rows(stream):
             words = np.frombuffer(row["words"], np.uint64)
             cuts = [0, *np.searchsorted(words, edges).tolist(), len(words)]
-            yield _batch([(r, row["block"], words[i:j].tobytes()) for r, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i],
-                         _schema(WORDS_SCHEMA))
+            rows = [(r, row["block"], words[i:j].tobytes()) for r, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+            yield _batch(rows, _schema(WORDS_SCHEMA))
 
     return send
 
@@ -193,7 +193,8 @@ def _send_pairs(offsets: list[int], buckets: int):
         for block in blocks.to_pylist():
             number = np.concatenate([np.cumsum(loosen(parts[r])) + offsets[r] for r in sorted(parts)]).astype(np.uint64)
             n = loosen(block["n"])
-            pairs, counts, _ = unique_pairs(block_pairs(loosen(block["ranks"]), n), np.repeat(loosen(block["train"]), n))
+            weight = np.repeat(loosen(block["train"]), n)
+            pairs, counts, _ = unique_pairs(block_pairs(loosen(block["ranks"]), n), weight)
             keys = number[pairs >> np.uint64(BITS)] << np.uint64(BITS) | number[pairs & LOW]
             cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
             rows += [(b, block["block"], pack(keys[i:j]), squeeze(counts[i:j]))
@@ -217,7 +218,8 @@ def _merge_pairs(table: pa.Table) -> pa.Table:
     parts = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
     _, word = words_of(pairs)
     spread = np.bincount(word, sums > 0)
-    fields = [sums.sum(), (spread > 0).sum(), (sums == 1).sum(), (sums == 2).sum(), (spread == 1).sum(), (spread == 2).sum()]
+    fields = [sums.sum(), (spread > 0).sum(), (sums == 1).sum(), (sums == 2).sum(),
+              (spread == 1).sum(), (spread == 2).sum()]
     return _table([(table.column("bucket")[0].as_py(), pack(pairs), squeeze(sums), table.column("block").to_pylist(),
                     [squeeze(np.diff(p, prepend=0)) for p in parts], *map(int, fields))], _schema(PAIRS_SCHEMA))
 
@@ -366,8 +368,9 @@ def _first_state(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moving = counts > 1
         contexts, place = np.unique(pairs[moving] & LOW, return_inverse=True)
         keys = word[moving].astype(np.uint64) << np.uint64(BITS) | place.astype(np.uint64)
-        yield _batch([(row["bucket"], pack(words), squeeze(known), squeeze(np.bincount(word[counts == 1], minlength=len(words))),
-                       pack(keys), squeeze(counts[moving]), pack(contexts), [])], _schema(STATE_SCHEMA))
+        fixed = np.bincount(word[counts == 1], minlength=len(words))
+        yield _batch([(row["bucket"], pack(words), squeeze(known), squeeze(fixed), pack(keys), squeeze(counts[moving]),
+                       pack(contexts), [])], _schema(STATE_SCHEMA))
 
 
 #: What travels to ranges of words and contexts: numbers of some of them and values of each, or whole blocks' places.
@@ -410,8 +413,8 @@ def _add_contexts(offsets: list[int]):
         part = table.column("part")[0].as_py()
         width = offsets[part + 1] - offsets[part]
         sums = _dense(table.to_pylist(), "context", 2, width)
-        return _table([(part, "context", -1, pack(np.arange(width, dtype=np.uint64)), [squeeze(v) for v in sums], None)],
-                      _schema(MESSAGE_SCHEMA))
+        numbers = pack(np.arange(width, dtype=np.uint64))
+        return _table([(part, "context", -1, numbers, [squeeze(v) for v in sums], None)], _schema(MESSAGE_SCHEMA))
 
     return add
 
@@ -478,7 +481,8 @@ def _send_words_seated(model: dict, offsets: list[int]):
             values = [loosen(row["known"])]
             for seating in _late(row, model):
                 values += [seating.customers(), seating.top.copy()]
-            yield _batch(_messages("word", row["bucket"], unpack(row["words"]), values, offsets), _schema(MESSAGE_SCHEMA))
+            rows = _messages("word", row["bucket"], unpack(row["words"]), values, offsets)
+            yield _batch(rows, _schema(MESSAGE_SCHEMA))
 
     return send
 
