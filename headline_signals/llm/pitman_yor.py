@@ -16,7 +16,8 @@ contexts. A block sends its distinct pairs with their training counts to buckets
 All contexts of a word meet in one bucket, so its tables and its parent customers are local;
 what it needs beyond that are the tables of its contexts in the whole corpus. Those are added
 up by ranges of contexts after each sweep, and each bucket is sent the ones that it holds.
-Only pairs of two or more customers can change, so only those travel between sweeps. Sweep k
+Only pairs of two or more customers can change, so only those travel between sweeps, and of a
+sweep only the state after it is written, in tasks by the number of buckets. Sweep k
 is replayed from the totals before it, with seeds fixed by bucket, so a lost executor repeats
 the same seating. In the end a block is sent counts and tables of its pairs, words and
 contexts, and adds the logarithms up over its documents. To the driver come a few sums and
@@ -48,6 +49,8 @@ EXACT = 64
 #: Text of a block and tokens of a bucket, on average; their numbers grow with the input.
 BLOCK_TEXT = 16 << 20
 BUCKET_TOKENS = 1_000_000
+#: Buckets of a task that writes a checkpoint, on average; tasks are two for each core at least.
+TASK_BUCKETS = 8
 #: The hashes that stand for the start and the end of a text.
 START, END = np.uint64(0), np.uint64(0x5BD1E995 << 24)
 #: A pair's key has the word's number above these bits and the context's in them.
@@ -355,7 +358,7 @@ def replay(keys: np.ndarray, counts: np.ndarray, bucket: int, model: dict, sweep
 
 
 STATE_SCHEMA = ("bucket int, words binary, known binary, fixed binary, keys binary, counts binary, contexts binary, "
-                "totals array<binary>")
+                "totals array<binary>, customers bigint, top bigint")
 
 
 def _first_state(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +373,7 @@ def _first_state(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = word[moving].astype(np.uint64) << np.uint64(BITS) | place.astype(np.uint64)
         fixed = np.bincount(word[counts == 1], minlength=len(words))
         yield _batch([(row["bucket"], pack(words), squeeze(known), squeeze(fixed), pack(keys), squeeze(counts[moving]),
-                       pack(contexts), [])], _schema(STATE_SCHEMA))
+                       pack(contexts), [], 0, 0)], _schema(STATE_SCHEMA))
 
 
 #: What travels to ranges of words and contexts: numbers of some of them and values of each, or whole blocks' places.
@@ -425,36 +428,63 @@ def _seatings(row: dict, model: dict, sweeps: int) -> Iterator[Seating]:
                   loosen(row["fixed"]))
 
 
+SUMS_SCHEMA = "bucket int, customers bigint, top bigint"
+
+
+def _seated(row: dict, model: dict, sweeps: int) -> tuple[Seating, int, int]:
+    """A bucket's seating after so many sweeps, and the customers and tables that its words have at the parent."""
+    for seating in _seatings(row, model, sweeps):
+        pass
+    *_, customers, top = seating.totals()
+    return seating, customers, top
+
+
+def _sums(model: dict, sweeps: int):
+    def sums(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(stream):
+            yield _batch([(row["bucket"], *_seated(row, model, sweeps)[1:])], _schema(SUMS_SCHEMA))
+
+    return sums
+
+
+def _more(seating: Seating, contexts: np.ndarray) -> np.ndarray:
+    """Tables beyond the first of every context of a bucket."""
+    return np.bincount(seating.classes, seating.tables - 1, len(contexts)).astype(np.int64)
+
+
+SENT_SCHEMA = f"{MESSAGE_SCHEMA}, customers bigint, top bigint"
+
+
 def _send_tables(model: dict, offsets: list[int], sweeps: int):
-    """After so many sweeps: tables beyond the first of every context of a bucket, and in the range -1 the
-    customers and tables that the bucket's words have at the parent."""
+    """After so many sweeps: tables beyond the first of every context of a bucket, and to one of the ranges the
+    customers and tables that the bucket's words have at the parent, which come back with the answers."""
     def send(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(stream):
-            for seating in _seatings(row, model, sweeps):
-                pass
+            seating, customers, top = _seated(row, model, sweeps)
             contexts = unpack(row["contexts"])
-            more = np.bincount(seating.classes, seating.tables - 1, len(contexts)).astype(np.int64)
-            *_, customers, top = seating.totals()
-            rows = _messages(f"more{sweeps}", row["bucket"], contexts, [more], offsets)
-            yield _batch([*[(*r, 0, 0) for r in rows], (-1, "sums", row["bucket"], None, None, None, customers, top)],
-                         _schema(f"{MESSAGE_SCHEMA}, customers bigint, top bigint"))
+            rows = _messages("more", row["bucket"], contexts, [_more(seating, contexts)], offsets)
+            part = row["bucket"] % (len(offsets) - 1)
+            yield _batch([*[(*r, 0, 0) for r in rows], (part, "sums", row["bucket"], None, None, None, customers, top)],
+                         _schema(SENT_SCHEMA))
 
     return send
 
 
-TOTALS_SCHEMA = "bucket int, part int, tables binary"
+TOTALS_SCHEMA = "bucket int, part int, tables binary, customers bigint, top bigint"
 
 
 def _answer_tables(contexts: pa.Table, sent: pa.Table) -> pa.Table:
-    """The tables of every bucket's contexts in the whole corpus, in the bucket's order."""
-    if not sent.num_rows:
-        return _table([], _schema(TOTALS_SCHEMA))
-    places = [unpack(k).astype(np.int64) for k in sent.column("keys").to_pylist()]
-    total = loosen(contexts.column("data")[0].as_py()[0])
-    for at, data in zip(places, sent.column("data").to_pylist()):
-        total[at] += loosen(data[0])
-    return _table([(b, p, squeeze(total[at])) for b, p, at in zip(
-        sent.column("bucket").to_pylist(), sent.column("part").to_pylist(), places)], _schema(TOTALS_SCHEMA))
+    """The tables of every bucket's contexts in the whole corpus, in the bucket's order; sums go back as they came."""
+    rows = sent.to_pylist()
+    out = [(row["bucket"], -1, None, row["customers"], row["top"]) for row in rows if row["kind"] == "sums"]
+    rows = [row for row in rows if row["kind"] == "more"]
+    if rows:
+        places = [unpack(row["keys"]).astype(np.int64) for row in rows]
+        total = loosen(contexts.column("data")[0].as_py()[0])
+        for at, row in zip(places, rows):
+            total[at] += loosen(row["data"][0])
+        out += [(row["bucket"], row["part"], squeeze(total[at]), 0, 0) for row, at in zip(rows, places)]
+    return _table(out, _schema(TOTALS_SCHEMA))
 
 
 def _joined(parts: list[tuple[int, bytes]]) -> np.ndarray:
@@ -462,10 +492,11 @@ def _joined(parts: list[tuple[int, bytes]]) -> np.ndarray:
 
 
 def _next_state(state: pa.Table, answers: pa.Table) -> pa.Table:
-    rows = state.to_pylist()
-    tables = _joined(list(zip(answers.column("part").to_pylist(), answers.column("tables").to_pylist())))
+    rows, answers = state.to_pylist(), answers.to_pylist()
+    tables = _joined([(a["part"], a["tables"]) for a in answers if a["part"] >= 0])
     for row in rows:
         row["totals"] = [*row["totals"], squeeze(tables)]
+        row["customers"], row["top"] = (sum(a[c] for a in answers) for c in ("customers", "top"))
     return pa.Table.from_pylist(rows, schema=_schema(STATE_SCHEMA))
 
 
@@ -474,15 +505,17 @@ def _late(row: dict, model: dict) -> Iterator[Seating]:
     return (seating for i, seating in enumerate(_seatings(row, model, SWEEPS)) if i > BURN_IN)
 
 
-def _send_words_seated(model: dict, offsets: list[int]):
-    """Training count of every word of a bucket, and its customers and tables at the parent in the late seatings."""
+def _send_late(model: dict, offsets: list[int]):
+    """Training count of every word of a bucket, and its customers and tables at the parent in the late seatings;
+    of its contexts the tables beyond the first in each of those."""
     def send(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(stream):
-            values = [loosen(row["known"])]
+            values, more, contexts = [loosen(row["known"])], [], unpack(row["contexts"])
             for seating in _late(row, model):
                 values += [seating.customers(), seating.top.copy()]
-            rows = _messages("word", row["bucket"], unpack(row["words"]), values, offsets)
-            yield _batch(rows, _schema(MESSAGE_SCHEMA))
+                more.append(_more(seating, contexts))
+            yield _batch([*_messages("word", row["bucket"], unpack(row["words"]), values, offsets),
+                          *_messages("more", row["bucket"], contexts, more, offsets)], _schema(MESSAGE_SCHEMA))
 
     return send
 
@@ -499,7 +532,7 @@ def _answer_words(offsets: list[int]):
         rows = table.to_pylist()
         words = _dense(rows, "word", 1 + 2 * (SWEEPS - BURN_IN), width)
         tables, customers = _dense(rows, "context", 2, width)
-        late = [tables + _dense(rows, f"more{i}", 1, width)[0] for i in range(BURN_IN + 1, SWEEPS + 1)]
+        late = [tables + more for more in _dense(rows, "more", SWEEPS - BURN_IN, width)]
         out = []
         for row in rows:
             for block, gaps in zip(row["blocks"], row["data"]) if row["kind"] == "dictionary" else ():
@@ -596,8 +629,11 @@ def _scored(dealt: DataFrame, size: int, id_col: str, id_type: pa.DataType, id_n
     sums = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens")).first()
     ranges = max(1, (sums["words"] or 0) >> context_bits(size) + 3)
     buckets = max(8, -(-(sums["tokens"] or 0) // BUCKET_TOKENS))
+    cores = dealt.sparkSession.sparkContext.defaultParallelism
+    # an empty partition would be a file as well; each is written by a task of its own
+    range_tasks, bucket_tasks = max(2 * cores, ranges), max(2 * cores, buckets // TASK_BUCKETS)
     dictionary = checkpointed(blocks.select("block", "words").mapInArrow(_send_words(ranges), WORDS_SCHEMA).groupBy(
-        "part").applyInArrow(_number_words, DICTIONARY_SCHEMA))
+        "part").applyInArrow(_number_words, DICTIONARY_SCHEMA).coalesce(range_tasks))
     found = {r["part"]: r["n"] for r in dictionary.select("part", "n").collect()}
     offsets = np.cumsum([0, *[found.get(r, 0) for r in range(ranges)]]).tolist()
     if offsets[-1] >> BITS:
@@ -606,7 +642,7 @@ def _scored(dealt: DataFrame, size: int, id_col: str, id_type: pa.DataType, id_n
         "part", F.col("b.blocks").alias("block"), F.col("b.places").alias("places"))
     sent = blocks.select("block", "train", "n", "ranks").groupBy("block").cogroup(
         numbers.groupBy("block")).applyInArrow(_send_pairs(offsets, buckets), PAIRS_SENT)
-    pairs = checkpointed(sent.groupBy("bucket").applyInArrow(_merge_pairs, PAIRS_SCHEMA))
+    pairs = checkpointed(sent.groupBy("bucket").applyInArrow(_merge_pairs, PAIRS_SCHEMA).coalesce(bucket_tasks))
     sums = pairs.agg(*[F.sum(c).alias(c) for c in COUNT_FIELDS]).first().asDict()
     sums = {c: n or 0 for c, n in sums.items()}
     model = {"discount": _discount(sums["once"], sums["twice"]), "bits": BITS,
@@ -615,28 +651,20 @@ def _scored(dealt: DataFrame, size: int, id_col: str, id_type: pa.DataType, id_n
 
     slim = pairs.select("bucket", "keys", "counts")
     contexts = checkpointed(slim.mapInArrow(_send_contexts(offsets), MESSAGE_SCHEMA).groupBy("part").applyInArrow(
-        _add_contexts(offsets), MESSAGE_SCHEMA))
+        _add_contexts(offsets), MESSAGE_SCHEMA).coalesce(range_tasks))
     state = checkpointed(slim.mapInArrow(_first_state, STATE_SCHEMA))
-    late = []
-    for sweep in range(SWEEPS + 1):
-        sent = checkpointed(state.mapInArrow(_send_tables(model, offsets, sweep),
-                                             f"{MESSAGE_SCHEMA}, customers bigint, top bigint"))
-        now = sent.agg(F.sum("customers").alias("customers"), F.sum("top").alias("top")).first()
-        model = {**model, "totals": [*model["totals"], {"customers": now["customers"] or 0, "top": now["top"] or 0}]}
-        sent = sent.where("part >= 0").drop("customers", "top")
-        if sweep > BURN_IN:
-            late.append(sent)
-        if sweep < SWEEPS:
-            answers = contexts.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(_answer_tables, TOTALS_SCHEMA)
-            state = checkpointed(state.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(
-                _next_state, STATE_SCHEMA))
-
-    messages = state.mapInArrow(_send_words_seated(model, offsets), MESSAGE_SCHEMA).unionByName(contexts)
+    for sweep in range(SWEEPS):
+        sent = state.mapInArrow(_send_tables(model, offsets, sweep), SENT_SCHEMA)
+        answers = contexts.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(_answer_tables, TOTALS_SCHEMA)
+        state = checkpointed(state.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(
+            _next_state, STATE_SCHEMA).coalesce(bucket_tasks))
+        model = _with_totals(model, state)
+    model = _with_totals(model, state.mapInArrow(_sums(model, SWEEPS), SUMS_SCHEMA))
+
+    messages = state.mapInArrow(_send_late(model, offsets), MESSAGE_SCHEMA).unionByName(contexts)
     messages = messages.unionByName(dictionary.select(
         "part", F.lit("dictionary").alias("kind"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("keys"),
         F.col("places").alias("data"), "blocks"))
-    for sent in late:
-        messages = messages.unionByName(sent)
     answers = messages.groupBy("part").applyInArrow(_answer_words(offsets), ANSWER_SCHEMA).unionByName(
         pairs.select("bucket", "counts", "blocks", "places").groupBy("bucket").cogroup(
             state.groupBy("bucket")).applyInArrow(_answer_pairs(model), ANSWER_SCHEMA))
@@ -645,5 +673,10 @@ def _scored(dealt: DataFrame, size: int, id_col: str, id_type: pa.DataType, id_n
                                                f"`{id_col}` {id_name}, {SCORE_SCHEMA}")
 
 
+def _with_totals(model: dict, rows: DataFrame) -> dict:
+    now = rows.agg(F.sum("customers").alias("customers"), F.sum("top").alias("top")).first()
+    return {**model, "totals": [*model["totals"], {"customers": now["customers"] or 0, "top": now["top"] or 0}]}
+
+
 def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5

@@ -241,6 +241,32 @@ def test_every_word_is_a_context_of_its_own(spark):
         assert sum(math.log10(x) for x, _ in bounds) <= got[i].score <= sum(math.log10(x) for _, x in bounds)
 
 
+def test_checkpoints_have_few_partitions(spark, monkeypatch):
+    """Many shuffle partitions and a few buckets of words: the empty partitions are not written as files,
+    and a sweep writes one checkpoint."""
+    written, write = [], pitman_yor.checkpointed
+
+    def counted(df):
+        out = write(df)
+        written.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(pitman_yor, "checkpointed", counted)
+    cores = spark.sparkContext.defaultParallelism
+    names = {"spark.sql.shuffle.partitions": str(4 * cores), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in names}
+    df = spark.createDataFrame([(i, f"a b{i % 7} c a") for i in range(60)], "doc_id bigint, text string").coalesce(2)
+    try:
+        for c, value in names.items():
+            spark.conf.set(c, value)
+        got = {r.doc_id: r.score for r in pitman_yor.language_model_scores(df).collect()}
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert max(written) <= 2 * cores and len(written) == 5 + pitman_yor.SWEEPS
+    assert got == {r.doc_id: r.score for r in pitman_yor.language_model_scores(df).collect()}
+
+
 def test_pairs_of_one_customer_need_no_seat():
     """A bucket's words and pairs of one customer as fixed tables: the parent's customers, totals and
     probabilities are those of all its pairs."""
